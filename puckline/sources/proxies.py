@@ -21,9 +21,12 @@ def _code(prefix: str, c: Column) -> Column:
     return F.concat(F.lit(prefix), F.lpad(c.cast("string"), 2, "0"))
 
 
-def games(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Schedule rows plus team ids (``FIXTURES`` F3)."""
+def games(spark: SparkSession, sf_dir: str, orders_filter: Column | None = None) -> DataFrame:
+    """Schedule rows plus team ids (``FIXTURES`` F3).  ``orders_filter`` is
+    applied to the raw orders columns, so it is pushed into the Parquet scan."""
     o = read_table(spark, sf_dir, "orders")
+    if orders_filter is not None:
+        o = o.filter(orders_filter)
     day = F.to_date("o_orderdate")
     year, month = F.year(day).cast("bigint"), F.month(day)
     hk = F.col("o_custkey") % 25

@@ -204,3 +204,521 @@ PGS_BODY = EV_FLAGS + LONG + f"""
 ORACLE: dict[str, str] = {}
 
 ORACLE["player_game_stats"] = sql(PGS_BODY + "SELECT * FROM pgs")
+
+
+# ---------------------------------------------------------------- shared CTEs
+
+def season_sql(d: str) -> str:
+    return (f"CASE WHEN month({d}) >= 9 THEN CAST(year({d}) AS BIGINT)*10000 + year({d}) + 1 "
+            f"ELSE CAST(year({d}) - 1 AS BIGINT)*10000 + year({d}) END")
+
+
+TOI_SQL = ("CASE WHEN toi LIKE '%:%' THEN CAST(COALESCE(TRY_CAST(split_part(toi, ':', 1) AS INT), 0) AS DOUBLE)"
+           " + CAST(COALESCE(TRY_CAST(split_part(toi, ':', 2) AS INT), 0) AS DOUBLE) / 60.0 ELSE 0.0 END")
+
+DBOX = """
+, dbox AS (
+  SELECT game_id, player_id, player_name, team, opponent, location, position, plus_minus, toi, shifts,
+         shots_against, saves, goals_against, save_pct, decision, game_winning_goal, ot_loss
+  FROM (SELECT *, row_number() OVER (PARTITION BY game_id, player_id
+                                     ORDER BY src_line, src_part, src_qty, src_price) AS rn FROM box)
+  WHERE rn = 1)
+"""
+
+REST = """
+, tg AS (SELECT season, game_id, CAST(date AS DATE) AS d, home_abbrev AS team FROM schedule
+         UNION ALL SELECT season, game_id, CAST(date AS DATE) AS d, away_abbrev AS team FROM schedule)
+, tg2 AS (SELECT *, lag(d) OVER (PARTITION BY season, team ORDER BY d, game_id) AS prev FROM tg)
+, tg3 AS (SELECT game_id, team,
+                 CASE WHEN prev IS NULL THEN NULL ELSE CAST(least(date_diff('day', prev, d) - 1, 3) AS INT) END AS rest
+          FROM tg2)
+, rest AS (SELECT s.*, h.rest AS home_days_rest, a.rest AS away_days_rest FROM schedule s
+           LEFT JOIN tg3 h ON h.game_id = s.game_id AND h.team = s.home_abbrev
+           LEFT JOIN tg3 a ON a.game_id = s.game_id AND a.team = s.away_abbrev)
+"""
+
+_INT_STATS = ["goals", "assists", "points", "shots", "shot_attempts", "blocked_shots",
+              "offensive_blocked_shots", "missed_shots", "hits", "giveaways", "takeaways", "pim",
+              "ppg", "ppa", "ppp", "game_winning_goal", "faceoff_wins", "faceoff_losses"]
+
+
+def comb_sql(name: str, box: str, stats: str | None, sched: str = "rest") -> str:
+    """The 38-column combined table over CTE ``box`` and stats CTE (or zeros)."""
+    if stats:
+        st = ", ".join(f"CAST(COALESCE(p.{c}, 0) AS INT) AS {c}" for c in _INT_STATS)
+        st += ", CAST(COALESCE(p.faceoff_pct, 0.0) AS DOUBLE) AS faceoff_pct"
+        join = f"LEFT JOIN {stats} p ON p.game_id = b.game_id AND p.player_id = b.player_id"
+    else:
+        st = ", ".join(f"CAST(0 AS INT) AS {c}" for c in _INT_STATS) + ", 0.0 AS faceoff_pct"
+        join = ""
+    return f"""
+, {name}0 AS (
+  SELECT b.*, {st}, r.date AS s_date,
+         CASE WHEN b.location = 'home' THEN r.home_days_rest ELSE r.away_days_rest END AS days_rest
+  FROM (SELECT game_id, player_id, player_name, team, opponent, location, position, plus_minus, toi,
+               shifts, shots_against, saves, goals_against, save_pct, decision, ot_loss FROM {box}) b
+  {join}
+  LEFT JOIN {sched} r ON r.game_id = b.game_id)
+, {name} AS (
+  SELECT game_id, s_date AS date, player_id, player_name, team, opponent, location, position, days_rest,
+         toi, {TOI_SQL} AS toi_minutes, shifts, goals, assists, points, plus_minus, pim, shots,
+         shot_attempts, missed_shots, offensive_blocked_shots, blocked_shots, hits, giveaways,
+         takeaways, faceoff_wins, faceoff_losses, faceoff_pct, ppg, ppa, ppp, game_winning_goal,
+         shots_against, saves, goals_against, save_pct, decision, ot_loss
+  FROM {name}0)
+"""
+
+
+COMB = DBOX + REST + PGS_BODY + comb_sql("comb", "dbox", "pgs")
+
+PROPS = [(0, "Skater", "shots", 1.5), (1, "Skater", "blocked_shots", 1.5), (2, "Skater", "points", 0.5),
+         (3, "Goalie", "saves", 24.5), (4, "Goalie", "shots_against", 25.5), (5, "Goalie", "goals_against", 2.5)]
+_PROP_VALUES = ", ".join(f"({i}, '{t}', '{s}', {v})" for i, t, s, v in PROPS)
+PROP_STATS_SQL = ["shots", "shot_attempts", "points", "goals", "assists", "toi_minutes",
+                  "blocked_shots", "hits", "plus_minus", "saves", "shots_against", "goals_against"]
+
+
+def stat_value_sql(stat: str, prefix: str = "f.") -> str:
+    return "CASE " + stat + " " + " ".join(f"WHEN '{s}' THEN {prefix}{s}" for s in PROP_STATS_SQL) + " END"
+
+
+def req_sql(date: str = "1997-08-23") -> str:
+    return f"""
+, req AS (
+  SELECT g.game_id*100 + p.i AS request_id, CAST(g.date AS DATE) AS selected_date, g.home_abbrev AS home,
+         g.away_abbrev AS away, p.player_type, p.stat, CAST(p.threshold AS DOUBLE) AS threshold
+  FROM games g, (VALUES {_PROP_VALUES}) p(i, player_type, stat, threshold)
+  WHERE g.date = '{date}')
+, rt AS (SELECT request_id, selected_date, player_type, home, away, home AS team FROM req
+         UNION ALL SELECT request_id, selected_date, player_type, home, away, away AS team FROM req)
+"""
+
+
+def elig_sql(today: str = "1997-08-24") -> str:
+    return f"""
+, past0 AS (
+  SELECT rt.request_id, rt.player_type, f.player_id, f.player_name, f.team AS team_abbrev,
+         f.position AS position_code,
+         row_number() OVER (PARTITION BY rt.request_id, f.player_id ORDER BY f.game_id, f.team) AS rn
+  FROM rt JOIN facts f ON f.date = rt.selected_date AND f.team = rt.team
+  WHERE rt.selected_date < DATE '{today}')
+, fut0 AS (
+  SELECT rt.request_id, rt.player_type, r.player_id, r.full_player_name AS player_name,
+         r.team_abbrev, r.position_code
+  FROM rt JOIN roster r ON r.team_abbrev = rt.team
+  WHERE rt.selected_date >= DATE '{today}')
+, both0 AS (SELECT request_id, player_type, player_id, player_name, team_abbrev, position_code FROM past0 WHERE rn = 1
+            UNION ALL SELECT * FROM fut0)
+, elig AS (SELECT request_id, player_id, player_name, team_abbrev, position_code FROM both0
+           WHERE (player_type = 'Goalie' AND position_code = 'G') OR (player_type <> 'Goalie' AND position_code <> 'G'))
+, targets AS (
+  SELECT e.*, q.selected_date, q.home, q.away, q.stat, q.threshold,
+         {season_sql('q.selected_date')} AS req_season,
+         CASE WHEN e.team_abbrev = q.home THEN q.away WHEN e.team_abbrev = q.away THEN q.home END AS h2h_opponent
+  FROM elig e JOIN req q USING (request_id))
+"""
+
+
+RATES = f"""
+, hist AS (
+  SELECT t.request_id, t.player_id, f.date, f.season, f.opponent, f.location, t.req_season, t.h2h_opponent,
+         ({stat_value_sql('t.stat')}) >= t.threshold AS hit
+  FROM targets t JOIN facts f ON f.player_id = t.player_id AND f.date <= t.selected_date)
+, ranked AS (SELECT *, dense_rank() OVER (PARTITION BY request_id, player_id ORDER BY date DESC) AS rk FROM hist)
+, ragg AS (
+  SELECT request_id, player_id,
+    count(*) FILTER (WHERE season = req_season) AS sg, count(*) FILTER (WHERE season = req_season AND hit) AS sh,
+    count(*) FILTER (WHERE opponent = h2h_opponent) AS hg, count(*) FILTER (WHERE opponent = h2h_opponent AND hit) AS hh,
+    count(*) FILTER (WHERE rk <= 5) AS g5, count(*) FILTER (WHERE rk <= 5 AND hit) AS h5,
+    count(*) FILTER (WHERE rk <= 10) AS g10, count(*) FILTER (WHERE rk <= 10 AND hit) AS h10,
+    count(*) FILTER (WHERE rk <= 20) AS g20, count(*) FILTER (WHERE rk <= 20 AND hit) AS h20,
+    count(*) FILTER (WHERE season = req_season AND location = 'away') AS ga,
+    count(*) FILTER (WHERE season = req_season AND location = 'away' AND hit) AS ha,
+    count(*) FILTER (WHERE season = req_season AND location = 'home') AS gh,
+    count(*) FILTER (WHERE season = req_season AND location = 'home' AND hit) AS hhm
+  FROM ranked GROUP BY request_id, player_id)
+"""
+
+
+def _rate(prefix: str, g: str, h: str) -> str:
+    return (f"CAST(COALESCE(a.{g}, 0) AS BIGINT) AS {prefix}_games, "
+            f"CASE WHEN COALESCE(a.{g}, 0) > 0 THEN CAST(a.{h} AS BIGINT) END AS {prefix}_hits, "
+            f"CASE WHEN COALESCE(a.{g}, 0) > 0 THEN CAST(a.{h} AS DOUBLE) / CAST(a.{g} AS DOUBLE) * 100.0 END AS {prefix}_pct")
+
+
+def _loc(side: str, g: str, h: str) -> str:
+    return (f"CAST(COALESCE(a.{g}, 0) AS BIGINT) AS {side}_season_games, "
+            f"CASE WHEN COALESCE(a.{g}, 0) > 0 THEN CAST(a.{h} AS DOUBLE) / CAST(a.{g} AS DOUBLE) * 100.0 END AS {side}_season_pct")
+
+
+PT = RATES + f"""
+, pt AS (
+  SELECT t.request_id, t.player_id, t.player_name, t.team_abbrev, t.position_code, t.stat, t.threshold,
+    {_rate('season', 'sg', 'sh')},
+    CAST(COALESCE(a.hg, 0) AS BIGINT) AS h2h_games,
+    CASE WHEN COALESCE(a.hg, 0) > 0 THEN CAST(a.hh AS BIGINT) END AS h2h_hits,
+    COALESCE(CASE WHEN COALESCE(a.hg, 0) > 0 THEN CAST(a.hh AS DOUBLE) / CAST(a.hg AS DOUBLE) * 100.0 END, 0.0) AS h2h_pct,
+    {_rate('l5', 'g5', 'h5')}, {_rate('l10', 'g10', 'h10')}, {_rate('l20', 'g20', 'h20')},
+    {_loc('away', 'ga', 'ha')}, {_loc('home', 'gh', 'hhm')}
+  FROM targets t LEFT JOIN ragg a USING (request_id, player_id))
+"""
+
+
+def _fmt(label: str, p: str, n: int, with_g: bool) -> str:
+    ok = f"{p}_games >= {n}" if n > 1 else f"{p}_games > 0"
+    txt = f"CAST(CAST(round({p}_pct, 0) AS INT) AS VARCHAR) || '%'"
+    if with_g:
+        txt += f" || ' (' || CAST({p}_games AS VARCHAR) || 'g)'"
+    return (f"CASE WHEN {ok} AND {p}_pct IS NOT NULL THEN {txt} ELSE 'n/a' END AS \"{label} (Formatted)\", "
+            f"CASE WHEN {ok} THEN {p}_pct END AS \"{label} %\"")
+
+
+def _fmt_loc(label: str, side: str) -> str:
+    p, g = f"{side}_season_pct", f"{side}_season_games"
+    txt = f"CAST(CAST(round({p}, 0) AS INT) AS VARCHAR) || '% (' || CAST({g} AS VARCHAR) || 'g)'"
+    return (f"CASE WHEN {p} IS NOT NULL AND {g} > 0 THEN {txt} ELSE 'n/a' END AS \"{label} (Season) (Formatted)\", "
+            f"CASE WHEN {p} IS NOT NULL AND {g} > 0 THEN {p} END AS \"{label} %\"")
+
+
+PTF = PT + f"""
+, ptf AS (
+  SELECT request_id, player_id, player_name AS "Player", team_abbrev AS "Team", position_code AS "Pos",
+         threshold AS "Line", {_fmt('Season', 'season', 1, True)}, {_fmt('H2H', 'h2h', 1, True)},
+         {_fmt('L5', 'l5', 5, False)}, {_fmt('L10', 'l10', 10, False)}, {_fmt('L20', 'l20', 20, False)},
+         {_fmt_loc('Away', 'away')}, {_fmt_loc('Home', 'home')}
+  FROM pt)
+"""
+
+
+def fdiv(n: str, d: str) -> str:
+    return (f"CASE WHEN {d} = 0 THEN CASE WHEN {n} IS NULL THEN NULL WHEN {n} > 0 THEN CAST('inf' AS DOUBLE) "
+            f"WHEN {n} < 0 THEN CAST('-inf' AS DOUBLE) ELSE CAST('nan' AS DOUBLE) END ELSE {n} / {d} END")
+
+
+FLONG = ", flong AS (" + "\n  UNION ALL ".join(
+    f"SELECT season, team, opponent, position, '{s}' AS stat, CAST({s} AS DOUBLE) AS value FROM facts"
+    for s in PROP_STATS_SQL) + ")\n"
+
+
+def dvp_sql(defense: str = "team") -> str:
+    return FLONG + f"""
+, scoped AS (SELECT l.* FROM flong l JOIN scope s USING (season, stat))
+, td AS (SELECT season, stat, {defense} AS team, position, avg(value) AS avg_allowed, count(*) AS games_count
+         FROM scoped GROUP BY season, stat, {defense}, position)
+, pa AS (SELECT season, stat, position, avg(value) AS league_avg, count(*) AS total_games FROM scoped GROUP BY season, stat, position)
+, toff AS (SELECT season, stat, team, position, avg(value) AS team_offensive FROM scoped GROUP BY season, stat, team, position)
+, opps AS (SELECT DISTINCT season, stat, team, opponent FROM scoped)
+, ss0 AS (SELECT o.season, o.stat, o.team, t.position, avg(t.team_offensive) AS avg_opp
+          FROM opps o JOIN toff t ON t.season = o.season AND t.stat = o.stat AND t.team = o.opponent
+          GROUP BY o.season, o.stat, o.team, t.position)
+, ss AS (SELECT s.season, s.stat, s.team, s.position, {fdiv('s.avg_opp', 'p.league_avg')} AS schedule_strength_factor
+         FROM ss0 s LEFT JOIN pa p ON p.season = s.season AND p.stat = s.stat AND p.position = s.position)
+, dvp0 AS (SELECT td.*, pa.league_avg, ss.schedule_strength_factor, td.avg_allowed - pa.league_avg AS raw_dvp
+           FROM td LEFT JOIN pa ON pa.season = td.season AND pa.stat = td.stat AND pa.position = td.position
+           LEFT JOIN ss ON ss.season = td.season AND ss.stat = td.stat AND ss.team = td.team AND ss.position = td.position)
+, dvp1 AS (SELECT *, {fdiv('raw_dvp', 'schedule_strength_factor')} AS schedule_adjusted_dvp FROM dvp0)
+, dvp AS (SELECT *, CASE WHEN schedule_adjusted_dvp IS NOT NULL THEN CAST(dense_rank() OVER (
+            PARTITION BY season, stat, position ORDER BY round(schedule_adjusted_dvp, 9) DESC NULLS LAST) AS INT) END AS dvp_rank
+          FROM dvp1)
+"""
+
+
+def dvp_scope(stat: str, season: int = 19961997) -> str:
+    return f", scope AS (SELECT CAST({season} AS BIGINT) AS season, '{stat}' AS stat)\n"
+
+
+def dvp_out(stat: str, defense: str = "team") -> str:
+    return sql(dvp_scope(stat) + dvp_sql(defense) + """
+SELECT season, stat, team, position, dvp_rank, round(schedule_adjusted_dvp, 6) AS schedule_adjusted_dvp,
+       round(avg_allowed, 6) AS avg_allowed, round(league_avg, 6) AS league_avg,
+       round(schedule_strength_factor, 6) AS schedule_strength_factor, games_count FROM dvp""")
+
+
+VIEW_SPECS_SQL = ("(VALUES (0, 'season', 'any', 'any'), (1, 'h2h', 'any', 'any'), (2, 'L5', 'home', 'any'), "
+                  "(3, 'L10', 'any', '3+'), (4, 'last_season', 'away', 'any'), (5, 'L30', 'any', '1')) "
+                  "s(spec_id, game_filter, location_filter, rest_filter)")
+
+SEL = req_sql() + elig_sql() + f"""
+, sel AS (
+  SELECT t.request_id, t.player_id, t.selected_date, t.home, t.away, t.stat, t.threshold,
+         t.h2h_opponent AS opponent_team, s.spec_id, s.game_filter, s.location_filter, s.rest_filter
+  FROM targets t, {VIEW_SPECS_SQL}
+  WHERE t.stat IN ('shots', 'saves'))
+, lj AS (
+  SELECT s.*, f.game_id, f.date, f.season, f.opponent, f.location, f.days_rest,
+         CAST({stat_value_sql('s.stat')} AS DOUBLE) AS value,
+         f.shot_attempts, f.missed_shots, f.toi_minutes, f.shifts,
+         row_number() OVER (PARTITION BY s.request_id, s.player_id, s.spec_id ORDER BY f.date DESC, f.game_id DESC) AS rn,
+         {season_sql('s.selected_date')} AS cur
+  FROM sel s JOIN facts f ON f.player_id = s.player_id)
+, lg AS (
+  SELECT * FROM lj WHERE
+    ((game_filter = 'season' AND season = cur) OR (game_filter = 'last_season' AND season = cur - 10001)
+     OR (game_filter = 'h2h' AND (opponent_team IS NULL OR opponent = opponent_team))
+     OR (game_filter = 'L5' AND rn <= 5) OR (game_filter = 'L10' AND rn <= 10)
+     OR (game_filter = 'L20' AND rn <= 20) OR (game_filter = 'L30' AND rn <= 30))
+    AND (location_filter = 'any' OR location = location_filter)
+    AND (rest_filter = 'any' OR (rest_filter = '3+' AND days_rest >= 3)
+         OR (rest_filter <> '3+' AND days_rest = TRY_CAST(rest_filter AS INT))))
+, lr AS (SELECT *, CAST(row_number() OVER (PARTITION BY request_id, player_id, spec_id ORDER BY date DESC, game_id DESC) AS INT) AS log_rank FROM lg)
+"""
+
+_SELK = "request_id, player_id, spec_id"
+
+ORACLE.update({
+    "scan_parquet": sql("SELECT game_id, date, season, game_type, away_abbrev, away_score, home_abbrev, home_score, "
+                        "start_time, venue FROM schedule WHERE season = 19961997"),
+    "scan_all_seasons": sql("SELECT * FROM facts"),
+    "scan_schedule_projected": sql("SELECT game_id, date, season, game_type, home_abbrev, away_abbrev, home_score, "
+                                   "away_score, start_time, venue FROM schedule"),
+    "roster_dim": sql(", rr AS (SELECT team_abbrev, player_id, full_player_name AS player_name, position_code, "
+                      "headshot_url FROM roster) SELECT * FROM rr"),
+    "flatten_schedule": sql("SELECT game_id, date, season, game_type, away_abbrev, away_score, home_abbrev, home_score, "
+                            "start_time, venue FROM schedule CROSS JOIN (VALUES (1), (2)) t(copy)"),
+    "flatten_scores": sql("SELECT game_id, date, season, game_type, away_abbrev, away_score, home_abbrev, home_score, "
+                          "CAST(NULL AS VARCHAR) AS start_time, CAST(NULL AS VARCHAR) AS venue FROM schedule "
+                          "WHERE game_id % 11 <> 0"),
+    "flatten_roster": sql("SELECT team_abbrev, player_id, full_player_name, position_code, headshot_url FROM roster"),
+    "flatten_boxscore": sql(DBOX + """
+SELECT game_id, player_id, player_name, team, opponent, location, position,
+       CASE WHEN position = 'G' THEN 0 ELSE plus_minus END AS plus_minus, COALESCE(toi, '0:00') AS toi,
+       CASE WHEN position = 'G' THEN 0 ELSE shifts END AS shifts,
+       shots_against, saves, goals_against, save_pct,
+       CASE WHEN position = 'G' THEN COALESCE(decision, '') END AS decision,
+       0 AS game_winning_goal, CASE WHEN position = 'G' AND decision = 'O' THEN 1 ELSE 0 END AS ot_loss
+FROM dbox"""),
+    "flatten_pbp": sql("SELECT game_id, event_id, event_type, COALESCE(situation_code, '') AS situation_code, "
+                       "event_owner_team_id, home_team_id, away_team_id, " + ", ".join(ROLE_COLUMNS)
+                       + ", duration, home_score, away_score, period_type FROM pbp"),
+    "active_teams": sql("""
+, t AS (SELECT season, home_abbrev AS team FROM games UNION SELECT season, away_abbrev FROM games)
+SELECT season, team, season = (SELECT max(season) FROM games) AS is_latest FROM t"""),
+    "filter_predicates": sql("SELECT * FROM schedule WHERE (home_score > away_score AND venue <> 'V05') "
+                             "OR NOT (game_type = 2)"),
+    "semi_filter_games": sql(DBOX + "SELECT * FROM dbox WHERE game_id IN (SELECT game_id FROM pbp)"),
+    "filter_game_types": sql("SELECT * FROM schedule WHERE game_type IN (2, 3)"),
+    "player_log_filtered": sql(SEL + f"SELECT {_SELK}, game_id, date, season, opponent, location, days_rest, value FROM lg"),
+    "recent_games": sql("SELECT game_id, date, season, game_type, away_abbrev, away_score, home_abbrev, home_score, "
+                        "CAST(NULL AS VARCHAR) AS start_time, CAST(NULL AS VARCHAR) AS venue FROM schedule "
+                        "WHERE game_id % 11 <> 0 AND date BETWEEN '1997-08-16' AND '1997-08-22'"),
+    "player_search": sql(DBOX + "SELECT DISTINCT player_id, player_name FROM dbox WHERE contains(lower(player_name), 'p1')"),
+    "join_box_stats": sql(DBOX + PGS_BODY + """
+SELECT b.game_id, b.player_id, b.player_name, b.team, b.opponent, b.location, b.position, b.plus_minus, b.toi,
+       b.shifts, b.shots_against, b.saves, b.goals_against, b.save_pct, b.decision, b.ot_loss,
+       p.goals, p.assists, p.missed_shots, p.blocked_shots, p.offensive_blocked_shots, p.hits, p.giveaways,
+       p.takeaways, p.pim, p.ppg, p.ppa, p.game_winning_goal, p.faceoff_wins, p.faceoff_losses, p.points,
+       p.ppp, p.shots, p.faceoff_pct, p.shot_attempts
+FROM dbox b LEFT JOIN pgs p ON p.game_id = b.game_id AND p.player_id = b.player_id"""),
+    "dvp_matchup": sql(req_sql() + elig_sql()
+                       + ", scope AS (SELECT DISTINCT req_season AS season, stat FROM targets)\n" + dvp_sql() + """
+SELECT t.request_id, t.player_id, t.req_season AS season, t.stat, t.team_abbrev AS team, t.h2h_opponent AS opponent,
+       t.position_code AS position,
+       CASE t.position_code WHEN 'C' THEN 'Center' WHEN 'L' THEN 'Left Wing' WHEN 'R' THEN 'Right Wing'
+            WHEN 'D' THEN 'Defense' WHEN 'G' THEN 'Goalie' ELSE t.position_code END AS position_name,
+       CASE WHEN o.team IS NOT NULL AND x.team IS NOT NULL THEN o.dvp_rank ELSE 16 END AS dvp_rank,
+       CASE WHEN o.team IS NOT NULL AND x.team IS NOT NULL THEN round(x.avg_allowed, 6) END AS opponent_avg
+FROM targets t
+LEFT JOIN dvp o ON o.season = t.req_season AND o.stat = t.stat AND o.team = t.team_abbrev AND o.position = t.position_code
+LEFT JOIN dvp x ON x.season = t.req_season AND x.stat = t.stat AND x.team = t.h2h_opponent AND x.position = t.position_code"""),
+    "history_asof": sql(req_sql() + elig_sql() + """
+SELECT t.request_id, t.player_id, f.game_id, f.date, f.season, f.team, f.opponent, f.location
+FROM targets t JOIN facts f ON f.player_id = t.player_id AND f.date <= t.selected_date"""),
+    "dvp_team_defense": sql(dvp_scope("shots") + FLONG + """
+, scoped AS (SELECT l.* FROM flong l JOIN scope s USING (season, stat))
+SELECT season, stat, team, position, round(avg(value), 6) AS avg_allowed, count(*) AS games_count
+FROM scoped GROUP BY season, stat, team, position"""),
+    "dvp_position_avg": sql(dvp_scope("shots") + FLONG + """
+, scoped AS (SELECT l.* FROM flong l JOIN scope s USING (season, stat))
+SELECT season, stat, position, round(avg(value), 6) AS league_avg, count(*) AS total_games
+FROM scoped GROUP BY season, stat, position"""),
+    "rate_season": sql(req_sql() + elig_sql() + PT + "SELECT request_id, player_id, season_games, season_hits, season_pct FROM pt"),
+    "rate_h2h": sql(req_sql() + elig_sql() + PT + "SELECT request_id, player_id, h2h_games, h2h_hits, h2h_pct FROM pt"),
+    "rate_last_n": sql(req_sql() + elig_sql() + PT + "SELECT request_id, player_id, l5_games, l5_hits, l5_pct, "
+                       "l10_games, l10_hits, l10_pct, l20_games, l20_hits, l20_pct FROM pt"),
+    "rate_location": sql(req_sql() + elig_sql() + PT + "SELECT request_id, player_id, away_season_games, "
+                         "away_season_pct, home_season_games, home_season_pct FROM pt"),
+    "chart_summary": sql(SEL + f"""
+SELECT {_SELK}, round(avg(shot_attempts), 6) AS avg_shot_attempts, round(avg(missed_shots), 6) AS avg_missed_shots,
+       round(avg(toi_minutes), 6) AS avg_toi_minutes, round(avg(shifts), 6) AS avg_shifts
+FROM lr WHERE log_rank <= 25 GROUP BY {_SELK}"""),
+    "schedule_days_rest": sql(REST + "SELECT * FROM rest"),
+    "pbp_gwg_flag": sql(EV_FLAGS + "SELECT game_id, event_id, scoring_player_id, final_home_score, final_away_score, "
+                        "winning_team_id, is_gwg_event FROM ev3 WHERE event_type = 'goal'"),
+    "sort_schedule": sql("SELECT * FROM schedule ORDER BY date, game_id"),
+    "top_n_games": sql("""
+, r AS (SELECT player_id, game_id, date, CAST(row_number() OVER (PARTITION BY player_id ORDER BY date DESC, game_id DESC) AS INT) AS game_rank FROM facts)
+SELECT * FROM r WHERE game_rank <= 10"""),
+    "chart_series": sql(SEL + f"""
+SELECT {_SELK}, game_id, date, log_rank, strftime(date, '%m/%d') || ' vs ' || opponent AS label, value,
+       value >= threshold AS hit, threshold, max(value) OVER (PARTITION BY {_SELK}) + 1 AS y_max
+FROM lr WHERE log_rank <= 25"""),
+    "game_log": sql(SEL + f"SELECT {_SELK}, game_id, date, log_rank, value FROM lr WHERE log_rank <= 50"),
+    "sample_games": sql("""
+, f AS (SELECT *, row_number() OVER (PARTITION BY home_abbrev ORDER BY date, game_id) AS rn FROM schedule WHERE date < '1999-01-01')
+SELECT game_id, date, season, game_type, away_abbrev, away_score, home_abbrev, home_score, start_time, venue
+FROM f WHERE rn = 1 ORDER BY date, game_id LIMIT 32"""),
+    "dedupe_boxscores": sql("""
+, d AS (SELECT *, row_number() OVER (PARTITION BY game_id, player_id ORDER BY src_line, src_part, src_qty, src_price) AS rn FROM box)
+SELECT * EXCLUDE (rn) FROM d WHERE rn = 1"""),
+    "season_schedule": sql("SELECT * FROM schedule WHERE game_type IN (2, 3)"),
+    "union_home_away": sql("""
+SELECT game_id, date, season, home_abbrev AS team, away_abbrev AS opponent, 'home' AS location,
+       home_score AS goals_for, away_score AS goals_against FROM schedule
+UNION ALL
+SELECT game_id, date, season, away_abbrev, home_abbrev, 'away', away_score, home_score FROM schedule"""),
+    "complete_games": sql(DBOX + "SELECT game_id FROM pbp INTERSECT SELECT game_id FROM dbox"),
+    "missing_games": sql(DBOX + """
+SELECT s.game_id, s.date, s.game_id IN (SELECT game_id FROM pbp) AS has_pbp,
+       s.game_id IN (SELECT game_id FROM dbox) AS has_box
+FROM schedule s WHERE s.date < '2001-12-31'
+  AND NOT (s.game_id IN (SELECT game_id FROM pbp) AND s.game_id IN (SELECT game_id FROM dbox))"""),
+    "pbp_unpivot": sql(EV_FLAGS + ", lng2 AS (" + " UNION ALL ".join(
+        f"SELECT game_id, event_id, event_type, '{c}' AS event_role, {c} AS player_id FROM ev WHERE {c} IS NOT NULL"
+        for c in ROLE_COLUMNS) + ") SELECT * FROM lng2"),
+    "stats_long": sql(", sl AS (" + " UNION ALL ".join(
+        f"SELECT game_id, player_id, date, season, team, opponent, location, position, '{s}' AS stat, "
+        f"CAST({s} AS DOUBLE) AS value FROM facts" for s in PROP_STATS_SQL) + ") SELECT * FROM sl"),
+    "pbp_strength": sql(f"SELECT game_id, event_id, situation_code, {_skaters_sql(2)} AS away_skaters, "
+                        f"{_skaters_sql(3)} AS home_skaters FROM pbp"),
+    "season_of_date": sql(f"""
+, s AS (SELECT game_id, date, season, {season_sql('CAST(date AS DATE)')} AS season_id FROM schedule)
+SELECT *, substring(CAST(season_id AS VARCHAR), 3, 2) || '/' || substring(CAST(season_id AS VARCHAR), 7, 2) AS season_label FROM s"""),
+    "toi_minutes": sql(f"SELECT game_id, player_id, src_line, toi, {TOI_SQL} AS toi_minutes FROM box"),
+    "hockey_date": sql("""
+SELECT game_id, start_time,
+       CAST(timezone('America/New_York', CAST(strptime(start_time, '%Y-%m-%dT%H:%M:%SZ') AS TIMESTAMP) AT TIME ZONE 'UTC')
+            - INTERVAL 5 HOUR AS DATE) AS hockey_date
+FROM schedule"""),
+    "pbp_ppg_flag": sql(EV_FLAGS + "SELECT game_id, event_id, event_type, away_skaters, home_skaters, is_ppg_event FROM ev3"),
+    "combine_boxscores": sql(COMB + "SELECT * FROM comb"),
+    "backfill_merge": sql(COMB + "SELECT * FROM comb"),
+    "refresh_upsert": sql(DBOX + REST + PGS_BODY + comb_sql("comb", "dbox", "pgs") + comb_sql("zero", "dbox", None) + """
+, recent AS (SELECT game_id FROM schedule WHERE game_id % 11 <> 0 AND date BETWEEN '1997-08-16' AND '1997-08-22')
+SELECT * FROM zero WHERE date < '1997-08-23' AND game_id NOT IN (SELECT game_id FROM recent)
+UNION ALL SELECT * FROM comb WHERE game_id IN (SELECT game_id FROM recent)"""),
+    "win_flag": sql("""
+SELECT game_id, player_id, location, home_score, away_score,
+       CASE WHEN location = 'home' AND home_score > away_score THEN 1
+            WHEN location = 'away' AND away_score > home_score THEN 1 ELSE 0 END AS win FROM facts"""),
+    "dvp_schedule_strength": sql(dvp_scope("shots") + dvp_sql() + "SELECT season, stat, team, position, "
+                                 "round(schedule_strength_factor, 6) AS schedule_strength_factor FROM ss"),
+    "dvp_metrics": dvp_out("shots"),
+    "dvp_metrics_opponent": dvp_out("shots", "opponent"),
+    "dvp_metrics_nan": dvp_out("goals_against"),
+    "eligible_players": sql(req_sql() + elig_sql() + "SELECT * FROM elig"),
+    "eligible_players_roster": sql(req_sql() + elig_sql("1997-08-23") + "SELECT * FROM elig"),
+    "prop_table": sql(req_sql() + elig_sql() + PT + "SELECT * FROM pt"),
+    "prop_table_formatted": sql(req_sql() + elig_sql() + PTF + "SELECT * FROM ptf"),
+    "matchup_overview": sql(req_sql() + elig_sql() + PTF
+                            + ", scope AS (SELECT DISTINCT req_season AS season, stat FROM targets)\n" + dvp_sql() + """
+SELECT p.*, CASE WHEN o.team IS NOT NULL AND x.team IS NOT NULL THEN o.dvp_rank ELSE 16 END AS "DvP_Rank"
+FROM ptf p JOIN targets t USING (request_id, player_id)
+LEFT JOIN dvp o ON o.season = t.req_season AND o.stat = t.stat AND o.team = t.team_abbrev AND o.position = t.position_code
+LEFT JOIN dvp x ON x.season = t.req_season AND x.stat = t.stat AND x.team = t.h2h_opponent AND x.position = t.position_code"""),
+    "daily_slate": sql("""
+SELECT date, game_id,
+       strftime(timezone('America/New_York', CAST(strptime(start_time, '%Y-%m-%dT%H:%M:%SZ') AS TIMESTAMP) AT TIME ZONE 'UTC'), '%I:%M %p') AS time_est,
+       home_abbrev AS home, away_abbrev AS away, COALESCE(venue, 'Unknown') AS venue,
+       away_abbrev || ' @ ' || home_abbrev AS matchup, start_time
+FROM schedule"""),
+    "matchup_options": sql("SELECT date, away_abbrev || ' @ ' || home_abbrev AS matchup, min(game_id) AS first_game_id "
+                           "FROM schedule GROUP BY 1, 2"),
+    "player_header": sql(SEL + f"""
+, ppl AS (SELECT DISTINCT request_id, player_id, selected_date, home, away FROM sel)
+, rr AS (SELECT player_id, full_player_name AS r_name, team_abbrev AS r_team,
+                row_number() OVER (PARTITION BY player_id ORDER BY team_abbrev, full_player_name) AS rn FROM roster)
+, lt AS (SELECT player_id, player_name AS h_name, team AS h_team,
+                row_number() OVER (PARTITION BY player_id ORDER BY date DESC, game_id DESC) AS rn FROM facts)
+, h AS (SELECT p.*, CASE WHEN r.player_id IS NOT NULL THEN r.r_name ELSE l.h_name END AS player_name,
+               CASE WHEN r.player_id IS NOT NULL THEN r.r_team ELSE l.h_team END AS team,
+               {season_sql('p.selected_date')} AS cur
+        FROM ppl p LEFT JOIN rr r ON r.player_id = p.player_id AND r.rn = 1
+        LEFT JOIN lt l ON l.player_id = p.player_id AND l.rn = 1)
+SELECT request_id, player_id, player_name, team,
+       CASE WHEN team = home THEN away WHEN team = away THEN home END AS opponent_team,
+       CASE WHEN team = home THEN 'vs' WHEN team = away THEN '@' END AS game_location,
+       cur AS season_id,
+       substring(CAST(cur AS VARCHAR), 3, 2) || '/' || substring(CAST(cur AS VARCHAR), 7, 2) AS season_label,
+       substring(CAST(cur - 10001 AS VARCHAR), 3, 2) || '/' || substring(CAST(cur - 10001 AS VARCHAR), 7, 2) AS prev_season_label
+FROM h"""),
+    "kpi_rates": sql(SEL + f"""
+, k AS (SELECT {_SELK},
+          count(*) FILTER (WHERE season = cur) AS sg, count(*) FILTER (WHERE season = cur AND value >= threshold) AS sh,
+          count(*) FILTER (WHERE opponent_team IS NOT NULL AND opponent = opponent_team) AS hg,
+          count(*) FILTER (WHERE opponent_team IS NOT NULL AND opponent = opponent_team AND value >= threshold) AS hh,
+          count(*) FILTER (WHERE log_rank <= 5) AS g5, count(*) FILTER (WHERE log_rank <= 5 AND value >= threshold) AS h5,
+          count(*) FILTER (WHERE log_rank <= 10) AS g10, count(*) FILTER (WHERE log_rank <= 10 AND value >= threshold) AS h10
+        FROM lr GROUP BY {_SELK})
+, k2 AS (SELECT s.request_id, s.player_id, s.spec_id,
+    CASE WHEN COALESCE(sg,0) > 0 THEN CAST(sh AS DOUBLE) / CAST(sg AS DOUBLE) * 100.0 ELSE 0.0 END AS season_pct, CAST(COALESCE(sg,0) AS BIGINT) AS season_games,
+    CASE WHEN COALESCE(hg,0) > 0 THEN CAST(hh AS DOUBLE) / CAST(hg AS DOUBLE) * 100.0 ELSE 0.0 END AS h2h_pct, CAST(COALESCE(hg,0) AS BIGINT) AS h2h_games,
+    CASE WHEN COALESCE(g5,0) > 0 THEN CAST(h5 AS DOUBLE) / CAST(g5 AS DOUBLE) * 100.0 ELSE 0.0 END AS l5_pct, CAST(COALESCE(g5,0) AS BIGINT) AS l5_games,
+    CASE WHEN COALESCE(g10,0) > 0 THEN CAST(h10 AS DOUBLE) / CAST(g10 AS DOUBLE) * 100.0 ELSE 0.0 END AS l10_pct, CAST(COALESCE(g10,0) AS BIGINT) AS l10_games
+  FROM sel s LEFT JOIN k USING ({_SELK}))
+SELECT *, CAST(CAST(round_even(season_pct, 0) AS INT) AS VARCHAR) || '%' AS season_text,
+       CASE WHEN h2h_games > 0 THEN CAST(CAST(round_even(h2h_pct, 0) AS INT) AS VARCHAR) || '%' ELSE 'n/a' END AS h2h_text,
+       CAST(CAST(round_even(l5_pct, 0) AS INT) AS VARCHAR) || '%' AS l5_text,
+       CAST(CAST(round_even(l10_pct, 0) AS INT) AS VARCHAR) || '%' AS l10_text
+FROM k2"""),
+    "integrity_checks": sql(COMB + """
+SELECT 'skaters_over_35_min' AS "check", CAST(count(*) FILTER (WHERE position <> 'G' AND toi_minutes > 35) AS BIGINT) AS n FROM comb
+UNION ALL SELECT 'goalies_over_66_min', CAST(count(*) FILTER (WHERE position = 'G' AND toi_minutes > 66) AS BIGINT) FROM comb
+UNION ALL SELECT 'shifts_without_toi', CAST(count(*) FILTER (WHERE shifts > 0 AND toi_minutes = 0) AS BIGINT) FROM comb"""),
+    "join_coverage": sql(DBOX + PGS_BODY + """
+SELECT CAST(COALESCE(sum(p.goals) FILTER (WHERE b.position <> 'G'), 0) AS BIGINT) AS total_skater_goals,
+       CAST(count(*) FILTER (WHERE p.goals IS NULL) AS BIGINT) AS rows_without_stats, CAST(count(*) AS BIGINT) AS "rows"
+FROM dbox b LEFT JOIN pgs p ON p.game_id = b.game_id AND p.player_id = b.player_id"""),
+    "goal_reconciliation": sql(PGS_BODY + """
+, raw AS (SELECT game_id, scoring_player_id AS player_id, count(*) AS raw_goals FROM ev
+          WHERE event_type = 'goal' AND scoring_player_id IS NOT NULL GROUP BY 1, 2)
+, ag AS (SELECT game_id, player_id, CAST(goals AS BIGINT) AS agg_goals FROM pgs WHERE goals > 0)
+SELECT COALESCE(r.game_id, a.game_id) AS game_id, COALESCE(r.player_id, a.player_id) AS player_id,
+       CAST(COALESCE(r.raw_goals, 0) AS BIGINT) AS raw_goals, CAST(COALESCE(a.agg_goals, 0) AS BIGINT) AS agg_goals,
+       COALESCE(r.raw_goals, 0) = COALESCE(a.agg_goals, 0) AS matches
+FROM raw r FULL JOIN ag a ON a.game_id = r.game_id AND a.player_id = r.player_id"""),
+})
+
+_BUILD_FACTS = COMB + """
+, rn AS (SELECT player_id, min(full_player_name) AS roster_name FROM roster WHERE player_id IS NOT NULL GROUP BY player_id)
+, bf AS (
+  SELECT c.game_id, c.date, c.player_id, COALESCE(r.roster_name, c.player_name) AS player_name, c.team, c.opponent,
+         c.location, c.position, c.days_rest, c.toi, c.toi_minutes, c.shifts, c.goals, c.assists, c.points,
+         c.plus_minus, c.pim, c.shots, c.shot_attempts, c.missed_shots, c.offensive_blocked_shots,
+         c.blocked_shots, c.hits, c.giveaways, c.takeaways, c.faceoff_wins, c.faceoff_losses, c.faceoff_pct,
+         c.ppg, c.ppa, c.ppp, c.game_winning_goal, c.shots_against, c.saves, c.goals_against, c.save_pct,
+         c.decision, c.ot_loss
+  FROM comb c LEFT JOIN rn r ON r.player_id = c.player_id)
+"""
+_NUM = ["toi_minutes", "shifts", "goals", "assists", "points", "plus_minus", "pim", "shots", "shot_attempts",
+        "missed_shots", "offensive_blocked_shots", "blocked_shots", "hits", "giveaways", "takeaways",
+        "faceoff_wins", "faceoff_losses", "ppg", "ppa", "ppp", "shots_against", "saves", "goals_against"]
+_STR = ["player_name", "team", "opponent", "location", "position", "decision"]
+
+
+def _bf_col(c: str) -> str:
+    if c in _NUM:
+        return f"COALESCE(TRY_CAST(b.{c} AS DOUBLE), 0.0) AS {c}"
+    if c in _STR:
+        return f"COALESCE(b.{c}, 'Unknown') AS {c}"
+    if c == "date":
+        return "TRY_CAST(b.date AS DATE) AS date"
+    if c == "days_rest":
+        return "CAST(COALESCE(b.days_rest, 99) AS INT) AS days_rest"
+    return f"b.{c}"
+
+
+_BF_COLS = ["game_id", "date", "player_id", "player_name", "team", "opponent", "location", "position",
+            "days_rest", "toi", "toi_minutes", "shifts", "goals", "assists", "points", "plus_minus", "pim",
+            "shots", "shot_attempts", "missed_shots", "offensive_blocked_shots", "blocked_shots", "hits",
+            "giveaways", "takeaways", "faceoff_wins", "faceoff_losses", "faceoff_pct", "ppg", "ppa", "ppp",
+            "game_winning_goal", "shots_against", "saves", "goals_against", "save_pct", "decision", "ot_loss"]
+
+ORACLE["build_facts"] = sql(_BUILD_FACTS + f"""
+, bf2 AS (SELECT {", ".join(_bf_col(c) for c in _BF_COLS)} FROM bf b)
+SELECT f.*, CAST(COALESCE(s.season, 0) AS BIGINT) AS season, CAST(COALESCE(s.game_type, 2) AS INT) AS game_type,
+       s.home_score, s.away_score, s.home_abbrev, s.away_abbrev,
+       CASE WHEN f.location = 'home' AND s.home_score > s.away_score THEN 1
+            WHEN f.location = 'away' AND s.away_score > s.home_score THEN 1 ELSE 0 END AS win,
+       f.days_rest = 0 AS b2b
+FROM bf2 f LEFT JOIN schedule s ON s.game_id = f.game_id
+WHERE f.date IS NOT NULL""")

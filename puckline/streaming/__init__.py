@@ -1 +1 @@
-
+"""Incremental ingestion of landed documents with Structured Streaming."""

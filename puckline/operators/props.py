@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 
 from puckline.functions.scalar import matchup_label, pct, round_half_up_int, season_of_date
 from puckline.operators.common import pick_first
+from puckline.session import materialize
 from puckline.operators.dvp import dvp_matchup, dvp_metrics
-from puckline.operators.facts import (GOALIE_PROPS, SKATER_PROPS, default_line, roster_dim,
-                                      stats_long)
+from puckline.operators.facts import (GOALIE_PROPS, PROP_STATS, SKATER_PROPS, default_line,
+                                      roster_dim)
 
 LAST_N = (5, 10, 20)
 
@@ -113,14 +114,24 @@ def history_asof(facts: DataFrame, targets: DataFrame) -> DataFrame:
                     "opponent", "location"))
 
 
+def stat_value(stat: Column) -> Column:
+    """The fact column named by ``stat`` (one of the prop stats) as double."""
+    expr = None
+    for s in PROP_STATS:
+        expr = F.when(stat == s, F.col(s)) if expr is None else expr.when(stat == s, F.col(s))
+    return expr.cast("double")
+
+
 def _hit_rows(facts: DataFrame, targets: DataFrame) -> DataFrame:
     """Player history as (player, stat, threshold, date, season, opponent,
-    location, hit) for the (player, stat, threshold) keys requested."""
+    location, hit) for the (player, stat, threshold) keys requested.
+
+    The key set is small (bounded by the requests); joining it on player_id
+    and picking the stat with a CASE avoids unpivoting all prop stats."""
     keys = targets.select("player_id", "stat", "threshold").distinct()
-    long = stats_long(facts.join(keys.select("player_id").distinct(), "player_id", "left_semi"),
-                      keep=("player_id", "date", "season", "opponent", "location"))
-    h = long.join(keys, ["player_id", "stat"])
-    return h.withColumn("hit", F.col("value") >= F.col("threshold"))
+    h = facts.select("player_id", "date", "season", "opponent", "location", *PROP_STATS).join(keys, "player_id")
+    return h.select("player_id", "stat", "threshold", "date", "season", "opponent", "location",
+                    (stat_value(F.col("stat")) >= F.col("threshold")).alias("hit"))
 
 
 KEY = ["player_id", "stat", "threshold"]
@@ -142,12 +153,16 @@ def _asof(series: DataFrame, markers: DataFrame, part: list[str], values: list[s
     return u.filter(F.col("_m") == 1).select("request_id", "player_id", *values)
 
 
-def _season_daily(hits: DataFrame) -> DataFrame:
-    home, away, hit = F.col("location") == "home", F.col("location") == "away", F.col("hit")
-    return hits.groupBy(*KEY, "season", "date").agg(
-        F.count(F.lit(1)).alias("g"), F.count_if(hit).alias("h"),
-        F.count_if(home).alias("gh"), F.count_if(home & hit).alias("hh"),
-        F.count_if(away).alias("ga"), F.count_if(away & hit).alias("ha"))
+def daily_detail(hits: DataFrame) -> DataFrame:
+    """History rows as (player, stat, threshold, season, opponent, location,
+    date, g=1, h=hit) - the shape every rate series is rolled up from."""
+    return hits.select(*KEY, "season", "opponent", "location", "date",
+                       F.lit(1).cast("bigint").alias("g"),
+                       F.col("hit").cast("bigint").alias("h"))
+
+
+def _detail(facts: DataFrame, targets: DataFrame, detail: DataFrame | None) -> DataFrame:
+    return detail if detail is not None else daily_detail(_hit_rows(facts, targets))
 
 
 def _running(df: DataFrame, part: list[str], cols: list[str]) -> DataFrame:
@@ -168,21 +183,25 @@ def _rate_cols(prefix: str, g: str, h: str) -> list[Column]:
             pct(F.col(h), games).alias(f"{prefix}_pct")]
 
 
-def rate_season(facts: DataFrame, targets: DataFrame, hits: DataFrame | None = None) -> DataFrame:
-    """Season and home/away-in-season rates per (request, player)."""
-    hits = hits if hits is not None else _hit_rows(facts, targets)
-    daily = _season_daily(hits)
-    run = _running(daily, KEY + ["season"], ["g", "h", "gh", "hh", "ga", "ha"])
-    got = _asof(run, _markers(targets, {"season": F.col("req_season")}), KEY + ["season"],
-                ["g", "h", "gh", "hh", "ga", "ha"])
-    return got
-
-
-def rate_last_n(facts: DataFrame, targets: DataFrame, hits: DataFrame | None = None) -> DataFrame:
-    """Hit counts over the player's last 5 / 10 / 20 distinct game dates."""
-    hits = hits if hits is not None else _hit_rows(facts, targets)
-    daily = hits.groupBy(*KEY, "date").agg(F.count(F.lit(1)).alias("g"),
-                                           F.count_if("hit").alias("h"))
+def rate_season(facts: DataFrame, targets: DataFrame, detail: DataFrame | None = None) -> DataFrame:
+    """Season and home/away-in-season counts per (request, player)."""
+    d = _detail(facts, targets, detail)
+    home, away = F.col("location") == "home", F.col("location") == "away"
+    daily = d.groupBy(*KEY, "season", "date").agg(
+        F.sum("g").alias("g"), F.sum("h").alias("h"),
+        F.sum(F.when(home, F.col("g")).otherwise(0)).alias("gh"),
+        F.sum(F.when(home, F.col("h")).otherwise(0)).alias("hh"),
+        F.sum(F.when(away, F.col("g")).otherwise(0)).alias("ga"),
+        F.sum(F.when(away, F.col("h")).otherwise(0)).alias("ha"))
+    cols = ["g", "h", "gh", "hh", "ga", "ha"]
+    run = _running(daily, KEY + ["season"], cols)
+    return _asof(run, _markers(targets, {"season": F.col("req_season")}), KEY + ["season"], cols)
+
+
+def rate_last_n(facts: DataFrame, targets: DataFrame, detail: DataFrame | None = None) -> DataFrame:
+    """Counts over the player's last 5 / 10 / 20 distinct game dates."""
+    d = _detail(facts, targets, detail)
+    daily = d.groupBy(*KEY, "date").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
     cols = []
     for n in LAST_N:
         w = Window.partitionBy(*KEY).orderBy("date").rowsBetween(-(n - 1), Window.currentRow)
@@ -192,11 +211,10 @@ def rate_last_n(facts: DataFrame, targets: DataFrame, hits: DataFrame | None = N
                  [f"{p}{n}" for n in LAST_N for p in ("g", "h")])
 
 
-def rate_h2h(facts: DataFrame, targets: DataFrame, hits: DataFrame | None = None) -> DataFrame:
-    """Rates over games against the other team of the request's matchup."""
-    hits = hits if hits is not None else _hit_rows(facts, targets)
-    daily = hits.groupBy(*KEY, "opponent", "date").agg(
-        F.count(F.lit(1)).alias("g"), F.count_if("hit").alias("h"))
+def rate_h2h(facts: DataFrame, targets: DataFrame, detail: DataFrame | None = None) -> DataFrame:
+    """Counts over games against the other team of the request's matchup."""
+    d = _detail(facts, targets, detail)
+    daily = d.groupBy(*KEY, "opponent", "date").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
     run = _running(daily, KEY + ["opponent"], ["g", "h"])
     t = targets.filter(F.col("h2h_opponent").isNotNull())
     return _asof(run, _markers(t, {"opponent": F.col("h2h_opponent")}), KEY + ["opponent"],
@@ -237,11 +255,13 @@ def prop_table(facts: DataFrame, roster: DataFrame, requests: DataFrame,
                hockey_today: _dt.date | str) -> DataFrame:
     """Numeric hit-rate table: one row per (request, eligible player)."""
     players = eligible_players(requests, facts, roster, hockey_today)
-    targets = _targets(requests, players)
-    hits = _hit_rows(facts, targets)
-    season = rate_season(facts, targets, hits)
-    last = rate_last_n(facts, targets, hits)
-    h2h = rate_h2h(facts, targets, hits)
+    # targets is small (bounded by the requests) and read by every branch:
+    # written once to the checkpoint folder, read back.
+    targets = materialize(_targets(requests, players))
+    detail = daily_detail(_hit_rows(facts, targets))
+    season = rate_season(facts, targets, detail)
+    last = rate_last_n(facts, targets, detail)
+    h2h = rate_h2h(facts, targets, detail)
     k = ["request_id", "player_id"]
     t = (targets.select("request_id", "player_id", "player_name", "team_abbrev",
                         "position_code", "stat", "threshold")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from puckline.functions.scalar import (HOCKEY_ZONE, matchup_label, season_label,
                                        season_of_date)
 from puckline.operators.common import pick_first
-from puckline.operators.facts import PROP_STATS
+from puckline.operators.props import stat_value
 
 SEL = ["request_id", "player_id", "spec_id"]
 LAST_GAMES = (5, 10, 20, 30)
@@ -61,13 +61,6 @@ def matchup_options(schedule: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------- player view
 
-def _stat_value(stat: Column) -> Column:
-    expr = None
-    for s in PROP_STATS:
-        expr = (F.when(stat == s, F.col(s)) if expr is None else expr.when(stat == s, F.col(s)))
-    return expr.cast("double")
-
-
 def player_log_filtered(facts: DataFrame, selections: DataFrame) -> DataFrame:
     """Each selection's game log: game filter first (season, last season, H2H
     or the last N games), then the location and rest-day filters."""
@@ -92,7 +85,7 @@ def player_log_filtered(facts: DataFrame, selections: DataFrame) -> DataFrame:
         (rest == "any")
         | ((rest == REST_CAP_LABEL) & (F.col("days_rest") >= 3))
         | ((rest != REST_CAP_LABEL) & (F.col("days_rest") == rest.try_cast("int"))))
-    return log.filter(keep).withColumn("value", _stat_value(F.col("stat")))
+    return log.filter(keep).withColumn("value", stat_value(F.col("stat")))
 
 
 def _first_n(log: DataFrame, n: int) -> DataFrame:

@@ -74,3 +74,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         spark.sparkContext.setCheckpointDir(base)
     base = base.rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Write ``df`` to the shared checkpoint folder and continue from the files
+    (``DataFrame.checkpoint``): used for small intermediates that several
+    branches of one plan read, and to cut long lineages."""
+    spark = df.sparkSession
+    shared_dir(spark, "ckpt")  # makes sure a checkpoint folder is registered
+    return df.checkpoint(eager=True)

@@ -103,7 +103,7 @@ def test_asof_rates_equal_brute_force(spark):
     t = pr.targets_for(facts, roster, req, "2001-12-31")
     h = pr.history_asof(facts, t).join(t.select("request_id", "player_id", "stat", "threshold", "req_season",
                                                "h2h_opponent"), ["request_id", "player_id"])
-    value = vw._stat_value(F.col("stat"))
+    value = pr.stat_value(F.col("stat"))
     h = h.join(facts.select("game_id", "player_id", *PROP_STATS), ["game_id", "player_id"]).withColumn(
         "hit", value >= F.col("threshold"))
     from pyspark.sql import Window

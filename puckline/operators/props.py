@@ -11,10 +11,11 @@ over the player's games dated on or before the request date:
 
 Plan (no requests x history product): the player's history is reduced to one
 row per (player, stat, threshold, [season | opponent], date) by partial hash
-aggregates, running / rolling sums are windows over those rows (each window
-partition is bounded by the calendar), and each request picks the last row
-at or before its date with an as-of lookup implemented as union + window
-(``last(..., ignorenulls)``), i.e. a sort-merge over the same partitions.
+aggregates, and each request is unioned into those rows as a marker: a
+running-sum window (season, H2H) gives the counts as of the marker's date in
+one pass; for last-N the rolling sums over date rows are computed first and a
+second window (``last(..., ignorenulls)``) carries them to the marker.  Every
+window partition is bounded by the calendar (one row per date).
 ``history_asof`` keeps the direct join form for inspection and testing.
 """
 
@@ -153,6 +154,22 @@ def _asof(series: DataFrame, markers: DataFrame, part: list[str], values: list[s
     return u.filter(F.col("_m") == 1).select("request_id", "player_id", *values)
 
 
+def _asof_running(daily: DataFrame, markers: DataFrame, part: list[str], cols: list[str]) -> DataFrame:
+    """Running sums of ``cols`` as of each marker's date, in one window pass:
+    markers are unioned in with zero counts and ordered after the series rows
+    of their date, so the running sum at a marker covers every row dated on or
+    before it."""
+    s = daily.select(*part, "date", *cols, F.lit(0).alias("_m"),
+                     F.lit(None).cast("bigint").alias("request_id"))
+    m = markers.select(*part, "date", *[F.lit(0).cast("bigint").alias(c) for c in cols],
+                       F.lit(1).alias("_m"), "request_id")
+    w = (Window.partitionBy(*part).orderBy("date", "_m")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    u = s.unionByName(m).select("_m", "request_id", "player_id",
+                                *[F.sum(c).over(w).alias(c) for c in cols])
+    return u.filter(F.col("_m") == 1).select("request_id", "player_id", *cols)
+
+
 def daily_detail(hits: DataFrame) -> DataFrame:
     """History rows as (player, stat, threshold, season, opponent, location,
     date, g=1, h=hit) - the shape every rate series is rolled up from."""
@@ -165,12 +182,6 @@ def _detail(facts: DataFrame, targets: DataFrame, detail: DataFrame | None) -> D
     return detail if detail is not None else daily_detail(_hit_rows(facts, targets))
 
 
-def _running(df: DataFrame, part: list[str], cols: list[str]) -> DataFrame:
-    w = (Window.partitionBy(*part).orderBy("date")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return df.select(*part, "date", *[F.sum(c).over(w).alias(c) for c in cols])
-
-
 def _markers(targets: DataFrame, extra: dict[str, Column]) -> DataFrame:
     return targets.select("request_id", *KEY, F.col("selected_date").alias("date"),
                           *[v.alias(k) for k, v in extra.items()])
@@ -194,8 +205,7 @@ def rate_season(facts: DataFrame, targets: DataFrame, detail: DataFrame | None =
         F.sum(F.when(away, F.col("g")).otherwise(0)).alias("ga"),
         F.sum(F.when(away, F.col("h")).otherwise(0)).alias("ha"))
     cols = ["g", "h", "gh", "hh", "ga", "ha"]
-    run = _running(daily, KEY + ["season"], cols)
-    return _asof(run, _markers(targets, {"season": F.col("req_season")}), KEY + ["season"], cols)
+    return _asof_running(daily, _markers(targets, {"season": F.col("req_season")}), KEY + ["season"], cols)
 
 
 def rate_last_n(facts: DataFrame, targets: DataFrame, detail: DataFrame | None = None) -> DataFrame:
@@ -215,10 +225,9 @@ def rate_h2h(facts: DataFrame, targets: DataFrame, detail: DataFrame | None = No
     """Counts over games against the other team of the request's matchup."""
     d = _detail(facts, targets, detail)
     daily = d.groupBy(*KEY, "opponent", "date").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-    run = _running(daily, KEY + ["opponent"], ["g", "h"])
     t = targets.filter(F.col("h2h_opponent").isNotNull())
-    return _asof(run, _markers(t, {"opponent": F.col("h2h_opponent")}), KEY + ["opponent"],
-                 ["g", "h"])
+    return _asof_running(daily, _markers(t, {"opponent": F.col("h2h_opponent")}),
+                         KEY + ["opponent"], ["g", "h"])
 
 
 def season_location_rates(raw: DataFrame) -> DataFrame:

@@ -89,3 +89,11 @@ def round_half_up_int(x) -> Column:
 
 def matchup_label(away, home) -> Column:
     return F.concat(col_(away), F.lit(" @ "), col_(home))
+
+
+def split_matchup(matchup) -> Column:
+    """``'AWY @ HOM'`` -> struct(away, home); null when the text has no `` @ ``."""
+    parts = F.split(col_(matchup), " @ ")
+    ok = F.size(parts) == 2
+    return F.struct(F.when(ok, parts.getItem(0)).alias("away"),
+                    F.when(ok, parts.getItem(1)).alias("home"))

@@ -52,6 +52,16 @@ def requests_for_games(games: DataFrame, props: list[tuple[str, str, float]]) ->
         "home", "away", "player_type", "stat", "threshold")
 
 
+def requests_for_matchups(selections: DataFrame, props: list[tuple[str, str, float]]) -> DataFrame:
+    """Requests from (selection_id, date, matchup ``'AWY @ HOM'``) rows - the
+    dashboard's selection - times the prop list."""
+    from puckline.functions.scalar import split_matchup
+    m = selections.select(F.col("selection_id").alias("game_id"), "date",
+                          split_matchup("matchup").alias("m"))
+    return requests_for_games(m.select("game_id", "date", F.col("m.home").alias("home_abbrev"),
+                                       F.col("m.away").alias("away_abbrev")), props)
+
+
 def default_props() -> list[tuple[str, str, float]]:
     """The props requested per game by default (stat, line)."""
     skater = [("Skater", s, default_line(s, "Skater")) for s in ("shots", "blocked_shots", "points")]

@@ -26,6 +26,18 @@ def goal_reconciliation(pbp: DataFrame, stats: DataFrame) -> DataFrame:
                     (r == a).alias("matches"))
 
 
+def first_goal_events(pbp: DataFrame, n: int = 10) -> DataFrame:
+    """Each scorer's first ``n`` non-shootout goal events (by game, event id)."""
+    from pyspark.sql import Window
+    goals = (without_shootout(pbp).filter((F.col("event_type") == GOAL)
+                                          & F.col("scoring_player_id").isNotNull()))
+    w = Window.partitionBy("scoring_player_id").orderBy("game_id", "event_id")
+    return (goals.withColumn("goal_rank", F.row_number().over(w))
+            .filter(F.col("goal_rank") <= n)
+            .select("scoring_player_id", "goal_rank", "game_id", "event_id", "event_type",
+                    "situation_code"))
+
+
 def player_search(box: DataFrame, text: str) -> DataFrame:
     """Distinct (player_id, player_name) whose name contains ``text``,
     case-insensitively and literally (no regex)."""

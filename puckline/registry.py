@@ -26,7 +26,7 @@ from puckline.operators import quality as qa
 from puckline.operators import schedule as sc
 from puckline.operators import views as vw
 from puckline.operators.common import sides
-from puckline.session import shared_dir
+from puckline.session import apply_conf, shared_dir
 from puckline.sources import landing as ld
 from puckline.sources import proxies as px
 from puckline.sources import storage as st
@@ -54,8 +54,16 @@ BOX_ORDER = ["src_line", "src_part", "src_qty", "src_price"]
 
 
 def register(name: str):
+    """Register ``fn`` under ``name``; the registered callable first applies
+    the package's runtime settings (UTC session zone, ANSI, AQE) to the session
+    it is given, so results do not depend on the caller's defaults."""
     def deco(fn: QueryFn) -> QueryFn:
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            apply_conf(spark)
+            return fn(spark, sf)
+        run.__name__ = run.__qualname__ = f"query_{name}"
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         return fn
     return deco
 

@@ -68,6 +68,12 @@ def flatten_roster(landed: DataFrame) -> DataFrame:
                     F.col("p.headshot").alias("headshot_url"))
 
 
+def roster_snapshot(roster: DataFrame, season: int, is_current: bool) -> DataFrame:
+    """Roster rows tagged for storage: a season's roster, or the current one."""
+    return roster.withColumns({"season": F.lit(season).cast("bigint"),
+                               "is_current": F.lit(is_current)})
+
+
 def _box_rows(side: str, team: Column, opponent: Column, location: str) -> Column:
     stats = F.col(f"d.playerByGameStats.{side}")
     empty = F.array().cast(BOXSCORE_DOC["playerByGameStats"].dataType[side].dataType["forwards"].dataType)

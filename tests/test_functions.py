@@ -50,3 +50,9 @@ def test_float_div_follows_ieee(spark):
 def test_position_display(spark):
     d = spark.createDataFrame([("C",), ("G",), ("X",)], "p string")
     assert [r[0] for r in d.select(fx.position_display("p")).collect()] == ["Center", "Goalie", "X"]
+
+
+def test_split_matchup(spark):
+    d = spark.createDataFrame([("AAA @ BBB",), ("bad",)], "m string")
+    got = [tuple(r[0]) for r in d.select(fx.split_matchup("m")).collect()]
+    assert got == [("AAA", "BBB"), (None, None)]

@@ -93,3 +93,17 @@ def test_points_equal_goals_plus_assists_on_proxy(spark):
     assert s.filter(F.col("points") != F.col("goals") + F.col("assists")).count() == 0
     per_game = s.groupBy("game_id").agg(F.sum("game_winning_goal").alias("g"))
     assert per_game.filter("g > 1").count() == 0
+
+
+def test_first_goal_events_and_requests_from_matchups(spark):
+    import datetime as dt
+
+    from puckline.operators import props as pr
+    from puckline.operators.quality import first_goal_events
+    rows = [ev(i, "goal", scoring_player_id=1, home_score=i, away_score=0) for i in range(1, 13)]
+    rows.append(ev(13, "goal", scoring_player_id=1, period_type="SO"))
+    got = first_goal_events(pbp_rows(spark, rows), 10).collect()
+    assert [r.event_id for r in sorted(got, key=lambda r: r.goal_rank)] == list(range(1, 11))
+    sel = spark.createDataFrame([(5, dt.date(2024, 1, 2), "AAA @ BBB")], "selection_id bigint, date string, matchup string")
+    req = pr.requests_for_matchups(sel, [("Skater", "shots", 1.5)]).collect()
+    assert (req[0].home, req[0].away, req[0].request_id) == ("BBB", "AAA", 500)

@@ -477,7 +477,7 @@ ORACLE.update({
                             "start_time, venue FROM schedule CROSS JOIN (VALUES (1), (2)) t(copy)"),
     "flatten_scores": sql("SELECT game_id, date, season, game_type, away_abbrev, away_score, home_abbrev, home_score, "
                           "CAST(NULL AS VARCHAR) AS start_time, CAST(NULL AS VARCHAR) AS venue FROM schedule "
-                          "WHERE game_id % 11 <> 0"),
+                          "WHERE (CASE WHEN game_id % 11 = 0 THEN 'FUT' ELSE 'FINAL' END) IN ('OFF', 'FINAL')"),
     "flatten_roster": sql("SELECT team_abbrev, player_id, full_player_name, position_code, headshot_url FROM roster"),
     "flatten_boxscore": sql(DBOX + """
 SELECT game_id, player_id, player_name, team, opponent, location, position,
@@ -500,7 +500,7 @@ SELECT season, team, season = (SELECT max(season) FROM games) AS is_latest FROM
     "player_log_filtered": sql(SEL + f"SELECT {_SELK}, game_id, date, season, opponent, location, days_rest, value FROM lg"),
     "recent_games": sql("SELECT game_id, date, season, game_type, away_abbrev, away_score, home_abbrev, home_score, "
                         "CAST(NULL AS VARCHAR) AS start_time, CAST(NULL AS VARCHAR) AS venue FROM schedule "
-                        "WHERE game_id % 11 <> 0 AND date BETWEEN '1997-08-16' AND '1997-08-22'"),
+                        "WHERE (CASE WHEN game_id % 11 = 0 THEN 'FUT' ELSE 'FINAL' END) IN ('OFF', 'FINAL') AND date BETWEEN '1997-08-16' AND '1997-08-22'"),
     "player_search": sql(DBOX + "SELECT DISTINCT player_id, player_name FROM dbox WHERE contains(lower(player_name), 'p1')"),
     "join_box_stats": sql(DBOX + PGS_BODY + """
 SELECT b.game_id, b.player_id, b.player_name, b.team, b.opponent, b.location, b.position, b.plus_minus, b.toi,
@@ -593,7 +593,7 @@ FROM schedule"""),
     "combine_boxscores": sql(COMB + "SELECT * FROM comb"),
     "backfill_merge": sql(COMB + "SELECT * FROM comb"),
     "refresh_upsert": sql(DBOX + REST + PGS_BODY + comb_sql("comb", "dbox", "pgs") + comb_sql("zero", "dbox", None) + """
-, recent AS (SELECT game_id FROM schedule WHERE game_id % 11 <> 0 AND date BETWEEN '1997-08-16' AND '1997-08-22')
+, recent AS (SELECT game_id FROM schedule WHERE (CASE WHEN game_id % 11 = 0 THEN 'FUT' ELSE 'FINAL' END) IN ('OFF', 'FINAL') AND date BETWEEN '1997-08-16' AND '1997-08-22')
 SELECT * FROM zero WHERE date < '1997-08-23' AND game_id NOT IN (SELECT game_id FROM recent)
 UNION ALL SELECT * FROM comb WHERE game_id IN (SELECT game_id FROM recent)"""),
     "win_flag": sql("""

@@ -7,9 +7,11 @@ uses ``from_json`` with the explicit schemas of ``puckline.schemas``; arrays
 are flattened with ``explode`` / ``inline`` in the scan stage, without shuffles.
 Missing fields take the reference's defaults.
 
-``landed_*`` builders derive such documents from the proxy tables (one
-document per game, or per team for rosters), so every flatten operator can be
-checked against the flat proxy.
+``landed_*`` builders derive such documents from the proxy tables, so every
+flatten operator can be checked against the flat proxy.  A document holds at
+most ``DOC_ITEMS`` plays or players (like a paged API response); a game or
+team with more is split over several documents, so no document - and no
+``collect_list`` group - grows with the data.
 """
 
 from __future__ import annotations
@@ -23,6 +25,9 @@ from puckline.schemas import (BOXSCORE_DOC, PBP_DOC, ROLE_COLUMNS, ROSTER_DOC, S
                               SCHEDULE_DOC, SCORE_DOC, SEASONS_DOC, STANDINGS_DOC)
 from puckline.sources import proxies as px
 
+# Largest number of plays / players in one landed document.
+DOC_ITEMS = 256
+
 # ------------------------------------------------------------------ flatten
 
 
@@ -212,7 +217,7 @@ def landed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def landed_rosters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One roster document per team (bounded by the players of one team)."""
+    """Roster documents per team, paged by ``DOC_ITEMS`` players."""
     r = px.roster(spark, sf_dir)
     name = F.col("full_player_name")
     player = F.struct(F.col("player_id").alias("id"),
@@ -225,7 +230,7 @@ def landed_rosters(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.filter(F.collect_list(F.struct(cond.alias("k"), player.alias("p"))),
                         lambda x: x["k"])
 
-    d = r.groupBy("team_abbrev").agg(
+    d = r.groupBy("team_abbrev", F.floor(F.col("player_id") / DOC_ITEMS).alias("_page")).agg(
         group(pos.isin("C", "L", "R")).alias("f"), group(pos == "D").alias("d"),
         group(pos == "G").alias("g"))
     return d.select("team_abbrev", _j(
@@ -235,7 +240,8 @@ def landed_rosters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def landed_boxscores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One boxscore document per game from the deduplicated proxy rows."""
+    """Boxscore documents (one per game, paged by ``DOC_ITEMS`` players) from
+    the deduplicated proxy rows."""
     from puckline.operators.boxscore import dedupe_boxscores
     b = dedupe_boxscores(px.box(spark, sf_dir), ["src_line", "src_part", "src_qty", "src_price"])
     b = b.drop(*px.BOX_SOURCE_COLUMNS)
@@ -249,8 +255,9 @@ def landed_boxscores(spark: SparkSession, sf_dir: str) -> DataFrame:
     away_team = F.when(F.col("location") == "away", F.col("team")).otherwise(F.col("opponent"))
     items = F.collect_list(F.struct(F.col("location").alias("loc"),
                                     F.col("position").alias("pos"), player.alias("p")))
-    d = b.groupBy("game_id").agg(F.min(home_team).alias("home"), F.min(away_team).alias("away"),
-                                 items.alias("items"))
+    page = F.floor(F.col("player_id") / DOC_ITEMS).alias("_page")
+    d = b.groupBy("game_id", page).agg(F.min(home_team).alias("home"), F.min(away_team).alias("away"),
+                                       items.alias("items"))
 
     def side(loc: str) -> Column:
         def grp(cond):
@@ -267,7 +274,7 @@ def landed_boxscores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def landed_pbp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One play-by-play document per game (bounded by the plays of a game)."""
+    """Play-by-play documents per game, paged by ``DOC_ITEMS`` plays."""
     e = px.pbp(spark, sf_dir)
     details = F.struct(F.col("event_owner_team_id").alias("eventOwnerTeamId"),
                        *[F.col(c).alias(_DETAIL[c]) for c in ROLE_COLUMNS],
@@ -277,8 +284,9 @@ def landed_pbp(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("situation_code").alias("situationCode"),
                     F.struct(F.col("period_type").alias("periodType")).alias("periodDescriptor"),
                     details.alias("details"))
-    d = e.groupBy("game_id").agg(F.min("home_team_id").alias("h"), F.min("away_team_id").alias("a"),
-                                 F.collect_list(play).alias("plays"))
+    page = F.floor(F.col("event_id") / DOC_ITEMS).alias("_page")
+    d = e.groupBy("game_id", page).agg(F.min("home_team_id").alias("h"), F.min("away_team_id").alias("a"),
+                                       F.collect_list(play).alias("plays"))
     doc = _j(F.col("game_id").alias("id"), F.struct(F.col("a").alias("id")).alias("awayTeam"),
              F.struct(F.col("h").alias("id")).alias("homeTeam"), "plays")
     return d.select("game_id", doc.alias("doc"))

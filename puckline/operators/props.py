@@ -273,10 +273,14 @@ def targets_for(facts: DataFrame, roster: DataFrame, requests: DataFrame,
 def prop_table(facts: DataFrame, roster: DataFrame, requests: DataFrame,
                hockey_today: _dt.date | str) -> DataFrame:
     """Numeric hit-rate table: one row per (request, eligible player)."""
-    players = eligible_players(requests, facts, roster, hockey_today)
     # targets is small (bounded by the requests) and read by every branch:
     # written once to the checkpoint folder, read back.
-    targets = materialize(_targets(requests, players))
+    targets = materialize(targets_for(facts, roster, requests, hockey_today))
+    return rates_table(facts, targets)
+
+
+def rates_table(facts: DataFrame, targets: DataFrame) -> DataFrame:
+    """The hit-rate table for given (request, player) targets."""
     detail = daily_detail(_hit_rows(facts, targets))
     season = rate_season(facts, targets, detail)
     last = rate_last_n(facts, targets, detail)
@@ -331,16 +335,14 @@ def matchup_overview(facts: DataFrame, roster: DataFrame, requests: DataFrame,
                      hockey_today: _dt.date | str, defense_key: str = "team") -> DataFrame:
     """Formatted table + the DvP of each player's team and position for the
     request's season (from its date) and stat, sorted by L10 % (nulls last)."""
-    table = prop_table(facts, roster, requests, hockey_today)
-    shown = prop_table_formatted(table)
-    r = requests.select("request_id", "home", "away", "stat",
-                        season_of_date("selected_date").alias("season"))
-    players = (table.select("request_id", "player_id", F.col("team_abbrev").alias("team"),
-                            F.col("position_code").alias("position"))
-               .join(r, "request_id")
-               .withColumn("opponent", F.when(F.col("team") == F.col("home"), F.col("away"))
-                           .otherwise(F.col("home"))))
-    scope = r.select("season", "stat").distinct()
+    targets = materialize(targets_for(facts, roster, requests, hockey_today))
+    shown = prop_table_formatted(rates_table(facts, targets))
+    players = targets.select(
+        "request_id", "player_id", F.col("req_season").alias("season"), "stat",
+        F.col("team_abbrev").alias("team"), F.col("position_code").alias("position"),
+        F.when(F.col("team_abbrev") == F.col("home"), F.col("away")).otherwise(F.col("home"))
+         .alias("opponent"))
+    scope = players.select("season", "stat").distinct()
     dvp = dvp_metrics(facts, scope, defense_key)
     m = dvp_matchup(players, dvp).select("request_id", "player_id",
                                         F.col("dvp_formatted").alias("DvP"),
@@ -349,6 +351,7 @@ def matchup_overview(facts: DataFrame, roster: DataFrame, requests: DataFrame,
             .orderBy(F.col("L10 %").desc_nulls_last(), "request_id", "player_id"))
 
 
-__all__ = ["requests_for_games", "default_props", "eligible_players", "history_asof",
+__all__ = ["requests_for_games", "requests_for_matchups", "default_props", "eligible_players",
+           "history_asof", "rates_table",
            "rate_season", "rate_last_n", "rate_h2h", "prop_table", "prop_table_formatted",
            "matchup_overview", "matchup_label", "SKATER_PROPS"]

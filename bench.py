@@ -7,7 +7,9 @@ under the session's checkpoint location; that time is reported as
 ``setup_sec``.  Each headline query then reads the stored tables - as the
 pipeline and the dashboard do - and runs end to end with
 ``write.format("noop")`` (every row computed, nothing collected).  One warm-up
-run, then the median of ``BENCH_RUNS`` (default 3) timed runs per query.
+run, then the median of ``BENCH_RUNS`` (default 5) timed runs per query.
+Shuffle bytes and shuffle map stages per query come from Spark's event log,
+written to a scratch folder.
 
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py [query ...]
 """
@@ -18,6 +20,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -100,30 +103,72 @@ def headline(st: Store) -> dict:
     }
 
 
-def run_once(make) -> float:
+def run_once(spark, make, group: str) -> float:
+    spark.sparkContext.setJobGroup(group, group)
     t0 = time.perf_counter()
     make().write.format("noop").mode("overwrite").save()
     return time.perf_counter() - t0
 
 
+def shuffle_stats(log_dir: str) -> dict:
+    """Per job group: shuffle bytes written and shuffle map stages, read from
+    the Spark event log (stage and task metrics; no UI or REST endpoint)."""
+    stage_group, stage_bytes = {}, {}
+    files = [os.path.join(d, n) for d, _, ns in os.walk(log_dir) for n in ns
+             if not n.startswith(".") and not n.startswith("appstatus")]
+    for path in sorted(files):
+        with open(path) as f:
+            for line in f:
+                e = json.loads(line)
+                kind = e.get("Event")
+                if kind == "SparkListenerJobStart":
+                    g = (e.get("Properties") or {}).get("spark.jobGroup.id")
+                    for sid in e.get("Stage IDs", []):
+                        stage_group[sid] = g
+                elif kind == "SparkListenerTaskEnd":
+                    w = (e.get("Task Metrics") or {}).get("Shuffle Write Metrics") or {}
+                    sid = e.get("Stage ID")
+                    stage_bytes[sid] = stage_bytes.get(sid, 0) + w.get("Shuffle Bytes Written", 0)
+    out: dict = {}
+    for sid, b in stage_bytes.items():
+        g = stage_group.get(sid)
+        if g and b > 0:
+            d = out.setdefault(g, {"bytes": 0, "stages": 0})
+            d["bytes"] += b
+            d["stages"] += 1
+    return out
+
+
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
-    spark = get_spark(master=f"local[{cpus}]", shuffle_partitions=max(cpus, 8))
+    runs = int(os.environ.get("BENCH_RUNS", "5"))
+    partitions = max(cpus, 8)
+    log_dir = tempfile.mkdtemp(prefix="bench-eventlog-", dir=os.environ.get("TMPDIR", "/tmp"))
+    spark = get_spark(master=f"local[{cpus}]", shuffle_partitions=partitions,
+                      extra={"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir,
+                             "spark.eventLog.compress": "false"})
     st = Store(spark, sf)
     queries = headline(st)
     names = sys.argv[1:] or list(queries)
     result = {}
     for name in names:
-        run_once(queries[name])
-        result[name] = round(statistics.median(run_once(queries[name]) for _ in range(runs)), 3)
+        run_once(spark, queries[name], f"warm:{name}")
+        times = [run_once(spark, queries[name], f"run{i}:{name}") for i in range(runs)]
+        result[name] = round(statistics.median(times), 3)
+    spark.stop()
+    stats = shuffle_stats(log_dir)
+    shuffle_bytes, exchanges = {}, {}
+    for name in names:
+        per_run = [stats.get(f"run{i}:{name}", {"bytes": 0, "stages": 0}) for i in range(runs)]
+        shuffle_bytes[name] = int(statistics.median(r["bytes"] for r in per_run))
+        exchanges[name] = int(statistics.median(r["stages"] for r in per_run))
     sf_name = os.path.basename(sf)
     print(json.dumps({"metric": "headline_queries_total_median", "value": round(sum(result.values()), 3),
                       "unit": "sec", "queries": result, "setup_sec": round(st.setup_sec, 3),
                       "sf": float(sf_name[2:]) if sf_name.startswith("sf") else sf_name,
-                      "cpus": cpus, "runs": runs}))
-    spark.stop()
+                      "cpus": cpus, "shuffle_partitions": partitions, "runs": runs,
+                      "shuffle_bytes": shuffle_bytes, "shuffle_map_stages": exchanges}))
 
 
 if __name__ == "__main__":

@@ -34,7 +34,11 @@ def backfill_merge(existing_box: DataFrame, new_box: DataFrame, existing_pbp: Da
 
 def upsert_games(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Replace every stored row of the games present in ``incoming`` and keep
-    all other rows (D18: a game whose fetch failed keeps its old rows)."""
+    all other rows (D18: a game whose fetch failed keeps its old rows).
+
+    No global sort: the stored files are ordered by (game_id, player_id)
+    within each written partition (``storage.write_seasons``), which needs no
+    shuffle of the whole table."""
     games = incoming.select("game_id").distinct()
     kept = existing.join(games, "game_id", "left_anti")
-    return kept.unionByName(incoming.select(*existing.columns)).orderBy("game_id", "player_id")
+    return kept.unionByName(incoming.select(*existing.columns))

@@ -43,10 +43,12 @@ def scan_schedule_projected(schedule: DataFrame) -> DataFrame:
 
 
 def write_seasons(df: DataFrame, path: str) -> None:
-    """Write (or replace) the season partitions present in ``df``."""
+    """Write (or replace) the season partitions present in ``df``; rows are
+    ordered by the table's key inside each task (no global sort)."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    df.write.mode("overwrite").partitionBy("season").parquet(path)
+    key = [c for c in ("game_id", "player_id", "event_id") if c in df.columns]
+    df.sortWithinPartitions("season", *key).write.mode("overwrite").partitionBy("season").parquet(path)
 
 
 def stage(df: DataFrame, path: str) -> DataFrame:

@@ -72,8 +72,11 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             or spark.sparkContext.getCheckpointDir())
     if not base:
         base = tempfile.mkdtemp(prefix="puckline-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
+        try:
+            spark.conf.set("spark.checkpoint.dir", base)
+        except Exception:  # some sessions refuse runtime changes of core settings
+            pass
     base = base.rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 

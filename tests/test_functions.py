@@ -56,3 +56,12 @@ def test_split_matchup(spark):
     d = spark.createDataFrame([("AAA @ BBB",), ("bad",)], "m string")
     got = [tuple(r[0]) for r in d.select(fx.split_matchup("m")).collect()]
     assert got == [("AAA", "BBB"), (None, None)]
+
+
+def test_roster_snapshot(spark):
+    from puckline.sources.landing import roster_snapshot
+    r = spark.createDataFrame([("AAA", 1, "A B", "C", None)],
+                              "team_abbrev string, player_id bigint, full_player_name string, "
+                              "position_code string, headshot_url string")
+    row = roster_snapshot(r, 20232024, True).collect()[0]
+    assert (row.season, row.is_current) == (20232024, True)

@@ -26,12 +26,11 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from puckline.functions.scalar import matchup_label, pct, round_half_up_int, season_of_date
+from puckline.functions.scalar import pct, round_half_up_int, season_of_date
 from puckline.operators.common import pick_first
 from puckline.session import materialize
 from puckline.operators.dvp import dvp_matchup, dvp_metrics
-from puckline.operators.facts import (GOALIE_PROPS, PROP_STATS, SKATER_PROPS, default_line,
-                                      roster_dim)
+from puckline.operators.facts import GOALIE_PROPS, PROP_STATS, default_line, roster_dim
 
 LAST_N = (5, 10, 20)
 
@@ -350,8 +349,3 @@ def matchup_overview(facts: DataFrame, roster: DataFrame, requests: DataFrame,
     return (shown.join(m, ["request_id", "player_id"], "left")
             .orderBy(F.col("L10 %").desc_nulls_last(), "request_id", "player_id"))
 
-
-__all__ = ["requests_for_games", "requests_for_matchups", "default_props", "eligible_players",
-           "history_asof", "rates_table",
-           "rate_season", "rate_last_n", "rate_h2h", "prop_table", "prop_table_formatted",
-           "matchup_overview", "matchup_label", "SKATER_PROPS"]

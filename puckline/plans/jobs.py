@@ -15,11 +15,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from puckline.operators.boxscore import dedupe_boxscores
-from puckline.operators.maintenance import backfill_merge, upsert_games
+from puckline.operators.boxscore import combine_boxscores, dedupe_boxscores
+from puckline.operators.maintenance import newest_first, upsert_games
 from puckline.operators.pbp import player_game_stats
-from puckline.operators.boxscore import combine_boxscores
-from puckline.operators.schedule import recent_games, season_schedule, with_days_rest
+from puckline.operators.schedule import (filter_game_types, recent_games, season_schedule,
+                                         with_days_rest)
 from puckline.session import shared_dir
 from puckline.sources import landing, storage
 
@@ -49,7 +49,6 @@ def backfill(spark: SparkSession, team_schedules: DataFrame, boxscores: DataFram
     new_pbp = landing.flatten_pbp(pbp).join(played, "game_id")
     old_box = _read_or_empty(spark, f"{out}/essential_boxscores", new_box)
     old_pbp = _read_or_empty(spark, f"{out}/raw_pbp_events", new_pbp)
-    from puckline.operators.maintenance import newest_first
     box = storage.stage(newest_first(old_box, new_box, ["game_id", "player_id"]),
                         shared_dir(spark, "box-stage"))
     ev = storage.stage(newest_first(old_pbp, new_pbp, ["game_id", "event_id"]),
@@ -67,7 +66,6 @@ def refresh(spark: SparkSession, scores: DataFrame, boxscores: DataFrame, pbp: D
             game_types: Sequence[str] = ("R", "P")) -> DataFrame:
     """Re-ingest the finished games of the last ``days`` days and upsert them
     into the stored combined table; replaced partitions are archived."""
-    from puckline.operators.schedule import filter_game_types
     recent = filter_game_types(recent_games(landing.flatten_scores(scores), as_of, days), game_types)
     ids = recent.select("game_id", "season")
     box = dedupe_boxscores(landing.flatten_boxscore(boxscores).join(ids.select("game_id"), "game_id"))
@@ -83,4 +81,4 @@ def refresh(spark: SparkSession, scores: DataFrame, boxscores: DataFrame, pbp: D
     return storage.scan_all_seasons(spark, f"{out}/comprehensive_boxscores")
 
 
-__all__ = ["backfill", "refresh", "backfill_merge"]
+__all__ = ["backfill", "refresh"]

@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from puckline.functions.scalar import FINISHED_STATES, season_of_date
-from puckline.operators.common import pick_first
 from puckline.schemas import (BOXSCORE_DOC, PBP_DOC, ROLE_COLUMNS, ROSTER_DOC, SCHEDULE,
                               SCHEDULE_DOC, SCORE_DOC, SEASONS_DOC, STANDINGS_DOC)
 from puckline.sources import proxies as px
@@ -312,4 +311,4 @@ def schedule_columns() -> list[str]:
 
 
 __all__ = ["flatten_schedule", "flatten_scores", "flatten_roster", "flatten_boxscore",
-           "flatten_pbp", "flatten_seasons", "active_teams", "pick_first"]
+           "flatten_pbp", "flatten_seasons", "active_teams", "roster_snapshot"]

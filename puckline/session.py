@@ -87,4 +87,8 @@ def materialize(df):
     branches of one plan read, and to cut long lineages."""
     spark = df.sparkSession
     shared_dir(spark, "ckpt")  # makes sure a checkpoint folder is registered
-    return df.checkpoint(eager=True)
+    cp = df.checkpoint(eager=True)
+    # The checkpoint keeps the source's attribute ids; re-alias the columns so
+    # a later join with another branch of the same source cannot see
+    # conflicting references.
+    return cp.toDF(*cp.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from puckline.llm import mixing, sharding, warc
+from puckline.llm import decontaminate, langid, mixing, sharding, warc
 from puckline.llm.common import table
 
 
@@ -19,14 +19,24 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op5_warc": op5_warc,
+    "op7_decontaminate": op7_decontaminate,
     "op8_sharding": op8_sharding,
+    "op9_langid": op9_langid,
 }
 
 #: The other operators have no equivalent in SQL; tests/llm holds them against brute force.

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from puckline.llm import decontaminate, langid, mixing, pii, sharding, warc
+from puckline.llm import decontaminate, langid, mixing, neardup, pii, sharding, topk, warc
 from puckline.llm.common import table
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -35,17 +39,25 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk": op1_topk,
     "op2_pii": op2_pii,
     "op3_mixing": op3_mixing,
     "op5_warc": op5_warc,
     "op7_decontaminate": op7_decontaminate,
     "op8_sharding": op8_sharding,
     "op9_langid": op9_langid,
+    "op10_neardup": op10_neardup,
 }
 
 #: The other operators have no equivalent in SQL; tests/llm holds them against brute force.
 ORACLE: dict[str, str] = {
+    "op1_topk": topk.ORACLE_SQL,
     "op3_mixing": mixing.ORACLE_SQL,
     "op5_warc": warc.ORACLE_SQL,
 }

@@ -86,7 +86,8 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     # One row per digest: the responder's, found among narrow rows, fetches its payload by id and digest.
     holders = narrow.groupBy("digest").agg(F.max("page_key").alias("page_key"))
     wide = keyed.select("digest", "page_key", "payload").join(holders, ["digest", "page_key"])
-    wide.dropDuplicates(["digest", "page_key"]).select("digest", "payload").write.parquet(f"{path}/payloads")
+    wide.dropDuplicates(["digest", "page_key"]).select("digest", "payload").write.option(
+        "compression", "zstd").parquet(f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

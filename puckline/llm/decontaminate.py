@@ -200,17 +200,18 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_SCHEMA = "rid long, doc_id long, n_words long, spans array<struct<first:int,last:int>>, items array<string>"
+_SCHEMA = "n_words long, spans array<struct<first:int,last:int>>, items array<string>"
 _SPANS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
 
 def _searcher(phrases: Phrases):
-    """Arrow batches of (rid, doc_id, text) -> (rid, doc_id, n_words, spans, items)."""
+    """Arrow batches of (..., words_of) -> (..., n_words, spans, items)."""
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = phrases.numbers.get
         for batch in batches:
             sizes, hits, shard, held = [], [], [], 0
-            for text in batch.column("text"):
+            keep = [c for c in batch.schema.names if c != "words_of"]
+            for text in batch.column("words_of"):
                 word = words(text.as_py())
                 shard.append(np.fromiter((get(w, 0) for w in word), dtype=np.int64, count=len(word)))
                 sizes.append(len(word))
@@ -221,15 +222,15 @@ def _searcher(phrases: Phrases):
             hits += _hits(shard, phrases)
             spans = [[{"first": a, "last": b} for a, b in h[0]] for h in hits]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rid"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, _SPANS),
+                [*(batch.column(c) for c in keep), pa.array(sizes, pa.int64()), pa.array(spans, _SPANS),
                  pa.array([sorted(h[1]) for h in hits], pa.list_(pa.string()))],
-                names=["rid", "doc_id", "n_words", "spans", "items"])
+                names=[*keep, "n_words", "spans", "items"])
 
     return search
 
 
 def find_benchmark_words(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
-                         slice_words: int = SLICE_WORDS) -> DataFrame:
+                         slice_words: int = SLICE_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Search the windows of ``benchmark`` (item_id, text) in ``docs`` (doc_id, text).
 
     Returns one row per document row: doc_id, n_words, spans (merged half-open
@@ -239,6 +240,7 @@ def find_benchmark_words(docs: DataFrame, benchmark: DataFrame, window: int = WI
     empty string, a null doc_id stays null.  Empty tables give empty spans or
     an empty result.  The benchmark is searched in slices of about
     ``slice_words`` words; only one slice at a time is sent to the tasks.
+    ``carry`` names further columns to keep (under ``carried_<name>``).
     """
     spark = docs.sparkSession
     st = Stages(spark, "decontaminate")
@@ -248,23 +250,27 @@ def find_benchmark_words(docs: DataFrame, benchmark: DataFrame, window: int = WI
     # A word has a byte and a separator at least.
     most_words = (bench.agg(F.sum(F.ceil((F.col("bytes") + 1) / 2))).first()[0] or 0)
     slices = max(1, -(-int(most_words) // slice_words))
+    text = F.col("text").cast("binary").alias("words_of")
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"),
-                       F.col("text").cast("binary").alias("text"))
+                       text, *[F.col(c).alias(f"carried_{c}") for c in carry])
+    out = ["doc_id", "n_words", "spans", "items", *[f"carried_{c}" for c in carry]]
     if slices > 1:
         base = st.put(base)
     parts = []
     for k in range(slices):
         mine = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == k)
         phrases = Phrases([(r.item, bytes(r.text)) for r in mine.collect() if r.text is not None], window)
-        searched = base.mapInArrow(_searcher(phrases), _SCHEMA)
-        parts.append(searched if slices == 1 else st.put(searched))
-    if slices == 1:
-        return parts[0].select("doc_id", "n_words", "spans", "items")
+        rows = base if slices == 1 else base.select("rid", "words_of")
+        kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "words_of")
+        searched = rows.mapInArrow(_searcher(phrases), f"{kept}, {_SCHEMA}")
+        if slices == 1:
+            return searched.select(*out)
+        parts.append(st.put(searched))
     all_parts = parts[0]
     for part in parts[1:]:
         all_parts = all_parts.unionByName(part)
     joined = all_parts.groupBy("rid").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
+        F.first("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     # Merge the slices' spans: at most one entry per slice and place, folded in order.
@@ -276,7 +282,7 @@ def find_benchmark_words(docs: DataFrame, benchmark: DataFrame, window: int = WI
                      F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"),
                                       F.greatest(F.element_at(acc, -1)["last"], x["last"]).alias("last")))))
         .otherwise(F.concat(acc, F.array(x))))
-    return joined.select("doc_id", "n_words", merged.alias("spans"), "items")
+    return base.join(joined.withColumn("spans", merged), "rid").select(*out)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

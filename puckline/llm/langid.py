@@ -167,10 +167,10 @@ class Profiles:
         return self.langs[best], 1.0 - float(total[best]) / (self.most * len(top))
 
 
-def _predictor(profiles: Profiles):
+def _predictor(profiles: Profiles, column: str):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [profiles.nearest(text.as_py()) for text in batch.column("text")]
+            found = [profiles.nearest(text.as_py()) for text in batch.column(column)]
             rest = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in rest), pa.array([x[0] for x in found], pa.string()),
@@ -196,15 +196,18 @@ def identify(docs: DataFrame, most: int = PROFILE, keep: tuple[str, ...] = ()) -
     langs = profiles.select("lang").distinct().count()
     slices = max(1, -(-langs // SLICE))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder == HELD_OUT, F.lit(False))
-                       .alias("held_out"), F.col("text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
+                       .alias("held_out"), *([] if "text" in keep else ["text"]),
+                       *[F.col(c).alias(f"_keep_{c}") for c in keep])
+    column = "_keep_text" if "text" in keep else "text"
     if slices == 1:
         table = Profiles([tuple(r) for r in profiles.collect()], most)
-        out = _predict(rows, table)
+        out = _predict(rows, table, column)
     else:  # nearest within each slice of languages, then the nearest of those
         best, rows = [], st.put(rows.withColumn("_rid", F.monotonically_increasing_id()))
         for k in range(slices):
             mine = profiles.where(F.pmod(F.xxhash64("lang"), F.lit(slices)) == k)
-            best.append(st.put(_predict(rows.select("_rid", "text"), Profiles([tuple(r) for r in mine.collect()], most))))
+            one = Profiles([tuple(r) for r in mine.collect()], most)
+            best.append(st.put(_predict(rows.select("_rid", F.col(column).alias("text")), one, "text")))
         all_best = best[0]
         for part in best[1:]:
             all_best = all_best.unionByName(part)
@@ -217,7 +220,7 @@ def identify(docs: DataFrame, most: int = PROFILE, keep: tuple[str, ...] = ()) -
     return out.select("doc_id", "held_out", "lang_pred", "score", *[F.col(f"_keep_{c}").alias(c) for c in keep])
 
 
-def _predict(rows: DataFrame, profiles: Profiles) -> DataFrame:
+def _predict(rows: DataFrame, profiles: Profiles, column: str) -> DataFrame:
     kept = [f for f in rows.schema.fields if f.name != "text"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
-    return rows.mapInArrow(_predictor(profiles), f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(_predictor(profiles, column), f"{schema}, lang_pred string, score double")

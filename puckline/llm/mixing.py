@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from puckline.llm.common import ROWS_PER_CELL, Stages, null_safe_join
+from puckline.llm.common import ROWS_PER_CELL, Stages, null_safe_join, text_hashes
 
 WORD = r"[^\x20\x09-\x0D]+"
 SALTS = 64
@@ -65,8 +65,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     """How many words a mix takes of every row of ``docs`` (doc_id, text, source).
 
     Returns doc_id, source, size (words; null and empty texts have none),
-    source_size, target and taken: ``size`` times the number of epochs the
-    document is in.  The last document of a source is taken if at least half
+    source_size, target, times (epochs that the document is in), taken (``size``
+    times ``times``) and the text's hashes h1 and h2.  The last document of a source is taken if at least half
     of it fits, so a source misses its target by half a document at most.
     Keys depend on seed, id and size only, so reruns agree; equal rows are
     interchangeable, and each counts.  A null source is a source of its own;
@@ -76,11 +76,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     measured = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.coalesce(F.char_length("text"), F.lit(0)).alias("chars"))
+        F.coalesce(F.char_length("text"), F.lit(0)).alias("chars"), *text_hashes("text"))
     seeded = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size"))
     u = (F.conv(F.substring(F.sha2(seeded, 256), 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
     rows = st.put(measured.select(
-        "doc_id", "source", "size", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).alias("salt"),
+        "doc_id", "source", "size", "h1", "h2", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).alias("salt"),
         (-F.log(u) / quality_weight(F.col("chars"), F.col("size"))).alias("key")))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     budget = st.put(source_targets(sizes, weights, share, most).select(
@@ -104,9 +104,23 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     last = placed.where(ends_here).withColumn(
         "more", (F.col("start") + F.sum("size").over(run) - F.col("size") / 2.0 <= F.col("rest")).cast("long"))
     others = placed.where(~ends_here).withColumn("more", (F.col("start") < F.col("rest")).cast("long"))
+    times = (F.col("epochs") + F.col("more")).cast("long")
     return last.unionByName(others).select(
-        "doc_id", "source", "size", "source_size", "target",
-        (F.col("size") * (F.col("epochs") + F.col("more"))).cast("long").alias("taken"))
+        "doc_id", "source", "size", "source_size", "target", times.alias("times"),
+        (F.col("size") * times).cast("long").alias("taken"), "h1", "h2")
+
+
+def materialise(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The mix itself: every document of ``docs`` as often as ``mixed`` takes it.
+
+    Rows that share doc_id, source and text are taken as often as all of them
+    together.
+    """
+    key = ["doc_id", "source", "h1", "h2"]
+    times = mixed.groupBy(*key).agg(F.sum("times").alias("times")).where("times > 0")
+    hashed = docs.select("*", *text_hashes("text"))
+    one = null_safe_join(hashed, times, key).dropDuplicates(key)
+    return one.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*docs.columns)
 
 
 ORACLE_SQL = r"""

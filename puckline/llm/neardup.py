@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from puckline.llm.common import Stages, null_safe_join
+from puckline.llm.common import Stages, null_safe_join, text_hashes
 
 SHINGLE = 5
 PERCENT = 75
@@ -299,7 +299,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     st = Stages(docs.sparkSession, "neardup")
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"),
-                       F.xxhash64(text).alias("h1"), F.hash(text).alias("h2"))
+                       *text_hashes("text"))
     signed = st.put(base.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(
         _signatures,
         "doc_id long, h1 long, h2 int, rid long, n long, digest binary, bands array<long>, sketch array<long>"))
@@ -369,9 +369,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows that share doc_id and text are one document.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
     found = near_duplicates(docs)
     kept = found.where("kept").select("doc_id", "h1", "h2")
-    hashed = docs.withColumns({"h1": F.xxhash64(text), "h2": F.hash(text)})
+    hashed = docs.select("*", *text_hashes("text"))
     return (null_safe_join(hashed, kept.distinct(), ["doc_id", "h1", "h2"], "left_semi")
             .dropDuplicates(["doc_id", "h1", "h2"]).select(*docs.columns))

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from puckline.llm.common import ship
+
 KINDS = ("email", "ip", "card", "phone")
 
 # Each pattern matches exactly what the plain one does (see the tests); runs
@@ -284,6 +286,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     n_base (the number of base spans).  A null text is an empty one; repeated
     rows and null ids give a row each; an empty table gives an empty result.
     """
+    ship(docs.sparkSession)
     counts = ", ".join(f"n_{k} long" for k in KINDS)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _scan, f"doc_id long, {counts}, base_sha256 string, spans string, n_base long")

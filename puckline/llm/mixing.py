@@ -118,9 +118,9 @@ def materialise(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """
     key = ["doc_id", "source", "h1", "h2"]
     times = mixed.groupBy(*key).agg(F.sum("times").alias("times")).where("times > 0")
-    hashed = docs.select("*", *text_hashes("text"))
+    hashed = docs.select("doc_id", "source", *text_hashes("text"), F.struct("*").alias("row"))
     one = null_safe_join(hashed, times, key).dropDuplicates(key)
-    return one.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*docs.columns)
+    return one.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
 
 
 ORACLE_SQL = r"""

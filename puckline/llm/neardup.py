@@ -371,6 +371,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     found = near_duplicates(docs)
     kept = found.where("kept").select("doc_id", "h1", "h2")
-    hashed = docs.select("*", *text_hashes("text"))
+    hashed = docs.select(F.col("doc_id"), *text_hashes("text"), F.struct("*").alias("row"))
     return (null_safe_join(hashed, kept.distinct(), ["doc_id", "h1", "h2"], "left_semi")
-            .dropDuplicates(["doc_id", "h1", "h2"]).select(*docs.columns))
+            .dropDuplicates(["doc_id", "h1", "h2"]).select("row.*"))

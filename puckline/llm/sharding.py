@@ -4,9 +4,10 @@ Documents with equal texts are linked.  Every linked document starts in a
 random shard; then, round after round, the members of a group vote with their
 shards, each member moves towards the shard that holds most of its group, and
 a shard accepts movers, largest gain first, only up to its row quota plus a
-slack.  At the end each shard keeps its linked rows up to the exact quota and
-the unlinked rows (and any overflow) fill what is left, so that the shards'
-row counts are at most one apart whatever the groups look like.
+slack (by default, as much again).  At the end each shard keeps its linked
+rows up to the exact quota; rows above it are dealt out anew, whole groups
+together, and the unlinked rows fill what is left, so that the shards' row
+counts are at most one apart whatever the groups look like.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ def _propagate(state: DataFrame, n: int, shards: int, slack: float, last: int) -
             .select("nid", "gid", F.coalesce("to", "shard").alias("shard"), F.col("to").isNotNull().alias("moved")))
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 5, slack: float = 0.1) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 5, slack: float = 1.0) -> DataFrame:
     """Assign every row of ``docs`` (doc_id, text) to a shard.
 
     Returns doc_id, size (UTF-8 bytes of the text plus 16; a null text has

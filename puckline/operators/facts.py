@@ -30,10 +30,11 @@ def default_line(stat: str, player_type: str) -> float:
 
 
 def roster_dim(roster: DataFrame) -> DataFrame:
-    """Current roster with the dashboard's column names."""
-    return roster.select("team_abbrev", "player_id",
-                         F.col("full_player_name").alias("player_name"),
-                         "position_code", "headshot_url")
+    """Current roster with the dashboard's column names, one row per (player, team)."""
+    named = roster.select("team_abbrev", "player_id",
+                          F.col("full_player_name").alias("player_name"),
+                          "position_code", "headshot_url")
+    return pick_first(named, ["player_id", "team_abbrev"], ["player_name", "position_code", "headshot_url"])
 
 
 def roster_names(roster: DataFrame) -> DataFrame:

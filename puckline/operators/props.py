@@ -1,22 +1,22 @@
 """Threshold hit rates for many prop requests in one distributed plan.
 
-A request is (request_id, selected_date, home, away, player_type, stat,
-threshold).  For every eligible player of every request the rates are taken
-over the player's games dated on or before the request date:
+A request is (matchup_id, prop_id, selected_date, home, away, player_type,
+stat, threshold); matchup_id and prop_id together are its key.  For every
+eligible player of every request the rates are taken over the player's games
+dated on or before the request date:
 
 * season   - games of the request date's season;
 * h2h      - games against the other team of the matchup;
 * last N   - games on the player's N most recent distinct dates (ties share);
 * location - season games split by home / away.
 
-Plan (no requests x history product): the player's history is reduced to one
-row per (player, stat, threshold, [season | opponent], date) by partial hash
-aggregates, and each request is unioned into those rows as a marker: a
-running-sum window (season, H2H) gives the counts as of the marker's date in
-one pass; for last-N the rolling sums over date rows are computed first and a
-second window (``last(..., ignorenulls)``) carries them to the marker.  Every
-window partition is bounded by the calendar (one row per date).
-``history_asof`` keeps the direct join form for inspection and testing.
+Plan (no requests x history product): the history is read once and reduced to
+one row per (player, stat, threshold, date, season, opponent, location).  The
+distinct (player, stat, threshold, date, season, opponent) look-ups of all
+requests are unioned in as markers without games, and running sums over the
+one shared partitioning give all rates at every marker.  A window partition
+holds one row per date and opponent of one player's stat: it is bounded by the
+calendar and the number of teams, not by the number of requests.
 """
 
 from __future__ import annotations
@@ -26,13 +26,16 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from puckline.functions.scalar import pct, round_half_up_int, season_of_date
+from puckline.functions.scalar import pct, round_half_up_int, season_of_date, split_matchup
 from puckline.operators.common import pick_first
-from puckline.session import materialize
 from puckline.operators.dvp import dvp_matchup, dvp_metrics
-from puckline.operators.facts import GOALIE_PROPS, PROP_STATS, default_line, roster_dim
+from puckline.operators.facts import GOALIE_PROPS, PROP_STATS, SKATER_PROPS, default_line, roster_dim
+from puckline.session import materialize
 
 LAST_N = (5, 10, 20)
+REQUEST = ["matchup_id", "prop_id"]
+#: A target: one player (of one team) of one request.
+TARGET = [*REQUEST, "player_id", "team_abbrev"]
 
 
 # ----------------------------------------------------------------- requests
@@ -40,21 +43,18 @@ LAST_N = (5, 10, 20)
 def requests_for_games(games: DataFrame, props: list[tuple[str, str, float]]) -> DataFrame:
     """Every game row (game_id, date, home_abbrev, away_abbrev) x the prop list,
     as request rows.  The prop list is a fixed literal array, inlined per row."""
-    items = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(t).alias("player_type"),
+    items = F.array(*[F.struct(F.lit(i).alias("prop_id"), F.lit(t).alias("player_type"),
                                F.lit(s).alias("stat"), F.lit(float(v)).alias("threshold"))
                       for i, (t, s, v) in enumerate(props)])
     return games.select(
-        "game_id", F.to_date("date").alias("selected_date"),
-        F.col("home_abbrev").alias("home"), F.col("away_abbrev").alias("away"),
-        F.inline(items)).select(
-        (F.col("game_id") * 100 + F.col("_i")).alias("request_id"), "selected_date",
-        "home", "away", "player_type", "stat", "threshold")
+        F.col("game_id").alias("matchup_id"), F.to_date("date").alias("selected_date"),
+        F.col("home_abbrev").alias("home"), F.col("away_abbrev").alias("away"), F.inline(items)).select(
+        *REQUEST, "selected_date", "home", "away", "player_type", "stat", "threshold")
 
 
 def requests_for_matchups(selections: DataFrame, props: list[tuple[str, str, float]]) -> DataFrame:
     """Requests from (selection_id, date, matchup ``'AWY @ HOM'``) rows - the
     dashboard's selection - times the prop list."""
-    from puckline.functions.scalar import split_matchup
     m = selections.select(F.col("selection_id").alias("game_id"), "date",
                           split_matchup("matchup").alias("m"))
     return requests_for_games(m.select("game_id", "date", F.col("m.home").alias("home_abbrev"),
@@ -62,240 +62,183 @@ def requests_for_matchups(selections: DataFrame, props: list[tuple[str, str, flo
 
 
 def default_props() -> list[tuple[str, str, float]]:
-    """The props requested per game by default (stat, line)."""
-    skater = [("Skater", s, default_line(s, "Skater")) for s in ("shots", "blocked_shots", "points")]
-    goalie = [("Goalie", s, default_line(s, "Goalie")) for s in GOALIE_PROPS]
-    return skater + goalie
+    """The whole catalogue: every skater and goalie stat with its default line."""
+    return ([("Skater", s, default_line(s, "Skater")) for s in SKATER_PROPS]
+            + [("Goalie", s, default_line(s, "Goalie")) for s in GOALIE_PROPS])
 
 
 # ----------------------------------------------------------------- players
 
-def _request_teams(requests: DataFrame) -> DataFrame:
-    return requests.select("request_id", "selected_date", "player_type", "home", "away",
-                           F.explode(F.array("home", "away")).alias("team"))
-
-
-def eligible_players(requests: DataFrame, facts: DataFrame, roster: DataFrame,
-                     hockey_today: _dt.date | str) -> DataFrame:
-    """Players listed for each request.
+def matchup_players(requests: DataFrame, facts: DataFrame, roster: DataFrame,
+                    hockey_today: _dt.date | str) -> DataFrame:
+    """Players of every distinct (matchup_id, date, home, away) requested.
 
-    Dates on or after ``hockey_today``: the current roster of both teams.
-    Earlier dates: players who played that day for either team (one row per
-    player; if a player has several games that day the lowest game id wins).
-    Then goalies or skaters by the request's player type.
+    Dates on or after ``hockey_today``: the current roster of both teams, one
+    row per (player, team).  Earlier dates: players who played that day for
+    either team (one row per player; if a player has several games that day
+    the lowest game id wins).
     """
     today = F.lit(str(hockey_today)).cast("date")
-    rt = _request_teams(requests)
-    future = (rt.filter(F.col("selected_date") >= today)
-              .join(roster_dim(roster).withColumnRenamed("team_abbrev", "team"), "team")
-              .select("request_id", "player_type", "player_id", "player_name",
-                      F.col("team").alias("team_abbrev"), "position_code"))
+    matchup = ["matchup_id", "selected_date", "home", "away"]
+    teams = requests.select(*matchup).distinct().select(
+        *matchup, F.explode(F.array_distinct(F.array("home", "away"))).alias("team"))
+    listed = roster_dim(roster).select("player_id", "player_name", F.col("team_abbrev").alias("team"), "position_code")
+    future = teams.filter(F.col("selected_date") >= today).join(listed, "team")
     played = facts.select("game_id", F.col("date").alias("selected_date"), "team", "player_id",
-                          "player_name", "position")
-    past = (rt.filter(F.col("selected_date") < today)
-            .join(played, ["selected_date", "team"])
-            .select("request_id", "player_type", "player_id", "game_id", "player_name",
-                    F.col("team").alias("team_abbrev"), F.col("position").alias("position_code")))
-    past = pick_first(past, ["request_id", "player_id"], ["game_id", "team_abbrev"]).drop("game_id")
-    both = future.unionByName(past)
-    goalie = F.col("position_code") == "G"
-    both = both.filter(F.when(F.col("player_type") == "Goalie", goalie).otherwise(~goalie))
-    return both.select("request_id", "player_id", "player_name", "team_abbrev", "position_code")
+                          "player_name", F.col("position").alias("position_code"))
+    past = teams.filter(F.col("selected_date") < today).join(played, ["selected_date", "team"])
+    past = pick_first(past, [*matchup, "player_id"], ["game_id", "team"])
+    out = [*matchup, "player_id", "player_name", F.col("team").alias("team_abbrev"), "position_code"]
+    return future.select(*out).unionByName(past.select(*out))
 
 
-def _targets(requests: DataFrame, players: DataFrame) -> DataFrame:
-    """(request, player) rows with everything the rate lookups need."""
-    r = requests.select("request_id", "selected_date", "home", "away", "stat", "threshold")
-    t = players.join(r, "request_id")
+def targets_for(facts: DataFrame, roster: DataFrame, requests: DataFrame,
+                hockey_today: _dt.date | str) -> DataFrame:
+    """(request, player) rows with everything the rate lookups need: goalies or
+    skaters of the matchup by the request's player type."""
+    players = matchup_players(requests, facts, roster, hockey_today)
+    goalie = F.col("position_code") == "G"
+    t = players.join(requests, ["matchup_id", "selected_date", "home", "away"]).filter(
+        F.when(F.col("player_type") == "Goalie", goalie).otherwise(~goalie))
     other = (F.when(F.col("team_abbrev") == F.col("home"), F.col("away"))
              .when(F.col("team_abbrev") == F.col("away"), F.col("home")))
-    return t.withColumns({"req_season": season_of_date("selected_date"), "h2h_opponent": other})
+    return t.select(*TARGET, "player_name", "position_code", "selected_date", "home", "away", "stat", "threshold",
+                    season_of_date("selected_date").alias("req_season"), other.alias("h2h_opponent"))
 
 
-# ----------------------------------------------------------------- history
+def eligible_players(requests: DataFrame, facts: DataFrame, roster: DataFrame,
+                     hockey_today: _dt.date | str) -> DataFrame:
+    """Players listed for each request (see ``targets_for``)."""
+    return targets_for(facts, roster, requests, hockey_today).select(*TARGET, "player_name", "position_code")
 
-def history_asof(facts: DataFrame, targets: DataFrame) -> DataFrame:
-    """Direct join form: every game of each (request, player) dated on or
-    before the request date (equi-join on player_id plus a range predicate)."""
-    t = targets.select("request_id", "player_id", "selected_date")
-    return (facts.join(t, "player_id")
-            .filter(F.col("date") <= F.col("selected_date"))
-            .select("request_id", "player_id", "game_id", "date", "season", "team",
-                    "opponent", "location"))
 
+# ----------------------------------------------------------------- history
 
 def stat_value(stat: Column) -> Column:
-    """The fact column named by ``stat`` (one of the prop stats) as double."""
-    expr = None
+    """The fact column named by ``stat`` as double; a name that is no prop stat is an error."""
+    expr = F.when(stat.isNull(), F.lit(None).cast("double"))
     for s in PROP_STATS:
-        expr = F.when(stat == s, F.col(s)) if expr is None else expr.when(stat == s, F.col(s))
-    return expr.cast("double")
+        expr = expr.when(stat == s, F.col(s).cast("double"))
+    return expr.otherwise(F.raise_error(F.concat(F.lit("not a prop stat: "), stat)).cast("double"))
+
+
+KEY = ["player_id", "stat", "threshold"]
 
 
-def _hit_rows(facts: DataFrame, targets: DataFrame) -> DataFrame:
-    """Player history as (player, stat, threshold, date, season, opponent,
-    location, hit) for the (player, stat, threshold) keys requested.
+def daily_detail(facts: DataFrame, targets: DataFrame) -> DataFrame:
+    """Games and hits per (player, stat, threshold, date, season, opponent,
+    location), for the keys requested: the one shape all rates come from.
 
     The key set is small (bounded by the requests); joining it on player_id
     and picking the stat with a CASE avoids unpivoting all prop stats."""
-    keys = targets.select("player_id", "stat", "threshold").distinct()
+    keys = targets.select(*KEY).distinct()
     h = facts.select("player_id", "date", "season", "opponent", "location", *PROP_STATS).join(keys, "player_id")
-    return h.select("player_id", "stat", "threshold", "date", "season", "opponent", "location",
-                    (stat_value(F.col("stat")) >= F.col("threshold")).alias("hit"))
-
-
-KEY = ["player_id", "stat", "threshold"]
+    hit = stat_value(F.col("stat")) >= F.col("threshold")
+    return (h.select(*KEY, "date", "season", "opponent", "location", hit.cast("bigint").alias("hit"))
+            .groupBy(*KEY, "date", "season", "opponent", "location")
+            .agg(F.count(F.lit(1)).alias("g"), F.sum("hit").alias("h")))
 
 
-def _asof(series: DataFrame, markers: DataFrame, part: list[str], values: list[str]) -> DataFrame:
-    """For each marker row (part..., date, request_id) the ``values`` of the
-    last series row of the same partition dated on or before the marker."""
-    s = series.select(*part, "date", *values, F.lit(0).alias("_m"),
-                      F.lit(None).cast("bigint").alias("request_id"))
-    m = markers.select(*part, "date", *[F.lit(None).cast(dict(series.dtypes)[v]).alias(v)
-                                        for v in values],
-                       F.lit(1).alias("_m"), "request_id")
-    w = (Window.partitionBy(*part).orderBy("date", "_m")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    u = s.unionByName(m)
-    u = u.select(*part, "date", "_m", "request_id",
-                 *[F.last(v, ignorenulls=True).over(w).alias(v) for v in values])
-    return u.filter(F.col("_m") == 1).select("request_id", "player_id", *values)
-
-
-def _asof_running(daily: DataFrame, markers: DataFrame, part: list[str], cols: list[str]) -> DataFrame:
-    """Running sums of ``cols`` as of each marker's date, in one window pass:
-    markers are unioned in with zero counts and ordered after the series rows
-    of their date, so the running sum at a marker covers every row dated on or
-    before it."""
-    s = daily.select(*part, "date", *cols, F.lit(0).alias("_m"),
-                     F.lit(None).cast("bigint").alias("request_id"))
-    m = markers.select(*part, "date", *[F.lit(0).cast("bigint").alias(c) for c in cols],
-                       F.lit(1).alias("_m"), "request_id")
-    w = (Window.partitionBy(*part).orderBy("date", "_m")
+def history_asof(facts: DataFrame, targets: DataFrame) -> DataFrame:
+    """How much history each requested (player, date) has: games dated on or
+    before it, and the date of the last one."""
+    games = facts.groupBy("player_id", "date").agg(F.count(F.lit(1)).alias("g")).withColumn("_m", F.lit(0))
+    marks = targets.select("player_id", F.col("selected_date").alias("date")).distinct().select(
+        "*", F.lit(0).cast("bigint").alias("g"), F.lit(1).alias("_m"))
+    w = (Window.partitionBy("player_id").orderBy("date", "_m")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    u = s.unionByName(m).select("_m", "request_id", "player_id",
-                                *[F.sum(c).over(w).alias(c) for c in cols])
-    return u.filter(F.col("_m") == 1).select("request_id", "player_id", *cols)
-
-
-def daily_detail(hits: DataFrame) -> DataFrame:
-    """History rows as (player, stat, threshold, season, opponent, location,
-    date, g=1, h=hit) - the shape every rate series is rolled up from."""
-    return hits.select(*KEY, "season", "opponent", "location", "date",
-                       F.lit(1).cast("bigint").alias("g"),
-                       F.col("hit").cast("bigint").alias("h"))
-
-
-def _detail(facts: DataFrame, targets: DataFrame, detail: DataFrame | None) -> DataFrame:
-    return detail if detail is not None else daily_detail(_hit_rows(facts, targets))
+    last = F.max(F.when(F.col("_m") == 0, F.col("date"))).over(w)
+    return (games.unionByName(marks).withColumns({"games": F.sum("g").over(w), "last_date": last})
+            .filter(F.col("_m") == 1)
+            .select("player_id", F.col("date").alias("selected_date"), "games", "last_date"))
+
+
+def rates(facts: DataFrame, targets: DataFrame) -> DataFrame:
+    """Counts for every target: season (g, h), home (gh, hh) and away (ga, ha)
+    in the season, head-to-head (go, ho) and the last N dates (g5, h5, ...)."""
+    detail = daily_detail(facts, targets).withColumn("_m", F.lit(0))
+    marks = targets.select(*KEY, F.col("selected_date").alias("date"), F.col("req_season").alias("season"),
+                           F.col("h2h_opponent").alias("opponent")).distinct().select(
+        "*", F.lit(None).cast("string").alias("location"), F.lit(0).cast("bigint").alias("g"),
+        F.lit(0).cast("bigint").alias("h"), F.lit(1).alias("_m"))
+    both = detail.unionByName(marks).repartition(*KEY)
+
+    def running(*part: str):
+        """Everything dated on or before a row; a date's games come before its markers."""
+        return (Window.partitionBy(*KEY, *part).orderBy("date", "_m")
+                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+    # Distinct game dates so far: the axis of the last-N windows.
+    earlier = Window.partitionBy(*KEY).orderBy("date", "_m").rowsBetween(Window.unboundedPreceding, -1)
+    last_date = F.max(F.when(F.col("_m") == 0, F.col("date"))).over(earlier)
+    first_of_date = (F.col("_m") == 0) & ~F.col("date").eqNullSafe(last_date)
+    both = both.withColumn("_first", first_of_date.cast("bigint"))
+    both = both.withColumn("_day", F.sum("_first").over(running()))
+    cols = []
+    for n in LAST_N:
+        w = Window.partitionBy(*KEY).orderBy("_day").rangeBetween(-(n - 1), Window.currentRow)
+        cols += [F.sum("g").over(w).alias(f"g{n}"), F.sum("h").over(w).alias(f"h{n}")]
+    season, versus = running("season"), running("opponent")
+    cols += [F.sum("g").over(season).alias("sg"), F.sum("h").over(season).alias("sh")]
+    for side in ("home", "away"):
+        here = F.col("location") == side
+        cols += [F.sum(F.when(here, F.col(c)).otherwise(0)).over(season).alias(f"{c}{side[0]}") for c in ("g", "h")]
+    cols += [F.sum(c).over(versus).alias(f"{c}o") for c in ("g", "h")]
+    counts = both.select(*KEY, "date", "season", "opponent", "_m", *cols).filter(F.col("_m") == 1).drop("_m")
+    c = counts.select(*[F.col(x).alias(f"_{x}") for x in [*KEY, "date", "season", "opponent"]],
+                      *[x for x in counts.columns if x not in [*KEY, "date", "season", "opponent"]])
+    on = ((F.col("player_id") == F.col("_player_id")) & (F.col("stat") == F.col("_stat"))
+          & (F.col("threshold") == F.col("_threshold")) & (F.col("selected_date") == F.col("_date"))
+          & (F.col("req_season") == F.col("_season")) & F.col("h2h_opponent").eqNullSafe(F.col("_opponent")))
+    return targets.join(c, on, "left").drop(*[f"_{x}" for x in [*KEY, "date", "season", "opponent"]])
 
 
-def _markers(targets: DataFrame, extra: dict[str, Column]) -> DataFrame:
-    return targets.select("request_id", *KEY, F.col("selected_date").alias("date"),
-                          *[v.alias(k) for k, v in extra.items()])
+def _games(g: str) -> Column:
+    return F.coalesce(F.col(g), F.lit(0)).cast("bigint")
 
 
 def _rate_cols(prefix: str, g: str, h: str) -> list[Column]:
-    games = F.coalesce(F.col(g), F.lit(0)).cast("bigint")
-    return [games.alias(f"{prefix}_games"),
-            F.when(games > 0, F.col(h)).cast("bigint").alias(f"{prefix}_hits"),
+    games = _games(g)
+    return [games.alias(f"{prefix}_games"), F.when(games > 0, F.col(h)).cast("bigint").alias(f"{prefix}_hits"),
             pct(F.col(h), games).alias(f"{prefix}_pct")]
 
 
-def rate_season(facts: DataFrame, targets: DataFrame, detail: DataFrame | None = None) -> DataFrame:
-    """Season and home/away-in-season counts per (request, player)."""
-    d = _detail(facts, targets, detail)
-    home, away = F.col("location") == "home", F.col("location") == "away"
-    daily = d.groupBy(*KEY, "season", "date").agg(
-        F.sum("g").alias("g"), F.sum("h").alias("h"),
-        F.sum(F.when(home, F.col("g")).otherwise(0)).alias("gh"),
-        F.sum(F.when(home, F.col("h")).otherwise(0)).alias("hh"),
-        F.sum(F.when(away, F.col("g")).otherwise(0)).alias("ga"),
-        F.sum(F.when(away, F.col("h")).otherwise(0)).alias("ha"))
-    cols = ["g", "h", "gh", "hh", "ga", "ha"]
-    return _asof_running(daily, _markers(targets, {"season": F.col("req_season")}), KEY + ["season"], cols)
-
-
-def rate_last_n(facts: DataFrame, targets: DataFrame, detail: DataFrame | None = None) -> DataFrame:
-    """Counts over the player's last 5 / 10 / 20 distinct game dates."""
-    d = _detail(facts, targets, detail)
-    daily = d.groupBy(*KEY, "date").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-    cols = []
-    for n in LAST_N:
-        w = Window.partitionBy(*KEY).orderBy("date").rowsBetween(-(n - 1), Window.currentRow)
-        cols += [F.sum("g").over(w).alias(f"g{n}"), F.sum("h").over(w).alias(f"h{n}")]
-    roll = daily.select(*KEY, "date", *cols)
-    return _asof(roll, _markers(targets, {}), KEY,
-                 [f"{p}{n}" for n in LAST_N for p in ("g", "h")])
-
+def season_cols() -> list[Column]:
+    return _rate_cols("season", "sg", "sh")
 
-def rate_h2h(facts: DataFrame, targets: DataFrame, detail: DataFrame | None = None) -> DataFrame:
-    """Counts over games against the other team of the request's matchup."""
-    d = _detail(facts, targets, detail)
-    daily = d.groupBy(*KEY, "opponent", "date").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-    t = targets.filter(F.col("h2h_opponent").isNotNull())
-    return _asof_running(daily, _markers(t, {"opponent": F.col("h2h_opponent")}),
-                         KEY + ["opponent"], ["g", "h"])
 
-
-def season_location_rates(raw: DataFrame) -> DataFrame:
-    """Named columns from ``rate_season``: season and home/away-in-season."""
-    out = ["request_id", "player_id", *_rate_cols("season", "g", "h")]
+def location_cols() -> list[Column]:
+    out = []
     for side, g, h in (("away", "ga", "ha"), ("home", "gh", "hh")):
-        games = F.coalesce(F.col(g), F.lit(0)).cast("bigint")
-        out += [games.alias(f"{side}_season_games"), pct(F.col(h), games).alias(f"{side}_season_pct")]
-    return raw.select(*out)
-
+        out += [_games(g).alias(f"{side}_season_games"), pct(F.col(h), _games(g)).alias(f"{side}_season_pct")]
+    return out
 
-def last_n_rates(raw: DataFrame) -> DataFrame:
-    out = ["request_id", "player_id"]
-    for n in LAST_N:
-        out += _rate_cols(f"l{n}", f"g{n}", f"h{n}")
-    return raw.select(*out)
 
+def last_n_cols() -> list[Column]:
+    return [c for n in LAST_N for c in _rate_cols(f"l{n}", f"g{n}", f"h{n}")]
 
-def h2h_rates(targets: DataFrame, raw: DataFrame) -> DataFrame:
-    """Every target gets a row: no H2H games reads 0 games and 0.0 %."""
-    j = targets.select("request_id", "player_id").join(raw, ["request_id", "player_id"], "left")
-    games = F.coalesce(F.col("g"), F.lit(0)).cast("bigint")
-    return j.select("request_id", "player_id", games.alias("h2h_games"),
-                    F.when(games > 0, F.col("h")).cast("bigint").alias("h2h_hits"),
-                    F.coalesce(pct("h", games), F.lit(0.0)).alias("h2h_pct"))
 
-
-def targets_for(facts: DataFrame, roster: DataFrame, requests: DataFrame,
-                hockey_today: _dt.date | str) -> DataFrame:
-    return _targets(requests, eligible_players(requests, facts, roster, hockey_today))
+def h2h_cols() -> list[Column]:
+    """No H2H games, or no opponent, reads 0 games and 0.0 %."""
+    games = F.when(F.col("h2h_opponent").isNotNull(), _games("go")).otherwise(0).cast("bigint")
+    return [games.alias("h2h_games"), F.when(games > 0, F.col("ho")).cast("bigint").alias("h2h_hits"),
+            F.when(games > 0, pct("ho", games)).otherwise(F.lit(0.0)).alias("h2h_pct")]
 
 
 def prop_table(facts: DataFrame, roster: DataFrame, requests: DataFrame,
                hockey_today: _dt.date | str) -> DataFrame:
-    """Numeric hit-rate table: one row per (request, eligible player)."""
-    # targets is small (bounded by the requests) and read by every branch:
-    # written once to the checkpoint folder, read back.
+    """Numeric hit-rate table: one row per (request, eligible player and team)."""
+    # Read by the keys, the markers and the result: written once.
     targets = materialize(targets_for(facts, roster, requests, hockey_today))
     return rates_table(facts, targets)
 
 
-def rates_table(facts: DataFrame, targets: DataFrame) -> DataFrame:
-    """The hit-rate table for given (request, player) targets."""
-    detail = daily_detail(_hit_rows(facts, targets))
-    season = rate_season(facts, targets, detail)
-    last = rate_last_n(facts, targets, detail)
-    h2h = rate_h2h(facts, targets, detail)
-    k = ["request_id", "player_id"]
-    t = (targets.select("request_id", "player_id", "player_name", "team_abbrev",
-                        "position_code", "stat", "threshold")
-         .join(season_location_rates(season), k, "left")
-         .join(h2h_rates(targets, h2h), k, "left")
-         .join(last_n_rates(last), k, "left"))
-    order = ["request_id", "player_id", "player_name", "team_abbrev", "position_code", "stat",
-             "threshold", "season_games", "season_hits", "season_pct", "h2h_games", "h2h_hits",
-             "h2h_pct"]
-    order += [f"l{n}_{x}" for n in LAST_N for x in ("games", "hits", "pct")]
-    order += ["away_season_games", "away_season_pct", "home_season_games", "home_season_pct"]
-    return t.select(*order)
+def rates_table(facts: DataFrame, targets: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The hit-rate table for given (request, player) targets; ``extra`` names
+    further target columns to keep."""
+    return rates(facts, targets).select(
+        *REQUEST, "player_id", "player_name", "team_abbrev", "position_code", "stat", "threshold",
+        *season_cols(), *h2h_cols(), *last_n_cols(), *location_cols(), *extra)
 
 
 # ----------------------------------------------------------------- display
@@ -308,11 +251,11 @@ def _text(p: Column, g: Column, min_games: int, with_games: bool) -> Column:
     return F.when(ok, shown).otherwise(F.lit("n/a"))
 
 
-def prop_table_formatted(table: DataFrame) -> DataFrame:
+def prop_table_formatted(table: DataFrame, extra: tuple[Column, ...] = ()) -> DataFrame:
     """Display form: ``67% (3g)`` texts, ``n/a`` rules (L-N needs N games),
-    sortable percent columns and the line."""
+    sortable percent columns and the line.  The column names are fixed values."""
     c = F.col
-    cols = ["request_id", "player_id", c("player_name").alias("Player"),
+    cols = [*REQUEST, "player_id", c("player_name").alias("Player"),
             c("team_abbrev").alias("Team"), c("position_code").alias("Pos"),
             c("threshold").alias("Line")]
     spec = [("Season", "season", 1, True), ("H2H", "h2h", 1, True)]
@@ -327,7 +270,7 @@ def prop_table_formatted(table: DataFrame) -> DataFrame:
         ok = v.isNotNull() & (g > 0)
         cols += [_text(v, g, 1, True).alias(f"{label} (Season) (Formatted)"),
                  F.when(ok, v).alias(f"{label} %")]
-    return table.select(*cols)
+    return table.select(*cols, *extra)
 
 
 def matchup_overview(facts: DataFrame, roster: DataFrame, requests: DataFrame,
@@ -335,17 +278,11 @@ def matchup_overview(facts: DataFrame, roster: DataFrame, requests: DataFrame,
     """Formatted table + the DvP of each player's team and position for the
     request's season (from its date) and stat, sorted by L10 % (nulls last)."""
     targets = materialize(targets_for(facts, roster, requests, hockey_today))
-    shown = prop_table_formatted(rates_table(facts, targets))
-    players = targets.select(
-        "request_id", "player_id", F.col("req_season").alias("season"), "stat",
-        F.col("team_abbrev").alias("team"), F.col("position_code").alias("position"),
-        F.when(F.col("team_abbrev") == F.col("home"), F.col("away")).otherwise(F.col("home"))
-         .alias("opponent"))
-    scope = players.select("season", "stat").distinct()
-    dvp = dvp_metrics(facts, scope, defense_key)
-    m = dvp_matchup(players, dvp).select("request_id", "player_id",
-                                        F.col("dvp_formatted").alias("DvP"),
-                                        F.col("dvp_rank").alias("DvP_Rank"))
-    return (shown.join(m, ["request_id", "player_id"], "left")
-            .orderBy(F.col("L10 %").desc_nulls_last(), "request_id", "player_id"))
-
+    scope = targets.select(F.col("req_season").alias("season"), "stat").distinct()
+    rated = dvp_matchup(
+        targets.withColumns({"season": F.col("req_season"), "team": F.col("team_abbrev"), "opponent": F.col("h2h_opponent"),
+                             "position": F.col("position_code")}),
+        dvp_metrics(facts, scope, defense_key))
+    table = rates_table(facts, rated, ("dvp_formatted", "dvp_rank"))
+    shown = prop_table_formatted(table, (F.col("dvp_formatted").alias("DvP"), F.col("dvp_rank").alias("DvP_Rank")))
+    return shown.orderBy(F.col("L10 %").desc_nulls_last(), *REQUEST, "player_id", "Team")

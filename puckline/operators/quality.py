@@ -47,7 +47,7 @@ def player_search(box: DataFrame, text: str) -> DataFrame:
 
 def complete_games(pbp: DataFrame, box: DataFrame) -> DataFrame:
     """Games that have both play-by-play and boxscore rows."""
-    return pbp.select("game_id").intersect(box.select("game_id"))
+    return pbp.select("game_id").distinct().join(box.select("game_id").distinct(), "game_id")
 
 
 def missing_games(schedule: DataFrame, pbp: DataFrame, box: DataFrame,

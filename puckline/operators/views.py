@@ -1,8 +1,8 @@
 """Datasets behind the slate, the player view (filtered log, KPIs, charts,
 game log) and the player header - for many selections at once.
 
-A selection is (request_id, player_id, spec_id) with selected_date, home,
-away, stat, threshold, opponent_team and the filters game_filter
+A selection is (matchup_id, prop_id, player_id, team_abbrev, spec_id) with selected_date,
+home, away, stat, threshold, opponent_team and the filters game_filter
 (``season`` / ``last_season`` / ``h2h`` / ``L5`` / ``L10`` / ``L20`` /
 ``L30``), location_filter (``any`` / ``home`` / ``away``) and rest_filter
 (``any`` / ``0`` / ``1`` / ``2`` / ``3+``).
@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from puckline.functions.scalar import (HOCKEY_ZONE, matchup_label, season_label,
                                        season_of_date)
 from puckline.operators.common import pick_first
-from puckline.operators.props import stat_value
+from puckline.operators.facts import GOALIE_PROPS
+from puckline.operators.props import TARGET, stat_value
 
-SEL = ["request_id", "player_id", "spec_id"]
+SEL = [*TARGET, "spec_id"]
 LAST_GAMES = (5, 10, 20, 30)
 CHART_GAMES = 25
 LOG_GAMES = 50
@@ -63,29 +64,37 @@ def matchup_options(schedule: DataFrame) -> DataFrame:
 
 def player_log_filtered(facts: DataFrame, selections: DataFrame) -> DataFrame:
     """Each selection's game log: game filter first (season, last season, H2H
-    or the last N games), then the location and rest-day filters."""
-    cur = season_of_date("selected_date")
-    joined = selections.join(facts, "player_id")
-    gf = F.col("game_filter")
-    plain = joined.filter(
-        ((gf == "season") & (F.col("season") == cur))
-        | ((gf == "last_season") & (F.col("season") == cur - 10001))
-        | ((gf == "h2h") & (F.col("opponent_team").isNull()
-                            | (F.col("opponent") == F.col("opponent_team")))))
-    parts = [plain]
-    for n in LAST_GAMES:
-        sub = joined.filter(gf == f"L{n}")
-        w = Window.partitionBy(*SEL).orderBy(*_newest_first())
-        parts.append(sub.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r"))
-    log = parts[0]
-    for p in parts[1:]:
-        log = log.unionByName(p)
+    or the last N games), then the location and rest-day filters.
+
+    Every game filter is an equi-join: a fact row is offered once under its
+    season, once under its opponent and once for selections without an
+    opponent, and a player's most recent games once more with their rank.
+    """
+    def look_up(kind: str, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
+
+    most = max(LAST_GAMES)
+    dated = facts.withColumns({"game_rank": F.lit(0), "at": F.explode(F.array(
+        look_up("season", F.col("season")), look_up("h2h", F.col("opponent")), look_up("all", F.lit(""))))})
+    recent = top_n_games(facts, most).withColumn("at", look_up("recent", F.lit("")))
+    games = dated.unionByName(recent).withColumnsRenamed({"player_id": "_player"})
+    gf, cur = F.col("game_filter"), season_of_date("selected_date")
+    asked = selections.withColumns({
+        "first_n": F.when(gf.startswith("L"), F.substring(gf, 2, 9).try_cast("int")).otherwise(0),
+        "want": F.when(gf == "season", look_up("season", cur))
+                 .when(gf == "last_season", look_up("season", cur - 10001))
+                 .when((gf == "h2h") & F.col("opponent_team").isNull(), look_up("all", F.lit("")))
+                 .when(gf == "h2h", look_up("h2h", F.col("opponent_team")))
+                 .when(gf.isin(*[f"L{n}" for n in LAST_GAMES]), look_up("recent", F.lit("")))})
+    log = asked.join(games, (F.col("player_id") == F.col("_player")) & (F.col("want.kind") == F.col("at.kind"))
+                     & (F.col("want.value") == F.col("at.value")) & (F.col("game_rank") <= F.col("first_n")))
     loc, rest = F.col("location_filter"), F.col("rest_filter")
     keep = ((loc == "any") | (F.col("location") == loc)) & (
         (rest == "any")
         | ((rest == REST_CAP_LABEL) & (F.col("days_rest") >= 3))
         | ((rest != REST_CAP_LABEL) & (F.col("days_rest") == rest.try_cast("int"))))
-    return log.filter(keep).withColumn("value", stat_value(F.col("stat")))
+    return (log.filter(keep).withColumn("value", stat_value(F.col("stat")))
+            .drop("_player", "want", "at", "game_rank", "first_n"))
 
 
 def _first_n(log: DataFrame, n: int) -> DataFrame:
@@ -135,8 +144,8 @@ def chart_series(log: DataFrame) -> DataFrame:
 
 
 def chart_summary(log: DataFrame) -> DataFrame:
-    """Means of four secondary stats over the chart's 25 games."""
-    last = _first_n(log, CHART_GAMES)
+    """Means of four secondary stats over the chart's 25 games; goalie stats have no summary."""
+    last = _first_n(log.filter(~F.col("stat").isin(*GOALIE_PROPS)), CHART_GAMES)
     return last.groupBy(*SEL).agg(
         *[F.avg(c).alias(f"avg_{c}") for c in ("shot_attempts", "missed_shots", "toi_minutes", "shifts")])
 
@@ -149,10 +158,10 @@ def game_log(log: DataFrame) -> DataFrame:
 def player_header(selections: DataFrame, roster: DataFrame, facts: DataFrame) -> DataFrame:
     """Name and team from the roster, else the player's latest game; then the
     opponent and ``vs`` / ``@`` from the matchup, and the season labels."""
-    people = selections.select("request_id", "player_id", "selected_date", "home", "away").distinct()
+    people = selections.select("matchup_id", "player_id", "selected_date", "home", "away").distinct()
     r = pick_first(roster.select("player_id", F.col("full_player_name").alias("r_name"),
                                  F.col("team_abbrev").alias("r_team"), "headshot_url"),
-                   ["player_id"], ["r_team", "r_name"])
+                   ["player_id"], ["r_team", "r_name", "headshot_url"])
     latest = pick_first(facts.select("player_id", F.col("player_name").alias("h_name"),
                                      F.col("team").alias("h_team"),
                                      (-F.unix_date("date")).alias("_nd"),
@@ -165,7 +174,7 @@ def player_header(selections: DataFrame, roster: DataFrame, facts: DataFrame) ->
                        "team": team})
     cur = season_of_date("selected_date")
     return h.select(
-        "request_id", "player_id", "player_name", "team",
+        "matchup_id", "player_id", "player_name", "team", "headshot_url",
         F.when(F.col("team") == F.col("home"), F.col("away"))
          .when(F.col("team") == F.col("away"), F.col("home")).alias("opponent_team"),
         F.when(F.col("team") == F.col("home"), F.lit("vs"))

@@ -271,8 +271,11 @@ def comb_sql(name: str, box: str, stats: str | None, sched: str = "rest") -> str
 
 COMB = DBOX + REST + PGS_BODY + comb_sql("comb", "dbox", "pgs")
 
-PROPS = [(0, "Skater", "shots", 1.5), (1, "Skater", "blocked_shots", 1.5), (2, "Skater", "points", 0.5),
-         (3, "Goalie", "saves", 24.5), (4, "Goalie", "shots_against", 25.5), (5, "Goalie", "goals_against", 2.5)]
+# The prop catalogue with its default lines.
+PROPS = [(0, "Skater", "shots", 1.5), (1, "Skater", "shot_attempts", 0.5), (2, "Skater", "points", 0.5),
+         (3, "Skater", "goals", 0.5), (4, "Skater", "assists", 0.5), (5, "Skater", "toi_minutes", 0.5),
+         (6, "Skater", "blocked_shots", 1.5), (7, "Skater", "hits", 0.5), (8, "Skater", "plus_minus", 0.5),
+         (9, "Goalie", "saves", 24.5), (10, "Goalie", "shots_against", 25.5), (11, "Goalie", "goals_against", 2.5)]
 _PROP_VALUES = ", ".join(f"({i}, '{t}', '{s}', {v})" for i, t, s, v in PROPS)
 PROP_STATS_SQL = ["shots", "shot_attempts", "points", "goals", "assists", "toi_minutes",
                   "blocked_shots", "hits", "plus_minus", "saves", "shots_against", "goals_against"]
@@ -282,62 +285,70 @@ def stat_value_sql(stat: str, prefix: str = "f.") -> str:
     return "CASE " + stat + " " + " ".join(f"WHEN '{s}' THEN {prefix}{s}" for s in PROP_STATS_SQL) + " END"
 
 
-def req_sql(date: str = "1997-08-23") -> str:
-    return f"""
+TODAY = "1997-08-24"
+REQ = f"""
 , req AS (
-  SELECT g.game_id*100 + p.i AS request_id, CAST(g.date AS DATE) AS selected_date, g.home_abbrev AS home,
+  SELECT g.game_id AS matchup_id, CAST(p.i AS INT) AS prop_id, CAST(g.date AS DATE) AS selected_date, g.home_abbrev AS home,
          g.away_abbrev AS away, p.player_type, p.stat, CAST(p.threshold AS DOUBLE) AS threshold
-  FROM games g, (VALUES {_PROP_VALUES}) p(i, player_type, stat, threshold)
-  WHERE g.date = '{date}')
-, rt AS (SELECT request_id, selected_date, player_type, home, away, home AS team FROM req
-         UNION ALL SELECT request_id, selected_date, player_type, home, away, away AS team FROM req)
+  FROM games g, (VALUES {_PROP_VALUES}) p(i, player_type, stat, threshold))
 """
 
 
-def elig_sql(today: str = "1997-08-24") -> str:
-    return f"""
+def targets_sql(today: str = TODAY) -> str:
+    return REQ + f"""
+, slate AS (SELECT game_id AS matchup_id, CAST(date AS DATE) AS selected_date, home_abbrev AS home, away_abbrev AS away FROM games)
+, sides AS (SELECT *, home AS team FROM slate UNION ALL SELECT *, away AS team FROM slate)
 , past0 AS (
-  SELECT rt.request_id, rt.player_type, f.player_id, f.player_name, f.team AS team_abbrev,
-         f.position AS position_code,
-         row_number() OVER (PARTITION BY rt.request_id, f.player_id ORDER BY f.game_id, f.team) AS rn
-  FROM rt JOIN facts f ON f.date = rt.selected_date AND f.team = rt.team
-  WHERE rt.selected_date < DATE '{today}')
-, fut0 AS (
-  SELECT rt.request_id, rt.player_type, r.player_id, r.full_player_name AS player_name,
-         r.team_abbrev, r.position_code
-  FROM rt JOIN roster r ON r.team_abbrev = rt.team
-  WHERE rt.selected_date >= DATE '{today}')
-, both0 AS (SELECT request_id, player_type, player_id, player_name, team_abbrev, position_code FROM past0 WHERE rn = 1
-            UNION ALL SELECT * FROM fut0)
-, elig AS (SELECT request_id, player_id, player_name, team_abbrev, position_code FROM both0
-           WHERE (player_type = 'Goalie' AND position_code = 'G') OR (player_type <> 'Goalie' AND position_code <> 'G'))
+  SELECT s.matchup_id, f.player_id, f.player_name, f.team AS team_abbrev, f.position AS position_code,
+         row_number() OVER (PARTITION BY s.matchup_id, f.player_id ORDER BY f.game_id, f.team) AS rn
+  FROM sides s JOIN facts f ON f.date = s.selected_date AND f.team = s.team
+  WHERE s.selected_date < DATE '{today}')
+, listed AS (
+  SELECT matchup_id, player_id, player_name, team_abbrev, position_code FROM past0 WHERE rn = 1
+  UNION ALL
+  SELECT s.matchup_id, r.player_id, r.full_player_name, r.team_abbrev, r.position_code
+  FROM sides s JOIN roster r ON r.team_abbrev = s.team WHERE s.selected_date >= DATE '{today}')
 , targets AS (
-  SELECT e.*, q.selected_date, q.home, q.away, q.stat, q.threshold,
+  SELECT q.matchup_id, q.prop_id, e.player_id, e.team_abbrev, e.player_name, e.position_code,
+         q.selected_date, q.home, q.away, q.stat, q.threshold,
          {season_sql('q.selected_date')} AS req_season,
          CASE WHEN e.team_abbrev = q.home THEN q.away WHEN e.team_abbrev = q.away THEN q.home END AS h2h_opponent
-  FROM elig e JOIN req q USING (request_id))
+  FROM req q JOIN listed e ON e.matchup_id = q.matchup_id
+   AND ((q.player_type = 'Goalie' AND e.position_code = 'G') OR (q.player_type <> 'Goalie' AND e.position_code <> 'G')))
 """
 
 
-RATES = f"""
-, hist AS (
-  SELECT t.request_id, t.player_id, f.date, f.season, f.opponent, f.location, t.req_season, t.h2h_opponent,
-         ({stat_value_sql('t.stat')}) >= t.threshold AS hit
-  FROM targets t JOIN facts f ON f.player_id = t.player_id AND f.date <= t.selected_date)
-, ranked AS (SELECT *, dense_rank() OVER (PARTITION BY request_id, player_id ORDER BY date DESC) AS rk FROM hist)
+TARGET_SQL = "matchup_id, prop_id, player_id, team_abbrev"
+
+# Counts as of a date: running sums per day, looked up with ASOF joins.
+RATES = """
+, hit AS (SELECT f.player_id, p.prop_id, f.date, f.season, f.opponent, f.location, (%s) >= p.threshold AS hit
+          FROM facts f, (SELECT DISTINCT prop_id, stat, threshold FROM req) p)
+, sday AS (SELECT player_id, prop_id, season, date, count(*) AS g, count(*) FILTER (WHERE hit) AS h,
+             count(*) FILTER (WHERE location = 'home') AS gh, count(*) FILTER (WHERE location = 'home' AND hit) AS hh,
+             count(*) FILTER (WHERE location = 'away') AS ga, count(*) FILTER (WHERE location = 'away' AND hit) AS ha
+           FROM hit GROUP BY ALL)
+, srun AS (SELECT player_id, prop_id, season, date, sum(g) OVER w AS sg, sum(h) OVER w AS sh, sum(gh) OVER w AS gh,
+             sum(hh) OVER w AS hhm, sum(ga) OVER w AS ga, sum(ha) OVER w AS ha
+           FROM sday WINDOW w AS (PARTITION BY player_id, prop_id, season ORDER BY date))
+, oday AS (SELECT player_id, prop_id, opponent, date, count(*) AS g, count(*) FILTER (WHERE hit) AS h FROM hit GROUP BY ALL)
+, orun AS (SELECT player_id, prop_id, opponent, date, sum(g) OVER w AS hg, sum(h) OVER w AS hh
+           FROM oday WINDOW w AS (PARTITION BY player_id, prop_id, opponent ORDER BY date))
+, dday AS (SELECT player_id, prop_id, date, count(*) AS g, count(*) FILTER (WHERE hit) AS h FROM hit GROUP BY ALL)
+, drun AS (SELECT player_id, prop_id, date,
+             sum(g) OVER (w ROWS 4 PRECEDING) AS g5, sum(h) OVER (w ROWS 4 PRECEDING) AS h5,
+             sum(g) OVER (w ROWS 9 PRECEDING) AS g10, sum(h) OVER (w ROWS 9 PRECEDING) AS h10,
+             sum(g) OVER (w ROWS 19 PRECEDING) AS g20, sum(h) OVER (w ROWS 19 PRECEDING) AS h20
+           FROM dday WINDOW w AS (PARTITION BY player_id, prop_id ORDER BY date))
 , ragg AS (
-  SELECT request_id, player_id,
-    count(*) FILTER (WHERE season = req_season) AS sg, count(*) FILTER (WHERE season = req_season AND hit) AS sh,
-    count(*) FILTER (WHERE opponent = h2h_opponent) AS hg, count(*) FILTER (WHERE opponent = h2h_opponent AND hit) AS hh,
-    count(*) FILTER (WHERE rk <= 5) AS g5, count(*) FILTER (WHERE rk <= 5 AND hit) AS h5,
-    count(*) FILTER (WHERE rk <= 10) AS g10, count(*) FILTER (WHERE rk <= 10 AND hit) AS h10,
-    count(*) FILTER (WHERE rk <= 20) AS g20, count(*) FILTER (WHERE rk <= 20 AND hit) AS h20,
-    count(*) FILTER (WHERE season = req_season AND location = 'away') AS ga,
-    count(*) FILTER (WHERE season = req_season AND location = 'away' AND hit) AS ha,
-    count(*) FILTER (WHERE season = req_season AND location = 'home') AS gh,
-    count(*) FILTER (WHERE season = req_season AND location = 'home' AND hit) AS hhm
-  FROM ranked GROUP BY request_id, player_id)
-"""
+  SELECT t.*, s.sg, s.sh, s.gh, s.hhm, s.ga, s.ha, o.hg, o.hh, d.g5, d.h5, d.g10, d.h10, d.g20, d.h20
+  FROM targets t
+  ASOF LEFT JOIN srun s ON s.player_id = t.player_id AND s.prop_id = t.prop_id AND s.season = t.req_season
+    AND t.selected_date >= s.date
+  ASOF LEFT JOIN orun o ON o.player_id = t.player_id AND o.prop_id = t.prop_id AND o.opponent = t.h2h_opponent
+    AND t.selected_date >= o.date
+  ASOF LEFT JOIN drun d ON d.player_id = t.player_id AND d.prop_id = t.prop_id AND t.selected_date >= d.date)
+""" % stat_value_sql("p.stat")
 
 
 def _rate(prefix: str, g: str, h: str) -> str:
@@ -353,14 +364,14 @@ def _loc(side: str, g: str, h: str) -> str:
 
 PT = RATES + f"""
 , pt AS (
-  SELECT t.request_id, t.player_id, t.player_name, t.team_abbrev, t.position_code, t.stat, t.threshold,
+  SELECT a.matchup_id, a.prop_id, a.player_id, a.player_name, a.team_abbrev, a.position_code, a.stat, a.threshold,
     {_rate('season', 'sg', 'sh')},
     CAST(COALESCE(a.hg, 0) AS BIGINT) AS h2h_games,
     CASE WHEN COALESCE(a.hg, 0) > 0 THEN CAST(a.hh AS BIGINT) END AS h2h_hits,
     COALESCE(CASE WHEN COALESCE(a.hg, 0) > 0 THEN CAST(a.hh AS DOUBLE) / CAST(a.hg AS DOUBLE) * 100.0 END, 0.0) AS h2h_pct,
     {_rate('l5', 'g5', 'h5')}, {_rate('l10', 'g10', 'h10')}, {_rate('l20', 'g20', 'h20')},
     {_loc('away', 'ga', 'ha')}, {_loc('home', 'gh', 'hhm')}
-  FROM targets t LEFT JOIN ragg a USING (request_id, player_id))
+  FROM ragg a)
 """
 
 
@@ -382,7 +393,7 @@ def _fmt_loc(label: str, side: str) -> str:
 
 PTF = PT + f"""
 , ptf AS (
-  SELECT request_id, player_id, player_name AS "Player", team_abbrev AS "Team", position_code AS "Pos",
+  SELECT matchup_id, prop_id, player_id, player_name AS "Player", team_abbrev AS "Team", position_code AS "Pos",
          threshold AS "Line", {_fmt('Season', 'season', 1, True)}, {_fmt('H2H', 'h2h', 1, True)},
          {_fmt('L5', 'l5', 5, False)}, {_fmt('L10', 'l10', 10, False)}, {_fmt('L20', 'l20', 20, False)},
          {_fmt_loc('Away', 'away')}, {_fmt_loc('Home', 'home')}
@@ -423,13 +434,27 @@ def dvp_sql(defense: str = "team") -> str:
 """
 
 
-def dvp_scope(stat: str, season: int = 19961997) -> str:
-    return f", scope AS (SELECT CAST({season} AS BIGINT) AS season, '{stat}' AS stat)\n"
+def dvp_scope(stats: list[str]) -> str:
+    values = ", ".join(f"('{s}')" for s in stats)
+    return f", scope AS (SELECT DISTINCT season, v.stat FROM facts, (VALUES {values}) v(stat))\n"
+
 
+def safe_dvp(x: str) -> str:
+    """Rounded value and text where no rounding tie or signed zero is near."""
+    value = f"round({x}, 2)"
+    text = (f"CASE WHEN isnan({x}) THEN '+NaN' WHEN isinf({x}) AND {x} > 0 THEN '+inf' WHEN isinf({x}) THEN '-inf' "
+            f"WHEN {x} > 0 THEN '+' || CAST(round({x}, 1) AS VARCHAR) ELSE CAST(round({x}, 1) AS VARCHAR) END")
 
-def dvp_out(stat: str, defense: str = "team") -> str:
-    return sql(dvp_scope(stat) + dvp_sql(defense) + """
-SELECT season, stat, team, position, dvp_rank, round(schedule_adjusted_dvp, 6) AS schedule_adjusted_dvp,
+    def unless_tie(scale: int, shown: str) -> str:
+        return (f"CASE WHEN isnan({x}) OR isinf({x}) OR (abs({x} * {scale} - floor({x} * {scale}) - 0.5) >= 1e-6 "
+                f"AND abs({x}) >= 0.05) THEN {shown} END")
+
+    return f"{unless_tie(100, value)} AS dvp_value, {unless_tie(10, text)} AS dvp_formatted"
+
+
+def dvp_out(stats: list[str], defense: str = "team") -> str:
+    return sql(dvp_scope(stats) + dvp_sql(defense) + f"""
+SELECT season, stat, team, position, dvp_rank, {safe_dvp('schedule_adjusted_dvp')}, round(schedule_adjusted_dvp, 6) AS schedule_adjusted_dvp,
        round(avg_allowed, 6) AS avg_allowed, round(league_avg, 6) AS league_avg,
        round(schedule_strength_factor, 6) AS schedule_strength_factor, games_count FROM dvp""")
 
@@ -438,17 +463,18 @@ VIEW_SPECS_SQL = ("(VALUES (0, 'season', 'any', 'any'), (1, 'h2h', 'any', 'any')
                   "(3, 'L10', 'any', '3+'), (4, 'last_season', 'away', 'any'), (5, 'L30', 'any', '1')) "
                   "s(spec_id, game_filter, location_filter, rest_filter)")
 
-SEL = req_sql() + elig_sql() + f"""
+SEL = targets_sql() + f"""
+, last_of AS (SELECT *, row_number() OVER (PARTITION BY player_id, req_season, prop_id
+                                           ORDER BY selected_date DESC, matchup_id DESC, team_abbrev) AS pick FROM targets)
 , sel AS (
-  SELECT t.request_id, t.player_id, t.selected_date, t.home, t.away, t.stat, t.threshold,
+  SELECT t.matchup_id, t.prop_id, t.player_id, t.team_abbrev, t.selected_date, t.home, t.away, t.stat, t.threshold,
          t.h2h_opponent AS opponent_team, s.spec_id, s.game_filter, s.location_filter, s.rest_filter
-  FROM targets t, {VIEW_SPECS_SQL}
-  WHERE t.stat IN ('shots', 'saves'))
+  FROM last_of t, {VIEW_SPECS_SQL} WHERE t.pick = 1)
 , lj AS (
   SELECT s.*, f.game_id, f.date, f.season, f.opponent, f.location, f.days_rest,
          CAST({stat_value_sql('s.stat')} AS DOUBLE) AS value,
          f.shot_attempts, f.missed_shots, f.toi_minutes, f.shifts,
-         row_number() OVER (PARTITION BY s.request_id, s.player_id, s.spec_id ORDER BY f.date DESC, f.game_id DESC) AS rn,
+         row_number() OVER (PARTITION BY s.matchup_id, s.prop_id, s.player_id, s.team_abbrev, s.spec_id ORDER BY f.date DESC, f.game_id DESC) AS rn,
          {season_sql('s.selected_date')} AS cur
   FROM sel s JOIN facts f ON f.player_id = s.player_id)
 , lg AS (
@@ -460,10 +486,10 @@ SEL = req_sql() + elig_sql() + f"""
     AND (location_filter = 'any' OR location = location_filter)
     AND (rest_filter = 'any' OR (rest_filter = '3+' AND days_rest >= 3)
          OR (rest_filter <> '3+' AND days_rest = TRY_CAST(rest_filter AS INT))))
-, lr AS (SELECT *, CAST(row_number() OVER (PARTITION BY request_id, player_id, spec_id ORDER BY date DESC, game_id DESC) AS INT) AS log_rank FROM lg)
+, lr AS (SELECT *, CAST(row_number() OVER (PARTITION BY matchup_id, prop_id, player_id, team_abbrev, spec_id ORDER BY date DESC, game_id DESC) AS INT) AS log_rank FROM lg)
 """
 
-_SELK = "request_id, player_id, spec_id"
+_SELK = "matchup_id, prop_id, player_id, team_abbrev, spec_id"
 
 ORACLE.update({
     "scan_parquet": sql("SELECT game_id, date, season, game_type, away_abbrev, away_score, home_abbrev, home_score, "
@@ -501,7 +527,7 @@ SELECT season, team, season = (SELECT max(season) FROM games) AS is_latest FROM
     "recent_games": sql("SELECT game_id, date, season, game_type, away_abbrev, away_score, home_abbrev, home_score, "
                         "CAST(NULL AS VARCHAR) AS start_time, CAST(NULL AS VARCHAR) AS venue FROM schedule "
                         "WHERE (CASE WHEN game_id % 11 = 0 THEN 'FUT' ELSE 'FINAL' END) IN ('OFF', 'FINAL') AND date BETWEEN '1997-08-16' AND '1997-08-22'"),
-    "player_search": sql(DBOX + "SELECT DISTINCT player_id, player_name FROM dbox WHERE contains(lower(player_name), 'p1')"),
+    "player_search": sql(DBOX + "SELECT DISTINCT player_id, player_name FROM dbox WHERE contains(lower(player_name), 'p0')"),
     "join_box_stats": sql(DBOX + PGS_BODY + """
 SELECT b.game_id, b.player_id, b.player_name, b.team, b.opponent, b.location, b.position, b.plus_minus, b.toi,
        b.shifts, b.shots_against, b.saves, b.goals_against, b.save_pct, b.decision, b.ot_loss,
@@ -509,38 +535,58 @@ SELECT b.game_id, b.player_id, b.player_name, b.team, b.opponent, b.location, b.
        p.takeaways, p.pim, p.ppg, p.ppa, p.game_winning_goal, p.faceoff_wins, p.faceoff_losses, p.points,
        p.ppp, p.shots, p.faceoff_pct, p.shot_attempts
 FROM dbox b LEFT JOIN pgs p ON p.game_id = b.game_id AND p.player_id = b.player_id"""),
-    "dvp_matchup": sql(req_sql() + elig_sql()
-                       + ", scope AS (SELECT DISTINCT req_season AS season, stat FROM targets)\n" + dvp_sql() + """
-SELECT t.request_id, t.player_id, t.req_season AS season, t.stat, t.team_abbrev AS team, t.h2h_opponent AS opponent,
+    "dvp_matchup": sql(targets_sql()
+                       + ", scope AS (SELECT DISTINCT req_season AS season, stat FROM targets)\n" + dvp_sql() + f"""
+, m AS (
+SELECT t.matchup_id, t.prop_id, t.player_id, t.team_abbrev, t.req_season AS season, t.stat, t.h2h_opponent AS opponent,
        t.position_code AS position,
        CASE t.position_code WHEN 'C' THEN 'Center' WHEN 'L' THEN 'Left Wing' WHEN 'R' THEN 'Right Wing'
             WHEN 'D' THEN 'Defense' WHEN 'G' THEN 'Goalie' ELSE t.position_code END AS position_name,
        CASE WHEN o.team IS NOT NULL AND x.team IS NOT NULL THEN o.dvp_rank ELSE 16 END AS dvp_rank,
-       CASE WHEN o.team IS NOT NULL AND x.team IS NOT NULL THEN round(x.avg_allowed, 6) END AS opponent_avg
+       CASE WHEN o.team IS NOT NULL AND x.team IS NOT NULL THEN round(x.avg_allowed, 6) END AS opponent_avg,
+       CASE WHEN o.team IS NOT NULL AND x.team IS NOT NULL THEN o.schedule_adjusted_dvp END AS exact
 FROM targets t
 LEFT JOIN dvp o ON o.season = t.req_season AND o.stat = t.stat AND o.team = t.team_abbrev AND o.position = t.position_code
-LEFT JOIN dvp x ON x.season = t.req_season AND x.stat = t.stat AND x.team = t.h2h_opponent AND x.position = t.position_code"""),
-    "history_asof": sql(req_sql() + elig_sql() + """
-SELECT t.request_id, t.player_id, f.game_id, f.date, f.season, f.team, f.opponent, f.location
-FROM targets t JOIN facts f ON f.player_id = t.player_id AND f.date <= t.selected_date"""),
-    "dvp_team_defense": sql(dvp_scope("shots") + FLONG + """
+LEFT JOIN dvp x ON x.season = t.req_season AND x.stat = t.stat AND x.team = t.h2h_opponent AND x.position = t.position_code)
+SELECT * EXCLUDE (exact), {safe_dvp('exact')} FROM m"""),
+    "history_asof": sql(targets_sql() + """
+, day AS (SELECT player_id, date, count(*) AS g FROM facts GROUP BY ALL)
+, run AS (SELECT player_id, date, CAST(sum(g) OVER (PARTITION BY player_id ORDER BY date) AS BIGINT) AS games FROM day)
+, asked AS (SELECT DISTINCT player_id, selected_date FROM targets)
+SELECT a.player_id, a.selected_date, COALESCE(r.games, 0) AS games, r.date AS last_date
+FROM asked a ASOF LEFT JOIN run r ON r.player_id = a.player_id AND a.selected_date >= r.date"""),
+    "requests_for_matchups": sql(f"""
+, m AS (SELECT date, away_abbrev, home_abbrev, min(game_id) AS first_game FROM schedule GROUP BY ALL)
+SELECT first_game AS matchup_id, CAST(p.i AS INT) AS prop_id, CAST(date AS DATE) AS selected_date, home_abbrev AS home,
+       away_abbrev AS away, p.player_type, p.stat, CAST(p.threshold AS DOUBLE) AS threshold
+FROM m, (VALUES {_PROP_VALUES}) p(i, player_type, stat, threshold)"""),
+    "first_goal_events": sql(EV_FLAGS + """
+, ranked AS (SELECT scoring_player_id, game_id, event_id, event_type, situation_code,
+                    CAST(row_number() OVER (PARTITION BY scoring_player_id ORDER BY game_id, event_id) AS INT) AS goal_rank
+             FROM ev WHERE event_type = 'goal' AND scoring_player_id IS NOT NULL)
+SELECT * FROM ranked WHERE goal_rank <= 10"""),
+    "write_roundtrip": sql(REST + "SELECT * FROM rest WHERE season = 19961997"),
+    "refresh_archive": sql(COMB + "SELECT c.*, s.season FROM comb c JOIN schedule s ON s.game_id = c.game_id "
+                           "WHERE s.season = 19961997"),
+    "dvp_team_defense": sql(dvp_scope(PROP_STATS_SQL) + FLONG + """
 , scoped AS (SELECT l.* FROM flong l JOIN scope s USING (season, stat))
 SELECT season, stat, team, position, round(avg(value), 6) AS avg_allowed, count(*) AS games_count
 FROM scoped GROUP BY season, stat, team, position"""),
-    "dvp_position_avg": sql(dvp_scope("shots") + FLONG + """
+    "dvp_position_avg": sql(dvp_scope(PROP_STATS_SQL) + FLONG + """
 , scoped AS (SELECT l.* FROM flong l JOIN scope s USING (season, stat))
 SELECT season, stat, position, round(avg(value), 6) AS league_avg, count(*) AS total_games
 FROM scoped GROUP BY season, stat, position"""),
-    "rate_season": sql(req_sql() + elig_sql() + PT + "SELECT request_id, player_id, season_games, season_hits, season_pct FROM pt"),
-    "rate_h2h": sql(req_sql() + elig_sql() + PT + "SELECT request_id, player_id, h2h_games, h2h_hits, h2h_pct FROM pt"),
-    "rate_last_n": sql(req_sql() + elig_sql() + PT + "SELECT request_id, player_id, l5_games, l5_hits, l5_pct, "
+    "rate_season": sql(targets_sql() + PT + "SELECT " + TARGET_SQL + ", season_games, season_hits, season_pct FROM pt"),
+    "rate_h2h": sql(targets_sql() + PT + "SELECT " + TARGET_SQL + ", h2h_games, h2h_hits, h2h_pct FROM pt"),
+    "rate_last_n": sql(targets_sql() + PT + "SELECT " + TARGET_SQL + ", l5_games, l5_hits, l5_pct, "
                        "l10_games, l10_hits, l10_pct, l20_games, l20_hits, l20_pct FROM pt"),
-    "rate_location": sql(req_sql() + elig_sql() + PT + "SELECT request_id, player_id, away_season_games, "
+    "rate_location": sql(targets_sql() + PT + "SELECT " + TARGET_SQL + ", away_season_games, "
                          "away_season_pct, home_season_games, home_season_pct FROM pt"),
     "chart_summary": sql(SEL + f"""
 SELECT {_SELK}, round(avg(shot_attempts), 6) AS avg_shot_attempts, round(avg(missed_shots), 6) AS avg_missed_shots,
        round(avg(toi_minutes), 6) AS avg_toi_minutes, round(avg(shifts), 6) AS avg_shifts
-FROM lr WHERE log_rank <= 25 GROUP BY {_SELK}"""),
+FROM (SELECT *, row_number() OVER (PARTITION BY {_SELK} ORDER BY date DESC, game_id DESC) AS r25 FROM lg
+      WHERE stat NOT IN ('saves', 'shots_against', 'goals_against')) WHERE r25 <= 25 GROUP BY {_SELK}"""),
     "schedule_days_rest": sql(REST + "SELECT * FROM rest"),
     "pbp_gwg_flag": sql(EV_FLAGS + "SELECT game_id, event_id, scoring_player_id, final_home_score, final_away_score, "
                         "winning_team_id, is_gwg_event FROM ev3 WHERE event_type = 'goal'"),
@@ -592,27 +638,29 @@ FROM schedule"""),
     "pbp_ppg_flag": sql(EV_FLAGS + "SELECT game_id, event_id, event_type, away_skaters, home_skaters, is_ppg_event FROM ev3"),
     "combine_boxscores": sql(COMB + "SELECT * FROM comb"),
     "backfill_merge": sql(COMB + "SELECT * FROM comb"),
-    "refresh_upsert": sql(DBOX + REST + PGS_BODY + comb_sql("comb", "dbox", "pgs") + comb_sql("zero", "dbox", None) + """
-, recent AS (SELECT game_id FROM schedule WHERE (CASE WHEN game_id % 11 = 0 THEN 'FUT' ELSE 'FINAL' END) IN ('OFF', 'FINAL') AND date BETWEEN '1997-08-16' AND '1997-08-22')
-SELECT * FROM zero WHERE date < '1997-08-23' AND game_id NOT IN (SELECT game_id FROM recent)
-UNION ALL SELECT * FROM comb WHERE game_id IN (SELECT game_id FROM recent)"""),
+    "refresh_upsert": sql(COMB + """
+, recent AS (SELECT game_id FROM schedule WHERE game_id % 11 <> 0 AND date BETWEEN '1996-08-23' AND '1997-08-22')
+SELECT * FROM comb WHERE game_id NOT IN (SELECT game_id FROM recent)
+UNION ALL SELECT * REPLACE (shifts + 1 AS shifts) FROM comb WHERE game_id IN (SELECT game_id FROM recent)"""),
     "win_flag": sql("""
 SELECT game_id, player_id, location, home_score, away_score,
        CASE WHEN location = 'home' AND home_score > away_score THEN 1
             WHEN location = 'away' AND away_score > home_score THEN 1 ELSE 0 END AS win FROM facts"""),
-    "dvp_schedule_strength": sql(dvp_scope("shots") + dvp_sql() + "SELECT season, stat, team, position, "
+    "dvp_schedule_strength": sql(dvp_scope(PROP_STATS_SQL) + dvp_sql() + "SELECT season, stat, team, position, "
                                  "round(schedule_strength_factor, 6) AS schedule_strength_factor FROM ss"),
-    "dvp_metrics": dvp_out("shots"),
-    "dvp_metrics_opponent": dvp_out("shots", "opponent"),
-    "dvp_metrics_nan": dvp_out("goals_against"),
-    "eligible_players": sql(req_sql() + elig_sql() + "SELECT * FROM elig"),
-    "eligible_players_roster": sql(req_sql() + elig_sql("1997-08-23") + "SELECT * FROM elig"),
-    "prop_table": sql(req_sql() + elig_sql() + PT + "SELECT * FROM pt"),
-    "prop_table_formatted": sql(req_sql() + elig_sql() + PTF + "SELECT * FROM ptf"),
-    "matchup_overview": sql(req_sql() + elig_sql() + PTF
+    "dvp_metrics": dvp_out(PROP_STATS_SQL),
+    "dvp_metrics_opponent": dvp_out(PROP_STATS_SQL, "opponent"),
+    "dvp_metrics_nan": dvp_out(["saves", "shots_against", "goals_against"]),
+    "eligible_players": sql(targets_sql() + f"SELECT {TARGET_SQL}, player_name, position_code FROM targets"),
+    "eligible_players_roster": sql(targets_sql("1990-01-01")
+                                   + f"SELECT {TARGET_SQL}, player_name, position_code FROM targets"),
+    "prop_table": sql(targets_sql() + PT + "SELECT * FROM pt"),
+    "prop_table_formatted": sql(targets_sql() + PTF + "SELECT * FROM ptf"),
+    "matchup_overview": sql(targets_sql() + PTF
                             + ", scope AS (SELECT DISTINCT req_season AS season, stat FROM targets)\n" + dvp_sql() + """
 SELECT p.*, CASE WHEN o.team IS NOT NULL AND x.team IS NOT NULL THEN o.dvp_rank ELSE 16 END AS "DvP_Rank"
-FROM ptf p JOIN targets t USING (request_id, player_id)
+FROM ptf p JOIN targets t ON t.matchup_id = p.matchup_id AND t.prop_id = p.prop_id AND t.player_id = p.player_id
+ AND t.team_abbrev = p."Team"
 LEFT JOIN dvp o ON o.season = t.req_season AND o.stat = t.stat AND o.team = t.team_abbrev AND o.position = t.position_code
 LEFT JOIN dvp x ON x.season = t.req_season AND x.stat = t.stat AND x.team = t.h2h_opponent AND x.position = t.position_code"""),
     "daily_slate": sql("""
@@ -624,17 +672,17 @@ FROM schedule"""),
     "matchup_options": sql("SELECT date, away_abbrev || ' @ ' || home_abbrev AS matchup, min(game_id) AS first_game_id "
                            "FROM schedule GROUP BY 1, 2"),
     "player_header": sql(SEL + f"""
-, ppl AS (SELECT DISTINCT request_id, player_id, selected_date, home, away FROM sel)
-, rr AS (SELECT player_id, full_player_name AS r_name, team_abbrev AS r_team,
+, ppl AS (SELECT DISTINCT matchup_id, player_id, selected_date, home, away FROM sel)
+, rr AS (SELECT player_id, full_player_name AS r_name, team_abbrev AS r_team, headshot_url,
                 row_number() OVER (PARTITION BY player_id ORDER BY team_abbrev, full_player_name) AS rn FROM roster)
 , lt AS (SELECT player_id, player_name AS h_name, team AS h_team,
                 row_number() OVER (PARTITION BY player_id ORDER BY date DESC, game_id DESC) AS rn FROM facts)
 , h AS (SELECT p.*, CASE WHEN r.player_id IS NOT NULL THEN r.r_name ELSE l.h_name END AS player_name,
                CASE WHEN r.player_id IS NOT NULL THEN r.r_team ELSE l.h_team END AS team,
-               {season_sql('p.selected_date')} AS cur
+               r.headshot_url, {season_sql('p.selected_date')} AS cur
         FROM ppl p LEFT JOIN rr r ON r.player_id = p.player_id AND r.rn = 1
         LEFT JOIN lt l ON l.player_id = p.player_id AND l.rn = 1)
-SELECT request_id, player_id, player_name, team,
+SELECT matchup_id, player_id, player_name, team, headshot_url,
        CASE WHEN team = home THEN away WHEN team = away THEN home END AS opponent_team,
        CASE WHEN team = home THEN 'vs' WHEN team = away THEN '@' END AS game_location,
        cur AS season_id,
@@ -649,7 +697,7 @@ FROM h"""),
           count(*) FILTER (WHERE log_rank <= 5) AS g5, count(*) FILTER (WHERE log_rank <= 5 AND value >= threshold) AS h5,
           count(*) FILTER (WHERE log_rank <= 10) AS g10, count(*) FILTER (WHERE log_rank <= 10 AND value >= threshold) AS h10
         FROM lr GROUP BY {_SELK})
-, k2 AS (SELECT s.request_id, s.player_id, s.spec_id,
+, k2 AS (SELECT s.matchup_id, s.prop_id, s.player_id, s.team_abbrev, s.spec_id,
     CASE WHEN COALESCE(sg,0) > 0 THEN CAST(sh AS DOUBLE) / CAST(sg AS DOUBLE) * 100.0 ELSE 0.0 END AS season_pct, CAST(COALESCE(sg,0) AS BIGINT) AS season_games,
     CASE WHEN COALESCE(hg,0) > 0 THEN CAST(hh AS DOUBLE) / CAST(hg AS DOUBLE) * 100.0 ELSE 0.0 END AS h2h_pct, CAST(COALESCE(hg,0) AS BIGINT) AS h2h_games,
     CASE WHEN COALESCE(g5,0) > 0 THEN CAST(h5 AS DOUBLE) / CAST(g5 AS DOUBLE) * 100.0 ELSE 0.0 END AS l5_pct, CAST(COALESCE(g5,0) AS BIGINT) AS l5_games,

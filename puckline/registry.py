@@ -25,8 +25,9 @@ from puckline.operators import props as pr
 from puckline.operators import quality as qa
 from puckline.operators import schedule as sc
 from puckline.operators import views as vw
-from puckline.operators.common import sides
-from puckline.session import apply_conf, shared_dir
+from puckline.operators.facts import GOALIE_PROPS, PROP_STATS
+from puckline.operators.common import pick_first, sides
+from puckline.session import apply_conf, materialize, shared_dir
 from puckline.sources import landing as ld
 from puckline.sources import proxies as px
 from puckline.sources import storage as st
@@ -35,21 +36,21 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 
 # Fixed parameters shared with the oracle SQL.
-SELECTED_DATE = "1997-08-23"
-HOCKEY_TODAY_PAST = "1997-08-24"     # selected date before it -> players who played
-HOCKEY_TODAY_ROSTER = "1997-08-23"   # selected date on it -> current roster
-DVP_SEASON = 19961997
+HOCKEY_TODAY = "1997-08-24"          # requests before it -> players who played, the others -> roster
+HOCKEY_TODAY_ROSTER = "1990-01-01"   # before all games: every request lists the roster
+ARCHIVE_SEASON = 19961997            # the season that write_roundtrip reads back and refresh_archive replaces
 AS_OF = "1997-08-23"
 REFRESH_DAYS = 7
-SEARCH_TEXT = "p1"
+UPSERT_DAYS = 365                    # a window that holds games with play-by-play
+SEARCH_TEXT = "p0"
 SAMPLE_AS_OF = "1999-01-01"
 MISSING_AS_OF = "2001-12-31"
 BACKFILL_SPLIT = "1997-06-01"        # stored raw rows: games before the old landing cut
 BACKFILL_OLD_CUT = "1997-08-16"      # new landing: games from the split on (overlap)
-VIEW_STATS = ("shots", "saves")
 # (spec_id, game filter, location filter, rest filter) for the player view.
 VIEW_SPECS = [(0, "season", "any", "any"), (1, "h2h", "any", "any"), (2, "L5", "home", "any"),
               (3, "L10", "any", "3+"), (4, "last_season", "away", "any"), (5, "L30", "any", "1")]
+ALL_DVP = (PROP_STATS, None)          # every prop stat, every season
 BOX_ORDER = ["src_line", "src_part", "src_qty", "src_price"]
 
 
@@ -92,30 +93,29 @@ def _combined(spark, sf):
                                 sc.with_days_rest(px.schedule(spark, sf)))
 
 
-def _requests(spark, sf, props=None):
-    g = px.games(spark, sf).filter(F.col("date") == SELECTED_DATE)
-    return pr.requests_for_games(g, props or pr.default_props())
+def _requests(spark, sf):
+    """Every prop of the catalogue for every game."""
+    return pr.requests_for_games(px.games(spark, sf), pr.default_props())
 
 
-def _targets(spark, sf, today=HOCKEY_TODAY_PAST):
+def _targets(spark, sf, today=HOCKEY_TODAY):
     return pr.targets_for(px.facts(spark, sf), px.roster(spark, sf), _requests(spark, sf), today)
 
 
 def _selections(spark, sf):
-    req = _requests(spark, sf).filter(F.col("stat").isin(*VIEW_STATS))
-    players = pr.eligible_players(req, px.facts(spark, sf), px.roster(spark, sf), HOCKEY_TODAY_PAST)
+    """The player view opened from every player's last request of each season
+    and prop, with every filter combination of ``VIEW_SPECS``."""
     specs = F.array(*[F.struct(F.lit(i).alias("spec_id"), F.lit(g).alias("game_filter"),
                                F.lit(loc).alias("location_filter"), F.lit(r).alias("rest_filter"))
                       for i, g, loc, r in VIEW_SPECS])
-    t = players.join(req, "request_id")
-    other = (F.when(F.col("team_abbrev") == F.col("home"), F.col("away"))
-             .when(F.col("team_abbrev") == F.col("away"), F.col("home")))
-    return t.select("request_id", "player_id", "selected_date", "home", "away", "stat", "threshold",
-                    other.alias("opponent_team"), F.inline(specs))
+    last = pick_first(_targets(spark, sf), ["player_id", "req_season", "prop_id"],
+                      [F.col("selected_date").desc(), F.col("matchup_id").desc(), "team_abbrev"])
+    return last.select(*pr.TARGET, "selected_date", "home", "away", "stat", "threshold",
+                       F.col("h2h_opponent").alias("opponent_team"), F.inline(specs))
 
 
-def _log(spark, sf):
-    return vw.player_log_filtered(px.facts(spark, sf), _selections(spark, sf))
+def _log(spark, sf, selections=None):
+    return vw.player_log_filtered(px.facts(spark, sf), selections or _selections(spark, sf))
 
 
 # ------------------------------------------------------------ sources and sinks
@@ -149,7 +149,7 @@ def q_roster_dim(spark, sf):
 def q_write_roundtrip(spark, sf):
     path = shared_dir(spark, "schedule")
     st.write_seasons(sc.with_days_rest(px.schedule(spark, sf)), path)
-    return st.scan_all_seasons(spark, path, seasons=[DVP_SEASON])
+    return st.scan_all_seasons(spark, path, seasons=[ARCHIVE_SEASON])
 
 
 @register("refresh_archive")
@@ -157,7 +157,7 @@ def q_refresh_archive(spark, sf):
     base = shared_dir(spark, "warehouse")
     combined = _combined(spark, sf).join(px.schedule(spark, sf).select("game_id", "season"), "game_id")
     st.write_seasons(combined, f"{base}/comprehensive")
-    new = combined.filter(F.col("season") == DVP_SEASON).withColumn("shifts", F.col("shifts") + 1)
+    new = combined.filter(F.col("season") == ARCHIVE_SEASON).withColumn("shifts", F.col("shifts") + 1)
     return st.archive_and_replace(new, f"{base}/comprehensive", f"{base}/archive",
                                   f"{base}/staging", "20240101_000000")
 
@@ -203,7 +203,7 @@ def q_filter_predicates(spark, sf):
 
 @register("semi_filter_games")
 def q_semi_filter_games(spark, sf):
-    return _box(spark, sf).join(px.pbp(spark, sf).select("game_id"), "game_id", "left_semi")
+    return _box(spark, sf).join(px.pbp(spark, sf).select("game_id").distinct(), "game_id", "left_semi")
 
 
 @register("filter_game_types")
@@ -236,14 +236,13 @@ def q_join_box_stats(spark, sf):
 
 @register("dvp_matchup")
 def q_dvp_matchup(spark, sf):
-    facts = px.facts(spark, sf)
     t = _targets(spark, sf)
-    players = t.select("request_id", "player_id", F.col("req_season").alias("season"), "stat",
+    players = t.select(*pr.TARGET, F.col("req_season").alias("season"), "stat",
                        F.col("team_abbrev").alias("team"), F.col("h2h_opponent").alias("opponent"),
                        F.col("position_code").alias("position"))
     scope = players.select("season", "stat").distinct()
-    out = dv.dvp_matchup(players, dv.dvp_metrics(facts, scope))
-    return r6(out.drop("dvp_formatted", "dvp_value"), ["opponent_avg"])
+    out = dv.dvp_matchup(players, dv.dvp_metrics(px.facts(spark, sf), scope))
+    return r6(_safe_dvp(out, "dvp_exact").drop("dvp_exact", "team"), ["opponent_avg"])
 
 
 @register("history_asof")
@@ -251,6 +250,12 @@ def q_history_asof(spark, sf):
     return pr.history_asof(px.facts(spark, sf), _targets(spark, sf))
 
 
+@register("requests_for_matchups")
+def q_requests_for_matchups(spark, sf):
+    options = vw.matchup_options(px.schedule(spark, sf))
+    return pr.requests_for_matchups(options.withColumnRenamed("first_game_id", "selection_id"), pr.default_props())
+
+
 # ------------------------------------------------------------ aggregations
 
 @register("player_game_stats")
@@ -260,39 +265,36 @@ def q_player_game_stats(spark, sf):
 
 @register("dvp_team_defense")
 def q_dvp_team_defense(spark, sf):
-    return r6(dv.dvp_team_defense(px.facts(spark, sf), (["shots"], [DVP_SEASON])), ["avg_allowed"])
+    return r6(dv.dvp_team_defense(px.facts(spark, sf), ALL_DVP), ["avg_allowed"])
 
 
 @register("dvp_position_avg")
 def q_dvp_position_avg(spark, sf):
-    return r6(dv.dvp_position_avg(px.facts(spark, sf), (["shots"], [DVP_SEASON])), ["league_avg"])
+    return r6(dv.dvp_position_avg(px.facts(spark, sf), ALL_DVP), ["league_avg"])
+
+
+def _rates(spark, sf, columns):
+    return pr.rates(px.facts(spark, sf), _targets(spark, sf)).select(*pr.TARGET, *columns)
 
 
 @register("rate_season")
 def q_rate_season(spark, sf):
-    facts, t = px.facts(spark, sf), _targets(spark, sf)
-    return pr.season_location_rates(pr.rate_season(facts, t)).select(
-        "request_id", "player_id", "season_games", "season_hits", "season_pct")
+    return _rates(spark, sf, pr.season_cols())
 
 
 @register("rate_h2h")
 def q_rate_h2h(spark, sf):
-    facts, t = px.facts(spark, sf), _targets(spark, sf)
-    return pr.h2h_rates(t, pr.rate_h2h(facts, t))
+    return _rates(spark, sf, pr.h2h_cols())
 
 
 @register("rate_last_n")
 def q_rate_last_n(spark, sf):
-    facts, t = px.facts(spark, sf), _targets(spark, sf)
-    return pr.last_n_rates(pr.rate_last_n(facts, t))
+    return _rates(spark, sf, pr.last_n_cols())
 
 
 @register("rate_location")
 def q_rate_location(spark, sf):
-    facts, t = px.facts(spark, sf), _targets(spark, sf)
-    return pr.season_location_rates(pr.rate_season(facts, t)).select(
-        "request_id", "player_id", "away_season_games", "away_season_pct",
-        "home_season_games", "home_season_pct")
+    return _rates(spark, sf, pr.location_cols())
 
 
 @register("chart_summary")
@@ -436,15 +438,13 @@ def q_backfill_merge(spark, sf):
 
 @register("refresh_upsert")
 def q_refresh_upsert(spark, sf):
+    """The games of the refresh window land again, with one more shift per player."""
     sched = sc.with_days_rest(px.schedule(spark, sf))
-    box = _box(spark, sf)
-    existing = bx.combine_boxscores(box, None, sched).filter(F.col("date") < AS_OF)
-    recent = sc.recent_games(ld.flatten_scores(ld.landed_scores(spark, sf)), AS_OF, REFRESH_DAYS)
-    ids = recent.select("game_id")
-    incoming = bx.combine_boxscores(box.join(ids, "game_id", "left_semi"),
-                                    pb.player_game_stats(px.pbp(spark, sf).join(ids, "game_id", "left_semi")),
-                                    sched)
-    return mt.upsert_games(existing, incoming)
+    ids = sc.recent_games(ld.flatten_scores(ld.landed_scores(spark, sf)), AS_OF, UPSERT_DAYS).select("game_id")
+    landed = _box(spark, sf).join(ids, "game_id", "left_semi").withColumn("shifts", F.col("shifts") + 1)
+    incoming = bx.combine_boxscores(
+        landed, pb.player_game_stats(px.pbp(spark, sf).join(ids, "game_id", "left_semi")), sched)
+    return mt.upsert_games(_combined(spark, sf), incoming)
 
 
 @register("build_facts")
@@ -459,37 +459,50 @@ def q_win_flag(spark, sf):
                     fc.win_flag(f).alias("win"))
 
 
-def _dvp(spark, sf, stats, key="team"):
-    d = dv.dvp_metrics(px.facts(spark, sf), (stats, [DVP_SEASON]), key)
-    return r6(d.drop("dvp_value", "dvp_formatted"),
+def _safe_dvp(df, exact):
+    """Rounded values and texts where no rounding tie and no signed zero can
+    make two engines differ; null elsewhere."""
+    x = F.col(exact)
+
+    def tie(scale):
+        return F.abs(x * scale - F.floor(x * scale) - 0.5) < 1e-6
+
+    return df.withColumns({
+        "dvp_value": F.when(~tie(100) & (F.abs(x) >= 0.05), F.col("dvp_value")),
+        "dvp_formatted": F.when(~tie(10) & (F.abs(x) >= 0.05), F.col("dvp_formatted"))})
+
+
+def _dvp(spark, sf, stats=PROP_STATS, key="team"):
+    d = dv.dvp_metrics(px.facts(spark, sf), (stats, None), key)
+    return r6(_safe_dvp(d, "schedule_adjusted_dvp"),
               ["schedule_adjusted_dvp", "avg_allowed", "league_avg", "schedule_strength_factor"])
 
 
 @register("dvp_schedule_strength")
 def q_dvp_schedule_strength(spark, sf):
-    return r6(dv.dvp_schedule_strength(px.facts(spark, sf), (["shots"], [DVP_SEASON])),
+    return r6(dv.dvp_schedule_strength(px.facts(spark, sf), ALL_DVP),
               ["schedule_strength_factor"])
 
 
 @register("dvp_metrics")
 def q_dvp_metrics(spark, sf):
-    return _dvp(spark, sf, ["shots"])
+    return _dvp(spark, sf)
 
 
 @register("dvp_metrics_opponent")
 def q_dvp_metrics_opponent(spark, sf):
-    return _dvp(spark, sf, ["shots"], "opponent")
+    return _dvp(spark, sf, key="opponent")
 
 
 @register("dvp_metrics_nan")
 def q_dvp_metrics_nan(spark, sf):
-    return _dvp(spark, sf, ["goals_against"])
+    return _dvp(spark, sf, GOALIE_PROPS)
 
 
 @register("eligible_players")
 def q_eligible_players(spark, sf):
     return pr.eligible_players(_requests(spark, sf), px.facts(spark, sf), px.roster(spark, sf),
-                               HOCKEY_TODAY_PAST)
+                               HOCKEY_TODAY)
 
 
 @register("eligible_players_roster")
@@ -501,7 +514,7 @@ def q_eligible_players_roster(spark, sf):
 @register("prop_table")
 def q_prop_table(spark, sf):
     return pr.prop_table(px.facts(spark, sf), px.roster(spark, sf), _requests(spark, sf),
-                         HOCKEY_TODAY_PAST)
+                         HOCKEY_TODAY)
 
 
 @register("prop_table_formatted")
@@ -512,7 +525,7 @@ def q_prop_table_formatted(spark, sf):
 @register("matchup_overview")
 def q_matchup_overview(spark, sf):
     return pr.matchup_overview(px.facts(spark, sf), px.roster(spark, sf), _requests(spark, sf),
-                               HOCKEY_TODAY_PAST).drop("DvP")
+                               HOCKEY_TODAY).drop("DvP")
 
 
 @register("daily_slate")
@@ -532,7 +545,8 @@ def q_player_header(spark, sf):
 
 @register("kpi_rates")
 def q_kpi_rates(spark, sf):
-    return vw.kpi_rates(_log(spark, sf), _selections(spark, sf))
+    selections = materialize(_selections(spark, sf))
+    return vw.kpi_rates(_log(spark, sf, selections), selections)
 
 
 # ------------------------------------------------------------ data quality
@@ -550,3 +564,8 @@ def q_join_coverage(spark, sf):
 @register("goal_reconciliation")
 def q_goal_reconciliation(spark, sf):
     return qa.goal_reconciliation(px.pbp(spark, sf), _stats(spark, sf))
+
+
+@register("first_goal_events")
+def q_first_goal_events(spark, sf):
+    return qa.first_goal_events(px.pbp(spark, sf))

@@ -77,7 +77,7 @@ FACT_NUMERIC = [
 FACT_STRING = ["player_name", "team", "opponent", "location", "position", "decision"]
 
 PROP_REQUESTS = _struct(
-    ("request_id", _L), ("selected_date", T.DateType()), ("home", _S), ("away", _S),
+    ("matchup_id", _L), ("prop_id", _I), ("selected_date", T.DateType()), ("home", _S), ("away", _S),
     ("player_type", _S), ("stat", _S), ("threshold", _D),
 )
 

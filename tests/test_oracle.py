@@ -10,8 +10,8 @@ SF = "/root/testdata/sf0.001"
 
 
 def _keys():
-    from __spark_entry__ import oracle_sql
-    return sorted(oracle_sql())
+    from puckline.oracle import ORACLE
+    return sorted(ORACLE)
 
 
 @pytest.fixture(scope="module")
@@ -22,19 +22,22 @@ def con():
     return c
 
 
-def test_every_query_is_registered_with_oracle_or_rows_only():
+def test_every_query_has_an_oracle_and_is_registered():
     from __spark_entry__ import oracle_sql, queries
-    q, o = queries(), oracle_sql()
-    assert set(o) <= set(q)
-    assert set(q) - set(o) == {"write_roundtrip", "refresh_archive"}
+    from puckline.oracle import ORACLE
+    from puckline.registry import QUERIES
+    assert set(ORACLE) == set(QUERIES)
+    assert set(QUERIES) <= set(queries()) and set(ORACLE) <= set(oracle_sql())
 
 
 @pytest.mark.parametrize("name", _keys())
 def test_query_matches_oracle(spark, con, name):
-    from __spark_entry__ import oracle_sql, queries
-    df = queries()[name](spark, SF)
+    from puckline.oracle import ORACLE
+    from puckline.registry import QUERIES
+    df = QUERIES[name](spark, SF)
     s_rows = [tuple(r) for r in df.collect()]
-    res = con.execute(oracle_sql()[name])
+    assert s_rows, "an empty result shows nothing"
+    res = con.execute(ORACLE[name])
     d_cols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(d_cols)
     assert rows_of(df.columns, s_rows) == rows_of(d_cols, res.fetchall())

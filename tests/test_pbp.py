@@ -106,4 +106,4 @@ def test_first_goal_events_and_requests_from_matchups(spark):
     assert [r.event_id for r in sorted(got, key=lambda r: r.goal_rank)] == list(range(1, 11))
     sel = spark.createDataFrame([(5, dt.date(2024, 1, 2), "AAA @ BBB")], "selection_id bigint, date string, matchup string")
     req = pr.requests_for_matchups(sel, [("Skater", "shots", 1.5)]).collect()
-    assert (req[0].home, req[0].away, req[0].request_id) == ("BBB", "AAA", 500)
+    assert (req[0].home, req[0].away, req[0].matchup_id) == ("BBB", "AAA", 5)

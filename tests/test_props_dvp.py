@@ -28,8 +28,10 @@ def facts_df(spark, rows):
 
 
 def requests_df(spark, rows):
-    return spark.createDataFrame(rows, "request_id bigint, selected_date date, home string, away string, "
-                                       "player_type string, stat string, threshold double")
+    """rows: (matchup_id, selected_date, home, away, player_type, stat, threshold); prop 0."""
+    return spark.createDataFrame([(r[0], 0, *r[1:]) for r in rows],
+                                 "matchup_id bigint, prop_id int, selected_date date, home string, away string, "
+                                 "player_type string, stat string, threshold double")
 
 
 def roster_df(spark, rows):
@@ -85,38 +87,36 @@ def test_half_up_table_and_half_even_kpi(spark):
     tab = pr.prop_table_formatted(pr.prop_table(facts, roster_df(spark, [("A", 9, "X", "C", None)]), req, day(30)))
     got = {r.player_id: r["Season (Formatted)"] for r in tab.collect()}
     assert got == {1: "13% (8g)", 2: "38% (8g)"}
-    sel = spark.createDataFrame([(1, 1, 0, day(7), "A", "B", "shots", 1.5, "B", "season", "any", "any"),
-                                 (1, 2, 0, day(7), "A", "B", "shots", 1.5, "A", "season", "any", "any")],
-                                "request_id bigint, player_id bigint, spec_id int, selected_date date, home string, "
-                                "away string, stat string, threshold double, opponent_team string, "
+    sel = spark.createDataFrame([(1, 0, 1, "A", 0, day(7), "A", "B", "shots", 1.5, "B", "season", "any", "any"),
+                                 (1, 0, 2, "B", 0, day(7), "A", "B", "shots", 1.5, "A", "season", "any", "any")],
+                                "matchup_id bigint, prop_id int, player_id bigint, team_abbrev string, spec_id int, "
+                                "selected_date date, home string, away string, stat string, threshold double, opponent_team string, "
                                 "game_filter string, location_filter string, rest_filter string")
     k = {r.player_id: r for r in vw.kpi_rates(vw.player_log_filtered(facts, sel), sel).collect()}
     assert (k[1].season_text, k[2].season_text) == ("12%", "38%")
 
 
-def test_asof_rates_equal_brute_force(spark):
+def test_rates_equal_a_direct_join(spark):
     sf = "/root/testdata/sf0.001"
     facts, roster = px.facts(spark, sf), px.roster(spark, sf)
     g = px.games(spark, sf).filter(F.col("date").between("1998-01-01", "1999-06-30"))
     req = pr.requests_for_games(g, pr.default_props())
     fast = pr.prop_table(facts, roster, req, "2001-12-31")
     t = pr.targets_for(facts, roster, req, "2001-12-31")
-    h = pr.history_asof(facts, t).join(t.select("request_id", "player_id", "stat", "threshold", "req_season",
-                                               "h2h_opponent"), ["request_id", "player_id"])
-    value = pr.stat_value(F.col("stat"))
-    h = h.join(facts.select("game_id", "player_id", *PROP_STATS), ["game_id", "player_id"]).withColumn(
-        "hit", value >= F.col("threshold"))
+    h = (t.drop("player_name").join(facts.drop("team"), "player_id")
+         .filter(F.col("date") <= F.col("selected_date"))
+         .withColumn("hit", pr.stat_value(F.col("stat")) >= F.col("threshold")))
     from pyspark.sql import Window
-    w = Window.partitionBy("request_id", "player_id").orderBy(F.col("date").desc())
+    w = Window.partitionBy(*pr.TARGET).orderBy(F.col("date").desc())
     h = h.withColumn("rk", F.dense_rank().over(w))
-    brute = h.groupBy("request_id", "player_id").agg(
+    brute = h.groupBy(*pr.TARGET).agg(
         F.count_if(F.col("season") == F.col("req_season")).alias("sg"),
         F.count_if((F.col("season") == F.col("req_season")) & F.col("hit")).alias("sh"),
         F.count_if(F.col("opponent") == F.col("h2h_opponent")).alias("hg"),
         F.count_if((F.col("rk") <= 10) & F.col("hit")).alias("h10"),
         F.count_if(F.col("rk") <= 20).alias("g20"),
         F.count_if((F.col("season") == F.col("req_season")) & (F.col("location") == "away")).alias("ga"))
-    j = fast.join(brute, ["request_id", "player_id"], "left")
+    j = fast.join(brute, pr.TARGET, "left")
     assert fast.count() > 50
     bad = j.filter(
         (F.col("season_games") != F.coalesce("sg", F.lit(0)))
@@ -128,6 +128,87 @@ def test_asof_rates_equal_brute_force(spark):
     assert bad.count() == 0
 
 
+def _history(spark, n=6):
+    rows = []
+    for i in range(n):
+        rows.append(dict(game_id=i, date=day(i), player_id=1, team="A", opponent="B", location="home", shots=2.0))
+        rows.append(dict(game_id=i, date=day(i), player_id=2, team="B", opponent="A", location="away", shots=0.0))
+    return facts_df(spark, rows)
+
+
+def test_player_on_both_rosters_gets_one_row_per_team(spark):
+    facts = _history(spark)
+    roster = roster_df(spark, [("A", 1, "P1", "C", None), ("B", 1, "P1", "C", None)])
+    req = requests_df(spark, [(1, day(9), "A", "B", "Skater", "shots", 1.5)])
+    rows = pr.prop_table(facts, roster, req, day(9)).collect()
+    assert sorted((r.team_abbrev, r.season_games, r.h2h_games) for r in rows) == [("A", 6, 6), ("B", 6, 0)]
+    shown = pr.matchup_overview(facts, roster, req, day(9)).collect()
+    assert sorted(r["Team"] for r in shown) == ["A", "B"]
+
+
+def test_roster_row_listed_twice_counts_once(spark):
+    facts = _history(spark)
+    roster = roster_df(spark, [("A", 1, "P1", "C", None), ("A", 1, "P1", "C", None), ("A", 1, "P1", "C", "h")])
+    req = requests_df(spark, [(1, day(9), "A", "B", "Skater", "shots", 1.5)])
+    assert pr.prop_table(facts, roster, req, day(9)).count() == 1
+    assert pr.matchup_overview(facts, roster, req, day(9)).count() == 1
+
+
+def test_more_than_a_hundred_props_keep_apart(spark):
+    facts = _history(spark)
+    games = spark.createDataFrame([(1, "2024-01-10", "A", "B"), (2, "2024-01-10", "A", "B")],
+                                  "game_id bigint, date string, home_abbrev string, away_abbrev string")
+    req = pr.requests_for_games(games, [("Skater", "shots", i / 100) for i in range(250)])
+    roster = roster_df(spark, [("A", 1, "P1", "C", None)])
+    table = pr.prop_table(facts, roster, req, day(0))
+    assert table.count() == table.select(*pr.TARGET).distinct().count() == 500
+    assert table.filter("season_hits <> IF(threshold <= 2.0, 6, 0)").count() == 0
+
+
+def test_unknown_stat_is_an_error(spark):
+    import pytest
+    req = requests_df(spark, [(1, day(9), "A", "B", "Skater", "pim", 1.5)])
+    with pytest.raises(Exception, match="not a prop stat: pim"):
+        pr.prop_table(_history(spark), roster_df(spark, [("A", 1, "P1", "C", None)]), req, day(9)).collect()
+
+
+def _plan(spark, df):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_rates_read_the_history_once(spark, tmp_dir):
+    import os
+    sf = "/root/testdata/sf0.001"
+    path = os.path.join(tmp_dir, "facts")
+    px.facts(spark, sf).write.parquet(path)
+    facts, roster = spark.read.parquet(path), px.roster(spark, sf)
+    req = pr.requests_for_games(px.games(spark, sf), pr.default_props())
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = pr.prop_table(facts, roster, req, "1997-08-24")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("FileScan parquet") == 1
+    assert plan.count("REPARTITION_BY_COL") == 1
+
+
+def test_player_log_reads_the_facts_twice_at_most(spark, tmp_dir):
+    import os
+    sf = "/root/testdata/sf0.001"
+    path = os.path.join(tmp_dir, "facts")
+    px.facts(spark, sf).write.parquet(path)
+    sel = spark.createDataFrame([], "matchup_id bigint, prop_id int, player_id bigint, team_abbrev string, spec_id int, "
+                                    "selected_date date, home string, away string, stat string, threshold double, "
+                                    "opponent_team string, game_filter string, location_filter string, rest_filter string")
+    sel.write.parquet(os.path.join(tmp_dir, "sel"))
+    log = vw.player_log_filtered(spark.read.parquet(path), spark.read.parquet(os.path.join(tmp_dir, "sel")))
+    assert _plan(spark, log).count("FileScan parquet") <= 3  # facts, most recent facts, selections
+
+
 def test_dvp_nan_factor_and_default_matchup(spark):
     rows = []
     for i, (team, opp) in enumerate([("A", "B"), ("B", "A"), ("A", "C"), ("C", "A")]):
@@ -156,7 +237,7 @@ def test_eligible_players_roster_vs_history(spark):
                                ("Z", 9, "Nine", "C", None)])
     req = requests_df(spark, [(1, day(0), "A", "B", "Skater", "shots", 1.5),
                               (2, day(0), "A", "B", "Goalie", "saves", 24.5)])
-    past = sorted((r.request_id, r.player_id) for r in pr.eligible_players(req, facts, roster, day(1)).collect())
+    past = sorted((r.matchup_id, r.player_id) for r in pr.eligible_players(req, facts, roster, day(1)).collect())
     assert past == [(1, 1), (2, 2)]
-    fut = sorted((r.request_id, r.player_id) for r in pr.eligible_players(req, facts, roster, day(0)).collect())
+    fut = sorted((r.matchup_id, r.player_id) for r in pr.eligible_players(req, facts, roster, day(0)).collect())
     assert fut == [(1, 7), (2, 8)]

@@ -7,7 +7,7 @@ under the session's checkpoint location; that time is reported as
 ``setup_sec``.  Each headline query then reads the stored tables - as the
 pipeline and the dashboard do - and runs end to end with
 ``write.format("noop")`` (every row computed, nothing collected).  One warm-up
-run, then the median of ``BENCH_RUNS`` (default 5) timed runs per query.
+run, then the median of ``BENCH_RUNS`` (default 3) timed runs per query.
 Shuffle bytes and shuffle map stages per query come from Spark's event log,
 written to a scratch folder.
 
@@ -36,11 +36,13 @@ from puckline.operators import pbp as pb  # noqa: E402
 from puckline.operators import props as pr  # noqa: E402
 from puckline.operators import quality as qa  # noqa: E402
 from puckline.operators import schedule as sc  # noqa: E402
+from puckline.operators import views as vw  # noqa: E402
 from puckline.session import get_spark, shared_dir  # noqa: E402
 from puckline.sources import landing as ld  # noqa: E402
 from puckline.sources import proxies as px  # noqa: E402
 
-MANY_FROM = "1997-08-20"  # prop requests for every game from this date to the selected date
+DATE = "1997-08-23"
+MANY_FROM = "1997-08-20"  # prop requests for every game from this date to DATE
 
 
 class Store:
@@ -55,6 +57,7 @@ class Store:
         self._put("facts", px.facts(spark, sf))
         self._put("roster", px.roster(spark, sf))
         self._put("scores", ld.landed_scores(spark, sf))
+        self._put("selections", rg._selections(spark, sf))
         self._put("comprehensive", bx.combine_boxscores(
             self.box, pb.player_game_stats(self.pbp), sc.with_days_rest(self.schedule)))
         self.setup_sec = time.perf_counter() - t0
@@ -74,30 +77,36 @@ def headline(st: Store) -> dict:
         return pr.requests_for_games(g, pr.default_props())
 
     def prop_one():
-        one = requests(rg.SELECTED_DATE, rg.SELECTED_DATE).orderBy("request_id").limit(1)
-        return pr.prop_table(st.facts, st.roster, one, rg.HOCKEY_TODAY_PAST)
+        one = requests(DATE, DATE).orderBy(*pr.REQUEST).limit(1)
+        return pr.prop_table(st.facts, st.roster, one, rg.HOCKEY_TODAY)
+
+    def log(selections):
+        return vw.player_log_filtered(st.facts, selections)
 
     def refresh_upsert():
-        recent = sc.recent_games(ld.flatten_scores(st.scores), rg.AS_OF, rg.REFRESH_DAYS)
+        recent = sc.recent_games(ld.flatten_scores(st.scores), rg.AS_OF, rg.UPSERT_DAYS)
         ids = recent.select("game_id")
         incoming = bx.combine_boxscores(st.box.join(ids, "game_id", "left_semi"),
                                         pb.player_game_stats(st.pbp.join(ids, "game_id", "left_semi")),
                                         sc.with_days_rest(st.schedule))
         return mt.upsert_games(st.comprehensive, incoming)
 
-    seasons = list(range(19941995, 20022003, 10001))
+    everything = ("1900-01-01", "2100-01-01")
     return {
         "player_game_stats": lambda: pb.player_game_stats(st.pbp),
         "schedule_days_rest": lambda: sc.with_days_rest(st.schedule),
         "combine_boxscores": lambda: bx.combine_boxscores(
             st.box, pb.player_game_stats(st.pbp), sc.with_days_rest(st.schedule)),
         "build_facts": lambda: fc.build_facts(st.comprehensive, st.schedule, st.roster),
-        "dvp_all_stats_seasons": lambda: dv.dvp_metrics(st.facts, (fc.PROP_STATS, seasons)),
+        "dvp_all_stats_seasons": lambda: dv.dvp_metrics(st.facts, rg.ALL_DVP),
         "prop_table_1": prop_one,
         "prop_table_many": lambda: pr.prop_table(st.facts, st.roster,
-                                                 requests(MANY_FROM, rg.SELECTED_DATE), rg.HOCKEY_TODAY_PAST),
+                                                 requests(MANY_FROM, DATE), rg.HOCKEY_TODAY),
+        "prop_table_all": lambda: pr.prop_table(st.facts, st.roster, requests(*everything), rg.HOCKEY_TODAY),
         "matchup_overview": lambda: pr.matchup_overview(
-            st.facts, st.roster, requests(rg.SELECTED_DATE, rg.SELECTED_DATE), rg.HOCKEY_TODAY_PAST),
+            st.facts, st.roster, requests(DATE, DATE), rg.HOCKEY_TODAY),
+        "player_log_filtered": lambda: log(st.selections),
+        "kpi_rates": lambda: vw.kpi_rates(log(st.selections), st.selections),
         "refresh_upsert": refresh_upsert,
         "goal_reconciliation": lambda: qa.goal_reconciliation(st.pbp, pb.player_game_stats(st.pbp)),
     }
@@ -142,7 +151,7 @@ def shuffle_stats(log_dir: str) -> dict:
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "5"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     partitions = max(cpus, 8)
     log_dir = tempfile.mkdtemp(prefix="bench-eventlog-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark = get_spark(master=f"local[{cpus}]", shuffle_partitions=partitions,

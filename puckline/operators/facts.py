@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from puckline.functions.scalar import season_of_date
 from puckline.operators.common import pick_first
 from puckline.schemas import FACT_NUMERIC, FACT_STRING
 
@@ -51,11 +52,17 @@ def win_flag(df: DataFrame) -> Column:
             .otherwise(0).cast("int"))
 
 
-def build_facts(boxscores: DataFrame, schedule: DataFrame, roster: DataFrame | None) -> DataFrame:
+def build_facts(boxscores: DataFrame, schedule: DataFrame | None, roster: DataFrame | None) -> DataFrame:
     """Combined boxscores -> dashboard facts: roster names win over boxscore
     names, stats as double (null -> 0), text null -> ``Unknown``, rows without a
     readable date dropped, schedule context joined by game, ``win`` and ``b2b``.
+
+    Without a schedule the season comes from the date, the game type is 2,
+    scores are null and ``win`` is 0; without a ``days_rest`` column the rest
+    is unknown (99).
     """
+    if "days_rest" not in boxscores.columns:
+        boxscores = boxscores.withColumn("days_rest", F.lit(None).cast("int"))
     df = boxscores
     if roster is not None:
         df = (df.join(roster_names(roster), "player_id", "left")
@@ -68,14 +75,13 @@ def build_facts(boxscores: DataFrame, schedule: DataFrame, roster: DataFrame | N
     casts.update({c: F.coalesce(F.col(c), F.lit(UNKNOWN)) for c in FACT_STRING if c in df.columns})
     casts["date"] = date
     df = df.withColumns(casts).filter(F.col("date").isNotNull())
-    sched_cols = ["game_id", "season", "game_type", "home_score", "away_score",
-                  "home_abbrev", "away_abbrev"]
-    sched = pick_first(schedule.select(*sched_cols, "date", "start_time", "venue"),
-                       ["game_id"], ["date", "season", "game_type", "home_abbrev", "away_abbrev",
-                                     "home_score", "away_score", "start_time", "venue"])
-    sched = (sched.withColumn("_d", F.try_to_date(F.col("date"), "yyyy-MM-dd"))
-             .filter(F.col("_d").isNotNull()).select(*sched_cols))
-    df = df.join(sched, "game_id", "left")
+    if schedule is None:
+        df = df.withColumns({
+            "season": season_of_date("date"), "game_type": F.lit(None).cast("bigint"),
+            **{c: F.lit(None).cast("bigint") for c in ("home_score", "away_score")},
+            **{c: F.lit(None).cast("string") for c in ("home_abbrev", "away_abbrev")}})
+    else:
+        df = _with_schedule(df, schedule)
     df = df.withColumns({
         "win": win_flag(df),
         "season": F.coalesce(F.col("season"), F.lit(0)).cast("bigint"),
@@ -85,6 +91,18 @@ def build_facts(boxscores: DataFrame, schedule: DataFrame, roster: DataFrame | N
     return df.withColumn("b2b", F.col("days_rest") == 0)
 
 
+def _with_schedule(df: DataFrame, schedule: DataFrame) -> DataFrame:
+    """Season, type, scores and sides of each row's game (null for an unknown game)."""
+    sched_cols = ["game_id", "season", "game_type", "home_score", "away_score",
+                  "home_abbrev", "away_abbrev"]
+    sched = pick_first(schedule.select(*sched_cols, "date", "start_time", "venue"),
+                       ["game_id"], ["date", "season", "game_type", "home_abbrev", "away_abbrev",
+                                     "home_score", "away_score", "start_time", "venue"])
+    sched = (sched.withColumn("_d", F.try_to_date(F.col("date"), "yyyy-MM-dd"))
+             .filter(F.col("_d").isNotNull()).select(*sched_cols))
+    return df.join(sched, "game_id", "left")
+
+
 def stats_long(facts: DataFrame, stats: Sequence[str] = tuple(PROP_STATS),
                keep: Sequence[str] = ("game_id", "player_id", "date", "season", "team",
                                       "opponent", "location", "position")) -> DataFrame:

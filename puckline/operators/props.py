@@ -10,13 +10,13 @@ dated on or before the request date:
 * last N   - games on the player's N most recent distinct dates (ties share);
 * location - season games split by home / away.
 
-Plan (no requests x history product): the history is read once and reduced to
-one row per (player, stat, threshold, date, season, opponent, location).  The
-distinct (player, stat, threshold, date, season, opponent) look-ups of all
-requests are unioned in as markers without games, and running sums over the
-one shared partitioning give all rates at every marker.  A window partition
-holds one row per date and opponent of one player's stat: it is bounded by the
-calendar and the number of teams, not by the number of requests.
+Plan (no requests x history product): the history is read and reduced to one
+row per (player, stat, threshold, date) and season, and per opponent where
+that is asked for.  The distinct look-ups of all requests are unioned in as
+markers without games, and running sums over the one shared partitioning give
+all rates at every marker.  A window partition holds one row per date of one
+player's stat (and opponent): it is bounded by the calendar, not by the number
+of games or requests.
 """
 
 from __future__ import annotations
@@ -126,17 +126,25 @@ KEY = ["player_id", "stat", "threshold"]
 
 
 def daily_detail(facts: DataFrame, targets: DataFrame) -> DataFrame:
-    """Games and hits per (player, stat, threshold, date, season, opponent,
-    location), for the keys requested: the one shape all rates come from.
+    """Games and hits per (player, stat, threshold) and date, for the keys
+    requested: once per season (opponent null), with the home and away parts,
+    and once per opponent that is asked for head-to-head (season null).
 
     The key set is small (bounded by the requests); joining it on player_id
-    and picking the stat with a CASE avoids unpivoting all prop stats."""
-    keys = targets.select(*KEY).distinct()
+    and picking the stat with a CASE avoids unpivoting all prop stats.  A key's
+    set of opponents is bounded by the number of teams."""
+    keys = targets.groupBy(*KEY).agg(F.collect_set("h2h_opponent").alias("wanted"))
     h = facts.select("player_id", "date", "season", "opponent", "location", *PROP_STATS).join(keys, "player_id")
-    hit = stat_value(F.col("stat")) >= F.col("threshold")
-    return (h.select(*KEY, "date", "season", "opponent", "location", hit.cast("bigint").alias("hit"))
-            .groupBy(*KEY, "date", "season", "opponent", "location")
-            .agg(F.count(F.lit(1)).alias("g"), F.sum("hit").alias("h")))
+    by_season = F.struct(F.col("season").alias("season"), F.lit(None).cast("string").alias("opponent"))
+    by_opponent = F.struct(F.lit(None).cast("bigint").alias("season"), F.col("opponent").alias("opponent"))
+    both = F.when(F.array_contains("wanted", F.col("opponent")), F.array(by_season, by_opponent)).otherwise(F.array(by_season))
+    hit = (stat_value(F.col("stat")) >= F.col("threshold")).cast("bigint")
+    home, away = F.col("location") == "home", F.col("location") == "away"
+    return (h.select(*KEY, "date", "location", hit.alias("hit"), F.inline(both))
+            .groupBy(*KEY, "opponent", "season", "date")
+            .agg(F.count(F.lit(1)).alias("g"), F.sum("hit").alias("h"),
+                 F.count(F.when(home, 1)).alias("gh"), F.sum(F.when(home, F.col("hit")).otherwise(0)).alias("hh"),
+                 F.count(F.when(away, 1)).alias("ga"), F.sum(F.when(away, F.col("hit")).otherwise(0)).alias("ha")))
 
 
 def history_asof(facts: DataFrame, targets: DataFrame) -> DataFrame:
@@ -154,43 +162,41 @@ def history_asof(facts: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def rates(facts: DataFrame, targets: DataFrame) -> DataFrame:
-    """Counts for every target: season (g, h), home (gh, hh) and away (ga, ha)
+    """Counts for every target: season (sg, sh), home (gh, hh) and away (ga, ha)
     in the season, head-to-head (go, ho) and the last N dates (g5, h5, ...)."""
-    detail = daily_detail(facts, targets).withColumn("_m", F.lit(0))
-    marks = targets.select(*KEY, F.col("selected_date").alias("date"), F.col("req_season").alias("season"),
-                           F.col("h2h_opponent").alias("opponent")).distinct().select(
-        "*", F.lit(None).cast("string").alias("location"), F.lit(0).cast("bigint").alias("g"),
-        F.lit(0).cast("bigint").alias("h"), F.lit(1).alias("_m"))
-    both = detail.unionByName(marks).repartition(*KEY)
-
-    def running(*part: str):
-        """Everything dated on or before a row; a date's games come before its markers."""
-        return (Window.partitionBy(*KEY, *part).orderBy("date", "_m")
-                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-
+    sums = ["g", "h", "gh", "hh", "ga", "ha"]
+    place = [*KEY, "opponent", "season", "date"]
+    asked = targets.select(*KEY, F.col("selected_date").alias("date"), "req_season", "h2h_opponent").distinct()
+    nothing = [F.lit(0).cast("bigint").alias(c) for c in sums]
+    in_season = asked.select(*KEY, F.lit(None).cast("string").alias("opponent"),
+                             F.col("req_season").alias("season"), "date").distinct()
+    versus = asked.filter(F.col("h2h_opponent").isNotNull()).select(
+        *KEY, F.col("h2h_opponent").alias("opponent"), F.lit(None).cast("bigint").alias("season"), "date")
+    marks = in_season.unionByName(versus).select(*place, *nothing, F.lit(1).alias("_m"))
+    # A date's games come before its markers: a running sum at a marker covers all up to its date.
+    both = daily_detail(facts, targets).withColumn("_m", F.lit(0)).unionByName(marks).repartition(*KEY)
+    running = (Window.partitionBy(*KEY, "opponent", "season").orderBy("date", "_m")
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     # Distinct game dates so far: the axis of the last-N windows.
-    earlier = Window.partitionBy(*KEY).orderBy("date", "_m").rowsBetween(Window.unboundedPreceding, -1)
-    last_date = F.max(F.when(F.col("_m") == 0, F.col("date"))).over(earlier)
-    first_of_date = (F.col("_m") == 0) & ~F.col("date").eqNullSafe(last_date)
-    both = both.withColumn("_first", first_of_date.cast("bigint"))
-    both = both.withColumn("_day", F.sum("_first").over(running()))
-    cols = []
+    over_dates = Window.partitionBy(*KEY, "opponent").orderBy("date", "_m")
+    last_date = F.max(F.when(F.col("_m") == 0, F.col("date"))).over(over_dates.rowsBetween(Window.unboundedPreceding, -1))
+    both = both.withColumn("_first", ((F.col("_m") == 0) & ~F.col("date").eqNullSafe(last_date)).cast("bigint"))
+    both = both.withColumn("_day", F.sum("_first").over(
+        over_dates.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    cols = [F.sum(c).over(running).alias(f"s_{c}") for c in sums]
     for n in LAST_N:
-        w = Window.partitionBy(*KEY).orderBy("_day").rangeBetween(-(n - 1), Window.currentRow)
+        w = Window.partitionBy(*KEY, "opponent").orderBy("_day").rangeBetween(-(n - 1), Window.currentRow)
         cols += [F.sum("g").over(w).alias(f"g{n}"), F.sum("h").over(w).alias(f"h{n}")]
-    season, versus = running("season"), running("opponent")
-    cols += [F.sum("g").over(season).alias("sg"), F.sum("h").over(season).alias("sh")]
-    for side in ("home", "away"):
-        here = F.col("location") == side
-        cols += [F.sum(F.when(here, F.col(c)).otherwise(0)).over(season).alias(f"{c}{side[0]}") for c in ("g", "h")]
-    cols += [F.sum(c).over(versus).alias(f"{c}o") for c in ("g", "h")]
-    counts = both.select(*KEY, "date", "season", "opponent", "_m", *cols).filter(F.col("_m") == 1).drop("_m")
-    c = counts.select(*[F.col(x).alias(f"_{x}") for x in [*KEY, "date", "season", "opponent"]],
-                      *[x for x in counts.columns if x not in [*KEY, "date", "season", "opponent"]])
-    on = ((F.col("player_id") == F.col("_player_id")) & (F.col("stat") == F.col("_stat"))
-          & (F.col("threshold") == F.col("_threshold")) & (F.col("selected_date") == F.col("_date"))
-          & (F.col("req_season") == F.col("_season")) & F.col("h2h_opponent").eqNullSafe(F.col("_opponent")))
-    return targets.join(c, on, "left").drop(*[f"_{x}" for x in [*KEY, "date", "season", "opponent"]])
+    counts = both.select(*place, "_m", *cols).filter(F.col("_m") == 1).drop("_m")
+    recent = [f"{c}{n}" for n in LAST_N for c in "gh"]
+    by_season = counts.filter(F.col("opponent").isNull()).select(
+        *KEY, F.col("season").alias("req_season"), F.col("date").alias("selected_date"),
+        F.col("s_g").alias("sg"), F.col("s_h").alias("sh"), *[F.col(f"s_{c}").alias(c) for c in sums[2:]], *recent)
+    by_opponent = counts.filter(F.col("opponent").isNotNull()).select(
+        *KEY, F.col("opponent").alias("h2h_opponent"), F.col("date").alias("selected_date"),
+        F.col("s_g").alias("go"), F.col("s_h").alias("ho"))
+    return (targets.join(by_season, [*KEY, "req_season", "selected_date"], "left")
+            .join(by_opponent, [*KEY, "h2h_opponent", "selected_date"], "left"))
 
 
 def _games(g: str) -> Column:

@@ -86,10 +86,6 @@ def recent_games(scores: DataFrame, as_of: _dt.date | str, days: int = 7) -> Dat
             .select(*[f.name for f in SCHEDULE.fields]))
 
 
-def finished(scores: DataFrame) -> DataFrame:
-    return scores.filter(F.col("game_state").isin(FINISHED_STATES))
-
-
 def sample_games(schedule: DataFrame, as_of: _dt.date | str, n: int = 32) -> DataFrame:
     """Test sample: the first played game of each home team, at most ``n``.
 

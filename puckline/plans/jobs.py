@@ -1,10 +1,16 @@
 """Backfill and refresh jobs.
 
 Layout under ``out``: ``schedule/``, ``essential_boxscores/``,
-``raw_pbp_events/``, ``comprehensive_boxscores/`` (all partitioned by season)
-and ``archive/`` for replaced partitions.  Inputs are landed JSON tables (see
-``puckline.sources.landing``).  Every write replaces only the seasons it
-touches and is idempotent: running a job twice gives the same tables.
+``raw_pbp_events/``, ``comprehensive_boxscores/`` and ``roster/`` (all
+partitioned by season), ``roster_current/``, ``archive/`` for replaced
+partitions and ``quarantine/`` for documents that do not parse.  Inputs are
+landed JSON tables (see ``puckline.sources.landing``; an optional
+``landed_at`` column says which copy of a document is the newest).
+
+Both jobs merge what landed into the stored raw tables and rebuild the
+combined table of the seasons they touch from the raw tables, so a game that
+lands twice counts once, a partial landing loses nothing, and running a job
+again gives the same tables.
 """
 
 from __future__ import annotations
@@ -15,70 +21,139 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from puckline import schemas
 from puckline.operators.boxscore import combine_boxscores, dedupe_boxscores
+from puckline.operators.common import pick_first
 from puckline.operators.maintenance import newest_first, upsert_games
 from puckline.operators.pbp import player_game_stats
-from puckline.operators.schedule import (filter_game_types, recent_games, season_schedule,
+from puckline.operators.quality import missing_games
+from puckline.operators.schedule import (filter_game_types, recent_games, sample_games, season_schedule,
                                          with_days_rest)
 from puckline.session import shared_dir
 from puckline.sources import landing, storage
 
+EVENT_KEY = ["game_id", "event_id"]
+
+
+def _read(spark: SparkSession, out: str, table: str) -> DataFrame:
+    return storage.scan_all_seasons(spark, f"{out}/{table}", schema=schemas.TABLES[table])
+
+
+def _replace(spark: SparkSession, rows: DataFrame, out: str, table: str) -> None:
+    """Write the seasons of ``rows``, which may be derived from the table itself."""
+    path = shared_dir(spark, f"{table}-stage")
+    storage.write_seasons(storage.stage(rows, path), f"{out}/{table}")
+    storage.drop(spark, path)
+
+
+def _set_aside(docs: DataFrame, schema, out: str, kind: str) -> None:
+    """Keep the documents of this landing that do not parse."""
+    bad = landing.unreadable(docs, schema)
+    bad.write.mode("overwrite").parquet(f"{out}/quarantine/{kind}")
+
 
-def _read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    try:
-        return storage.scan_all_seasons(spark, path).select(*like.columns)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e):
-            raise
-        return spark.createDataFrame([], like.schema)
+def _merge_schedule(spark: SparkSession, landed: DataFrame, out: str) -> DataFrame:
+    """Stored schedule of the landed seasons with the landed games in place of
+    the old ones, rest days over both; written, then read back.  What the
+    landed rows do not know (start time, venue) stays as stored."""
+    cols = schemas.SCHEDULE.names
+    seasons = landed.select("season").distinct()
+    old = _read(spark, out, "schedule").join(seasons, "season", "left_semi").select(*cols)
+    known = old.select("game_id", F.col("start_time").alias("_start"), F.col("venue").alias("_venue"))
+    filled = landed.select(*cols).join(known, "game_id", "left").withColumns(
+        {"start_time": F.coalesce("start_time", "_start"), "venue": F.coalesce("venue", "_venue")})
+    _replace(spark, with_days_rest(newest_first(old, filled.select(*cols), ["game_id"])), out, "schedule")
+    return _read(spark, out, "schedule").join(seasons, "season", "left_semi")
+
+
+def _merge_raw(spark: SparkSession, games: DataFrame, boxscores: DataFrame, pbp: DataFrame, out: str) -> None:
+    """Replace the raw rows of every one of ``games`` (game_id, season) that has landed."""
+    new_box = landing.flatten_boxscore(landing.newest_documents(boxscores)).join(games, "game_id")
+    new_pbp = landing.flatten_pbp(landing.newest_documents(pbp)).join(games, "game_id")
+    for table, rows in (("essential_boxscores", dedupe_boxscores(new_box)),
+                        ("raw_pbp_events", pick_first(new_pbp, EVENT_KEY, [c for c in new_pbp.columns
+                                                                           if c not in EVENT_KEY]))):
+        path = shared_dir(spark, f"{table}-landed")
+        landed = storage.stage(rows.select(*schemas.TABLES[table].names), path)
+        seasons = landed.select("season").distinct()
+        _replace(spark, upsert_games(_read(spark, out, table).join(seasons, "season", "left_semi")
+                                     .select(*landed.columns), landed), out, table)
+        storage.drop(spark, path)
+
+
+def _combined(spark: SparkSession, sched: DataFrame, out: str) -> DataFrame:
+    """The combined table of the seasons in ``sched``, from the stored raw tables."""
+    seasons = sched.select("season").distinct()
+    box = _read(spark, out, "essential_boxscores").join(seasons, "season", "left_semi")
+    ev = _read(spark, out, "raw_pbp_events").join(seasons, "season", "left_semi")
+    final = combine_boxscores(box.drop("season"), player_game_stats(ev.drop("season")), sched)
+    return final.join(sched.select("game_id", "season"), "game_id")
+
+
+def write_rosters(spark: SparkSession, rosters: DataFrame, out: str, season: int) -> None:
+    """Roster documents -> the season's roster and the current copy."""
+    snapshot = landing.roster_snapshot(landing.flatten_roster(landing.newest_documents(rosters, ["team_abbrev"])),
+                                       season, True)
+    storage.write_seasons(snapshot, f"{out}/roster")
+    snapshot.write.mode("overwrite").parquet(f"{out}/roster_current")
 
 
 def backfill(spark: SparkSession, team_schedules: DataFrame, boxscores: DataFrame,
              pbp: DataFrame, out: str, game_types: Sequence[str] = ("R", "P"),
-             as_of: _dt.date | str | None = None) -> DataFrame:
+             as_of: _dt.date | str | None = None, rosters: DataFrame | None = None,
+             roster_season: int | None = None, only_missing: bool = True,
+             sample: int | None = None) -> DataFrame:
     """Landed schedule / boxscore / play-by-play documents -> stored tables.
 
-    ``boxscores`` and ``pbp`` are landed documents with a ``season`` envelope
-    column.  Played games only (dated before ``as_of``)."""
+    Played games only (dated before ``as_of``).  With ``only_missing`` games
+    that already have both raw tables are left as they are, so a repeated
+    backfill only does the rest; ``sample`` takes at most that many games, one
+    per home team, for a trial run."""
     as_of = str(as_of or _dt.date.today())
-    sched = with_days_rest(season_schedule(landing.flatten_schedule(team_schedules), game_types))
-    sched = storage.stage(sched, shared_dir(spark, "schedule-stage"))
-    storage.write_seasons(sched, f"{out}/schedule")
-    played = sched.filter(F.col("date") < as_of).select("game_id", "season")
-    new_box = landing.flatten_boxscore(boxscores).join(played, "game_id")
-    new_pbp = landing.flatten_pbp(pbp).join(played, "game_id")
-    old_box = _read_or_empty(spark, f"{out}/essential_boxscores", new_box)
-    old_pbp = _read_or_empty(spark, f"{out}/raw_pbp_events", new_pbp)
-    box = storage.stage(newest_first(old_box, new_box, ["game_id", "player_id"]),
-                        shared_dir(spark, "box-stage"))
-    ev = storage.stage(newest_first(old_pbp, new_pbp, ["game_id", "event_id"]),
-                       shared_dir(spark, "pbp-stage"))
-    storage.write_seasons(box, f"{out}/essential_boxscores")
-    storage.write_seasons(ev, f"{out}/raw_pbp_events")
-    final = combine_boxscores(box.drop("season"), player_game_stats(ev.drop("season")), sched)
-    final = final.join(sched.select("game_id", "season"), "game_id")
-    storage.write_seasons(final, f"{out}/comprehensive_boxscores")
-    return storage.scan_all_seasons(spark, f"{out}/comprehensive_boxscores")
+    for docs, schema, kind in ((boxscores, schemas.BOXSCORE_DOC, "boxscore"), (pbp, schemas.PBP_DOC, "pbp"),
+                               (team_schedules, schemas.SCHEDULE_DOC, "schedule")):
+        _set_aside(docs, schema, out, kind)
+    sched = _merge_schedule(spark, season_schedule(landing.flatten_schedule(team_schedules), game_types), out)
+    if rosters is not None:
+        season = roster_season or sched.agg(F.max("season")).first()[0]
+        write_rosters(spark, rosters, out, season)
+    games = sched.filter(F.col("date") < as_of)
+    if sample:
+        games = sample_games(games, as_of, sample)
+    if only_missing:
+        missing = missing_games(games, _read(spark, out, "raw_pbp_events"), _read(spark, out, "essential_boxscores"), as_of)
+        games = games.join(missing.select("game_id"), "game_id", "left_semi")
+    path = shared_dir(spark, "games-stage")  # decided once, before the raw tables change
+    _merge_raw(spark, storage.stage(games.select("game_id", "season"), path), boxscores, pbp, out)
+    storage.drop(spark, path)
+    storage.write_seasons(_combined(spark, sched, out), f"{out}/comprehensive_boxscores")
+    return _read(spark, out, "comprehensive_boxscores")
 
 
 def refresh(spark: SparkSession, scores: DataFrame, boxscores: DataFrame, pbp: DataFrame,
             out: str, as_of: _dt.date | str, days: int = 7,
-            game_types: Sequence[str] = ("R", "P")) -> DataFrame:
-    """Re-ingest the finished games of the last ``days`` days and upsert them
-    into the stored combined table; replaced partitions are archived."""
-    recent = filter_game_types(recent_games(landing.flatten_scores(scores), as_of, days), game_types)
-    ids = recent.select("game_id", "season")
-    box = dedupe_boxscores(landing.flatten_boxscore(boxscores).join(ids.select("game_id"), "game_id"))
-    ev = landing.flatten_pbp(pbp).join(ids.select("game_id"), "game_id")
-    sched = storage.scan_all_seasons(spark, f"{out}/schedule")
-    incoming = combine_boxscores(box, player_game_stats(ev), sched).join(ids, "game_id")
-    existing = _read_or_empty(spark, f"{out}/comprehensive_boxscores", incoming)
-    touched = incoming.select("season").distinct()
-    merged = upsert_games(existing.join(touched, "season", "left_semi"), incoming)
+            game_types: Sequence[str] = ("R", "P"), rosters: DataFrame | None = None,
+            roster_season: int | None = None) -> DataFrame:
+    """Re-ingest the finished games of the last ``days`` days: their scores go
+    into the stored schedule, their documents replace the raw rows, and the
+    combined table of their seasons is rebuilt; what it replaces is archived.
+    A game whose documents did not land keeps its rows."""
+    for docs, schema, kind in ((boxscores, schemas.BOXSCORE_DOC, "boxscore"), (pbp, schemas.PBP_DOC, "pbp"),
+                               (scores, schemas.SCORE_DOC, "scores")):
+        _set_aside(docs, schema, out, kind)
+    when = [c for c in ("landed_at",) if c in scores.columns]
+    feed = landing.flatten_scores(scores, when)
+    feed = pick_first(feed, ["game_id"], [*(F.col(c).desc_nulls_last() for c in when),
+                                          *(c for c in schemas.SCHEDULE.names if c != "game_id")])
+    recent = filter_game_types(recent_games(feed, as_of, days), game_types)
+    sched = _merge_schedule(spark, recent, out)
+    if rosters is not None:
+        write_rosters(spark, rosters, out, roster_season or sched.agg(F.max("season")).first()[0])
+    _merge_raw(spark, recent.select("game_id", "season"), boxscores, pbp, out)
     stamp = _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%d_%H%M%S")
-    storage.archive_and_replace(merged, f"{out}/comprehensive_boxscores", f"{out}/archive",
+    storage.archive_and_replace(_combined(spark, sched, out), f"{out}/comprehensive_boxscores", f"{out}/archive",
                                 shared_dir(spark, "refresh-stage"), stamp)
-    return storage.scan_all_seasons(spark, f"{out}/comprehensive_boxscores")
+    return _read(spark, out, "comprehensive_boxscores")
 
 
-__all__ = ["backfill", "refresh"]
+__all__ = ["backfill", "refresh", "write_rosters"]

@@ -1,5 +1,7 @@
 """Explicit schemas of the stored tables and of the landed JSON documents.
 
+Column and field names, types and order are fixed values: the data contract.
+
 Every operator returns its full schema even when it has no rows, so readers
 never depend on which columns happened to be present.
 """
@@ -55,31 +57,37 @@ PBP_INT_STATS = [
     "pim", "ppg", "ppa", "ppp", "game_winning_goal", "faceoff_wins", "faceoff_losses",
 ]
 
-# Output column order of the combined player-game table (38 columns).
-COMPREHENSIVE_COLUMNS = [
-    "game_id", "date", "player_id", "player_name", "team", "opponent", "location",
-    "position", "days_rest", "toi", "toi_minutes", "shifts",
-    "goals", "assists", "points", "plus_minus", "pim",
-    "shots", "shot_attempts", "missed_shots", "offensive_blocked_shots",
-    "blocked_shots", "hits", "giveaways", "takeaways",
-    "faceoff_wins", "faceoff_losses", "faceoff_pct",
-    "ppg", "ppa", "ppp", "game_winning_goal",
-    "shots_against", "saves", "goals_against", "save_pct", "decision", "ot_loss",
-]
+# The combined player-game table (38 columns, in output order).
+COMPREHENSIVE = _struct(
+    ("game_id", _L), ("date", _S), ("player_id", _L), ("player_name", _S), ("team", _S), ("opponent", _S),
+    ("location", _S), ("position", _S), ("days_rest", _I), ("toi", _S), ("toi_minutes", _D), ("shifts", _I),
+    ("goals", _I), ("assists", _I), ("points", _I), ("plus_minus", _I), ("pim", _I),
+    ("shots", _I), ("shot_attempts", _I), ("missed_shots", _I), ("offensive_blocked_shots", _I),
+    ("blocked_shots", _I), ("hits", _I), ("giveaways", _I), ("takeaways", _I),
+    ("faceoff_wins", _I), ("faceoff_losses", _I), ("faceoff_pct", _D),
+    ("ppg", _I), ("ppa", _I), ("ppp", _I), ("game_winning_goal", _I),
+    ("shots_against", _I), ("saves", _I), ("goals_against", _I), ("save_pct", _D), ("decision", _S), ("ot_loss", _I),
+)
+COMPREHENSIVE_COLUMNS = COMPREHENSIVE.names
 
-# Stats cast to double for the dashboard fact table.
-FACT_NUMERIC = [
-    "toi_minutes", "shifts", "goals", "assists", "points", "plus_minus", "pim",
-    "shots", "shot_attempts", "missed_shots", "offensive_blocked_shots",
-    "blocked_shots", "hits", "giveaways", "takeaways", "faceoff_wins",
-    "faceoff_losses", "ppg", "ppa", "ppp", "shots_against", "saves", "goals_against",
-]
+# Of these, the dashboard facts hold all but five numbers as double (null -> 0) and fill texts.
+FACT_NUMERIC = [f.name for f in COMPREHENSIVE.fields if f.dataType in (_I, _D) and f.name not in (
+    "days_rest", "faceoff_pct", "game_winning_goal", "save_pct", "ot_loss")]
 FACT_STRING = ["player_name", "team", "opponent", "location", "position", "decision"]
 
-PROP_REQUESTS = _struct(
-    ("matchup_id", _L), ("prop_id", _I), ("selected_date", T.DateType()), ("home", _S), ("away", _S),
-    ("player_type", _S), ("stat", _S), ("threshold", _D),
-)
+
+def stored(schema: T.StructType) -> T.StructType:
+    """A stored table: the season partition comes last and stays a bigint."""
+    return T.StructType([*(f for f in schema.fields if f.name != "season"), T.StructField("season", _L, True)])
+
+
+SCHEDULE_REST = T.StructType([*SCHEDULE.fields, T.StructField("home_days_rest", _I, True),
+                              T.StructField("away_days_rest", _I, True)])
+TABLES = {
+    "schedule": stored(SCHEDULE_REST), "essential_boxscores": stored(BOXSCORE), "raw_pbp_events": stored(PBP_RAW),
+    "comprehensive_boxscores": stored(COMPREHENSIVE),
+    "roster": stored(T.StructType([*ROSTER.fields, T.StructField("is_current", T.BooleanType(), True)])),
+}
 
 # ---- landed JSON documents (one document per game / date / team) -------------
 

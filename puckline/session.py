@@ -27,8 +27,9 @@ BASE_CONF = {
     # A hot game or player may hold a large share of the rows: let AQE split
     # such a join partition even when that costs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Static estimates (compressed file sizes) never decide a broadcast, measured ones do.
+    "spark.sql.autoBroadcastJoinThreshold": "10MB",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.enabled": "false",
 }
@@ -40,7 +41,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     builder = SparkSession.builder.master(master or f"local[{cpus}]").appName(app_name)
     for key, value in BASE_CONF.items():
         builder = builder.config(key, value)
-    builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
+    local = (master or "local").startswith("local")
+    if shuffle_partitions or local:  # a cluster's own default otherwise
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
     builder = builder.config("spark.driver.memory", os.environ.get("PUCKLINE_DRIVER_MEMORY", "16g"))
     for key, value in (extra or {}).items():
         builder = builder.config(key, value)
@@ -64,12 +67,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint location.
 
     On a cluster ``spark.checkpoint.dir`` names shared storage and is used as
-    is.  Only when it is unset (local tests) a new scratch folder is created
-    and registered, so that ``DataFrame.checkpoint`` works as well.
+    is.  Only when it is unset on a local master (tests) a new scratch folder
+    is created and registered, so that ``DataFrame.checkpoint`` works as well;
+    on a cluster an unset folder is an error, as executors share no disk.
     """
     base = (spark.conf.get("spark.checkpoint.dir", None)
             or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
             or spark.sparkContext.getCheckpointDir())
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="puckline-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.sparkContext.setCheckpointDir(base)

@@ -7,25 +7,45 @@ uses ``from_json`` with the explicit schemas of ``puckline.schemas``; arrays
 are flattened with ``explode`` / ``inline`` in the scan stage, without shuffles.
 Missing fields take the reference's defaults.
 
-``landed_*`` builders derive such documents from the proxy tables, so every
-flatten operator can be checked against the flat proxy.  A document holds at
-most ``DOC_ITEMS`` plays or players (like a paged API response); a game or
-team with more is split over several documents, so no document - and no
-``collect_list`` group - grows with the data.
+A document may land several times; ``newest_documents`` keeps the last one by
+``landed_at``.  ``unreadable`` finds documents that do not parse, so that jobs
+can set them aside instead of losing them.
+
+``landed_*`` builders derive such documents from the proxy tables (one per
+game, or per team for rosters), so every flatten operator can be checked
+against the flat proxy.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from puckline.functions.scalar import FINISHED_STATES, season_of_date
-from puckline.schemas import (BOXSCORE_DOC, PBP_DOC, ROLE_COLUMNS, ROSTER_DOC, SCHEDULE,
-                              SCHEDULE_DOC, SCORE_DOC, SEASONS_DOC, STANDINGS_DOC)
+from puckline.operators.common import pick_first
+from puckline.schemas import (BOXSCORE_DOC, PBP_DOC, ROLE_COLUMNS, ROSTER_DOC, SCHEDULE_DOC,
+                              SCORE_DOC, SEASONS_DOC, STANDINGS_DOC)
 from puckline.sources import proxies as px
 
-# Largest number of plays / players in one landed document.
-DOC_ITEMS = 256
+# ------------------------------------------------------------------ documents
+
+
+def newest_documents(landed: DataFrame, keys: Sequence[str] = ("game_id",)) -> DataFrame:
+    """The last landed document per key (by ``landed_at`` if there is such a
+    column; equal times, or none, by the text)."""
+    last = [F.col("landed_at").desc_nulls_last()] if "landed_at" in landed.columns else []
+    return pick_first(landed, list(keys), [*last, "doc"])
+
+
+def unreadable(landed: DataFrame, schema: T.StructType) -> DataFrame:
+    """Documents that are null or no JSON of the given shape."""
+    marked = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType(), True)])
+    parsed = F.from_json("doc", marked, {"columnNameOfCorruptRecord": "_corrupt"})
+    return landed.filter(F.col("doc").isNull() | parsed["_corrupt"].isNotNull())
+
 
 # ------------------------------------------------------------------ flatten
 
@@ -44,17 +64,18 @@ def flatten_schedule(landed: DataFrame) -> DataFrame:
         F.col("g.startTimeUTC").alias("start_time"), F.col("g.venue.default").alias("venue"))
 
 
-def flatten_scores(landed: DataFrame) -> DataFrame:
+def flatten_scores(landed: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Daily score feed documents (envelope: date) -> finished games only,
-    schedule columns with null start time and venue; scores stay nullable."""
-    g = landed.select("date", F.explode(F.from_json("doc", SCORE_DOC)["games"]).alias("g"))
+    schedule columns with null start time and venue; scores stay nullable.
+    ``keep`` names further envelope columns to carry along."""
+    g = landed.select("date", *keep, F.explode(F.from_json("doc", SCORE_DOC)["games"]).alias("g"))
     g = g.filter(F.col("g.gameState").isin(FINISHED_STATES))
     return g.select(
         F.col("g.id").alias("game_id"), F.col("date").cast("string").alias("date"),
         F.col("g.season").alias("season"), F.col("g.gameType").alias("game_type"),
         F.col("g.awayTeam.abbrev").alias("away_abbrev"), F.col("g.awayTeam.score").alias("away_score"),
         F.col("g.homeTeam.abbrev").alias("home_abbrev"), F.col("g.homeTeam.score").alias("home_score"),
-        F.lit(None).cast("string").alias("start_time"), F.lit(None).cast("string").alias("venue"))
+        F.lit(None).cast("string").alias("start_time"), F.lit(None).cast("string").alias("venue"), *keep)
 
 
 def flatten_roster(landed: DataFrame) -> DataFrame:
@@ -139,14 +160,15 @@ _DETAIL = {
 
 def flatten_pbp(landed: DataFrame) -> DataFrame:
     """Play-by-play documents (envelope: game_id) -> one row per play with the
-    reference's defaults ('' type and situation, 0 duration, REG period)."""
+    usual defaults ('' type and situation, 0 duration, REG period).  A play
+    without an id gets -1, -2, ... by its place, which no other play has."""
     d = landed.select("game_id", F.from_json("doc", PBP_DOC).alias("d"))
     p = d.select("game_id", F.col("d.homeTeam.id").alias("home_team_id"),
                  F.col("d.awayTeam.id").alias("away_team_id"),
-                 F.explode("d.plays").alias("p"))
+                 F.posexplode("d.plays").alias("at", "p"))
     det = "p.details."
     return p.select(
-        "game_id", F.col("p.eventId").alias("event_id"),
+        "game_id", F.coalesce("p.eventId", (-1 - F.col("at")).cast("bigint")).alias("event_id"),
         F.coalesce(F.col("p.typeDescKey"), F.lit("")).alias("event_type"),
         F.coalesce(F.col("p.situationCode"), F.lit("")).alias("situation_code"),
         F.col(det + "eventOwnerTeamId").alias("event_owner_team_id"),
@@ -216,7 +238,7 @@ def landed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def landed_rosters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roster documents per team, paged by ``DOC_ITEMS`` players."""
+    """Roster documents, one per team."""
     r = px.roster(spark, sf_dir)
     name = F.col("full_player_name")
     player = F.struct(F.col("player_id").alias("id"),
@@ -229,7 +251,7 @@ def landed_rosters(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.filter(F.collect_list(F.struct(cond.alias("k"), player.alias("p"))),
                         lambda x: x["k"])
 
-    d = r.groupBy("team_abbrev", F.floor(F.col("player_id") / DOC_ITEMS).alias("_page")).agg(
+    d = r.groupBy("team_abbrev").agg(
         group(pos.isin("C", "L", "R")).alias("f"), group(pos == "D").alias("d"),
         group(pos == "G").alias("g"))
     return d.select("team_abbrev", _j(
@@ -239,8 +261,7 @@ def landed_rosters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def landed_boxscores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxscore documents (one per game, paged by ``DOC_ITEMS`` players) from
-    the deduplicated proxy rows."""
+    """Boxscore documents (one per game) from the deduplicated proxy rows."""
     from puckline.operators.boxscore import dedupe_boxscores
     b = dedupe_boxscores(px.box(spark, sf_dir), ["src_line", "src_part", "src_qty", "src_price"])
     b = b.drop(*px.BOX_SOURCE_COLUMNS)
@@ -254,9 +275,8 @@ def landed_boxscores(spark: SparkSession, sf_dir: str) -> DataFrame:
     away_team = F.when(F.col("location") == "away", F.col("team")).otherwise(F.col("opponent"))
     items = F.collect_list(F.struct(F.col("location").alias("loc"),
                                     F.col("position").alias("pos"), player.alias("p")))
-    page = F.floor(F.col("player_id") / DOC_ITEMS).alias("_page")
-    d = b.groupBy("game_id", page).agg(F.min(home_team).alias("home"), F.min(away_team).alias("away"),
-                                       items.alias("items"))
+    d = b.groupBy("game_id").agg(F.min(home_team).alias("home"), F.min(away_team).alias("away"),
+                               items.alias("items"))
 
     def side(loc: str) -> Column:
         def grp(cond):
@@ -273,7 +293,7 @@ def landed_boxscores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def landed_pbp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Play-by-play documents per game, paged by ``DOC_ITEMS`` plays."""
+    """Play-by-play documents, one per game (the proxy has forty plays a game)."""
     e = px.pbp(spark, sf_dir)
     details = F.struct(F.col("event_owner_team_id").alias("eventOwnerTeamId"),
                        *[F.col(c).alias(_DETAIL[c]) for c in ROLE_COLUMNS],
@@ -283,9 +303,8 @@ def landed_pbp(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("situation_code").alias("situationCode"),
                     F.struct(F.col("period_type").alias("periodType")).alias("periodDescriptor"),
                     details.alias("details"))
-    page = F.floor(F.col("event_id") / DOC_ITEMS).alias("_page")
-    d = e.groupBy("game_id", page).agg(F.min("home_team_id").alias("h"), F.min("away_team_id").alias("a"),
-                                       F.collect_list(play).alias("plays"))
+    d = e.groupBy("game_id").agg(F.min("home_team_id").alias("h"), F.min("away_team_id").alias("a"),
+                                 F.collect_list(play).alias("plays"))
     doc = _j(F.col("game_id").alias("id"), F.struct(F.col("a").alias("id")).alias("awayTeam"),
              F.struct(F.col("h").alias("id")).alias("homeTeam"), "plays")
     return d.select("game_id", doc.alias("doc"))
@@ -306,9 +325,5 @@ def landed_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.agg(items.alias("seasons")).select(_j("seasons").alias("doc"))
 
 
-def schedule_columns() -> list[str]:
-    return [f.name for f in SCHEDULE.fields]
-
-
-__all__ = ["flatten_schedule", "flatten_scores", "flatten_roster", "flatten_boxscore",
+__all__ = ["newest_documents", "unreadable", "flatten_schedule", "flatten_scores", "flatten_roster", "flatten_boxscore",
            "flatten_pbp", "flatten_seasons", "active_teams", "roster_snapshot"]

@@ -104,11 +104,6 @@ def box(spark: SparkSession, sf_dir: str) -> DataFrame:
 BOX_SOURCE_COLUMNS = ["src_line", "src_part", "src_qty", "src_price"]
 
 
-def essential_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``box`` without the helper source columns (the stored boxscore schema)."""
-    return box(spark, sf_dir).drop(*BOX_SOURCE_COLUMNS)
-
-
 def _event_type() -> Column:
     return (F.when(F.col("event_type") == "purchase", "goal")
     .when(F.col("event_type") == "view",

@@ -2,34 +2,51 @@
 
 Tables are written with ``partitionBy("season")`` and dynamic partition
 overwrite, so a job replaces only the seasons present in its output and reads
-prune partitions (``PartitionFilters``) by season.  A result that depends on
-the table it replaces is first written to a staging folder (D16: Spark cannot
-overwrite files it is still reading), then copied over.
+prune partitions (``PartitionFilters``) by season.  Tables of the warehouse
+are read with the explicit schemas of ``puckline.schemas``: an empty or not
+yet written table reads as no rows, and the season stays a bigint.  A result
+that depends on the table it replaces is first written to a staging folder
+(Spark cannot overwrite files it is still reading), then copied over.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from puckline.operators.common import pick_first
 
 
-def scan_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
-                 predicate: Column | None = None) -> DataFrame:
-    """Read one table; the projection and predicate reach the Parquet scan."""
-    df = spark.read.parquet(path)
-    if predicate is not None:
-        df = df.filter(predicate)
-    return df.select(*columns) if columns else df
+def _hadoop_path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def scan_all_seasons(spark: SparkSession, path: str, seasons: Sequence[int] | None = None) -> DataFrame:
-    """All season partitions of a table as one DataFrame (optionally pruned)."""
-    df = spark.read.option("basePath", path).parquet(path)
-    return df.filter(F.col("season").isin(list(seasons))) if seasons else df
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _hadoop_path(spark, path)
+    return fs.exists(p)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a staging folder that nothing reads any more."""
+    p, fs = _hadoop_path(spark, path)
+    fs.delete(p, True)
+
+
+def scan_all_seasons(spark: SparkSession, path: str, seasons: Sequence[int] | None = None,
+                     schema: T.StructType | None = None) -> DataFrame:
+    """All season partitions of a table as one DataFrame (optionally pruned).
+    With a schema, a table that does not exist yet reads as no rows."""
+    if schema is not None and not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    reader = spark.read.option("basePath", path)
+    df = (reader.schema(schema) if schema is not None else reader).parquet(path)
+    if seasons:
+        df = df.filter(F.col("season").isin(list(seasons)))
+    return df.withColumn("season", F.col("season").cast("bigint")) if "season" in df.columns else df
 
 
 SCHEDULE_VIEW = ["game_id", "date", "season", "game_type", "home_abbrev", "away_abbrev",
@@ -43,41 +60,42 @@ def scan_schedule_projected(schedule: DataFrame) -> DataFrame:
 
 
 def write_seasons(df: DataFrame, path: str) -> None:
-    """Write (or replace) the season partitions present in ``df``; rows are
-    ordered by the table's key inside each task (no global sort)."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    """Write (or replace) the season partitions present in ``df``.
+
+    A rebalance by season lets AQE make files of a good size (a large season
+    gets several, small ones are not scattered over all tasks); rows are
+    ordered by the table's key inside each file (no global sort)."""
     key = [c for c in ("game_id", "player_id", "event_id") if c in df.columns]
-    df.sortWithinPartitions("season", *key).write.mode("overwrite").partitionBy("season").parquet(path)
+    (df.hint("rebalance", F.col("season")).sortWithinPartitions("season", *key)
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("season").parquet(path))
 
 
 def stage(df: DataFrame, path: str) -> DataFrame:
     """Materialise ``df`` at ``path`` and return a DataFrame reading it back.
     Cuts the lineage; a lost executor re-reads files instead of recomputing."""
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def archive_and_replace(new_rows: DataFrame, path: str, archive_path: str, staging_path: str,
                         snapshot_ts: str) -> DataFrame:
     """Replace the seasons present in ``new_rows`` at ``path``; the rows they
-    replace are first appended to ``archive_path`` under ``snapshot_ts=...``.
+    replace are first kept at ``archive_path`` under ``snapshot_ts=...`` (a
+    repeated call with the same stamp writes the same partitions again).
     Returns the archived rows (read back)."""
     spark = new_rows.sparkSession
+    schema = T.StructType([*(f for f in new_rows.schema.fields if f.name != "season"),
+                           T.StructField("season", T.LongType(), True)])
     staged = stage(new_rows, staging_path)
     touched = staged.select("season").distinct()
-    try:
-        current = scan_all_seasons(spark, path).join(touched, "season", "left_semi")
-        (current.withColumn("snapshot_ts", F.lit(snapshot_ts)).write.mode("append")
-         .partitionBy("snapshot_ts", "season").parquet(archive_path))
-    except Exception as e:  # first write: nothing to archive
-        if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e):
-            raise
+    current = scan_all_seasons(spark, path, schema=schema).join(touched, "season", "left_semi")
+    archived = T.StructType([*schema.fields, T.StructField("snapshot_ts", T.StringType(), True)])
+    first_try = scan_all_seasons(spark, archive_path, schema=archived).filter(
+        F.col("snapshot_ts") == snapshot_ts).limit(1).count() == 0
+    if first_try:  # a retry must not archive what its first try has written
+        (current.withColumn("snapshot_ts", F.lit(snapshot_ts)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_ts", "season").parquet(archive_path))
     write_seasons(staged, path)
-    try:
-        return (spark.read.option("basePath", archive_path).parquet(archive_path)
-                .filter(F.col("snapshot_ts") == snapshot_ts).drop("snapshot_ts"))
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e):
-            raise
-        return spark.createDataFrame([], staged.schema)
+    drop(spark, staging_path)
+    return (scan_all_seasons(spark, archive_path, schema=archived)
+            .filter(F.col("snapshot_ts") == snapshot_ts).select(*new_rows.columns))

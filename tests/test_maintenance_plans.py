@@ -21,7 +21,7 @@ def rows(df):
 
 def test_upsert_twice_equals_once(spark):
     sched = sc.with_days_rest(px.schedule(spark, SF))
-    box = bx.dedupe_boxscores(px.box(spark, SF), ["src_line", "src_part"]).drop(*px.BOX_SOURCE_COLUMNS)
+    box = bx.dedupe_boxscores(px.box(spark, SF), px.BOX_SOURCE_COLUMNS).drop(*px.BOX_SOURCE_COLUMNS)
     existing = bx.combine_boxscores(box, None, sched)
     ids = px.schedule(spark, SF).filter(F.col("date").between("1998-01-01", "1998-03-01")).select("game_id")
     incoming = bx.combine_boxscores(box.join(ids, "game_id", "left_semi"), pb.player_game_stats(px.pbp(spark, SF)), sched)
@@ -33,7 +33,7 @@ def test_upsert_twice_equals_once(spark):
 
 def test_backfill_merge_refetch_counts_once_and_keeps_old_events(spark):
     sched = sc.with_days_rest(px.schedule(spark, SF))
-    box = bx.dedupe_boxscores(px.box(spark, SF), ["src_line", "src_part"]).drop(*px.BOX_SOURCE_COLUMNS)
+    box = bx.dedupe_boxscores(px.box(spark, SF), px.BOX_SOURCE_COLUMNS).drop(*px.BOX_SOURCE_COLUMNS)
     ev = px.pbp(spark, SF)
     full = bx.combine_boxscores(box, pb.player_game_stats(ev), sched)
     # the same games landed twice (D4) -> counted once
@@ -107,3 +107,135 @@ def test_jobs_backfill_then_refresh(spark, tmp_dir):
     assert a == b and len(a) > 0
     r = rows(jobs.refresh(spark, ld.landed_scores(spark, SF), box_docs, pbp_docs, out, "1999-03-15", 30))
     assert r == b
+
+
+def _warehouse(spark, out, keep=None, **options):
+    """Backfill of the proxies (or of the games that ``keep`` selects)."""
+    from puckline.plans import jobs
+    seasons = px.schedule(spark, SF).select("game_id", "season")
+    box_docs = ld.landed_boxscores(spark, SF).join(seasons, "game_id")
+    pbp_docs = ld.landed_pbp(spark, SF).join(seasons, "game_id")
+    sched = ld.landed_team_schedules(spark, SF)
+    if keep is not None:
+        box_docs, pbp_docs = box_docs.filter(keep), pbp_docs.filter(keep)
+        sched = sched.filter(F.get_json_object("doc", "$.games[0].id").cast("bigint") % 2 == 0)
+    jobs.backfill(spark, sched, box_docs, pbp_docs, out, **{"as_of": "2001-12-31"} | options)
+    return sched, box_docs, pbp_docs
+
+
+def _tables(spark, out):
+    from puckline import schemas
+    return {t: rows(st.scan_all_seasons(spark, f"{out}/{t}", schema=s)) for t, s in schemas.TABLES.items() if t != "roster"}
+
+
+def test_partial_second_landing_loses_nothing(spark, tmp_dir):
+    out = f"{tmp_dir}/wh"
+    _warehouse(spark, out)
+    before = _tables(spark, out)
+    _warehouse(spark, out, keep=F.col("game_id") % 2 == 0, only_missing=False)
+    assert _tables(spark, out) == before
+    assert all(before.values())
+
+
+def test_documents_landed_twice_count_once_and_the_newest_wins(spark, tmp_dir):
+    from puckline.plans import jobs
+    out = f"{tmp_dir}/wh"
+    sched, box_docs, pbp_docs = _warehouse(spark, out)
+    before = _tables(spark, out)
+    scores = ld.landed_scores(spark, SF)
+    twice = pbp_docs.unionByName(pbp_docs)
+    assert rows(jobs.refresh(spark, scores.unionByName(scores), box_docs.unionByName(box_docs), twice, out,
+                             "1999-03-15", 400)) == before["comprehensive_boxscores"]
+    assert _tables(spark, out) == before
+    # The same game again, with a later copy that has another name in it.
+    stamped = box_docs.withColumn("landed_at", F.lit("2024-01-01").cast("timestamp"))
+    later = (stamped.withColumn("doc", F.replace("doc", F.lit('"default":"P'), F.lit('"default":"Q')))
+             .withColumn("landed_at", F.lit("2024-01-02").cast("timestamp")))
+    jobs.refresh(spark, scores, later.unionByName(stamped), pbp_docs, out, "1999-03-15", 400)
+    ids = {r.game_id for r in sc.recent_games(ld.flatten_scores(scores), "1999-03-15", 400).collect()}
+    names = {(r[0] in ids, r[2][0]) for r in _tables(spark, out)["essential_boxscores"]}
+    assert (True, "Q") in names and (True, "P") not in names and (False, "P") in names
+
+
+def test_refresh_updates_scores_and_backfill_keeps_them(spark, tmp_dir):
+    from puckline.plans import jobs
+    out = f"{tmp_dir}/wh"
+    sched, box_docs, pbp_docs = _warehouse(spark, out)
+    scores = ld.landed_scores(spark, SF).withColumn(
+        "doc", F.regexp_replace("doc", '"score":[0-9]+', '"score":9'))
+    jobs.refresh(spark, scores, box_docs, pbp_docs, out, "1999-03-15", 400)
+    ids = {r.game_id for r in sc.filter_game_types(sc.recent_games(
+        ld.flatten_scores(scores), "1999-03-15", 400)).collect()}
+    stored = st.scan_all_seasons(spark, f"{out}/schedule").collect()
+    assert ids and all((r.home_score == 9) == (r.game_id in ids) for r in stored)
+    assert all(r.start_time for r in stored)  # the feed has none: kept
+    after = _tables(spark, out)
+    _warehouse(spark, out)
+    assert _tables(spark, out)["comprehensive_boxscores"] == after["comprehensive_boxscores"]
+
+
+def test_nothing_played_yet_gives_readable_empty_tables(spark, tmp_dir):
+    out = f"{tmp_dir}/wh"
+    _warehouse(spark, out, as_of="1900-01-01")
+    tables = _tables(spark, out)
+    assert tables["schedule"] and not tables["essential_boxscores"] and not tables["comprehensive_boxscores"]
+    assert dict(st.scan_all_seasons(spark, f"{out}/schedule").dtypes)["season"] == "bigint"
+    _warehouse(spark, out)
+    assert all(_tables(spark, out).values())
+
+
+def test_sample_rosters_and_quarantine(spark, tmp_dir):
+    from puckline.plans import jobs
+    out = f"{tmp_dir}/wh"
+    bad = spark.createDataFrame([(99, 19961997, "{not json"), (98, 19961997, None)], "game_id bigint, season bigint, doc string")
+    seasons = px.schedule(spark, SF).select("game_id", "season")
+    box_docs = ld.landed_boxscores(spark, SF).join(seasons, "game_id")
+    jobs.backfill(spark, ld.landed_team_schedules(spark, SF), box_docs.unionByName(bad),
+                  ld.landed_pbp(spark, SF).join(seasons, "game_id"), out, as_of="2001-12-31", sample=3,
+                  rosters=ld.landed_rosters(spark, SF), roster_season=19971998)
+    assert st.scan_all_seasons(spark, f"{out}/essential_boxscores").select("game_id").distinct().count() <= 3
+    assert sorted(r.game_id for r in spark.read.parquet(f"{out}/quarantine/boxscore").collect()) == [98, 99]
+    roster = st.scan_all_seasons(spark, f"{out}/roster")
+    assert roster.count() == px.roster(spark, SF).count() and roster.first().season == 19971998
+    assert spark.read.parquet(f"{out}/roster_current").count() == roster.count()
+
+
+def test_plays_without_ids_stay_apart(spark):
+    doc = '{"plays": [{"typeDescKey": "hit"}, {"typeDescKey": "hit"}, {"eventId": 0, "typeDescKey": "goal"}]}'
+    got = ld.flatten_pbp(spark.createDataFrame([(1, doc)], "game_id bigint, doc string")).collect()
+    assert sorted(r.event_id for r in got) == [-2, -1, 0]
+
+
+def test_facts_without_schedule_or_rest(spark):
+    from puckline.operators import facts as fc
+    sched = sc.with_days_rest(px.schedule(spark, SF))
+    box = bx.dedupe_boxscores(px.box(spark, SF), px.BOX_SOURCE_COLUMNS).drop(*px.BOX_SOURCE_COLUMNS)
+    combined = bx.combine_boxscores(box, None, sched)
+    full = fc.build_facts(combined, px.schedule(spark, SF), None)
+    bare = fc.build_facts(combined.drop("days_rest"), None, None)
+    assert sorted(bare.columns) == sorted(full.columns)
+    assert bare.filter("win <> 0 OR game_type <> 2 OR days_rest <> 99 OR season IS NULL").count() == 0
+    same = bare.select("game_id", "player_id", F.col("season").alias("s")).join(full, ["game_id", "player_id"])
+    assert same.filter("s <> season").count() == 0
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
+    import pytest
+
+    from puckline import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session(), "x")

@@ -42,6 +42,7 @@ from puckline.sources import landing as ld  # noqa: E402
 from puckline.sources import proxies as px  # noqa: E402
 
 DATE = "1997-08-23"
+SEASON = ("1996-09-01", "1997-08-31")
 MANY_FROM = "1997-08-20"  # prop requests for every game from this date to DATE
 
 
@@ -91,7 +92,6 @@ def headline(st: Store) -> dict:
                                         sc.with_days_rest(st.schedule))
         return mt.upsert_games(st.comprehensive, incoming)
 
-    everything = ("1900-01-01", "2100-01-01")
     return {
         "player_game_stats": lambda: pb.player_game_stats(st.pbp),
         "schedule_days_rest": lambda: sc.with_days_rest(st.schedule),
@@ -102,7 +102,7 @@ def headline(st: Store) -> dict:
         "prop_table_1": prop_one,
         "prop_table_many": lambda: pr.prop_table(st.facts, st.roster,
                                                  requests(MANY_FROM, DATE), rg.HOCKEY_TODAY),
-        "prop_table_all": lambda: pr.prop_table(st.facts, st.roster, requests(*everything), rg.HOCKEY_TODAY),
+        "prop_table_season": lambda: pr.prop_table(st.facts, st.roster, requests(*SEASON), rg.HOCKEY_TODAY),
         "matchup_overview": lambda: pr.matchup_overview(
             st.facts, st.roster, requests(DATE, DATE), rg.HOCKEY_TODAY),
         "player_log_filtered": lambda: log(st.selections),

@@ -15,9 +15,9 @@ from pyspark.sql import SparkSession
 # Settings every plan in this package relies on:
 #  * UTC session zone: dates and the hockey-date rule are computed explicitly.
 #  * ANSI mode: invalid casts raise, so every lenient parse uses try_* on purpose.
-#  * AQE: joins against per-game / per-team-date tables are planned as shuffles
-#    and converted to broadcasts at run time only when the measured shuffle
-#    output is under ``autoBroadcastJoinThreshold``; skewed partitions are split.
+#  * AQE: a join planned as a shuffle becomes a broadcast only when the measured
+#    shuffle output is under the adaptive threshold; skewed partitions are split.
+#    (Spark's own static threshold, 10 MB of estimated size, applies before that.)
 BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -27,7 +27,6 @@ BASE_CONF = {
     # A hot game or player may hold a large share of the rows: let AQE split
     # such a join partition even when that costs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Static estimates (compressed file sizes) never decide a broadcast, measured ones do.
     "spark.sql.autoBroadcastJoinThreshold": "10MB",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.parquet.filterPushdown": "true",

@@ -51,7 +51,7 @@ def _propagate(state: DataFrame, n: int, shards: int, slack: float, last: int) -
             .select("nid", "gid", F.coalesce("to", "shard").alias("shard"), F.col("to").isNotNull().alias("moved")))
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 5, slack: float = 1.0) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 3, slack: float = 1.0) -> DataFrame:
     """Assign every row of ``docs`` (doc_id, text) to a shard.
 
     Returns doc_id, size (UTF-8 bytes of the text plus 16; a null text has

@@ -50,6 +50,19 @@ def test_everything_linked_and_one_hot_group(spark):
     assert whole >= 0.6 * groups
 
 
+@pytest.mark.parametrize("cell", [20_000, 50])
+def test_a_group_of_a_third_of_all_rows_fills_as_few_shards_as_it_needs(spark, monkeypatch, cell):
+    from puckline.llm import common
+
+    monkeypatch.setattr(common, "ROWS_PER_CELL", cell)
+    texts = [(i, "hot" if i % 3 == 0 else f"few {i // 9}") for i in range(2400)]
+    rows = sharding.shard_documents(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    check(rows, texts, 40)
+    assert len({r.shard for r in rows if r.text_crc32 == zlib.crc32(b"hot")}) <= 14
+    groups, whole = together(rows)
+    assert whole >= 0.8 * groups
+
+
 def test_awkward_documents(spark, awkward, no_documents):
     rows = sharding.shard_documents(awkward, shards=4).collect()
     check(rows, [(r[0], r[1]) for r in AWKWARD], 4)

@@ -17,7 +17,6 @@ import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
-from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -140,26 +139,28 @@ _AT = re.compile(
     rf"|\s{{1,4}}(?:at|arroba)\s{{1,4}}(?=[A-Za-z0-9-]+{_DOT_IN}[A-Za-z])"
     r"|\s{0,4}@\s{0,4}(?=[A-Za-z0-9])", re.I)
 _PLUS = re.compile(rf"(?<!\w)plus\s{{1,3}}(?=[0-9]|\(|(?:{_NAME})(?!\w))", re.I)
-# What a disguise cannot do without, for a quick look at the lower-cased text.
-_BRACKETED = re.compile(rf"[(\[{{<]\s{{0,4}}(?:{_AT_NAME}|@|{_DOT_NAME}|\.)\s{{0,4}}[)\]}}>]")
-_NAMED = re.compile(r"(?<!\w)(?:dot|punkt|punto|plus)(?!\w)")
+# What a disguise but a spelled digit cannot do without, for a quick look.
+_BRACKETED = re.compile(rf"[(\[{{<]\s{{0,4}}(?:{_AT_NAME}|@|{_DOT_NAME}|\.)\s{{0,4}}[)\]}}>]", re.I)
+_NAMED = re.compile(r"(?<!\w)(?:dot|punkt|punto|plus)(?!\w)", re.I)
 _SPACED_AT = re.compile(r"@\s|(?<=\s)@")
-_NAMES = frozenset(_DIGITS) | frozenset(_REPEAT)
 
 
 def _has_disguise(text: str) -> bool:
-    """Whether anything that ``_undisguise`` rewrites can be in the text."""
-    low = text.lower()
-    if any(c in low for c in "([{<") and _BRACKETED.search(low):
+    """Whether anything that ``_undisguise`` rewrites can be in the text: a spelled
+    digit, be it a single one, or what one of the other patterns cannot do without."""
+    if _SPELLED.search(text):
         return True
-    if any(w in low for w in ("dot", "punkt", "punto", "plus")) and _NAMED.search(low):
+    if any(c in text for c in "([{<") and _BRACKETED.search(text):
         return True
-    if "@" in low and _SPACED_AT.search(low):
+    low = text.lower().replace("ſ", "s")
+    if any(w in low for w in ("dot", "punkt", "punto", "plus")) and _NAMED.search(text):
         return True
-    for c in ",;/_-":
-        low = low.replace(c, " ")
-    word = low.split()
-    return not _NAMES.isdisjoint(word) and any(a in _NAMES and b in _NAMES for a, b in pairwise(word))
+    return "@" in text and _SPACED_AT.search(text) is not None
+
+
+def _plain(name: str) -> str:
+    """The lower-cased name of a digit, with letters that re.I takes for i and s."""
+    return name.lower().replace("i\u0307", "i").replace("ı", "i").replace("ſ", "s")
 
 
 class Tape:
@@ -209,7 +210,7 @@ def _undisguise(text: str) -> Tape | None:
         return None
     edits: list[tuple[int, int, str]] = []
     for m in _SPELLED.finditer(text):
-        items = [(x.start(), x.end(), x[0].lower()) for x in _ITEMS.finditer(text, m.start(), m.end())]
+        items = [(x.start(), x.end(), _plain(x[0])) for x in _ITEMS.finditer(text, m.start(), m.end())]
         before, after = text[:m.start()][-8:], text[m.end():m.end() + 8]
         if len(items) < 2 and not (re.search(r"[0-9.+)\]>-]\s*$|dot\s*$|plus\s*$", before, re.I)
                                    or re.match(r"\s*[0-9.([<-]|\s*dot\b", after, re.I)):

@@ -64,6 +64,29 @@ def test_disguised_identifiers_map_back_to_the_source(text, kind, found):
     assert [(pii.KINDS[k], text[a:b]) for a, b, k in spans] == [(kind, found)]
 
 
+@pytest.mark.parametrize(("text", "kind"), [
+    ("10.0.zero.1", "ip"), ("one.two.three.four", "ip"), ("10.0.(null).1", None), ("10.0.NİNE.1", "ip"), ("10.0.nıne.one", "ip"),
+    ("+1 415 five 55 0134", "phone"), ("4111 1111 1111 111 one", "card")])
+def test_single_spelled_digits(text, kind):
+    base, spans = pii.detect(text)
+    assert base == []
+    assert [(pii.KINDS[k], text[a:b]) for a, b, k in spans] == ([(kind, text)] if kind else [])
+
+
+PIECES = [" ", "  ", ".", ",", "-", "(", ")", "[", "]", "<", ">", "+", "@", "1", "0134", "4111 1111 1111 111", "10.0.", "a", "b.co",
+          "one", "Zero", "fünf", "ZÉRO", "nıne", "NİNE", "ſix", "double", "triple ", "plus ", "Plus", "dot", " DOT ", "punKt", "poınt",
+          "(at)", " at ", "arroba", "someone", "\n"]
+
+
+@settings(max_examples=3000, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=14).map("".join))
+def test_the_quick_look_changes_nothing(text):
+    with pytest.MonkeyPatch.context() as patch:
+        quick = pii.detect(text)
+        patch.setattr(pii, "_has_disguise", lambda text: True)
+        assert pii.detect(text) == quick
+
+
 @pytest.mark.parametrize("text", [
     "look at example.com", "one two three", "the dot at the end", "Привет, как дела?", "un deux trois quatre", "a @ b"])
 def test_plain_text_is_left_alone(text):

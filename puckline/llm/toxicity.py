@@ -1,17 +1,18 @@
 """Operator 6, toxicity: nearest labelled examples by exact TF-IDF cosine.
 
-A bounded sample of labelled documents fixes the vocabulary (words that go
-with either label) and is the set of examples.  Document frequencies come from
-all documents.  The examples lie in blocks; an inverted index keeps, for each
-word, its postings and its largest weight in every block.  A document visits
-the blocks by falling sum of its words' largest weights and stops when no
-block can hold a nearer example than its k-th.  The k nearest vote, weighted
-by closeness; votes are calibrated on the examples themselves, each left out
-of its own search.
+A bounded sample of labelled documents is the set of examples; the vocabulary
+is every word of theirs.  Document frequencies come from all documents.  The
+examples lie in blocks; an inverted index keeps, for each word, its postings
+and its largest weight in every block that holds it.  A document visits the
+blocks with the largest sums of its words' largest weights first, then those
+that can still hold a nearer example than its k-th.  Words that no example
+holds do not count.  The k nearest vote, weighted by closeness; votes are
+calibrated on the examples themselves, each left out of its own search.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,53 +27,28 @@ from puckline.llm.common import Stages, fold, labelled_sample
 FOLDS, HELD_OUT = 5, 0
 #: Bound of the labelled sample, per class, and of the examples among it.
 SAMPLE, EXAMPLES = 10_000, 2_000
-#: Words with a chi-square of at least this and a rate at least LIFT times that of the other label;
-#: at most TERMS of them.
-CHI, LIFT, TERMS = 30.0, 2.0, 1_024
 BLOCK, K = 64, 15
+#: Blocks that a document visits before the others are held against its k-th example.
+HEAD = 4
 #: Added to an example's distance, so that no single one outvotes the rest.
 NEAR = 0.05
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, text) -> (word, n0, n1): texts of each label that hold the word."""
-    counts = (Counter(), Counter())
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct words of the texts, by batch."""
+    for batch in batches:
+        found = set()
+        for text in batch.column("text"):
+            found.update(_WORD.findall((text.as_py() or "").lower()))
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["word"])
 
-    def emit():
-        words = list(counts[0].keys() | counts[1].keys())
-        out = pa.RecordBatch.from_arrays(
-            [pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in counts)],
-            names=["word", "n0", "n1"])
-        for c in counts:
-            c.clear()
-        return out
 
-    for batch in batches:
-        for label, text in zip(batch.column("label").to_pylist(), batch.column("text"), strict=True):
-            counts[label].update(set(_WORD.findall((text.as_py() or "").lower())))
-            if len(counts[0]) + len(counts[1]) > 500_000:
-                yield emit()
-    yield emit()
-
-
-def choose_terms(st: Stages, examples: DataFrame, most: int = TERMS) -> list[str]:
-    """The words most strongly tied to one label in (label, text)."""
-    totals = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}
-    t0, t1 = totals.get(0, 0), totals.get(1, 0)
-    if not t0 or not t1:
+def every_term(examples: DataFrame) -> list[str]:
+    """All words of the examples (label, text); none unless both labels are there."""
+    if examples.select("label").distinct().count() < 2:
         return []
-    summed = (examples.mapInArrow(_word_counts, "word string, n0 long, n1 long")
-              .groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
-    n0, n1 = F.col("n0").cast("double"), F.col("n1").cast("double")
-    all_ = float(t0 + t1)
-    difference = n1 * (t0 - n0) - n0 * (t1 - n1)
-    chi = all_ * difference * difference / ((n0 + n1) * (all_ - n0 - n1) * float(t0) * float(t1))
-    rate0, rate1 = (n0 + 0.5) / (t0 + 1.0), (n1 + 0.5) / (t1 + 1.0)
-    picked = (summed.where((n0 + n1 < all_) & (n0 + n1 > 0)).withColumn("chi", chi)
-              .where((F.col("chi") >= CHI) & (F.greatest(rate0, rate1) >= LIFT * F.least(rate0, rate1)))
-              .orderBy(F.col("chi").desc(), "word").limit(most).select("word"))
-    return [r["word"] for r in picked.collect()]
+    return sorted(r["word"] for r in examples.select("text").mapInArrow(_words, "word string").distinct().collect())
 
 
 def _vectoriser(terms: list[str]):
@@ -101,6 +77,12 @@ def _weights(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarr
     return w / norm if norm > 0 else w
 
 
+def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of all half-open ranges, one range after the other."""
+    size = end - begin
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
 class Examples:
     """Block-max inverted index of labelled unit vectors."""
 
@@ -116,39 +98,47 @@ class Examples:
         size = {c: sum(v[1] == c for v in vectors) for c in (0, 1)}
         # A class that the sample holds more of than the labelled rows do votes the less.
         self.class_weight = np.array([(1 - share) / max(1, size[0]), share / max(1, size[1])])
-        blocks = -(-len(full) // BLOCK)
-        self.largest = np.zeros((len(idf), blocks))
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(len(idf))]
-        for n, (_, _, terms, weight) in enumerate(full):
-            np.maximum.at(self.largest, (terms, n // BLOCK), weight)
-            for t, w in zip(terms.tolist(), weight.tolist(), strict=True):
-                postings[t].append((n, w))
-        self.docs = [np.array([n for n, _ in p], dtype=np.int64) for p in postings]
-        self.weight = [np.array([w for _, w in p]) for p in postings]
-        self.cuts = [np.searchsorted(d, np.arange(0, (blocks + 1) * BLOCK, BLOCK)) for d in self.docs]
+        self.blocks = -(-len(full) // BLOCK)
+        place = np.repeat(np.arange(len(full)), [len(v[2]) for v in full])
+        term = np.concatenate([np.empty(0, dtype=np.int64), *(v[2] for v in full)])
+        order = np.lexsort((place, term))
+        term, self.docs = term[order], place[order].astype(np.int32)
+        self.weight = np.concatenate([np.empty(0), *(v[3] for v in full)])[order]
+        # A run is what one block has of a word's postings.
+        block = self.docs // BLOCK
+        new = np.ones(len(term), dtype=bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        self.begin = np.flatnonzero(new)
+        self.end = np.append(self.begin[1:], len(term))[:len(self.begin)]
+        self.block = block[self.begin]
+        self.largest = np.maximum.reduceat(self.weight, self.begin) if len(term) else np.empty(0)
+        self.runs = np.searchsorted(term[self.begin], np.arange(len(idf) + 1))
         weights = [self.class_weight[v[1]] for v in empty]
         toxic = sum(w for v, w in zip(empty, weights, strict=True) if v[1])
         # A text without any word of the vocabulary scores as such examples do.
         self.without = toxic / sum(weights) if empty else share
         self.steps_x = self.steps_y = None
-        self._calibrate()
+        self._calibrate(full)
 
     def nearest(self, terms: np.ndarray, weight: np.ndarray, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Up to k examples of positive cosine, nearest first, ties by place; and their cosines."""
-        bound = weight @ self.largest[terms]
         place, cosine, kth = np.empty(0, dtype=np.int64), np.empty(0), 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or bound[b] < kth * (1 - 1e-12):
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weight.tolist(), strict=True):
-                begin, end = self.cuts[t][b], self.cuts[t][b + 1]
-                if begin < end:
-                    score[self.docs[t][begin:end] - b * BLOCK] += w * self.weight[t][begin:end]
+        first, last = self.runs[terms], self.runs[terms + 1]
+        runs, w = _ranges(first, last), np.repeat(weight, last - first)
+        block = self.block[runs]
+        bound = np.bincount(block, w * self.largest[runs], minlength=self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        for some in (order[:HEAD], order[HEAD:]):
+            visit = np.zeros(self.blocks, dtype=bool)
+            visit[some] = (bound[some] > 0) & (bound[some] >= kth * (1 - 1e-12))
+            picked = visit[block]
+            begin, end = self.begin[runs[picked]], self.end[runs[picked]]
+            at = _ranges(begin, end)
+            score = np.bincount(self.docs[at], np.repeat(w[picked], end - begin) * self.weight[at])
             fit = np.flatnonzero((score > 0) & (score >= kth))
             if leave_out >= 0:
-                fit = fit[fit + b * BLOCK != leave_out]
-            place, cosine = np.concatenate([place, fit + b * BLOCK]), np.concatenate([cosine, score[fit]])
+                fit = fit[fit != leave_out]
+            place, cosine = np.concatenate([place, fit]), np.concatenate([cosine, score[fit]])
             top = np.lexsort((place, -cosine))[:self.k]
             place, cosine = place[top], cosine[top]
             if len(top) == self.k:
@@ -161,19 +151,12 @@ class Examples:
         w = self.class_weight[self.labels[place].astype(int)] / (1.0 + NEAR - np.minimum(cosine, 1.0))
         return float((w * self.labels[place]).sum() / w.sum())
 
-    def _calibrate(self) -> None:
+    def _calibrate(self, full: list[tuple]) -> None:
         """Isotonic fit of labels on votes, each example voting without itself."""
         n = len(self.ids)
         if not n or not self.labels.any() or self.labels.all():
             return
-        by_place: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for t, (docs, weight) in enumerate(zip(self.docs, self.weight, strict=True)):
-            for d, w in zip(docs.tolist(), weight.tolist(), strict=True):
-                by_place[d].append((t, w))
-        votes = np.empty(n)
-        for i, terms in enumerate(by_place):
-            t = np.array([x[0] for x in terms], dtype=np.int64)
-            votes[i] = self._vote(*self.nearest(t, np.array([x[1] for x in terms]), leave_out=i))
+        votes = np.array([self._vote(*self.nearest(v[2], v[3], leave_out=i)) for i, v in enumerate(full)])
         weight = self.class_weight[self.labels.astype(int)]
         pools: list[list[float]] = []  # weight, weighted label, weighted vote
         for i in np.argsort(votes, kind="stable"):
@@ -199,15 +182,17 @@ class Examples:
 
 def _scorer(examples: Examples):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, tuple[float, str]] = {}
+        known: dict[bytes, tuple[float, str]] = {}
         for batch in batches:
             found = []
-            for terms, counts in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                key = (tuple(terms), tuple(counts))
+            for terms, counts in zip(batch.column("terms"), batch.column("counts"), strict=True):
+                terms = terms.values.to_numpy().astype(np.int64)
+                counts = counts.values.to_numpy().astype(np.float64)
+                key = hashlib.blake2b(terms.tobytes() + counts.tobytes(), digest_size=16).digest()
                 if key not in known:
                     if len(known) > 100_000:
                         known.clear()
-                    known[key] = examples.score(np.array(terms, dtype=np.int64), np.array(counts, dtype=np.float64))
+                    known[key] = examples.score(terms, counts)
                 found.append(known[key])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array([x[0] for x in found], pa.float64()),
@@ -220,9 +205,9 @@ def _scorer(examples: Examples):
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, examples: int = EXAMPLES) -> DataFrame:
     """Score every row of ``docs`` (doc_id, text) from ``labels`` (doc_id, toxic).
 
-    Labels count only if crc32(doc_id) mod 5 is not 0; at most ``sample`` rows
-    of each label choose the vocabulary and at most ``examples`` of each are
-    kept as examples.  Returns doc_id, held_out (that remainder is 0; false
+    Labels count only if crc32(doc_id) mod 5 is not 0; of at most
+    ``sample`` rows of each label the first ``examples`` that have a text are
+    the examples, and the vocabulary is every word of theirs.  Returns doc_id, held_out (that remainder is 0; false
     for a null id), score, predicted (score >= 0.5) and evidence (the nearest
     examples).  Null texts, empty texts and texts without a word of the
     vocabulary get the toxic share of such examples.  Without labels of both
@@ -237,7 +222,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exa
     # At most 2 * sample rows of two numbers: the size bound of this broadcast.
     taught = st.put(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
                     .join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]))
-    terms = choose_terms(st, taught.select("label", "text"))
+    kept = [taught.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples) for c in (0, 1)]
+    shown = st.put(kept[0].unionByName(kept[1]).select("doc_id", "label", "text"))
+    terms = every_term(shown.select("label", "text"))
 
     schema = "terms array<int>, counts array<int>"
     vectors = st.put(docs.select(
@@ -248,11 +235,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exa
     in_docs = dict(vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect())
     idf = np.array([np.log((1.0 + n) / (1.0 + in_docs.get(t, 0))) + 1.0 for t in range(len(terms))])
 
-    kept = [taught.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples) for c in (0, 1)]
-    vectorised = kept[0].unionByName(kept[1]).select("doc_id", "label", "text").mapInArrow(
+    vectorised = shown.mapInArrow(
         _vectoriser(terms), f"doc_id long, label int, {schema}")
     rows = [(r.doc_id, r.label, np.array(r.terms, dtype=np.int64), np.array(r.counts, dtype=np.float64))
             for r in vectorised.collect()]
-    st.drop(chosen, taught)
+    st.drop(chosen, taught, shown)
     return vectors.mapInArrow(_scorer(Examples(sorted(rows, key=lambda r: r[0]), idf, share)),
                               "doc_id long, held_out boolean, score double, predicted int, evidence string")

@@ -65,6 +65,19 @@ def test_block_max_search_is_exact(examples, query):
     assert np.allclose(cosine, want)
 
 
+def test_a_near_copy_finds_its_example_by_any_words(spark):
+    rng = random.Random(3)
+    texts = [["".join(rng.choices("abcdefghij", k=6)) for _ in range(20)] for _ in range(40)]
+    usable = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5][:40]
+    rows = [(i, " ".join(t), "en", "s", 1) for i, t in zip(usable, texts, strict=True)]
+    rows += [(1000 + i, " ".join(t[1:]), "en", "s", 1) for i, t in zip(usable, texts, strict=True)]
+    labels = spark.createDataFrame([(i, 1, int(n % 4 == 0)) for n, i in enumerate(usable)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(spark.createDataFrame(rows, DOCUMENTS), labels).collect()}
+    for n, i in enumerate(usable):
+        nearest, cosine, label = got[1000 + i].evidence.split(",")[0].split(":")
+        assert (int(nearest), int(label)) == (i, int(n % 4 == 0)) and float(cosine) > 0.9
+
+
 def test_awkward_toxicity(spark, awkward, no_documents):
     docs, labels, _ = toxic_corpus(spark, 200)
     none = labels.limit(0)

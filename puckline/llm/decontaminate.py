@@ -239,14 +239,15 @@ def find_benchmark_words(docs: DataFrame, benchmark: DataFrame, window: int = WI
     and documents count each by themselves; a null item_id is reported as an
     empty string, a null doc_id stays null.  Empty tables give empty spans or
     an empty result.  The benchmark is searched in slices of about
-    ``slice_words`` words; only one slice at a time is sent to the tasks.
+    ``slice_words`` words, equal items once; only one slice at a time is sent to
+    the tasks.
     ``carry`` names further columns to keep (under ``carried_<name>``).
     """
     spark = docs.sparkSession
     st = Stages(spark, "decontaminate")
     bench = st.put(benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
-        F.col("text").cast("binary").alias("text"), F.octet_length("text").alias("bytes")))
+        F.col("text").cast("binary").alias("text"), F.octet_length("text").alias("bytes")).dropDuplicates(["item", "text"]))
     # A word has a byte and a separator at least.
     most_words = (bench.agg(F.sum(F.ceil((F.col("bytes") + 1) / 2))).first()[0] or 0)
     slices = max(1, -(-int(most_words) // slice_words))

@@ -98,3 +98,19 @@ def test_cut_spans(spans, left):
     text = "a (b) c, D!"
     got = dc.cut_spans(text, spans)
     assert plain_words(got) == plain_words(left)
+
+
+def test_repeated_items_do_not_fill_a_slice(spark, monkeypatch):
+    sizes, phrases = [], dc.Phrases
+
+    def counted(items, window):
+        sizes.append(sum(len(text.split()) for _, text in items))
+        return phrases(items, window)
+
+    monkeypatch.setattr(dc, "Phrases", counted)
+    passage = " ".join(f"word{i}" for i in range(20))
+    bench = spark.createDataFrame([("q", passage)] * 500, "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"before {passage} after"), (2, "nothing here")], "doc_id long, text string")
+    found = {r.doc_id: r.items for r in dc.find_benchmark_words(docs, bench, slice_words=1_000).collect()}
+    assert found == {1: ["q"], 2: []}
+    assert max(sizes) <= 1_000

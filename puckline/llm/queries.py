@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from puckline.llm import decontaminate, langid, mixing, neardup, pii, quality, sharding, topk, toxicity, warc
+from puckline.llm import (decontaminate, langid, licenses, mixing, neardup, pii, quality, sharding, tokenalign, topk,
+                          toxicity, warc)
 from puckline.llm.common import table
 
 
@@ -52,6 +53,14 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_tokenalign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenalign.align(table(spark, sf_dir, "documents"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_pii": op2_pii,
@@ -63,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_langid": op9_langid,
     "op10_neardup": op10_neardup,
+    "op11_tokenalign": op11_tokenalign,
+    "op13_licenses": op13_licenses,
 }
 
 #: The other operators have no equivalent in SQL; tests/llm holds them against brute force.
@@ -70,4 +81,5 @@ ORACLE: dict[str, str] = {
     "op1_topk": topk.ORACLE_SQL,
     "op3_mixing": mixing.ORACLE_SQL,
     "op5_warc": warc.ORACLE_SQL,
+    "op13_licenses": licenses.ORACLE_SQL,
 }

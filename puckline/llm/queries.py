@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from puckline.llm import (decontaminate, langid, licenses, mixing, neardup, pii, quality, sharding, tokenalign, topk,
+from puckline.llm import (convtrie, decontaminate, langid, licenses, mixing, neardup, pii, quality, sharding, tokenalign, topk,
                           toxicity, warc)
 from puckline.llm.common import table
 
@@ -57,6 +57,10 @@ def op11_tokenalign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenalign.align(table(spark, sf_dir, "documents"))
 
 
+def op12_convtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convtrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_langid": op9_langid,
     "op10_neardup": op10_neardup,
     "op11_tokenalign": op11_tokenalign,
+    "op12_convtrie": op12_convtrie,
     "op13_licenses": op13_licenses,
 }
 
@@ -81,5 +86,6 @@ ORACLE: dict[str, str] = {
     "op1_topk": topk.ORACLE_SQL,
     "op3_mixing": mixing.ORACLE_SQL,
     "op5_warc": warc.ORACLE_SQL,
+    "op12_convtrie": convtrie.ORACLE_SQL,
     "op13_licenses": licenses.ORACLE_SQL,
 }

@@ -3,25 +3,30 @@
 A request is (matchup_id, prop_id, selected_date, home, away, player_type,
 stat, threshold); matchup_id and prop_id together are its key.  For every
 eligible player of every request the rates are taken over the player's games
-dated on or before the request date:
+dated on or before the request date (before it, if not ``inclusive``):
 
 * season   - games of the request date's season;
 * h2h      - games against the other team of the matchup;
 * last N   - games on the player's N most recent distinct dates (ties share);
 * location - season games split by home / away.
 
-Plan (no requests x history product): the history is read and reduced to one
-row per (player, stat, threshold, date) and season, and per opponent where
-that is asked for.  The distinct look-ups of all requests are unioned in as
-markers without games, and running sums over the one shared partitioning give
-all rates at every marker.  A window partition holds one row per date of one
-player's stat (and opponent): it is bounded by the calendar, not by the number
-of games or requests.
+Plan (vectors of lines, no requests x history product): the distinct (stat,
+line) pairs that are asked are numbered, and a row of history carries the hits
+of ``WIDE`` pairs side by side, so it is read once per ``WIDE`` lines and not
+once per line.  It is summed per (player, date) and season, and per opponent
+where that is asked for, up to the last date asked of the player.  The look-ups
+of all matchups are unioned in as markers without games; running sums give the
+counts of all pairs at every marker, and the sums of the last N dates are
+differences of two running sums.  Requests meet the counts of their matchup's
+players last, and each takes its pair's place.  A window partition holds the
+dates of one player (and opponent): it is bounded by the calendar, not by the
+number of games or requests.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,12 +35,17 @@ from puckline.functions.scalar import pct, round_half_up_int, season_of_date, sp
 from puckline.operators.common import pick_first
 from puckline.operators.dvp import dvp_matchup, dvp_metrics
 from puckline.operators.facts import GOALIE_PROPS, PROP_STATS, SKATER_PROPS, default_line, roster_dim
+from puckline.operators.schedule import filter_game_types
 from puckline.session import materialize
 
 LAST_N = (5, 10, 20)
 REQUEST = ["matchup_id", "prop_id"]
 #: A target: one player (of one team) of one request.
 TARGET = [*REQUEST, "player_id", "team_abbrev"]
+MATCHUP = ["matchup_id", "selected_date", "home", "away"]
+TARGET_INFO = ["player_name", "position_code", "selected_date", "home", "away", "stat", "threshold", "req_season", "h2h_opponent"]
+#: (stat, line) pairs that one row of history carries.
+WIDE = len(PROP_STATS)
 
 
 # ----------------------------------------------------------------- requests
@@ -79,31 +89,33 @@ def matchup_players(requests: DataFrame, facts: DataFrame, roster: DataFrame,
     the lowest game id wins).
     """
     today = F.lit(str(hockey_today)).cast("date")
-    matchup = ["matchup_id", "selected_date", "home", "away"]
-    teams = requests.select(*matchup).distinct().select(
-        *matchup, F.explode(F.array_distinct(F.array("home", "away"))).alias("team"))
+    teams = requests.select(*MATCHUP).distinct().select(
+        *MATCHUP, F.explode(F.array_distinct(F.array("home", "away"))).alias("team"))
     listed = roster_dim(roster).select("player_id", "player_name", F.col("team_abbrev").alias("team"), "position_code")
     future = teams.filter(F.col("selected_date") >= today).join(listed, "team")
     played = facts.select("game_id", F.col("date").alias("selected_date"), "team", "player_id",
                           "player_name", F.col("position").alias("position_code"))
     past = teams.filter(F.col("selected_date") < today).join(played, ["selected_date", "team"])
-    past = pick_first(past, [*matchup, "player_id"], ["game_id", "team"])
-    out = [*matchup, "player_id", "player_name", F.col("team").alias("team_abbrev"), "position_code"]
+    past = pick_first(past, [*MATCHUP, "player_id"], ["game_id", "team"])
+    out = [*MATCHUP, "player_id", "player_name", F.col("team").alias("team_abbrev"), "position_code"]
     return future.select(*out).unionByName(past.select(*out))
 
 
-def targets_for(facts: DataFrame, roster: DataFrame, requests: DataFrame,
-                hockey_today: _dt.date | str) -> DataFrame:
-    """(request, player) rows with everything the rate lookups need: goalies or
-    skaters of the matchup by the request's player type."""
-    players = matchup_players(requests, facts, roster, hockey_today)
-    goalie = F.col("position_code") == "G"
-    t = players.join(requests, ["matchup_id", "selected_date", "home", "away"]).filter(
-        F.when(F.col("player_type") == "Goalie", goalie).otherwise(~goalie))
+def _with_context(players: DataFrame) -> DataFrame:
+    """Listed players with their type, the season of the date and the other team."""
     other = (F.when(F.col("team_abbrev") == F.col("home"), F.col("away"))
              .when(F.col("team_abbrev") == F.col("away"), F.col("home")))
-    return t.select(*TARGET, "player_name", "position_code", "selected_date", "home", "away", "stat", "threshold",
-                    season_of_date("selected_date").alias("req_season"), other.alias("h2h_opponent"))
+    return players.withColumns({"goalie": F.col("position_code") == "G", "req_season": season_of_date("selected_date"),
+                                "h2h_opponent": other})
+
+
+def targets_for(facts: DataFrame, roster: DataFrame, requests: DataFrame,
+                hockey_today: _dt.date | str) -> DataFrame:
+    """(request, player) rows: goalies or skaters of the matchup by the
+    request's player type."""
+    players = _with_context(matchup_players(requests, facts, roster, hockey_today))
+    asked = requests.withColumn("goalie", F.col("player_type") == "Goalie")
+    return players.join(asked, [*MATCHUP, "goalie"]).select(*TARGET, *TARGET_INFO)
 
 
 def eligible_players(requests: DataFrame, facts: DataFrame, roster: DataFrame,
@@ -122,81 +134,141 @@ def stat_value(stat: Column) -> Column:
     return expr.otherwise(F.raise_error(F.concat(F.lit("not a prop stat: "), stat)).cast("double"))
 
 
-KEY = ["player_id", "stat", "threshold"]
-
-
-def daily_detail(facts: DataFrame, targets: DataFrame) -> DataFrame:
-    """Games and hits per (player, stat, threshold) and date, for the keys
-    requested: once per season (opponent null), with the home and away parts,
-    and once per opponent that is asked for head-to-head (season null).
-
-    The key set is small (bounded by the requests); joining it on player_id
-    and picking the stat with a CASE avoids unpivoting all prop stats.  A key's
-    set of opponents is bounded by the number of teams."""
-    keys = targets.groupBy(*KEY).agg(F.collect_set("h2h_opponent").alias("wanted"))
-    h = facts.select("player_id", "date", "season", "opponent", "location", *PROP_STATS).join(keys, "player_id")
-    by_season = F.struct(F.col("season").alias("season"), F.lit(None).cast("string").alias("opponent"))
-    by_opponent = F.struct(F.lit(None).cast("bigint").alias("season"), F.col("opponent").alias("opponent"))
-    both = F.when(F.array_contains("wanted", F.col("opponent")), F.array(by_season, by_opponent)).otherwise(F.array(by_season))
-    hit = (stat_value(F.col("stat")) >= F.col("threshold")).cast("bigint")
-    home, away = F.col("location") == "home", F.col("location") == "away"
-    return (h.select(*KEY, "date", "location", hit.alias("hit"), F.inline(both))
-            .groupBy(*KEY, "opponent", "season", "date")
-            .agg(F.count(F.lit(1)).alias("g"), F.sum("hit").alias("h"),
-                 F.count(F.when(home, 1)).alias("gh"), F.sum(F.when(home, F.col("hit")).otherwise(0)).alias("hh"),
-                 F.count(F.when(away, 1)).alias("ga"), F.sum(F.when(away, F.col("hit")).otherwise(0)).alias("ha")))
-
-
-def history_asof(facts: DataFrame, targets: DataFrame) -> DataFrame:
+def history_asof(facts: DataFrame, targets: DataFrame, inclusive: bool = True) -> DataFrame:
     """How much history each requested (player, date) has: games dated on or
-    before it, and the date of the last one."""
+    before it (before it, if not ``inclusive``), and the date of the last one."""
     games = facts.groupBy("player_id", "date").agg(F.count(F.lit(1)).alias("g")).withColumn("_m", F.lit(0))
     marks = targets.select("player_id", F.col("selected_date").alias("date")).distinct().select(
-        "*", F.lit(0).cast("bigint").alias("g"), F.lit(1).alias("_m"))
+        "*", F.lit(0).cast("bigint").alias("g"), F.lit(1 if inclusive else -1).alias("_m"))
     w = (Window.partitionBy("player_id").orderBy("date", "_m")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     last = F.max(F.when(F.col("_m") == 0, F.col("date"))).over(w)
     return (games.unionByName(marks).withColumns({"games": F.sum("g").over(w), "last_date": last})
-            .filter(F.col("_m") == 1)
+            .filter(F.col("_m") != 0)
             .select("player_id", F.col("date").alias("selected_date"), "games", "last_date"))
 
 
-def rates(facts: DataFrame, targets: DataFrame) -> DataFrame:
-    """Counts for every target: season (sg, sh), home (gh, hh) and away (ga, ha)
-    in the season, head-to-head (go, ho) and the last N dates (g5, h5, ...)."""
-    sums = ["g", "h", "gh", "hh", "ga", "ha"]
-    place = [*KEY, "opponent", "season", "date"]
-    asked = targets.select(*KEY, F.col("selected_date").alias("date"), "req_season", "h2h_opponent").distinct()
-    nothing = [F.lit(0).cast("bigint").alias(c) for c in sums]
-    in_season = asked.select(*KEY, F.lit(None).cast("string").alias("opponent"),
-                             F.col("req_season").alias("season"), "date").distinct()
-    versus = asked.filter(F.col("h2h_opponent").isNotNull()).select(
-        *KEY, F.col("h2h_opponent").alias("opponent"), F.lit(None).cast("bigint").alias("season"), "date")
-    marks = in_season.unionByName(versus).select(*place, *nothing, F.lit(1).alias("_m"))
-    # A date's games come before its markers: a running sum at a marker covers all up to its date.
-    both = daily_detail(facts, targets).withColumn("_m", F.lit(0)).unionByName(marks).repartition(*KEY)
-    running = (Window.partitionBy(*KEY, "opponent", "season").orderBy("date", "_m")
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # Distinct game dates so far: the axis of the last-N windows.
-    over_dates = Window.partitionBy(*KEY, "opponent").orderBy("date", "_m")
-    last_date = F.max(F.when(F.col("_m") == 0, F.col("date"))).over(over_dates.rowsBetween(Window.unboundedPreceding, -1))
-    both = both.withColumn("_first", ((F.col("_m") == 0) & ~F.col("date").eqNullSafe(last_date)).cast("bigint"))
-    both = both.withColumn("_day", F.sum("_first").over(
-        over_dates.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    cols = [F.sum(c).over(running).alias(f"s_{c}") for c in sums]
+def asked_pairs(requests: DataFrame) -> DataFrame:
+    """(goalie, stat, threshold, stat_at, slot, place): the distinct pairs of
+    each player type, dealt to slots of ``WIDE``.  A stat that is no prop stat is an error."""
+    at = F.array_position(F.array(*[F.lit(s) for s in PROP_STATS]), F.col("stat")) - 1
+    pairs = requests.select((F.col("player_type") == "Goalie").alias("goalie"), "stat", "threshold").distinct()
+    number = F.row_number().over(Window.partitionBy("goalie").orderBy("stat", "threshold")) - 1
+    return pairs.select(
+        "*", F.when(at >= 0, at).when(F.col("stat").isNotNull(), F.raise_error(F.concat(F.lit("not a prop stat: "), F.col("stat"))))
+        .cast("int").alias("stat_at"), number.alias("_n")).select(
+        "*", (F.floor(F.col("_n") / WIDE) * 2 + F.col("goalie").cast("int")).cast("int").alias("slot"),
+        (F.col("_n") % WIDE).alias("place")).drop("_n")
+
+
+HITS = [f"h{j}" for j in range(WIDE)]
+
+
+def hit_history(facts: DataFrame, asked: DataFrame, pairs: DataFrame, inclusive: bool = True) -> DataFrame:
+    """Games of the asked players up to their last date asked, once per slot,
+    with the hit (0 or 1; a null value is no hit) of every pair of the slot.
+
+    ``asked``: (player_id, slot, date, season, opponent).  A player's set of
+    opponents is bounded by the number of teams."""
+    slots = pairs.groupBy("slot").agg(F.sort_array(F.collect_list(F.struct("place", "stat_at", "threshold"))).alias("lines"))
+    keys = asked.groupBy("player_id", "slot").agg(F.max("date").alias("until"), F.collect_set("opponent").alias("wanted"))
+    values = F.array(*[F.col(s).cast("double") for s in PROP_STATS]).alias("values")
+    games = facts.select("player_id", "date", "season", "opponent", "location", values).join(keys.join(slots, "slot"), "player_id")
+    known = F.col("date") <= F.col("until") if inclusive else F.col("date") < F.col("until")
+    hits = []
+    for j, name in enumerate(HITS):
+        line = F.get("lines", F.lit(j))
+        hit = F.get("values", line["stat_at"]) >= line["threshold"]
+        hits.append(F.coalesce(hit, F.lit(False)).cast("int").alias(name))
+    return games.filter(known).select("player_id", "slot", "date", "season", "opponent", "location",
+                                      F.array_contains("wanted", F.col("opponent")).alias("versus"), *hits)
+
+
+def _daily(history: DataFrame, by: list[str], marks: DataFrame, inclusive: bool) -> DataFrame:
+    """Games and hits per ``by`` and markers (games -1 or +1 in ``_m`` from a date's own games)."""
+    sums = history.groupBy(*by).agg(F.count(F.lit(1)).cast("int").alias("g"), *[F.sum(h).cast("int").alias(h) for h in HITS])
+    nothing = [F.lit(0).cast("int").alias(c) for c in ("g", *HITS)]
+    return sums.withColumn("_m", F.lit(0)).unionByName(
+        marks.select(*by, *nothing, F.lit(1 if inclusive else -1).alias("_m")))
+
+
+def _vector(columns: list[Column], name: str) -> Column:
+    return F.array(*[F.coalesce(c, F.lit(0)).cast("int") for c in columns]).alias(name)
+
+
+def season_counts(history: DataFrame, asked: DataFrame, inclusive: bool = True) -> DataFrame:
+    """Per asked (player_id, slot, season, date): games and vectors of hits in
+    the season (sg, sh), there at home (gh, hh) and away (ga, ha), and on the
+    last N dates (g5, h5, ...)."""
+    by = ["player_id", "slot", "season", "location", "date"]
+    marks = asked.select("player_id", "slot", "season", F.lit(None).cast("string").alias("location"), "date").distinct()
+    both = _daily(history, by, marks, inclusive).repartition("player_id", "slot")
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    place = F.col("location")
+    season = Window.partitionBy("player_id", "slot", "season").orderBy("date", "_m").rowsBetween(*upto)
+    ever = Window.partitionBy("player_id", "slot").orderBy("date", "_m")
+    # Distinct game dates so far: the axis of the last-N sums.
+    last_date = F.max(F.when(F.col("_m") == 0, F.col("date"))).over(ever.rowsBetween(Window.unboundedPreceding, -1))
+    both = both.withColumn("_first", ((F.col("_m") == 0) & ~F.col("date").eqNullSafe(last_date)).cast("int"))
+    both = both.withColumn("_day", F.sum("_first").over(ever.rowsBetween(*upto)))
+    cols = []
+    for name, kept in (("s", F.lit(True)), ("h", place == "home"), ("a", place == "away")):
+        cols += [F.sum(F.when(kept, F.col(c)).otherwise(0)).over(season).alias(f"_{name}_{c}") for c in ("g", *HITS)]
+    cols += [F.sum(c).over(ever.rowsBetween(*upto)).alias(f"_e_{c}") for c in ("g", *HITS)]
+    for n in LAST_N:
+        before = Window.partitionBy("player_id", "slot").orderBy("_day").rangeBetween(Window.unboundedPreceding, -n)
+        cols += [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{n}_{c}") for c in ("g", *HITS)]
+    counts = both.select("player_id", "slot", "season", "date", "_m", *cols).filter(F.col("_m") != 0)
+    out = [F.col("_s_g").alias("sg"), _vector([F.col(f"_s_{h}") for h in HITS], "sh"),
+           F.col("_h_g").alias("gh"), _vector([F.col(f"_h_{h}") for h in HITS], "hh"),
+           F.col("_a_g").alias("ga"), _vector([F.col(f"_a_{h}") for h in HITS], "ha")]
     for n in LAST_N:
-        w = Window.partitionBy(*KEY, "opponent").orderBy("_day").rangeBetween(-(n - 1), Window.currentRow)
-        cols += [F.sum("g").over(w).alias(f"g{n}"), F.sum("h").over(w).alias(f"h{n}")]
-    counts = both.select(*place, "_m", *cols).filter(F.col("_m") == 1).drop("_m")
-    recent = [f"{c}{n}" for n in LAST_N for c in "gh"]
-    by_season = counts.filter(F.col("opponent").isNull()).select(
-        *KEY, F.col("season").alias("req_season"), F.col("date").alias("selected_date"),
-        F.col("s_g").alias("sg"), F.col("s_h").alias("sh"), *[F.col(f"s_{c}").alias(c) for c in sums[2:]], *recent)
-    by_opponent = counts.filter(F.col("opponent").isNotNull()).select(
-        *KEY, F.col("opponent").alias("h2h_opponent"), F.col("date").alias("selected_date"),
-        F.col("s_g").alias("go"), F.col("s_h").alias("ho"))
-    return (targets.join(by_season, [*KEY, "req_season", "selected_date"], "left")
-            .join(by_opponent, [*KEY, "h2h_opponent", "selected_date"], "left"))
+        out += [(F.col("_e_g") - F.col(f"_{n}_g")).alias(f"g{n}"),
+                _vector([F.col(f"_e_{h}") - F.col(f"_{n}_{h}") for h in HITS], f"h{n}")]
+    return counts.select("player_id", "slot", F.col("season").alias("req_season"), F.col("date").alias("selected_date"), *out)
+
+
+def versus_counts(history: DataFrame, asked: DataFrame, inclusive: bool = True) -> DataFrame:
+    """Per asked (player_id, slot, opponent, date): games and the vector of
+    hits against the opponent (go, ho)."""
+    by = ["player_id", "slot", "opponent", "date"]
+    marks = asked.filter(F.col("opponent").isNotNull()).select(*by).distinct()
+    both = _daily(history.filter("versus"), by, marks, inclusive).repartition("player_id", "slot", "opponent")
+    w = (Window.partitionBy("player_id", "slot", "opponent").orderBy("date", "_m")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counts = both.select(*by, "_m", *[F.sum(c).over(w).alias(f"_{c}") for c in ("g", *HITS)]).filter(F.col("_m") != 0)
+    return counts.select("player_id", "slot", F.col("opponent").alias("h2h_opponent"), F.col("date").alias("selected_date"),
+                         F.col("_g").alias("go"), _vector([F.col(f"_{h}") for h in HITS], "ho"))
+
+
+def rates(facts: DataFrame, roster: DataFrame, requests: DataFrame, hockey_today: _dt.date | str,
+          game_types: Sequence[str] | None = None, inclusive: bool = True) -> DataFrame:
+    """Every target (see ``targets_for``) with its counts: season (sg, sh),
+    home (gh, hh) and away (ga, ha) in the season, head-to-head (go, ho) and
+    the last N dates (g5, h5, ...).
+
+    ``game_types`` (letters; None: all) restricts the games that count, not the
+    players listed; with ``inclusive`` false the selected date's own games do
+    not count.  A request without a stat or a line has no hits."""
+    players = materialize(_with_context(matchup_players(requests, facts, roster, hockey_today)))
+    pairs = asked_pairs(requests)
+    slots = pairs.select("goalie", "slot").distinct()
+    listed = players.join(slots, "goalie")
+    asked = listed.select("player_id", "slot", F.col("selected_date").alias("date"), F.col("req_season").alias("season"),
+                          F.col("h2h_opponent").alias("opponent")).distinct()
+    counted = facts if game_types is None else filter_game_types(facts, game_types)
+    history = hit_history(counted, asked, pairs, inclusive)
+    found = (listed.join(season_counts(history, asked, inclusive), ["player_id", "slot", "req_season", "selected_date"], "left")
+             .join(versus_counts(history, asked, inclusive), ["player_id", "slot", "h2h_opponent", "selected_date"], "left"))
+    numbered = requests.withColumn("goalie", F.col("player_type") == "Goalie").join(
+        pairs.select(*[F.col(c).alias(f"_{c}") for c in ("goalie", "stat", "threshold")], "slot", "place"),
+        (F.col("goalie") == F.col("_goalie")) & F.col("stat").eqNullSafe(F.col("_stat"))
+        & F.col("threshold").eqNullSafe(F.col("_threshold"))).select(*REQUEST, *MATCHUP[1:], "stat", "threshold", "slot", "place")
+    games = ["sg", "gh", "ga", "go", *[f"g{n}" for n in LAST_N]]
+    hits = ["sh", "hh", "ha", "ho", *[f"h{n}" for n in LAST_N]]
+    return found.join(numbered, [*MATCHUP, "slot"]).select(
+        *TARGET, *TARGET_INFO, *[F.col(g).cast("bigint").alias(g) for g in games],
+        *[F.get(h, F.col("place")).cast("bigint").alias(h) for h in hits])
 
 
 def _games(g: str) -> Column:
@@ -231,20 +303,15 @@ def h2h_cols() -> list[Column]:
             F.when(games > 0, pct("ho", games)).otherwise(F.lit(0.0)).alias("h2h_pct")]
 
 
-def prop_table(facts: DataFrame, roster: DataFrame, requests: DataFrame,
-               hockey_today: _dt.date | str) -> DataFrame:
-    """Numeric hit-rate table: one row per (request, eligible player and team)."""
-    # Read by the keys, the markers and the result: written once.
-    targets = materialize(targets_for(facts, roster, requests, hockey_today))
-    return rates_table(facts, targets)
+def _table_cols() -> list:
+    return [*REQUEST, "player_id", "player_name", "team_abbrev", "position_code", "stat", "threshold",
+            *season_cols(), *h2h_cols(), *last_n_cols(), *location_cols()]
 
 
-def rates_table(facts: DataFrame, targets: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """The hit-rate table for given (request, player) targets; ``extra`` names
-    further target columns to keep."""
-    return rates(facts, targets).select(
-        *REQUEST, "player_id", "player_name", "team_abbrev", "position_code", "stat", "threshold",
-        *season_cols(), *h2h_cols(), *last_n_cols(), *location_cols(), *extra)
+def prop_table(facts: DataFrame, roster: DataFrame, requests: DataFrame, hockey_today: _dt.date | str,
+               game_types: Sequence[str] | None = None, inclusive: bool = True) -> DataFrame:
+    """Numeric hit-rate table: one row per (request, eligible player and team); see ``rates``."""
+    return rates(facts, roster, requests, hockey_today, game_types, inclusive).select(*_table_cols())
 
 
 # ----------------------------------------------------------------- display
@@ -282,13 +349,12 @@ def prop_table_formatted(table: DataFrame, extra: tuple[Column, ...] = ()) -> Da
 def matchup_overview(facts: DataFrame, roster: DataFrame, requests: DataFrame,
                      hockey_today: _dt.date | str, defense_key: str = "team") -> DataFrame:
     """Formatted table + the DvP of each player's team and position for the
-    request's season (from its date) and stat, sorted by L10 % (nulls last)."""
-    targets = materialize(targets_for(facts, roster, requests, hockey_today))
-    scope = targets.select(F.col("req_season").alias("season"), "stat").distinct()
-    rated = dvp_matchup(
-        targets.withColumns({"season": F.col("req_season"), "team": F.col("team_abbrev"), "opponent": F.col("h2h_opponent"),
-                             "position": F.col("position_code")}),
-        dvp_metrics(facts, scope, defense_key))
-    table = rates_table(facts, rated, ("dvp_formatted", "dvp_rank"))
-    shown = prop_table_formatted(table, (F.col("dvp_formatted").alias("DvP"), F.col("dvp_rank").alias("DvP_Rank")))
+    request's season (from its date) and stat, sorted by L10 % (nulls last);
+    ``dvp_exact`` is the value that the DvP text rounds."""
+    scope = requests.select(season_of_date("selected_date").alias("season"), "stat").distinct()
+    table = rates(facts, roster, requests, hockey_today).select(
+        *_table_cols(), F.col("req_season").alias("season"), F.col("team_abbrev").alias("team"),
+        F.col("h2h_opponent").alias("opponent"), F.col("position_code").alias("position"))
+    rated = dvp_matchup(table, dvp_metrics(facts, scope, defense_key))
+    shown = prop_table_formatted(rated, (F.col("dvp_formatted").alias("DvP"), F.col("dvp_rank").alias("DvP_Rank"), F.col("dvp_exact")))
     return shown.orderBy(F.col("L10 %").desc_nulls_last(), *REQUEST, "player_id", "Team")

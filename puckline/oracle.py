@@ -322,8 +322,9 @@ TARGET_SQL = "matchup_id, prop_id, player_id, team_abbrev"
 
 # Counts as of a date: running sums per day, looked up with ASOF joins.
 RATES = """
+, counted AS (SELECT * FROM facts)
 , hit AS (SELECT f.player_id, p.prop_id, f.date, f.season, f.opponent, f.location, (%s) >= p.threshold AS hit
-          FROM facts f, (SELECT DISTINCT prop_id, stat, threshold FROM req) p)
+          FROM counted f, (SELECT DISTINCT prop_id, stat, threshold FROM req) p)
 , sday AS (SELECT player_id, prop_id, season, date, count(*) AS g, count(*) FILTER (WHERE hit) AS h,
              count(*) FILTER (WHERE location = 'home') AS gh, count(*) FILTER (WHERE location = 'home' AND hit) AS hh,
              count(*) FILTER (WHERE location = 'away') AS ga, count(*) FILTER (WHERE location = 'away' AND hit) AS ha
@@ -391,6 +392,13 @@ def _fmt_loc(label: str, side: str) -> str:
             f"CASE WHEN {p} IS NOT NULL AND {g} > 0 THEN {p} END AS \"{label} %\"")
 
 
+HISTORY = """
+, day AS (SELECT player_id, date, count(*) AS g FROM facts GROUP BY ALL)
+, run AS (SELECT player_id, date, CAST(sum(g) OVER (PARTITION BY player_id ORDER BY date) AS BIGINT) AS games FROM day)
+, asked AS (SELECT DISTINCT player_id, selected_date FROM targets)
+SELECT a.player_id, a.selected_date, COALESCE(r.games, 0) AS games, r.date AS last_date
+FROM asked a ASOF LEFT JOIN run r ON r.player_id = a.player_id AND a.selected_date >= r.date"""
+
 PTF = PT + f"""
 , ptf AS (
   SELECT matchup_id, prop_id, player_id, player_name AS "Player", team_abbrev AS "Team", position_code AS "Pos",
@@ -439,17 +447,21 @@ def dvp_scope(stats: list[str]) -> str:
     return f", scope AS (SELECT DISTINCT season, v.stat FROM facts, (VALUES {values}) v(stat))\n"
 
 
-def safe_dvp(x: str) -> str:
-    """Rounded value and text where no rounding tie or signed zero is near."""
-    value = f"round({x}, 2)"
+def _unless_tie(x: str, scale: int, shown: str) -> str:
+    return (f"CASE WHEN isnan({x}) OR isinf({x}) OR (abs({x} * {scale} - floor({x} * {scale}) - 0.5) >= 1e-6 "
+            f"AND abs({x}) >= 0.05) THEN {shown} END")
+
+
+def safe_dvp_text(x: str) -> str:
+    """Text where no rounding tie or signed zero is near."""
     text = (f"CASE WHEN isnan({x}) THEN '+NaN' WHEN isinf({x}) AND {x} > 0 THEN '+inf' WHEN isinf({x}) THEN '-inf' "
             f"WHEN {x} > 0 THEN '+' || CAST(round({x}, 1) AS VARCHAR) ELSE CAST(round({x}, 1) AS VARCHAR) END")
+    return _unless_tie(x, 10, text)
 
-    def unless_tie(scale: int, shown: str) -> str:
-        return (f"CASE WHEN isnan({x}) OR isinf({x}) OR (abs({x} * {scale} - floor({x} * {scale}) - 0.5) >= 1e-6 "
-                f"AND abs({x}) >= 0.05) THEN {shown} END")
 
-    return f"{unless_tie(100, value)} AS dvp_value, {unless_tie(10, text)} AS dvp_formatted"
+def safe_dvp(x: str) -> str:
+    """Rounded value and text where no rounding tie or signed zero is near."""
+    return f"{_unless_tie(x, 100, f'round({x}, 2)')} AS dvp_value, {safe_dvp_text(x)} AS dvp_formatted"
 
 
 def dvp_out(stats: list[str], defense: str = "team") -> str:
@@ -549,12 +561,8 @@ FROM targets t
 LEFT JOIN dvp o ON o.season = t.req_season AND o.stat = t.stat AND o.team = t.team_abbrev AND o.position = t.position_code
 LEFT JOIN dvp x ON x.season = t.req_season AND x.stat = t.stat AND x.team = t.h2h_opponent AND x.position = t.position_code)
 SELECT * EXCLUDE (exact), {safe_dvp('exact')} FROM m"""),
-    "history_asof": sql(targets_sql() + """
-, day AS (SELECT player_id, date, count(*) AS g FROM facts GROUP BY ALL)
-, run AS (SELECT player_id, date, CAST(sum(g) OVER (PARTITION BY player_id ORDER BY date) AS BIGINT) AS games FROM day)
-, asked AS (SELECT DISTINCT player_id, selected_date FROM targets)
-SELECT a.player_id, a.selected_date, COALESCE(r.games, 0) AS games, r.date AS last_date
-FROM asked a ASOF LEFT JOIN run r ON r.player_id = a.player_id AND a.selected_date >= r.date"""),
+    "history_asof": sql(targets_sql() + HISTORY),
+    "history_asof_before": sql(targets_sql() + HISTORY.replace("a.selected_date >= ", "a.selected_date > ")),
     "requests_for_matchups": sql(f"""
 , m AS (SELECT date, away_abbrev, home_abbrev, min(game_id) AS first_game FROM schedule GROUP BY ALL)
 SELECT first_game AS matchup_id, CAST(p.i AS INT) AS prop_id, CAST(date AS DATE) AS selected_date, home_abbrev AS home,
@@ -655,14 +663,17 @@ SELECT game_id, player_id, location, home_score, away_score,
     "eligible_players_roster": sql(targets_sql("1990-01-01")
                                    + f"SELECT {TARGET_SQL}, player_name, position_code FROM targets"),
     "prop_table": sql(targets_sql() + PT + "SELECT * FROM pt"),
+    "prop_table_regular_before": sql(targets_sql() + PT.replace("FROM facts)", "FROM facts WHERE game_type = 2)")
+                                     .replace("t.selected_date >= ", "t.selected_date > ") + "SELECT * FROM pt"),
     "prop_table_formatted": sql(targets_sql() + PTF + "SELECT * FROM ptf"),
     "matchup_overview": sql(targets_sql() + PTF
                             + ", scope AS (SELECT DISTINCT req_season AS season, stat FROM targets)\n" + dvp_sql() + """
-SELECT p.*, CASE WHEN o.team IS NOT NULL AND x.team IS NOT NULL THEN o.dvp_rank ELSE 16 END AS "DvP_Rank"
+SELECT p.*, CASE WHEN o.team IS NOT NULL AND x.team IS NOT NULL THEN o.dvp_rank ELSE 16 END AS "DvP_Rank",
+       CASE WHEN o.team IS NULL OR x.team IS NULL THEN '0.0' ELSE @TEXT@ END AS "DvP"
 FROM ptf p JOIN targets t ON t.matchup_id = p.matchup_id AND t.prop_id = p.prop_id AND t.player_id = p.player_id
  AND t.team_abbrev = p."Team"
 LEFT JOIN dvp o ON o.season = t.req_season AND o.stat = t.stat AND o.team = t.team_abbrev AND o.position = t.position_code
-LEFT JOIN dvp x ON x.season = t.req_season AND x.stat = t.stat AND x.team = t.h2h_opponent AND x.position = t.position_code"""),
+LEFT JOIN dvp x ON x.season = t.req_season AND x.stat = t.stat AND x.team = t.h2h_opponent AND x.position = t.position_code""".replace("@TEXT@", safe_dvp_text("o.schedule_adjusted_dvp"))),
     "daily_slate": sql("""
 SELECT date, game_id,
        strftime(timezone('America/New_York', CAST(strptime(start_time, '%Y-%m-%dT%H:%M:%SZ') AS TIMESTAMP) AT TIME ZONE 'UTC'), '%I:%M %p') AS time_est,

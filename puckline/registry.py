@@ -250,6 +250,11 @@ def q_history_asof(spark, sf):
     return pr.history_asof(px.facts(spark, sf), _targets(spark, sf))
 
 
+@register("history_asof_before")
+def q_history_asof_before(spark, sf):
+    return pr.history_asof(px.facts(spark, sf), _targets(spark, sf), inclusive=False)
+
+
 @register("requests_for_matchups")
 def q_requests_for_matchups(spark, sf):
     options = vw.matchup_options(px.schedule(spark, sf))
@@ -274,7 +279,7 @@ def q_dvp_position_avg(spark, sf):
 
 
 def _rates(spark, sf, columns):
-    return pr.rates(px.facts(spark, sf), _targets(spark, sf)).select(*pr.TARGET, *columns)
+    return pr.rates(px.facts(spark, sf), px.roster(spark, sf), _requests(spark, sf), HOCKEY_TODAY).select(*pr.TARGET, *columns)
 
 
 @register("rate_season")
@@ -463,13 +468,13 @@ def _safe_dvp(df, exact):
     """Rounded values and texts where no rounding tie and no signed zero can
     make two engines differ; null elsewhere."""
     x = F.col(exact)
+    return df.withColumns({"dvp_value": F.when(_steady(x, 100), F.col("dvp_value")),
+                           "dvp_formatted": F.when(_steady(x, 10), F.col("dvp_formatted"))})
 
-    def tie(scale):
-        return F.abs(x * scale - F.floor(x * scale) - 0.5) < 1e-6
 
-    return df.withColumns({
-        "dvp_value": F.when(~tie(100) & (F.abs(x) >= 0.05), F.col("dvp_value")),
-        "dvp_formatted": F.when(~tie(10) & (F.abs(x) >= 0.05), F.col("dvp_formatted"))})
+def _steady(x, scale):
+    """Whether ``x`` times ``scale`` is neither a rounding tie nor near a signed zero."""
+    return ~(F.abs(x * scale - F.floor(x * scale) - 0.5) < 1e-6) & (F.abs(x) >= 0.05)
 
 
 def _dvp(spark, sf, stats=PROP_STATS, key="team"):
@@ -517,6 +522,13 @@ def q_prop_table(spark, sf):
                          HOCKEY_TODAY)
 
 
+@register("prop_table_regular_before")
+def q_prop_table_regular_before(spark, sf):
+    """Regular-season games before the selected date only."""
+    return pr.prop_table(px.facts(spark, sf), px.roster(spark, sf), _requests(spark, sf), HOCKEY_TODAY,
+                         game_types=("R",), inclusive=False)
+
+
 @register("prop_table_formatted")
 def q_prop_table_formatted(spark, sf):
     return pr.prop_table_formatted(q_prop_table(spark, sf))
@@ -524,8 +536,9 @@ def q_prop_table_formatted(spark, sf):
 
 @register("matchup_overview")
 def q_matchup_overview(spark, sf):
-    return pr.matchup_overview(px.facts(spark, sf), px.roster(spark, sf), _requests(spark, sf),
-                               HOCKEY_TODAY).drop("DvP")
+    """The DvP text is shown where no rounding tie can make two engines differ."""
+    out = pr.matchup_overview(px.facts(spark, sf), px.roster(spark, sf), _requests(spark, sf), HOCKEY_TODAY)
+    return out.withColumn("DvP", F.when(F.col("dvp_exact").isNull() | _steady(F.col("dvp_exact"), 10), F.col("DvP"))).drop("dvp_exact")
 
 
 @register("daily_slate")

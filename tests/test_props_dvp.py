@@ -1,12 +1,15 @@
 import datetime as dt
 import math
 
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from puckline.operators import dvp as dv
 from puckline.operators import props as pr
 from puckline.operators import views as vw
 from puckline.operators.facts import PROP_STATS
+from puckline.session import materialize
 from puckline.sources import proxies as px
 
 FACT_COLS = ["game_id", "date", "season", "game_type", "player_id", "player_name", "team", "opponent",
@@ -106,7 +109,6 @@ def test_rates_equal_a_direct_join(spark):
     h = (t.drop("player_name").join(facts.drop("team"), "player_id")
          .filter(F.col("date") <= F.col("selected_date"))
          .withColumn("hit", pr.stat_value(F.col("stat")) >= F.col("threshold")))
-    from pyspark.sql import Window
     w = Window.partitionBy(*pr.TARGET).orderBy(F.col("date").desc())
     h = h.withColumn("rk", F.dense_rank().over(w))
     brute = h.groupBy(*pr.TARGET).agg(
@@ -166,7 +168,6 @@ def test_more_than_a_hundred_props_keep_apart(spark):
 
 
 def test_unknown_stat_is_an_error(spark):
-    import pytest
     req = requests_df(spark, [(1, day(9), "A", "B", "Skater", "pim", 1.5)])
     with pytest.raises(Exception, match="not a prop stat: pim"):
         pr.prop_table(_history(spark), roster_df(spark, [("A", 1, "P1", "C", None)]), req, day(9)).collect()
@@ -192,11 +193,43 @@ def test_rates_read_the_history_once_a_side(spark, tmp_dir):
         plan = pr.prop_table(facts, roster, req, "1997-08-24")._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-    # One scan and one repartition for season and last-N rates, one for head-to-head.
-    assert plan.count("FileScan parquet") <= 2
+    # One scan and one repartition of the history for season and last-N rates, one for head-to-head.
+    assert sum("FileScan parquet" in line and "blocked_shots" in line for line in plan.splitlines()) == 2
     assert plan.count("REPARTITION_BY_COL") <= 2
 
 
+@pytest.mark.parametrize("inclusive", [True, False])
+@pytest.mark.parametrize("game_types", [None, ("P",)])
+def test_rates_with_cutoff_and_game_types(spark, inclusive, game_types):
+    """Many lines per stat (several slots), the cutoff and the game types against a filter per target."""
+    sf = "/root/testdata/sf0.001"
+    facts, roster = materialize(px.facts(spark, sf)), px.roster(spark, sf)
+    games = px.games(spark, sf).filter(F.col("date").between("1997-07-01", "1997-08-30"))
+    props = [("Skater", s, v) for s in ("shots", "points", "hits") for v in (0.5, 1.5, 2.0, 3.5, 6.5)] + [("Goalie", "saves", 24.5)]
+    req = materialize(pr.requests_for_games(games, props))
+    out = pr.rates(facts, roster, req, "1997-08-24", game_types=game_types, inclusive=inclusive)
+    t = materialize(pr.targets_for(facts, roster, req, "1997-08-24"))
+    f = facts if game_types is None else facts.filter(F.col("game_type") == 3)
+    on = (t.player_id == f.player_id) & ((f.date <= t.selected_date) if inclusive else (f.date < t.selected_date))
+    own = F.col("season") == F.col("req_season")
+    past = (t.join(f.select("player_id", "date", "season", "opponent", "location", *pr.PROP_STATS), on).drop(f.player_id)
+            .withColumn("hit", pr.stat_value(F.col("stat")) >= F.col("threshold"))
+            .withColumn("nth", F.dense_rank().over(Window.partitionBy(*pr.TARGET).orderBy(F.col("date").desc()))))
+
+    def both(g, h, cond):
+        return [F.count_if(cond).alias(g), F.count_if(cond & F.col("hit")).alias(h)]
+
+    brute = past.groupBy(*pr.TARGET).agg(
+        *both("sg", "sh", own), *both("gh", "hh", own & (F.col("location") == "home")),
+        *both("ga", "ha", own & (F.col("location") == "away")), *both("go", "ho", F.col("opponent") == F.col("h2h_opponent")),
+        *[c for n in pr.LAST_N for c in both(f"g{n}", f"h{n}", F.col("nth") <= n)])
+    cols = [c for c in brute.columns if c not in pr.TARGET]
+    want = t.select(*pr.TARGET).join(brute, pr.TARGET, "left").select(*pr.TARGET, *[F.coalesce(c, F.lit(0)).alias(c) for c in cols])
+    got = out.select(*pr.TARGET, *[F.coalesce(c, F.lit(0)).alias(c) for c in cols])
+    assert got.count() == want.count() > 1000
+    assert got.exceptAll(want).count() == 0
+
+
 def test_player_log_reads_the_facts_twice_at_most(spark, tmp_dir):
     import os
     sf = "/root/testdata/sf0.001"

@@ -58,7 +58,7 @@ class Store:
         self._put("facts", px.facts(spark, sf))
         self._put("roster", px.roster(spark, sf))
         self._put("scores", ld.landed_scores(spark, sf))
-        self._put("selections", rg._selections(spark, sf))
+        self._put("targets", rg._targets(spark, sf))
         self._put("comprehensive", bx.combine_boxscores(
             self.box, pb.player_game_stats(self.pbp), sc.with_days_rest(self.schedule)))
         self.setup_sec = time.perf_counter() - t0
@@ -81,9 +81,6 @@ def headline(st: Store) -> dict:
         one = requests(DATE, DATE).orderBy(*pr.REQUEST).limit(1)
         return pr.prop_table(st.facts, st.roster, one, rg.HOCKEY_TODAY)
 
-    def log(selections):
-        return vw.player_log_filtered(st.facts, selections)
-
     def refresh_upsert():
         recent = sc.recent_games(ld.flatten_scores(st.scores), rg.AS_OF, rg.UPSERT_DAYS)
         ids = recent.select("game_id")
@@ -105,8 +102,8 @@ def headline(st: Store) -> dict:
         "prop_table_season": lambda: pr.prop_table(st.facts, st.roster, requests(*SEASON), rg.HOCKEY_TODAY),
         "matchup_overview": lambda: pr.matchup_overview(
             st.facts, st.roster, requests(DATE, DATE), rg.HOCKEY_TODAY),
-        "player_log_filtered": lambda: log(st.selections),
-        "kpi_rates": lambda: vw.kpi_rates(log(st.selections), st.selections),
+        "player_log_filtered": lambda: vw.view_logs(st.facts),
+        "kpi_rates": lambda: vw.view_kpis(st.facts, st.targets),
         "refresh_upsert": refresh_upsert,
         "goal_reconciliation": lambda: qa.goal_reconciliation(st.pbp, pb.player_game_stats(st.pbp)),
     }

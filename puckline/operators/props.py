@@ -43,7 +43,7 @@ REQUEST = ["matchup_id", "prop_id"]
 #: A target: one player (of one team) of one request.
 TARGET = [*REQUEST, "player_id", "team_abbrev"]
 MATCHUP = ["matchup_id", "selected_date", "home", "away"]
-TARGET_INFO = ["player_name", "position_code", "selected_date", "home", "away", "stat", "threshold", "req_season", "h2h_opponent"]
+TARGET_INFO = ["player_name", "position_code", "player_type", "selected_date", "home", "away", "stat", "threshold", "req_season", "h2h_opponent"]
 #: (stat, line) pairs that one row of history carries.
 WIDE = len(PROP_STATS)
 
@@ -164,6 +164,17 @@ def asked_pairs(requests: DataFrame) -> DataFrame:
 HITS = [f"h{j}" for j in range(WIDE)]
 
 
+def hit_columns(values: str | None = None) -> list[Column]:
+    """The hit (0 or 1) of every pair in ``lines`` (of ``asked_pairs``, by place);
+    ``values`` names an array of the prop stats, if there is one."""
+    stats = F.col(values) if values else F.array(*[F.col(s).cast("double") for s in PROP_STATS])
+    out = []
+    for j, name in enumerate(HITS):
+        line = F.get("lines", F.lit(j))
+        out.append(F.coalesce(F.get(stats, line["stat_at"]) >= line["threshold"], F.lit(False)).cast("int").alias(name))
+    return out
+
+
 def hit_history(facts: DataFrame, asked: DataFrame, pairs: DataFrame, inclusive: bool = True) -> DataFrame:
     """Games of the asked players up to their last date asked, once per slot,
     with the hit (0 or 1; a null value is no hit) of every pair of the slot.
@@ -175,13 +186,8 @@ def hit_history(facts: DataFrame, asked: DataFrame, pairs: DataFrame, inclusive:
     values = F.array(*[F.col(s).cast("double") for s in PROP_STATS]).alias("values")
     games = facts.select("player_id", "date", "season", "opponent", "location", values).join(keys.join(slots, "slot"), "player_id")
     known = F.col("date") <= F.col("until") if inclusive else F.col("date") < F.col("until")
-    hits = []
-    for j, name in enumerate(HITS):
-        line = F.get("lines", F.lit(j))
-        hit = F.get("values", line["stat_at"]) >= line["threshold"]
-        hits.append(F.coalesce(hit, F.lit(False)).cast("int").alias(name))
     return games.filter(known).select("player_id", "slot", "date", "season", "opponent", "location",
-                                      F.array_contains("wanted", F.col("opponent")).alias("versus"), *hits)
+                                      F.array_contains("wanted", F.col("opponent")).alias("versus"), *hit_columns("values"))
 
 
 def _daily(history: DataFrame, by: list[str], marks: DataFrame, inclusive: bool) -> DataFrame:
@@ -263,7 +269,7 @@ def rates(facts: DataFrame, roster: DataFrame, requests: DataFrame, hockey_today
     numbered = requests.withColumn("goalie", F.col("player_type") == "Goalie").join(
         pairs.select(*[F.col(c).alias(f"_{c}") for c in ("goalie", "stat", "threshold")], "slot", "place"),
         (F.col("goalie") == F.col("_goalie")) & F.col("stat").eqNullSafe(F.col("_stat"))
-        & F.col("threshold").eqNullSafe(F.col("_threshold"))).select(*REQUEST, *MATCHUP[1:], "stat", "threshold", "slot", "place")
+        & F.col("threshold").eqNullSafe(F.col("_threshold"))).select(*REQUEST, *MATCHUP[1:], "player_type", "stat", "threshold", "slot", "place")
     games = ["sg", "gh", "ga", "go", *[f"g{n}" for n in LAST_N]]
     hits = ["sh", "hh", "ha", "ho", *[f"h{n}" for n in LAST_N]]
     return found.join(numbered, [*MATCHUP, "slot"]).select(

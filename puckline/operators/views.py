@@ -8,6 +8,14 @@ home, away, stat, threshold, opponent_team and the filters game_filter
 (``any`` / ``0`` / ``1`` / ``2`` / ``3+``).
 Every "first N games" is ``row_number() <= N`` with a literal N, which Spark
 plans as a WindowGroupLimit (partial top-N before the shuffle).
+
+The whole filter space at once (``view_logs`` and what builds on it): a view
+has no date cutoff, so its game log depends on the player and on one of a few
+scopes - a season, an opponent, the whole history, the last N games - and not
+on the request.  Every game is offered to its scopes and, there, to the four
+points of the location x rest lattice that hold it (any or its own on either
+axis).  All logs of all players come from one pass; a view of any season,
+opponent and game filter looks its log up.
 """
 
 from __future__ import annotations
@@ -21,13 +29,21 @@ from puckline.functions.scalar import (HOCKEY_ZONE, matchup_label, season_label,
                                        season_of_date)
 from puckline.operators.common import pick_first
 from puckline.operators.facts import GOALIE_PROPS
-from puckline.operators.props import TARGET, stat_value
+from puckline.operators.props import HITS, TARGET, asked_pairs, hit_columns, stat_value
 
 SEL = [*TARGET, "spec_id"]
 LAST_GAMES = (5, 10, 20, 30)
 CHART_GAMES = 25
 LOG_GAMES = 50
 REST_CAP_LABEL = "3+"
+GAME_FILTERS = ("season", "last_season", "h2h", *(f"L{n}" for n in LAST_GAMES))
+LOCATIONS = ("any", "home", "away")
+RESTS = ("any", "0", "1", "2", REST_CAP_LABEL)
+#: The lattice of location and rest filters, in display order.
+COMBINATIONS = [(loc, rest) for loc in LOCATIONS for rest in RESTS]
+#: A log: one player's games in a scope (kind, value) under a location and a rest filter.
+SCOPE = ["log_kind", "log_value"]
+LOG = ["player_id", *SCOPE, "location_filter", "rest_filter"]
 
 
 def _newest_first() -> list[Column]:
@@ -155,6 +171,118 @@ def game_log(log: DataFrame) -> DataFrame:
     return _first_n(log, LOG_GAMES)
 
 
+# ----------------------------------------------------------------- the whole filter space
+
+def _scope(kind: Column | str, value: Column | str) -> Column:
+    kind, value = (F.lit(x) if isinstance(x, str) else x for x in (kind, value))
+    return F.struct(kind.alias("log_kind"), value.cast("string").alias("log_value"))
+
+
+def scope_of(game_filter: Column, season: Column, opponent: Column) -> Column:
+    """The scope that a view's game filter looks up; head-to-head without an opponent is the whole history."""
+    return (F.when(game_filter == "season", _scope("season", season))
+            .when(game_filter == "last_season", _scope("season", season - 10001))
+            .when((game_filter == "h2h") & opponent.isNull(), _scope("all", ""))
+            .when(game_filter == "h2h", _scope("h2h", opponent))
+            .otherwise(_scope(game_filter, "")))
+
+
+def view_logs(facts: DataFrame, part: Sequence[str] = ("player_id",)) -> DataFrame:
+    """Every game under every log that holds it: the columns of ``facts`` and
+    log_kind, log_value, location_filter, rest_filter.
+
+    A game has three scopes (its season, its opponent, all), a player's 30 most
+    recent games up to four more, and each scope at most four lattice points."""
+    dated = facts.withColumn("at", F.explode(F.array(_scope("season", F.col("season")), _scope("h2h", F.col("opponent")), _scope("all", ""))))
+    last = F.filter(F.array(*[F.lit(n) for n in LAST_GAMES]), lambda n: n >= F.col("game_rank"))
+    recent = top_n_games(facts, max(LAST_GAMES), part).withColumn("n", F.explode(last)).withColumn(
+        "at", _scope(F.concat(F.lit("L"), F.col("n").cast("string")), "")).drop("n", "game_rank")
+    rest = (F.when(F.col("days_rest") >= 3, F.lit(REST_CAP_LABEL))
+            .when(F.col("days_rest").isin(0, 1, 2), F.col("days_rest").cast("string")))
+    own = F.when(F.col("location").isin("home", "away"), F.col("location"))
+    both = dated.unionByName(recent).select("*", "at.*").drop("at")
+    return (both.withColumn("location_filter", F.explode(F.array_compact(F.array(F.lit("any"), own))))
+            .withColumn("rest_filter", F.explode(F.array_compact(F.array(F.lit("any"), rest)))))
+
+
+def ranked_logs(logs: DataFrame, n: int | None = None, key: Sequence[str] = LOG) -> DataFrame:
+    """``log_rank`` from the newest game of each log, the first ``n`` only if given."""
+    ranked = logs.withColumn("log_rank", F.row_number().over(Window.partitionBy(*key).orderBy(*_newest_first())))
+    return ranked if n is None else ranked.filter(F.col("log_rank") <= n)
+
+
+def log_summaries(logs: DataFrame) -> DataFrame:
+    """Means of four secondary stats over the 25 newest games of each log."""
+    return ranked_logs(logs, CHART_GAMES).groupBy(*LOG).agg(F.count(F.lit(1)).alias("games"), *[
+        F.avg(c).alias(f"avg_{c}") for c in ("shot_attempts", "missed_shots", "toi_minutes", "shifts")])
+
+
+def log_charts(logs: DataFrame, lines: DataFrame) -> DataFrame:
+    """One chart per log and (player_id, stat, threshold) of ``lines``: its 25
+    newest games from the oldest on (``points``: label and hit flag), how many
+    hit, their mean value and the y-axis maximum."""
+    last = ranked_logs(logs, CHART_GAMES).join(lines.select("player_id", "stat", "threshold").distinct(), "player_id")
+    value = stat_value(F.col("stat"))
+    label = F.concat(F.date_format("date", "MM/dd"), F.lit(" vs "), F.col("opponent"))
+    point = F.struct((-F.col("log_rank")).alias("o"), F.concat(label, F.when(value >= F.col("threshold"), F.lit(" +")).otherwise(F.lit(" -"))).alias("p"))
+    return last.groupBy(*LOG, "stat", "threshold").agg(
+        F.count(F.lit(1)).alias("games"), F.count_if(value >= F.col("threshold")).alias("hits"), F.avg(value).alias("avg_value"),
+        (F.max(value) + 1).alias("y_max"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(point)), lambda x: x["p"]), "|").alias("points"))
+
+
+def _lattice(counts: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+    """Rows per lattice point -> one row with (games, hits) of all ``COMBINATIONS``, null where there is no game."""
+    point = F.concat_ws("/", "location_filter", "rest_filter")
+    vector = F.struct(F.col("g"), F.array(*HITS).alias("h"))
+    points = F.array(*[F.lit(f"{loc}/{rest}") for loc, rest in COMBINATIONS])
+    held = counts.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(point, vector))).alias("_held"))
+    return held.select(*by, F.transform(points, lambda p: F.try_element_at(F.col("_held"), p)).alias(name))
+
+
+def view_kpis(facts: DataFrame, targets: DataFrame) -> DataFrame:
+    """KPI texts of every (player_id, season, opponent_team, stat, threshold) of
+    ``targets`` under every game filter: one row per game filter, and in each of
+    season_rates, h2h_rates, l5_rates and l10_rates the fifteen texts of ``COMBINATIONS``, as
+    ``67% (3g)``, joined by ``|``.  Empty sets read as in ``kpi_rates``.
+
+    Hits of twelve lines travel side by side (see ``props``); counts are kept
+    per log, season and opponent, a set bounded by the calendar's seasons and
+    the teams, and summed from there."""
+    asked = targets.select("player_id", F.col("req_season").alias("season"), F.col("h2h_opponent").alias("opponent_team"),
+                           "player_type", "stat", "threshold").distinct()
+    pairs = asked_pairs(asked)
+    placed = asked.withColumn("goalie", F.col("player_type") == "Goalie").join(pairs.drop("stat_at"), ["goalie", "stat", "threshold"])
+    slots = pairs.groupBy("slot").agg(F.sort_array(F.collect_list(F.struct("place", "stat_at", "threshold"))).alias("lines"))
+    keys = placed.select("player_id", "slot").distinct().join(slots, "slot")
+    games = facts.join(keys, "player_id").select("player_id", "slot", "game_id", "date", "season", "opponent", "location", "days_rest", *hit_columns())
+    logs = view_logs(games, ("player_id", "slot"))
+    log, total = [*LOG, "slot"], [F.sum(c).cast("int").alias(c) for c in ("g", *HITS)]
+    counts = logs.groupBy(*log, "season", "opponent").agg(F.count(F.lit(1)).alias("g"), *[F.sum(h).alias(h) for h in HITS])
+    scope = ["player_id", "slot", *SCOPE]
+    of_season = _lattice(counts.groupBy(*log, "season").agg(*total), [*scope, "season"], "_season")
+    of_opponent = _lattice(counts.groupBy(*log, "opponent").agg(*total), [*scope, "opponent"], "_h2h").withColumnRenamed("opponent", "opponent_team")
+    ten = ranked_logs(logs, 10, log)
+    last = [_lattice(ten.filter(F.col("log_rank") <= n).groupBy(*log).agg(F.count(F.lit(1)).cast("int").alias("g"), *total[1:]), scope, f"_l{n}")
+            for n in (5, 10)]
+    views = placed.withColumn("game_filter", F.explode(F.array(*[F.lit(g) for g in GAME_FILTERS]))).withColumn(
+        "at", scope_of(F.col("game_filter"), F.col("season"), F.col("opponent_team"))).select("*", "at.*")
+    found = (views.join(of_season, [*scope, "season"], "left").join(of_opponent, [*scope, "opponent_team"], "left")
+             .join(last[0], scope, "left").join(last[1], scope, "left"))
+    def texts(name: str) -> Column:
+        empty = F.lit("n/a" if name == "h2h" else "0% (0g)")
+
+        def one(at: Column) -> Column:
+            rate = F.get(at["h"], F.col("place")).cast("double") / at["g"].cast("double") * 100.0
+            shown = F.concat(F.bround(rate, 0).cast("int").cast("string"), F.lit("% ("), at["g"].cast("string"), F.lit("g)"))
+            return F.when(at.isNotNull(), shown).otherwise(empty)
+
+        return F.array_join(F.coalesce(F.transform(F.col(f"_{name}"), one), F.array_repeat(empty, len(COMBINATIONS))), "|")
+
+    return found.select("player_id", "season", "opponent_team", "stat", "threshold", "game_filter",
+                        *[texts(k).alias(f"{k}_rates") for k in ("season", "h2h", "l5", "l10")])
+
+
 def player_header(selections: DataFrame, roster: DataFrame, facts: DataFrame) -> DataFrame:
     """Name and team from the roster, else the player's latest game; then the
     opponent and ``vs`` / ``@`` from the matchup, and the season labels."""

@@ -471,37 +471,56 @@ SELECT season, stat, team, position, dvp_rank, {safe_dvp('schedule_adjusted_dvp'
        round(schedule_strength_factor, 6) AS schedule_strength_factor, games_count FROM dvp""")
 
 
-VIEW_SPECS_SQL = ("(VALUES (0, 'season', 'any', 'any'), (1, 'h2h', 'any', 'any'), (2, 'L5', 'home', 'any'), "
-                  "(3, 'L10', 'any', '3+'), (4, 'last_season', 'away', 'any'), (5, 'L30', 'any', '1')) "
-                  "s(spec_id, game_filter, location_filter, rest_filter)")
-
-SEL = targets_sql() + f"""
-, last_of AS (SELECT *, row_number() OVER (PARTITION BY player_id, req_season, prop_id
-                                           ORDER BY selected_date DESC, matchup_id DESC, team_abbrev) AS pick FROM targets)
-, sel AS (
-  SELECT t.matchup_id, t.prop_id, t.player_id, t.team_abbrev, t.selected_date, t.home, t.away, t.stat, t.threshold,
-         t.h2h_opponent AS opponent_team, s.spec_id, s.game_filter, s.location_filter, s.rest_filter
-  FROM last_of t, {VIEW_SPECS_SQL} WHERE t.pick = 1)
-, lj AS (
-  SELECT s.*, f.game_id, f.date, f.season, f.opponent, f.location, f.days_rest,
-         CAST({stat_value_sql('s.stat')} AS DOUBLE) AS value,
-         f.shot_attempts, f.missed_shots, f.toi_minutes, f.shifts,
-         row_number() OVER (PARTITION BY s.matchup_id, s.prop_id, s.player_id, s.team_abbrev, s.spec_id ORDER BY f.date DESC, f.game_id DESC) AS rn,
-         {season_sql('s.selected_date')} AS cur
-  FROM sel s JOIN facts f ON f.player_id = s.player_id)
-, lg AS (
-  SELECT * FROM lj WHERE
-    ((game_filter = 'season' AND season = cur) OR (game_filter = 'last_season' AND season = cur - 10001)
-     OR (game_filter = 'h2h' AND (opponent_team IS NULL OR opponent = opponent_team))
-     OR (game_filter = 'L5' AND rn <= 5) OR (game_filter = 'L10' AND rn <= 10)
-     OR (game_filter = 'L20' AND rn <= 20) OR (game_filter = 'L30' AND rn <= 30))
-    AND (location_filter = 'any' OR location = location_filter)
-    AND (rest_filter = 'any' OR (rest_filter = '3+' AND days_rest >= 3)
-         OR (rest_filter <> '3+' AND days_rest = TRY_CAST(rest_filter AS INT))))
-, lr AS (SELECT *, CAST(row_number() OVER (PARTITION BY matchup_id, prop_id, player_id, team_abbrev, spec_id ORDER BY date DESC, game_id DESC) AS INT) AS log_rank FROM lg)
+#: All logs of the player view: a player's games in a scope under a location and a rest filter.
+LOGS = """
+, ranked AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY date DESC, game_id DESC) AS rn FROM facts)
+, scoped_games AS (
+  SELECT *, 'season' AS log_kind, CAST(season AS VARCHAR) AS log_value FROM ranked
+  UNION ALL SELECT *, 'h2h', opponent FROM ranked
+  UNION ALL SELECT *, 'all', '' FROM ranked
+  UNION ALL SELECT r.*, 'L' || n, '' FROM ranked r JOIN (VALUES (5), (10), (20), (30)) t(n) ON rn <= n)
+, logs AS (
+  SELECT g.*, l.location_filter, r.rest_filter,
+         CAST(row_number() OVER (PARTITION BY player_id, log_kind, log_value, location_filter, rest_filter
+                                 ORDER BY date DESC, game_id DESC) AS INT) AS log_rank
+  FROM scoped_games g
+  JOIN (VALUES ('any'), ('home'), ('away')) l(location_filter) ON location_filter = 'any' OR location_filter = g.location
+  JOIN (VALUES ('any'), ('0'), ('1'), ('2'), ('3+')) r(rest_filter)
+    ON rest_filter = 'any' OR (rest_filter = '3+' AND days_rest >= 3) OR (rest_filter <> '3+' AND days_rest = TRY_CAST(rest_filter AS INT)))
 """
+_LOGK = "player_id, log_kind, log_value, location_filter, rest_filter"
+
+#: Counts per log and line, looked up by every view; the fifteen lattice points are numbered in display order.
+KPIS = targets_sql() + LOGS + f"""
+, asked AS (SELECT DISTINCT player_id, req_season AS season, h2h_opponent AS opponent_team, stat, threshold FROM targets)
+, hits AS (SELECT {', '.join('g.' + c for c in _LOGK.split(', '))}, g.season, g.opponent, g.log_rank, p.stat, p.threshold,
+             ({stat_value_sql('p.stat', 'g.')}) >= p.threshold AS hit
+           FROM logs g JOIN (SELECT DISTINCT player_id, stat, threshold FROM asked) p ON p.player_id = g.player_id)
+, cs AS (SELECT {_LOGK}, stat, threshold, season, count(*) AS g, count(*) FILTER (WHERE hit) AS h FROM hits GROUP BY ALL)
+, co AS (SELECT {_LOGK}, stat, threshold, opponent, count(*) AS g, count(*) FILTER (WHERE hit) AS h FROM hits GROUP BY ALL)
+, cl AS (SELECT {_LOGK}, stat, threshold, count(*) FILTER (WHERE log_rank <= 5) AS g5, count(*) FILTER (WHERE hit AND log_rank <= 5) AS h5,
+           count(*) AS g10, count(*) FILTER (WHERE hit) AS h10 FROM hits WHERE log_rank <= 10 GROUP BY ALL)
+, views AS (
+  SELECT a.*, f.game_filter, l.location_filter, r.rest_filter, l.i * 5 + r.j AS point,
+         CASE WHEN game_filter IN ('season', 'last_season') THEN 'season' WHEN game_filter = 'h2h' AND opponent_team IS NULL THEN 'all'
+              ELSE game_filter END AS log_kind,
+         CASE game_filter WHEN 'season' THEN CAST(a.season AS VARCHAR) WHEN 'last_season' THEN CAST(a.season - 10001 AS VARCHAR)
+              WHEN 'h2h' THEN COALESCE(opponent_team, '') ELSE '' END AS log_value
+  FROM asked a, (VALUES ('season'), ('last_season'), ('h2h'), ('L5'), ('L10'), ('L20'), ('L30')) f(game_filter),
+       (VALUES (0, 'any'), (1, 'home'), (2, 'away')) l(i, location_filter),
+       (VALUES (0, 'any'), (1, '0'), (2, '1'), (3, '2'), (4, '3+')) r(j, rest_filter))
+, rated AS (
+  SELECT v.*, cs.g AS sg, cs.h AS sh, co.g AS og, co.h AS oh, g5, h5, g10, h10
+  FROM views v LEFT JOIN cs USING ({_LOGK}, stat, threshold, season)
+  LEFT JOIN (SELECT * RENAME (opponent AS opponent_team) FROM co) co USING ({_LOGK}, stat, threshold, opponent_team)
+  LEFT JOIN cl USING ({_LOGK}, stat, threshold))
+"""
+
+
+def _kpi_text(g: str, h: str, empty: str) -> str:
+    rate = f"CAST(CAST(round_even(CAST({h} AS DOUBLE) / CAST({g} AS DOUBLE) * 100.0, 0) AS INT) AS VARCHAR)"
+    return f"string_agg(CASE WHEN COALESCE({g}, 0) > 0 THEN {rate} || '% (' || {g} || 'g)' ELSE '{empty}' END, '|' ORDER BY point)"
 
-_SELK = "matchup_id, prop_id, player_id, team_abbrev, spec_id"
 
 ORACLE.update({
     "scan_parquet": sql("SELECT game_id, date, season, game_type, away_abbrev, away_score, home_abbrev, home_score, "
@@ -535,7 +554,7 @@ SELECT season, team, season = (SELECT max(season) FROM games) AS is_latest FROM
                              "OR NOT (game_type = 2)"),
     "semi_filter_games": sql(DBOX + "SELECT * FROM dbox WHERE game_id IN (SELECT game_id FROM pbp)"),
     "filter_game_types": sql("SELECT * FROM schedule WHERE game_type IN (2, 3)"),
-    "player_log_filtered": sql(SEL + f"SELECT {_SELK}, game_id, date, season, opponent, location, days_rest, value FROM lg"),
+    "player_log_filtered": sql(LOGS + f"SELECT {_LOGK}, game_id, date, season, opponent, location, days_rest FROM logs"),
     "recent_games": sql("SELECT game_id, date, season, game_type, away_abbrev, away_score, home_abbrev, home_score, "
                         "CAST(NULL AS VARCHAR) AS start_time, CAST(NULL AS VARCHAR) AS venue FROM schedule "
                         "WHERE (CASE WHEN game_id % 11 = 0 THEN 'FUT' ELSE 'FINAL' END) IN ('OFF', 'FINAL') AND date BETWEEN '1997-08-16' AND '1997-08-22'"),
@@ -590,11 +609,10 @@ FROM scoped GROUP BY season, stat, position"""),
                        "l10_games, l10_hits, l10_pct, l20_games, l20_hits, l20_pct FROM pt"),
     "rate_location": sql(targets_sql() + PT + "SELECT " + TARGET_SQL + ", away_season_games, "
                          "away_season_pct, home_season_games, home_season_pct FROM pt"),
-    "chart_summary": sql(SEL + f"""
-SELECT {_SELK}, round(avg(shot_attempts), 6) AS avg_shot_attempts, round(avg(missed_shots), 6) AS avg_missed_shots,
+    "chart_summary": sql(LOGS + f"""
+SELECT {_LOGK}, count(*) AS games, round(avg(shot_attempts), 6) AS avg_shot_attempts, round(avg(missed_shots), 6) AS avg_missed_shots,
        round(avg(toi_minutes), 6) AS avg_toi_minutes, round(avg(shifts), 6) AS avg_shifts
-FROM (SELECT *, row_number() OVER (PARTITION BY {_SELK} ORDER BY date DESC, game_id DESC) AS r25 FROM lg
-      WHERE stat NOT IN ('saves', 'shots_against', 'goals_against')) WHERE r25 <= 25 GROUP BY {_SELK}"""),
+FROM logs WHERE log_rank <= 25 GROUP BY {_LOGK}"""),
     "schedule_days_rest": sql(REST + "SELECT * FROM rest"),
     "pbp_gwg_flag": sql(EV_FLAGS + "SELECT game_id, event_id, scoring_player_id, final_home_score, final_away_score, "
                         "winning_team_id, is_gwg_event FROM ev3 WHERE event_type = 'goal'"),
@@ -602,11 +620,16 @@ FROM (SELECT *, row_number() OVER (PARTITION BY {_SELK} ORDER BY date DESC, game
     "top_n_games": sql("""
 , r AS (SELECT player_id, game_id, date, CAST(row_number() OVER (PARTITION BY player_id ORDER BY date DESC, game_id DESC) AS INT) AS game_rank FROM facts)
 SELECT * FROM r WHERE game_rank <= 10"""),
-    "chart_series": sql(SEL + f"""
-SELECT {_SELK}, game_id, date, log_rank, strftime(date, '%m/%d') || ' vs ' || opponent AS label, value,
-       value >= threshold AS hit, threshold, max(value) OVER (PARTITION BY {_SELK}) + 1 AS y_max
-FROM lr WHERE log_rank <= 25"""),
-    "game_log": sql(SEL + f"SELECT {_SELK}, game_id, date, log_rank, value FROM lr WHERE log_rank <= 50"),
+    "chart_series": sql(targets_sql() + LOGS + f"""
+, valued AS (
+  SELECT g.*, p.stat, p.threshold, CAST({stat_value_sql('p.stat', 'g.')} AS DOUBLE) AS value
+  FROM logs g JOIN (SELECT DISTINCT player_id, stat, threshold FROM targets) p ON p.player_id = g.player_id WHERE g.log_rank <= 25)
+SELECT {_LOGK}, stat, threshold, count(*) AS games, count(*) FILTER (WHERE value >= threshold) AS hits, round(avg(value), 6) AS avg_value,
+       max(value) + 1 AS y_max,
+       string_agg(strftime(date, '%m/%d') || ' vs ' || opponent || CASE WHEN value >= threshold THEN ' +' ELSE ' -' END, '|'
+                  ORDER BY log_rank DESC) AS points
+FROM valued GROUP BY {_LOGK}, stat, threshold"""),
+    "game_log": sql(LOGS + f"SELECT {_LOGK}, game_id, date, log_rank, {', '.join(PROP_STATS_SQL)} FROM logs WHERE log_rank <= 50"),
     "sample_games": sql("""
 , f AS (SELECT *, row_number() OVER (PARTITION BY home_abbrev ORDER BY date, game_id) AS rn FROM schedule WHERE date < '1999-01-01')
 SELECT game_id, date, season, game_type, away_abbrev, away_score, home_abbrev, home_score, start_time, venue
@@ -682,8 +705,8 @@ SELECT date, game_id,
 FROM schedule"""),
     "matchup_options": sql("SELECT date, away_abbrev || ' @ ' || home_abbrev AS matchup, min(game_id) AS first_game_id "
                            "FROM schedule GROUP BY 1, 2"),
-    "player_header": sql(SEL + f"""
-, ppl AS (SELECT DISTINCT matchup_id, player_id, selected_date, home, away FROM sel)
+    "player_header": sql(targets_sql() + f"""
+, ppl AS (SELECT DISTINCT matchup_id, player_id, selected_date, home, away FROM targets)
 , rr AS (SELECT player_id, full_player_name AS r_name, team_abbrev AS r_team, headshot_url,
                 row_number() OVER (PARTITION BY player_id ORDER BY team_abbrev, full_player_name) AS rn FROM roster)
 , lt AS (SELECT player_id, player_name AS h_name, team AS h_team,
@@ -700,25 +723,11 @@ SELECT matchup_id, player_id, player_name, team, headshot_url,
        substring(CAST(cur AS VARCHAR), 3, 2) || '/' || substring(CAST(cur AS VARCHAR), 7, 2) AS season_label,
        substring(CAST(cur - 10001 AS VARCHAR), 3, 2) || '/' || substring(CAST(cur - 10001 AS VARCHAR), 7, 2) AS prev_season_label
 FROM h"""),
-    "kpi_rates": sql(SEL + f"""
-, k AS (SELECT {_SELK},
-          count(*) FILTER (WHERE season = cur) AS sg, count(*) FILTER (WHERE season = cur AND value >= threshold) AS sh,
-          count(*) FILTER (WHERE opponent_team IS NOT NULL AND opponent = opponent_team) AS hg,
-          count(*) FILTER (WHERE opponent_team IS NOT NULL AND opponent = opponent_team AND value >= threshold) AS hh,
-          count(*) FILTER (WHERE log_rank <= 5) AS g5, count(*) FILTER (WHERE log_rank <= 5 AND value >= threshold) AS h5,
-          count(*) FILTER (WHERE log_rank <= 10) AS g10, count(*) FILTER (WHERE log_rank <= 10 AND value >= threshold) AS h10
-        FROM lr GROUP BY {_SELK})
-, k2 AS (SELECT s.matchup_id, s.prop_id, s.player_id, s.team_abbrev, s.spec_id,
-    CASE WHEN COALESCE(sg,0) > 0 THEN CAST(sh AS DOUBLE) / CAST(sg AS DOUBLE) * 100.0 ELSE 0.0 END AS season_pct, CAST(COALESCE(sg,0) AS BIGINT) AS season_games,
-    CASE WHEN COALESCE(hg,0) > 0 THEN CAST(hh AS DOUBLE) / CAST(hg AS DOUBLE) * 100.0 ELSE 0.0 END AS h2h_pct, CAST(COALESCE(hg,0) AS BIGINT) AS h2h_games,
-    CASE WHEN COALESCE(g5,0) > 0 THEN CAST(h5 AS DOUBLE) / CAST(g5 AS DOUBLE) * 100.0 ELSE 0.0 END AS l5_pct, CAST(COALESCE(g5,0) AS BIGINT) AS l5_games,
-    CASE WHEN COALESCE(g10,0) > 0 THEN CAST(h10 AS DOUBLE) / CAST(g10 AS DOUBLE) * 100.0 ELSE 0.0 END AS l10_pct, CAST(COALESCE(g10,0) AS BIGINT) AS l10_games
-  FROM sel s LEFT JOIN k USING ({_SELK}))
-SELECT *, CAST(CAST(round_even(season_pct, 0) AS INT) AS VARCHAR) || '%' AS season_text,
-       CASE WHEN h2h_games > 0 THEN CAST(CAST(round_even(h2h_pct, 0) AS INT) AS VARCHAR) || '%' ELSE 'n/a' END AS h2h_text,
-       CAST(CAST(round_even(l5_pct, 0) AS INT) AS VARCHAR) || '%' AS l5_text,
-       CAST(CAST(round_even(l10_pct, 0) AS INT) AS VARCHAR) || '%' AS l10_text
-FROM k2"""),
+    "kpi_rates": sql(KPIS + f"""
+SELECT player_id, season, opponent_team, stat, threshold, game_filter, {_kpi_text('sg', 'sh', '0% (0g)')} AS season_rates,
+       {_kpi_text('og', 'oh', 'n/a')} AS h2h_rates, {_kpi_text('g5', 'h5', '0% (0g)')} AS l5_rates,
+       {_kpi_text('g10', 'h10', '0% (0g)')} AS l10_rates
+FROM rated GROUP BY player_id, season, opponent_team, stat, threshold, game_filter"""),
     "integrity_checks": sql(COMB + """
 SELECT 'skaters_over_35_min' AS "check", CAST(count(*) FILTER (WHERE position <> 'G' AND toi_minutes > 35) AS BIGINT) AS n FROM comb
 UNION ALL SELECT 'goalies_over_66_min', CAST(count(*) FILTER (WHERE position = 'G' AND toi_minutes > 66) AS BIGINT) FROM comb

@@ -26,8 +26,8 @@ from puckline.operators import quality as qa
 from puckline.operators import schedule as sc
 from puckline.operators import views as vw
 from puckline.operators.facts import GOALIE_PROPS, PROP_STATS
-from puckline.operators.common import pick_first, sides
-from puckline.session import apply_conf, materialize, shared_dir
+from puckline.operators.common import sides
+from puckline.session import apply_conf, shared_dir
 from puckline.sources import landing as ld
 from puckline.sources import proxies as px
 from puckline.sources import storage as st
@@ -47,9 +47,6 @@ SAMPLE_AS_OF = "1999-01-01"
 MISSING_AS_OF = "2001-12-31"
 BACKFILL_SPLIT = "1997-06-01"        # stored raw rows: games before the old landing cut
 BACKFILL_OLD_CUT = "1997-08-16"      # new landing: games from the split on (overlap)
-# (spec_id, game filter, location filter, rest filter) for the player view.
-VIEW_SPECS = [(0, "season", "any", "any"), (1, "h2h", "any", "any"), (2, "L5", "home", "any"),
-              (3, "L10", "any", "3+"), (4, "last_season", "away", "any"), (5, "L30", "any", "1")]
 ALL_DVP = (PROP_STATS, None)          # every prop stat, every season
 BOX_ORDER = ["src_line", "src_part", "src_qty", "src_price"]
 
@@ -102,20 +99,9 @@ def _targets(spark, sf, today=HOCKEY_TODAY):
     return pr.targets_for(px.facts(spark, sf), px.roster(spark, sf), _requests(spark, sf), today)
 
 
-def _selections(spark, sf):
-    """The player view opened from every player's last request of each season
-    and prop, with every filter combination of ``VIEW_SPECS``."""
-    specs = F.array(*[F.struct(F.lit(i).alias("spec_id"), F.lit(g).alias("game_filter"),
-                               F.lit(loc).alias("location_filter"), F.lit(r).alias("rest_filter"))
-                      for i, g, loc, r in VIEW_SPECS])
-    last = pick_first(_targets(spark, sf), ["player_id", "req_season", "prop_id"],
-                      [F.col("selected_date").desc(), F.col("matchup_id").desc(), "team_abbrev"])
-    return last.select(*pr.TARGET, "selected_date", "home", "away", "stat", "threshold",
-                       F.col("h2h_opponent").alias("opponent_team"), F.inline(specs))
-
-
-def _log(spark, sf, selections=None):
-    return vw.player_log_filtered(px.facts(spark, sf), selections or _selections(spark, sf))
+def _logs(spark, sf):
+    """The player view's logs: every player, scope, location and rest filter."""
+    return vw.view_logs(px.facts(spark, sf))
 
 
 # ------------------------------------------------------------ sources and sinks
@@ -213,8 +199,8 @@ def q_filter_game_types(spark, sf):
 
 @register("player_log_filtered")
 def q_player_log_filtered(spark, sf):
-    return _log(spark, sf).select(*vw.SEL, "game_id", "date", "season", "opponent", "location",
-                                  "days_rest", "value")
+    """Every log of the player view (105 filter combinations of any season and opponent look one up)."""
+    return _logs(spark, sf).select(*vw.LOG, "game_id", "date", "season", "opponent", "location", "days_rest")
 
 
 @register("recent_games")
@@ -304,7 +290,7 @@ def q_rate_location(spark, sf):
 
 @register("chart_summary")
 def q_chart_summary(spark, sf):
-    return r6(vw.chart_summary(_log(spark, sf)),
+    return r6(vw.log_summaries(_logs(spark, sf)),
               ["avg_shot_attempts", "avg_missed_shots", "avg_toi_minutes", "avg_shifts"])
 
 
@@ -334,12 +320,12 @@ def q_top_n_games(spark, sf):
 
 @register("chart_series")
 def q_chart_series(spark, sf):
-    return vw.chart_series(_log(spark, sf))
+    return r6(vw.log_charts(_logs(spark, sf), _targets(spark, sf)), ["avg_value"])
 
 
 @register("game_log")
 def q_game_log(spark, sf):
-    return vw.game_log(_log(spark, sf)).select(*vw.SEL, "game_id", "date", "log_rank", "value")
+    return vw.ranked_logs(_logs(spark, sf), vw.LOG_GAMES).select(*vw.LOG, "game_id", "date", "log_rank", *PROP_STATS)
 
 
 @register("sample_games")
@@ -553,13 +539,14 @@ def q_matchup_options(spark, sf):
 
 @register("player_header")
 def q_player_header(spark, sf):
-    return vw.player_header(_selections(spark, sf), px.roster(spark, sf), px.facts(spark, sf))
+    """Every listed player of every matchup."""
+    return vw.player_header(_targets(spark, sf), px.roster(spark, sf), px.facts(spark, sf))
 
 
 @register("kpi_rates")
 def q_kpi_rates(spark, sf):
-    selections = materialize(_selections(spark, sf))
-    return vw.kpi_rates(_log(spark, sf, selections), selections)
+    """Every (player, season, opponent, prop) that a request asks, under all 105 filter combinations."""
+    return vw.view_kpis(px.facts(spark, sf), _targets(spark, sf))
 
 
 # ------------------------------------------------------------ data quality

@@ -230,6 +230,53 @@ def test_rates_with_cutoff_and_game_types(spark, inclusive, game_types):
     assert got.exceptAll(want).count() == 0
 
 
+def test_whole_filter_space_against_single_views(spark):
+    """view_logs, log_charts and view_kpis say what the selection operators say for each view alone."""
+    sf = "/root/testdata/sf0.001"
+    facts = materialize(px.facts(spark, sf))
+    t = materialize(pr.targets_for(facts, px.roster(spark, sf), pr.requests_for_games(px.games(spark, sf), pr.default_props()), "1997-08-24"))
+    some = t.filter(F.pmod(F.xxhash64("matchup_id", "player_id", "prop_id"), F.lit(500)) == 0)
+    some = some.unionByName(some.limit(3).withColumns({"h2h_opponent": F.lit(None).cast("string"), "prop_id": F.lit(99)}))
+    specs = [(f"{g}:{loc}/{rest}", g, loc, rest) for g in vw.GAME_FILTERS for loc, rest in vw.COMBINATIONS]
+    items = F.array(*[F.struct(F.lit(i).alias("spec_id"), F.lit(g).alias("game_filter"), F.lit(loc).alias("location_filter"),
+                               F.lit(rest).alias("rest_filter")) for i, g, loc, rest in specs])
+    sel = materialize(some.select("*", F.col("h2h_opponent").alias("opponent_team"), F.inline(items)))
+    log = materialize(vw.player_log_filtered(facts, sel.drop("player_name", "position_code")))
+    # The logs.
+    season = F.col("req_season")
+    ids = sel.select(*vw.SEL, "location_filter", "rest_filter", vw.scope_of(F.col("game_filter"), season, F.col("opponent_team")).alias("at"))
+    logs = vw.view_logs(facts).select(*vw.LOG, "game_id")
+    looked_up = ids.select("*", "at.*").join(logs, vw.LOG).select(*vw.SEL, "game_id")
+    alone = log.select(*vw.SEL, "game_id")
+    assert alone.count() == looked_up.count() > 1000
+    assert alone.exceptAll(looked_up).count() == 0
+    # The KPIs.
+    kpis = vw.view_kpis(facts, some)
+    points = F.array(*[F.lit(f"{loc}/{rest}") for loc, rest in vw.COMBINATIONS])
+    names = ["season", "h2h", "l5", "l10"]
+    zipped = F.arrays_zip(points.alias("point"), *[F.split(f"{k}_rates", r"\|").alias(k) for k in names])
+    wide = kpis.select("player_id", "season", "opponent_team", "stat", "threshold", "game_filter", F.inline(zipped))
+    single = vw.kpi_rates(log, sel).join(sel.select(*vw.SEL, "req_season", "opponent_team", "stat", "threshold", "game_filter",
+                                                    F.concat_ws("/", "location_filter", "rest_filter").alias("point")), vw.SEL)
+    shown = [F.when(F.col(f"{k}_text") == "n/a", F.lit("n/a")).otherwise(
+        F.concat(f"{k}_text", F.lit(" ("), F.col(f"{k}_games").cast("string"), F.lit("g)"))).alias(k) for k in names]
+    want = single.select("player_id", F.col("req_season").alias("season"), "opponent_team", "stat", "threshold", "game_filter", "point", *shown)
+    assert wide.exceptAll(want.distinct()).count() == 0 and want.distinct().exceptAll(wide).count() == 0
+    # A chart's points, from the oldest of 25.
+    charts = {(*(r[c] for c in vw.LOG), r.stat): r for r in vw.log_charts(vw.view_logs(facts), some).collect()}
+    at = {tuple(r[c] for c in vw.SEL): r for r in sel.select("*", vw.scope_of(F.col("game_filter"), season, F.col("opponent_team")).alias("at")).collect()}
+    series = {}
+    for r in vw.chart_series(log).collect():
+        series.setdefault(tuple(r[c] for c in vw.SEL), []).append(r)
+    for key, rows in series.items():
+        s = at[key]
+        c = charts[s.player_id, s["at"].log_kind, s["at"].log_value, s.location_filter, s.rest_filter, s.stat]
+        rows.sort(key=lambda r: -r.log_rank)
+        assert c.points == "|".join(f"{r.label} {'+' if r.hit else '-'}" for r in rows)
+        assert (c.games, c.hits, c.y_max) == (len(rows), sum(r.hit for r in rows), rows[0].y_max)
+    assert len(series) > 500
+
+
 def test_player_log_reads_the_facts_twice_at_most(spark, tmp_dir):
     import os
     sf = "/root/testdata/sf0.001"

@@ -83,16 +83,25 @@ def matchup_players(requests: DataFrame, facts: DataFrame, roster: DataFrame,
                     hockey_today: _dt.date | str) -> DataFrame:
     """Players of every distinct (matchup_id, date, home, away) requested.
 
-    Dates on or after ``hockey_today``: the current roster of both teams, one
-    row per (player, team).  Earlier dates: players who played that day for
+    Dates on or after ``hockey_today``: the roster of both teams, one row per
+    (player, team); of a roster history (``valid_from``, ``valid_to``) the stays
+    that hold the date.  Earlier dates: players who played that day for
     either team (one row per player; if a player has several games that day
     the lowest game id wins).
     """
     today = F.lit(str(hockey_today)).cast("date")
     teams = requests.select(*MATCHUP).distinct().select(
         *MATCHUP, F.explode(F.array_distinct(F.array("home", "away"))).alias("team"))
-    listed = roster_dim(roster).select("player_id", "player_name", F.col("team_abbrev").alias("team"), "position_code")
-    future = teams.filter(F.col("selected_date") >= today).join(listed, "team")
+    future = teams.filter(F.col("selected_date") >= today)
+    if "valid_from" in roster.columns:
+        stays = roster.select("player_id", F.col("full_player_name").alias("player_name"), F.col("team_abbrev").alias("team"),
+                              "position_code", F.to_date("valid_from").alias("_from"), F.to_date("valid_to").alias("_to"))
+        day = F.col("selected_date")
+        held = future.join(stays, "team").filter((F.col("_from") <= day) & (F.col("_to").isNull() | (F.col("_to") > day)))
+        future = pick_first(held, [*MATCHUP, "player_id", "team"], [F.col("_from").desc(), "player_name", "position_code"])
+    else:
+        listed = roster_dim(roster).select("player_id", "player_name", F.col("team_abbrev").alias("team"), "position_code")
+        future = future.join(listed, "team")
     played = facts.select("game_id", F.col("date").alias("selected_date"), "team", "player_id",
                           "player_name", F.col("position").alias("position_code"))
     past = teams.filter(F.col("selected_date") < today).join(played, ["selected_date", "team"])

@@ -61,3 +61,18 @@ def missing_games(schedule: DataFrame, pbp: DataFrame, box: DataFrame,
     j = j.withColumns({"has_pbp": F.coalesce("has_pbp", F.lit(False)),
                        "has_box": F.coalesce("has_box", F.lit(False))})
     return j.filter(~(F.col("has_pbp") & F.col("has_box")))
+
+
+def game_ledger(box: DataFrame, pbp: DataFrame) -> DataFrame:
+    """(game_id, season, has_box, has_pbp) of every game with raw rows."""
+    both = box.select("game_id", "season", F.lit(True).alias("b"), F.lit(False).alias("p")).unionByName(
+        pbp.select("game_id", "season", F.lit(False).alias("b"), F.lit(True).alias("p")))
+    return both.groupBy("game_id", "season").agg(F.bool_or("b").alias("has_box"), F.bool_or("p").alias("has_pbp"))
+
+
+def missing_in_ledger(schedule: DataFrame, ledger: DataFrame, as_of: _dt.date | str) -> DataFrame:
+    """``missing_games`` from a stored ledger: no raw row is read."""
+    played = schedule.filter(F.col("date") < F.lit(str(as_of))).select("game_id", "date")
+    j = played.join(ledger.select("game_id", "has_pbp", "has_box"), "game_id", "left")
+    j = j.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("has_pbp", "has_box")})
+    return j.filter(~(F.col("has_pbp") & F.col("has_box")))

@@ -76,14 +76,15 @@ def with_days_rest(schedule: DataFrame, cap: int = 3, per: Sequence[str] = ("sea
     return out.select(*schedule.columns, "home_days_rest", "away_days_rest")
 
 
-def recent_games(scores: DataFrame, as_of: _dt.date | str, days: int = 7) -> DataFrame:
+def recent_games(scores: DataFrame, as_of: _dt.date | str, days: int = 7, keep: Sequence[str] = ()) -> DataFrame:
     """Finished games dated in the ``days`` days before ``as_of`` (exclusive).
 
-    ``scores`` is the flattened score feed (see ``sources.landing``)."""
+    ``scores`` is the flattened score feed (see ``sources.landing``); ``keep``
+    names further columns of it to carry along."""
     as_of = F.lit(str(as_of)).cast("date")
     d = F.to_date("date")
     return (scores.filter(d.between(F.date_sub(as_of, days), F.date_sub(as_of, 1)))
-            .select(*[f.name for f in SCHEDULE.fields]))
+            .select(*[f.name for f in SCHEDULE.fields], *keep))
 
 
 def sample_games(schedule: DataFrame, as_of: _dt.date | str, n: int = 32) -> DataFrame:

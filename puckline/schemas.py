@@ -83,6 +83,15 @@ def stored(schema: T.StructType) -> T.StructType:
 
 SCHEDULE_REST = T.StructType([*SCHEDULE.fields, T.StructField("home_days_rest", _I, True),
                               T.StructField("away_days_rest", _I, True)])
+#: What a stored schedule row holds besides: when each group of its fields landed (scores stay null until known).
+SCHEDULE_GROUPS = {"fixture_at": ("date", "season", "game_type", "away_abbrev", "home_abbrev"),
+                   "score_at": ("away_score", "home_score"), "start_at": ("start_time",), "venue_at": ("venue",)}
+SCHEDULE_MERGED = T.StructType([*SCHEDULE_REST.fields, *[T.StructField(c, T.TimestampType(), True) for c in SCHEDULE_GROUPS]])
+#: Per game with raw rows: which of the two tables hold it.
+GAME_LEDGER = _struct(("game_id", _L), ("season", _L), ("has_box", T.BooleanType()), ("has_pbp", T.BooleanType()))
+#: A player's stay on a team's roster, as far as landed rosters tell; an open stay has no end.
+ROSTER_HISTORY = T.StructType([*ROSTER.fields, T.StructField("season", _L, True), T.StructField("valid_from", T.TimestampType(), True),
+                               T.StructField("valid_to", T.TimestampType(), True)])
 TABLES = {
     "schedule": stored(SCHEDULE_REST), "essential_boxscores": stored(BOXSCORE), "raw_pbp_events": stored(PBP_RAW),
     "comprehensive_boxscores": stored(COMPREHENSIVE),

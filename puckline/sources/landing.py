@@ -47,21 +47,51 @@ def unreadable(landed: DataFrame, schema: T.StructType) -> DataFrame:
     return landed.filter(F.col("doc").isNull() | parsed["_corrupt"].isNotNull())
 
 
+#: What the folders and names of landed files say: kind -> (column of the folder, column of the name).
+ENVELOPES = {"schedule": ("season", "team"), "scores": ("season", "date"), "rosters": ("season", "team_abbrev"),
+             "boxscores": ("season", "game_id"), "pbp": ("season", "game_id")}
+
+
+def read_landing(spark: SparkSession, landing: str, kind: str, seasons: Sequence[int]) -> DataFrame:
+    """Documents of a landing folder: one JSON text per file
+    ``<landing>/<kind>/<season>/<name>.json``, the name being the team, date or
+    game id.  ``landed_at`` is when the file was last written.  Only the folders
+    of ``seasons`` are listed; a folder that is not there has no documents."""
+    folder, name = ENVELOPES[kind]
+    paths = [p for s in seasons if _exists(spark, p := f"{landing.rstrip('/')}/{kind}/{s}")]
+    types = {"season": "bigint", "game_id": "bigint"}
+    columns = [(folder, types.get(folder, "string")), (name, types.get(name, "string")), ("doc", "string"), ("landed_at", "timestamp")]
+    if not paths:
+        return spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in columns))
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(paths)
+    parts = F.split(F.col("_metadata.file_path"), "/")
+    stem = F.url_decode(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", ""))
+    return files.select(F.get(parts, F.size(parts) - 2).try_cast(types.get(folder, "string")).alias(folder),
+                        stem.try_cast(types.get(name, "string")).alias(name), F.col("value").alias("doc"),
+                        F.col("_metadata.file_modification_time").alias("landed_at"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 # ------------------------------------------------------------------ flatten
 
 
-def flatten_schedule(landed: DataFrame) -> DataFrame:
+def flatten_schedule(landed: DataFrame, keep: Sequence[str] = (), missing_score: int | None = 0) -> DataFrame:
     """Team schedule documents (envelope: team, season) -> schedule rows.
-    A game appears once per team document that lists it."""
-    g = landed.select("season", F.explode(F.from_json("doc", SCHEDULE_DOC)["games"]).alias("g"))
+    A game appears once per team document that lists it.  ``keep`` names
+    further envelope columns to carry along."""
+    g = landed.select("season", *keep, F.explode(F.from_json("doc", SCHEDULE_DOC)["games"]).alias("g"))
     return g.select(
         F.col("g.id").alias("game_id"), F.col("g.gameDate").alias("date"),
         F.col("season").cast("bigint").alias("season"), F.col("g.gameType").alias("game_type"),
         F.col("g.awayTeam.abbrev").alias("away_abbrev"),
-        F.coalesce(F.col("g.awayTeam.score"), F.lit(0)).cast("bigint").alias("away_score"),
+        F.coalesce(F.col("g.awayTeam.score"), F.lit(missing_score)).cast("bigint").alias("away_score"),
         F.col("g.homeTeam.abbrev").alias("home_abbrev"),
-        F.coalesce(F.col("g.homeTeam.score"), F.lit(0)).cast("bigint").alias("home_score"),
-        F.col("g.startTimeUTC").alias("start_time"), F.col("g.venue.default").alias("venue"))
+        F.coalesce(F.col("g.homeTeam.score"), F.lit(missing_score)).cast("bigint").alias("home_score"),
+        F.col("g.startTimeUTC").alias("start_time"), F.col("g.venue.default").alias("venue"), *keep)
 
 
 def flatten_scores(landed: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from puckline.operators.common import pick_first
+from puckline.sources import snapshots
 
 
 def _hadoop_path(spark: SparkSession, path: str):
@@ -39,7 +40,10 @@ def drop(spark: SparkSession, path: str) -> None:
 def scan_all_seasons(spark: SparkSession, path: str, seasons: Sequence[int] | None = None,
                      schema: T.StructType | None = None) -> DataFrame:
     """All season partitions of a table as one DataFrame (optionally pruned).
-    With a schema, a table that does not exist yet reads as no rows."""
+    With a schema, a table that does not exist yet reads as no rows.  Of a
+    versioned table (``snapshots``) the newest version is read."""
+    if snapshots.is_table(spark, path):
+        return _newest_version(spark, path, seasons, schema)
     if schema is not None and not exists(spark, path):
         return spark.createDataFrame([], schema)
     reader = spark.read.option("basePath", path)
@@ -49,6 +53,20 @@ def scan_all_seasons(spark: SparkSession, path: str, seasons: Sequence[int] | No
     return df.withColumn("season", F.col("season").cast("bigint")) if "season" in df.columns else df
 
 
+def _newest_version(spark: SparkSession, path: str, seasons: Sequence[int] | None, schema: T.StructType | None) -> DataFrame:
+    wanted = None if seasons is None else {snapshots.key_of(season=s) for s in seasons}
+
+    def keep(key: str) -> bool:
+        return wanted is None or key.split("/")[0] in wanted
+
+    if schema is not None:
+        return snapshots.read(spark, path, schema, ("part",), keep=keep)
+    live = snapshots.manifest(spark, path)
+    paths = [f"{path}/data/snapshot={s}/{k}" for k, s in sorted(live.items()) if keep(k)]
+    df = spark.read.option("basePath", f"{path}/data").parquet(*paths).drop("snapshot", "part")
+    return df.withColumn("season", F.col("season").cast("bigint")) if "season" in df.columns else df
+
+
 SCHEDULE_VIEW = ["game_id", "date", "season", "game_type", "home_abbrev", "away_abbrev",
                  "home_score", "away_score", "start_time", "venue"]
 

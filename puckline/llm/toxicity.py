@@ -5,9 +5,14 @@ is every word of theirs.  Document frequencies come from all documents.  The
 examples lie in blocks; an inverted index keeps, for each word, its postings
 and its largest weight in every block that holds it.  A document visits the
 blocks with the largest sums of its words' largest weights first, then those
-that can still hold a nearer example than its k-th.  Words that no example
-holds do not count.  The k nearest vote, weighted by closeness; votes are
-calibrated on the examples themselves, each left out of its own search.
+that can still hold a nearer example than its k-th.  The k nearest vote, each
+with its cosine as weight; votes are calibrated on the examples themselves,
+each left out of its own search.
+
+An example's vector covers all its words.  Words of a document that no example
+holds are in no product; they would only scale the document's cosines, all by
+the same factor, which changes neither the order nor the votes.  The cosines in
+the evidence leave that factor out.
 """
 
 from __future__ import annotations
@@ -27,11 +32,15 @@ from puckline.llm.common import Stages, fold, labelled_sample
 FOLDS, HELD_OUT = 5, 0
 #: Bound of the labelled sample, per class, and of the examples among it.
 SAMPLE, EXAMPLES = 10_000, 2_000
-BLOCK, K = 64, 15
-#: Blocks that a document visits before the others are held against its k-th example.
-HEAD = 4
-#: Added to an example's distance, so that no single one outvotes the rest.
-NEAR = 0.05
+BLOCK = 128
+#: How many neighbours may vote: the number that ranks the examples best, each left out of its own search.
+K = (15, 30, 60, 100, 150)
+#: A word that this part of the examples holds has its weights side by side instead of as postings.
+DENSE = 8
+#: Documents whose products with those rows are taken at once.
+TOGETHER = 64
+#: Words held by most examples; those whose heaviest of them is the same lie together.
+FREQUENT = 64
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -57,15 +66,16 @@ def _vectoriser(terms: list[str]):
 
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, times = [], []
-            for text in batch.column("text"):
-                n = Counter(number[w] for w in _WORD.findall((text.as_py() or "").lower()) if w in number)
-                found.append(sorted(n))
-                times.append([n[i] for i in found[-1]])
+            found, times, ends = [], [], [0]
+            for text in batch.column("text").to_pylist():
+                held = Counter(_WORD.findall(text.lower())) if text else {}
+                known = sorted([(number[w], n) for w, n in held.items() if w in number])
+                found += [i for i, _ in known]
+                times += [n for _, n in known]
+                ends.append(len(found))
             keep = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.array(found, pa.list_(pa.int32())),
-                 pa.array(times, pa.list_(pa.int32()))], names=[*keep, "terms", "counts"])
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32())) for x in (found, times)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *lists], names=[*keep, "terms", "counts"])
 
     return vectorise
 
@@ -83,16 +93,33 @@ def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
+def _ranking(votes: np.ndarray, labels: np.ndarray) -> float:
+    """Chance that a row with label 1 has a larger vote than one with label 0 (equal ones count half)."""
+    low, high = np.sort(votes[labels == 0]), votes[labels == 1]
+    wins = np.searchsorted(low, high, "left") + np.searchsorted(low, high, "right")
+    return float(wins.sum()) / (2 * len(low) * len(high))
+
+
 class Examples:
     """Block-max inverted index of labelled unit vectors."""
 
-    def __init__(self, rows: list[tuple[int, int, np.ndarray, np.ndarray]], idf: np.ndarray, share: float, k: int = K):
+    def __init__(self, rows: list[tuple[int, int, np.ndarray, np.ndarray]], idf: np.ndarray, share: float, k: int | tuple[int, ...] = K):
         """rows: (doc_id, label, terms, counts); ``share``: the part of toxic ones among all labelled rows."""
-        self.idf, self.k, self.share = idf, k, share
+        choices = (k,) if isinstance(k, int) else k
+        self.idf, self.k, self.share = idf, max(choices), share
         vectors = [(i, label, t, _weights(t, c, idf)) for i, label, t, c in rows]
         empty = [v for v in vectors if not v[3].any()]
-        # Examples with the same heaviest word lie together.
-        full = sorted((v for v in vectors if v[3].any()), key=lambda v: (int(v[2][v[3].argmax()]), -v[3].max(), v[0]))
+        full = [v for v in vectors if v[3].any()]
+        held = np.bincount(np.concatenate([np.empty(0, dtype=np.int64), *(v[2] for v in full)]), minlength=len(idf))
+        frequent = np.zeros(len(idf), dtype=bool)
+        frequent[np.argsort(-held, kind="stable")[:FREQUENT]] = True
+
+        def cluster(v) -> int:
+            weight = np.where(frequent[v[2]], v[3], 0.0)
+            return int(v[2][weight.argmax()]) if weight.any() else -1
+
+        # Examples of one language share frequent words, so other blocks' bounds are low.
+        full = sorted(full, key=lambda v: (cluster(v), int(v[2][v[3].argmax()]), -v[3].max(), v[0]))
         self.ids = np.array([v[0] for v in full], dtype=np.int64)
         self.labels = np.array([v[1] for v in full], dtype=np.float64)
         size = {c: sum(v[1] == c for v in vectors) for c in (0, 1)}
@@ -102,9 +129,17 @@ class Examples:
         place = np.repeat(np.arange(len(full)), [len(v[2]) for v in full])
         term = np.concatenate([np.empty(0, dtype=np.int64), *(v[2] for v in full)])
         order = np.lexsort((place, term))
-        term, self.docs = term[order], place[order].astype(np.int32)
+        term, self.docs = term[order], place[order]
         self.weight = np.concatenate([np.empty(0), *(v[3] for v in full)])[order]
-        # A run is what one block has of a word's postings.
+        # Words of many examples: a row of weights over all places.
+        self.dense_row = np.full(len(idf), -1, dtype=np.int64)
+        common = np.flatnonzero(held * DENSE >= max(DENSE, len(full)))
+        self.dense_row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.blocks * BLOCK))
+        at = self.dense_row[term] >= 0
+        self.dense[self.dense_row[term[at]], self.docs[at]] = self.weight[at]
+        term, self.docs, self.weight = term[~at], self.docs[~at], self.weight[~at]
+        # A run is what one block has of another word's postings.
         block = self.docs // BLOCK
         new = np.ones(len(term), dtype=bool)
         new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
@@ -118,26 +153,45 @@ class Examples:
         # A text without any word of the vocabulary scores as such examples do.
         self.without = toxic / sum(weights) if empty else share
         self.steps_x = self.steps_y = None
-        self._calibrate(full)
-
-    def nearest(self, terms: np.ndarray, weight: np.ndarray, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Up to k examples of positive cosine, nearest first, ties by place; and their cosines."""
+        self._calibrate(full, choices)
+
+    def common_part(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the words of many examples add to the cosines, for several (terms, weights) at once."""
+        weight = np.zeros((len(vectors), len(self.dense)))
+        for i, (terms, w) in enumerate(vectors):
+            row = self.dense_row[terms]
+            weight[i, row[row >= 0]] = w[row >= 0]
+        return weight @ self.dense
+
+    def nearest(self, terms: np.ndarray, weight: np.ndarray, leave_out: int = -1,
+                common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Up to k examples of positive cosine, nearest first, ties by place; and their cosines.
+
+        A block's bound is the most that its words of many examples give to one
+        of its places, and the sum of the other words' largest weights in it."""
         place, cosine, kth = np.empty(0, dtype=np.int64), np.empty(0), 0.0
+        score = (self.common_part([(terms, weight)])[0] if common is None else common).copy()
         first, last = self.runs[terms], self.runs[terms + 1]
         runs, w = _ranges(first, last), np.repeat(weight, last - first)
         block = self.block[runs]
-        bound = np.bincount(block, w * self.largest[runs], minlength=self.blocks)
+        bound = score.reshape(self.blocks, BLOCK).max(axis=1, initial=0.0)
+        bound += np.bincount(block, w * self.largest[runs], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
-        for some in (order[:HEAD], order[HEAD:]):
+        head = -(-2 * self.k // BLOCK)
+        for some in (order[:head], order[head:]):
+            some = some[(bound[some] > 0) & (bound[some] >= kth * (1 - 1e-12))]
             visit = np.zeros(self.blocks, dtype=bool)
-            visit[some] = (bound[some] > 0) & (bound[some] >= kth * (1 - 1e-12))
+            visit[some] = True
             picked = visit[block]
             begin, end = self.begin[runs[picked]], self.end[runs[picked]]
             at = _ranges(begin, end)
-            score = np.bincount(self.docs[at], np.repeat(w[picked], end - begin) * self.weight[at])
-            fit = np.flatnonzero((score > 0) & (score >= kth))
+            score += np.bincount(self.docs[at], np.repeat(w[picked], end - begin) * self.weight[at], minlength=len(score))
+            known = np.where(np.repeat(visit, BLOCK), score, 0.0)
+            fit = np.flatnonzero((known > 0) & (known >= kth))
             if leave_out >= 0:
                 fit = fit[fit != leave_out]
+            if len(fit) > self.k:
+                fit = fit[score[fit] >= np.partition(score[fit], len(fit) - self.k)[len(fit) - self.k]]
             place, cosine = np.concatenate([place, fit]), np.concatenate([cosine, score[fit]])
             top = np.lexsort((place, -cosine))[:self.k]
             place, cosine = place[top], cosine[top]
@@ -148,15 +202,21 @@ class Examples:
     def _vote(self, place: np.ndarray, cosine: np.ndarray) -> float:
         if not len(place):
             return self.without
-        w = self.class_weight[self.labels[place].astype(int)] / (1.0 + NEAR - np.minimum(cosine, 1.0))
+        w = self.class_weight[self.labels[place].astype(int)] * cosine
         return float((w * self.labels[place]).sum() / w.sum())
 
-    def _calibrate(self, full: list[tuple]) -> None:
-        """Isotonic fit of labels on votes, each example voting without itself."""
+    def _calibrate(self, full: list[tuple], choices: tuple[int, ...]) -> None:
+        """The number of voters, and an isotonic fit of labels on votes, each example voting without itself."""
         n = len(self.ids)
         if not n or not self.labels.any() or self.labels.all():
             return
-        votes = np.array([self._vote(*self.nearest(v[2], v[3], leave_out=i)) for i, v in enumerate(full)])
+        near = []
+        for i in range(0, n, TOGETHER):
+            some = [(v[2], v[3]) for v in full[i:i + TOGETHER]]
+            near += [self.nearest(*x, leave_out=i + j, common=c) for j, (x, c) in enumerate(zip(some, self.common_part(some), strict=True))]
+        by_k = {k: np.array([self._vote(place[:k], cosine[:k]) for place, cosine in near]) for k in choices}
+        self.k = max(choices, key=lambda k: (_ranking(by_k[k], self.labels), -k))
+        votes = by_k[self.k]
         weight = self.class_weight[self.labels.astype(int)]
         pools: list[list[float]] = []  # weight, weighted label, weighted vote
         for i in np.argsort(votes, kind="stable"):
@@ -168,32 +228,40 @@ class Examples:
         self.steps_y = np.array([p[1] / p[0] for p in pools])
 
     def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, str]:
-        """Calibrated probability, and the three nearest examples as doc_id:cosine:label."""
-        weight = _weights(terms, counts, self.idf)
-        if not weight.any() or not len(self.ids):
-            return self.without, ""
-        place, cosine = self.nearest(terms, weight)
-        vote = self._vote(place, cosine)
-        if len(place) and self.steps_x is not None:
-            vote = float(np.interp(vote, self.steps_x, self.steps_y))
-        evidence = ",".join(f"{self.ids[p]}:{c:.4f}:{int(self.labels[p])}" for p, c in zip(place[:3], cosine[:3], strict=True))
-        return min(1.0, max(0.0, vote)), evidence
+        return self.score_all([(terms, counts)])[0]
+
+    def score_all(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, str]]:
+        """Of each (terms, counts): calibrated probability, and the three nearest examples as doc_id:cosine:label."""
+        out = []
+        for i in range(0, len(docs), TOGETHER):
+            some = [(terms, _weights(terms, counts, self.idf)) for terms, counts in docs[i:i + TOGETHER]]
+            for (terms, weight), common in zip(some, self.common_part(some), strict=True):
+                if not weight.any() or not len(self.ids):
+                    out.append((self.without, ""))
+                    continue
+                place, cosine = self.nearest(terms, weight, common=common)
+                vote = self._vote(place, cosine)
+                if len(place) and self.steps_x is not None:
+                    vote = float(np.interp(vote, self.steps_x, self.steps_y))
+                evidence = ",".join(f"{self.ids[p]}:{c:.4f}:{int(self.labels[p])}" for p, c in zip(place[:3], cosine[:3], strict=True))
+                out.append((min(1.0, max(0.0, vote)), evidence))
+        return out
 
 
 def _scorer(examples: Examples):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple[float, str]] = {}
         for batch in batches:
-            found = []
+            keys, new = [], {}
             for terms, counts in zip(batch.column("terms"), batch.column("counts"), strict=True):
-                terms = terms.values.to_numpy().astype(np.int64)
-                counts = counts.values.to_numpy().astype(np.float64)
-                key = hashlib.blake2b(terms.tobytes() + counts.tobytes(), digest_size=16).digest()
-                if key not in known:
-                    if len(known) > 100_000:
-                        known.clear()
-                    known[key] = examples.score(terms, counts)
-                found.append(known[key])
+                terms, counts = terms.values.to_numpy(), counts.values.to_numpy()
+                keys.append(hashlib.blake2b(terms.tobytes() + counts.tobytes(), digest_size=16).digest())
+                if keys[-1] not in known:
+                    new[keys[-1]] = (terms.astype(np.int64), counts.astype(np.float64))
+            known |= zip(new, examples.score_all(list(new.values())), strict=True)
+            found = [known[k] for k in keys]
+            if len(known) > 100_000:
+                known.clear()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array([x[0] for x in found], pa.float64()),
                  pa.array([int(x[0] >= 0.5) for x in found], pa.int32()), pa.array([x[1] for x in found], pa.string())],
@@ -233,7 +301,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exa
         .mapInArrow(_vectoriser(terms), f"doc_id long, held_out boolean, {schema}"))
     n = vectors.count()
     in_docs = dict(vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect())
-    idf = np.array([np.log((1.0 + n) / (1.0 + in_docs.get(t, 0))) + 1.0 for t in range(len(terms))])
+    idf = np.array([np.log((1.0 + n) / (1.0 + in_docs.get(t, 0))) for t in range(len(terms))])
 
     vectorised = shown.mapInArrow(
         _vectoriser(terms), f"doc_id long, label int, {schema}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from puckline.operators.pbp import GOAL, without_shootout
@@ -45,6 +45,38 @@ def player_search(box: DataFrame, text: str) -> DataFrame:
     return box.filter(hit).select("player_id", "player_name").distinct()
 
 
+#: Length of the longest grams of a name that are indexed.
+GRAM = 3
+
+
+def name_postings(players: DataFrame) -> DataFrame:
+    """Inverted index over distinct names: (size, gram, player_id, player_name)
+    for every substring of up to ``GRAM`` characters of the lower-cased name
+    (the empty one too, which every name has)."""
+    names = players.filter(F.col("player_name").isNotNull()).select("player_id", "player_name").distinct()
+    low = F.lower(F.col("player_name"))
+    grams = F.array(F.struct(F.lit(0).alias("size"), F.lit("").alias("gram")))
+
+    def of_size(k: int) -> Column:
+        starts = F.when(F.length(low) >= k, F.sequence(F.lit(1), F.length(low) - (k - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda at: F.struct(F.lit(k).alias("size"), F.substr(low, at, F.lit(k)).alias("gram")))
+
+    grams = F.concat(grams, *[of_size(k) for k in range(1, GRAM + 1)])
+    return names.select("player_id", "player_name", F.inline(F.array_distinct(grams))).select("size", "gram", "player_id", "player_name")
+
+
+def search_names(postings: DataFrame, text: str) -> DataFrame:
+    """Distinct (player_id, player_name) whose name contains ``text``,
+    case-insensitively and literally: names that have all its grams, verified.
+    Only the postings of those grams are read."""
+    low = text.lower()
+    size = min(GRAM, len(low))
+    grams = sorted({low[i:i + size] for i in range(len(low) - size + 1)})
+    held = postings.filter((F.col("size") == size) & F.col("gram").isin(grams)).groupBy("player_id", "player_name").agg(
+        F.count_distinct("gram").alias("_n"))
+    return held.filter((F.col("_n") == len(grams)) & F.lower(F.col("player_name")).contains(F.lit(low))).select("player_id", "player_name")
+
+
 def complete_games(pbp: DataFrame, box: DataFrame) -> DataFrame:
     """Games that have both play-by-play and boxscore rows."""
     return pbp.select("game_id").distinct().join(box.select("game_id").distinct(), "game_id")

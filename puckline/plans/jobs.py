@@ -4,7 +4,8 @@ Tables under ``out`` (``puckline.sources.snapshots``: every write is a new
 version, old versions are the archive): ``schedule`` by season; ``games`` (the
 ledger of what raw rows there are), ``essential_boxscores``, ``raw_pbp_events``
 and ``comprehensive_boxscores`` by season and part, a part being the month of
-the game's date; ``roster`` by season and team and ``roster_history`` by team.
+the game's date; ``player_names``, the index of the names that landed boxscores
+have had; ``roster`` by season and team and ``roster_history`` by team.
 ``quarantine/`` collects documents that do not parse.  Inputs are landed JSON
 tables (see ``puckline.sources.landing``; an optional ``landed_at`` column says
 which copy of a document is the newest) or a landing folder.
@@ -31,7 +32,7 @@ from puckline.operators.boxscore import combine_boxscores, dedupe_boxscores
 from puckline.operators.common import pick_first
 from puckline.operators.maintenance import merge_rosters, merge_schedule
 from puckline.operators.pbp import player_game_stats
-from puckline.operators.quality import game_ledger, missing_in_ledger
+from puckline.operators.quality import game_ledger, missing_in_ledger, name_postings, search_names
 from puckline.operators.schedule import filter_game_types, recent_games, sample_games, with_days_rest
 from puckline.session import materialize
 from puckline.sources import landing, snapshots
@@ -149,6 +150,7 @@ def _store_games(spark: SparkSession, out: str, sched: DataFrame, moved: DataFra
         placed = kept.drop("season").join(place, "game_id")  # a moved game goes to its new part
         snapshots.commit(spark, f"{out}/{table}", placed.select(*schema.names, "part").unionByName(rows.select(*schema.names, "part")),
                          PART, keys, ["game_id"])
+    _index_names(spark, out, new["essential_boxscores"])
     box, ev = (_read(spark, out, t, schemas.TABLES[t], keys) for t in new)
     final = combine_boxscores(box.drop("season"), player_game_stats(ev.drop("season")), sched).join(place, "game_id")
     snapshots.commit(spark, f"{out}/comprehensive_boxscores", final, PART, keys, ["game_id", "player_id"])
@@ -157,6 +159,21 @@ def _store_games(spark: SparkSession, out: str, sched: DataFrame, moved: DataFra
     return keys
 
 
+def _index_names(spark: SparkSession, out: str, box: DataFrame) -> None:
+    """Add the names that are new; a landing without any leaves the index as it is."""
+    path, schema = f"{out}/player_names", schemas.NAME_POSTINGS
+    known = snapshots.read(spark, path, schema)
+    names = box.select("player_id", "player_name").distinct()
+    fresh = materialize(names.join(known.filter("size = 0").select("player_id", "player_name"), ["player_id", "player_name"], "left_anti"))
+    if not fresh.isEmpty():
+        snapshots.commit(spark, path, known.unionByName(name_postings(fresh)), ["size"], order=["gram"])
+
+
+def search_players(spark: SparkSession, out: str, text: str) -> DataFrame:
+    """Players by a part of their name, from the stored index."""
+    return search_names(snapshots.read(spark, f"{out}/player_names", schemas.NAME_POSTINGS), text)
+
+
 # ----------------------------------------------------------------- rosters
 
 def write_rosters(spark: SparkSession, rosters: DataFrame, out: str, season: int, landed_at: str | None = None) -> None:
@@ -245,4 +262,4 @@ def refresh_landing(spark: SparkSession, folder: str, out: str, seasons: Sequenc
     return refresh(spark, docs["scores"], docs["boxscores"], docs["pbp"], out, as_of, days, game_types, rosters, max(seasons))
 
 
-__all__ = ["backfill", "backfill_landing", "current_roster", "read_table", "refresh", "refresh_landing", "roster_history", "write_rosters"]
+__all__ = ["backfill", "backfill_landing", "current_roster", "read_table", "refresh", "refresh_landing", "roster_history", "search_players", "write_rosters"]

@@ -210,7 +210,8 @@ def q_recent_games(spark, sf):
 
 @register("player_search")
 def q_player_search(spark, sf):
-    return qa.player_search(_box(spark, sf), SEARCH_TEXT)
+    """Through the inverted index of names (which the jobs keep as a table)."""
+    return qa.search_names(qa.name_postings(_box(spark, sf)), SEARCH_TEXT)
 
 
 # ------------------------------------------------------------ joins

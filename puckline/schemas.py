@@ -89,6 +89,8 @@ SCHEDULE_GROUPS = {"fixture_at": ("date", "season", "game_type", "away_abbrev",
 SCHEDULE_MERGED = T.StructType([*SCHEDULE_REST.fields, *[T.StructField(c, T.TimestampType(), True) for c in SCHEDULE_GROUPS]])
 #: Per game with raw rows: which of the two tables hold it.
 GAME_LEDGER = _struct(("game_id", _L), ("season", _L), ("has_box", T.BooleanType()), ("has_pbp", T.BooleanType()))
+#: Inverted index of player names: grams by size.
+NAME_POSTINGS = _struct(("size", _I), ("gram", _S), ("player_id", _L), ("player_name", _S))
 #: A player's stay on a team's roster, as far as landed rosters tell; an open stay has no end.
 ROSTER_HISTORY = T.StructType([*ROSTER.fields, T.StructField("season", _L, True), T.StructField("valid_from", T.TimestampType(), True),
                                T.StructField("valid_to", T.TimestampType(), True)])

@@ -370,6 +370,23 @@ def test_missing_games_come_from_the_ledger(spark, tmp_dir):
     assert "event" not in plan and plan.count("FileScan parquet") == 2
 
 
+def test_names_are_found_through_their_grams(spark, tmp_dir):
+    from puckline.operators import quality as qa
+    from puckline.plans import jobs
+    names = ["Ann Lee", "ann lee", "Lee Ann", "Élan", "a.b", "axb", "aaaa", "", "x", None, "İx"]
+    box = spark.createDataFrame([(i % 7, n) for i, n in enumerate(names)] * 2, "player_id long, player_name string")
+    postings = qa.name_postings(box)
+    for text in ("", "a", "ee", "lee", "nn l", "a.b", ".", "aaa", "aaaaa", "ÉLAN", "zz", "%", "Lee A"):
+        assert rows(qa.search_names(postings, text)) == rows(qa.player_search(box, text)), text
+    out = f"{tmp_dir}/wh"
+    _warehouse(spark, out)
+    stored = jobs.read_table(spark, out, "essential_boxscores")
+    for text in ("p0", "P3", "p17", ""):
+        assert rows(jobs.search_players(spark, out, text)) == rows(qa.player_search(stored, text))
+    plan = jobs.search_players(spark, out, "p17")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "boxscores" not in plan and "In(gram" in plan.replace("EqualTo(gram", "In(gram")
+
+
 def test_landing_folder(spark, tmp_dir):
     """Files of one document each, named by their envelope, through backfill and refresh."""
     import os

@@ -4,8 +4,8 @@ Identifiers (email, ip, card, phone) are found in the text as it stands; these
 are the base spans.  Two transducers then rewrite the text: one folds
 homoglyphs and drops invisible characters, the other writes spelled digits and
 at/dot/plus disguises as the characters they stand for.  Each keeps its edits,
-so that identifiers found in the rewritten text are mapped back to the
-characters of the source; those that overlap no base span of their kind are
+so that identifiers found in the text after each of them are mapped back to the
+characters of the source; those that overlap no earlier span of their kind are
 added.
 """
 
@@ -129,15 +129,24 @@ _ITEM = rf"(?:(?:double|triple)\s{{1,3}})?(?:{_NAME})"
 _GAP = r"[\s,;/_-]{1,3}"
 _OPEN, _CLOSE = r"\s{0,4}[\(\[\{<]\s{0,4}", r"\s{0,4}[\)\]\}>]\s{0,4}"
 _DOT_NAME, _AT_NAME = "dot|punkt|point|punto|period", "at|arroba|arobase|ät"
-_DOT_IN = rf"(?:{_OPEN}(?:{_DOT_NAME}|\.){_CLOSE}|\s{{1,4}}(?:dot|punkt|punto)\s{{1,4}})"
+_DOT_BRACKETED = rf"{_OPEN}(?:{_DOT_NAME}|\.){_CLOSE}"
+_DOT_BARE = r"\s{1,4}(?:dot|punkt|punto)\s{1,4}"
+_DOT_IN = rf"(?:{_DOT_BRACKETED}|{_DOT_BARE})"
+# Top-level domains that are no common words; only they make "x at y dot z" and "[at] y . z" an address.
+_TOP = ("com|org|net|edu|gov|mil|int|info|biz|io|ai|app|dev|co|tv|eu|de|fr|es|uk|ca|ch|nl|se|dk|fi|pl|pt|cz|hu|gr|ie|br|mx|ar|cl|jp|cn|"
+        "kr|ru|ua|au|nz|za|tr|example|test|invalid")
+_ENDS = rf"(?:{_TOP})(?![A-Za-z0-9-])"
 
 _SPELLED = re.compile(rf"(?<!\w){_ITEM}(?:{_GAP}{_ITEM})*(?!\w)", re.I)
 _ITEMS = re.compile(_ITEM, re.I)
 _DOT = re.compile(rf"{_DOT_IN}(?=[A-Za-z0-9])", re.I)
 _AT = re.compile(
     rf"{_OPEN}(?:{_AT_NAME}|@){_CLOSE}(?=[A-Za-z0-9])"
-    rf"|\s{{1,4}}(?:at|arroba)\s{{1,4}}(?=[A-Za-z0-9-]+{_DOT_IN}[A-Za-z])"
+    rf"|\s{{1,4}}(?:at|arroba)\s{{1,4}}(?=[A-Za-z0-9-]+(?:{_DOT_BARE}[A-Za-z0-9-]+)*(?:{_DOT_BRACKETED}[A-Za-z]|{_DOT_BARE}{_ENDS}))"
     r"|\s{0,4}@\s{0,4}(?=[A-Za-z0-9])", re.I)
+_AT_BRACKETED = re.compile(rf"{_OPEN}(?:{_AT_NAME}|@){_CLOSE}(?=[A-Za-z0-9])", re.I)
+_SPACED_DOMAIN = re.compile(rf"[A-Za-z0-9-]+(?:\s{{0,4}}\.\s{{0,4}}[A-Za-z0-9-]+)*\s{{0,4}}\.\s{{0,4}}{_ENDS}", re.I)
+_SPACED_DOT = re.compile(r"\s+\.\s*|\.\s+")
 _PLUS = re.compile(rf"(?<!\w)plus\s{{1,3}}(?=[0-9]|\(|(?:{_NAME})(?!\w))", re.I)
 # What a disguise but a spelled digit cannot do without, for a quick look.
 _BRACKETED = re.compile(rf"[(\[{{<]\s{{0,4}}(?:{_AT_NAME}|@|{_DOT_NAME}|\.)\s{{0,4}}[)\]}}>]", re.I)
@@ -224,6 +233,10 @@ def _undisguise(text: str) -> Tape | None:
             last = end
     for pattern, new in ((_PLUS, "+"), (_AT, "@"), (_DOT, ".")):
         edits += [(m.start(), m.end(), new) for m in pattern.finditer(text) if m[0] != new]
+    for m in _AT_BRACKETED.finditer(text):  # a domain that is spelled with spaces around its dots
+        domain = _SPACED_DOMAIN.match(text, m.end())
+        if domain:
+            edits += [(x.start(), x.end(), ".") for x in _SPACED_DOT.finditer(text, domain.start(), domain.end())]
     kept: list[tuple[int, int, str]] = []
     for edit in sorted(edits):
         if not kept or edit[0] >= kept[-1][1]:
@@ -246,16 +259,23 @@ def detect(text: str | None) -> tuple[list[Span], list[Span]]:
             tapes.append(tape)
     if not tapes:
         return base, base
-    taken = [[(s[0], s[1]) for s in base if s[2] == k] for k in range(len(KINDS))]
-    added = []
-    for start, end, kind in find_spans(tapes[-1].text):
-        for tape in reversed(tapes):
-            start, end = tape.back(start, end)
-        i = bisect_right(taken[kind], (start, end))
-        near = taken[kind][max(0, i - 1):i + 1]
-        if all(end <= a or start >= b for a, b in near):
-            added.append((start, end, kind))
-    return base, sorted({*base, *added}, key=lambda s: (s[0], s[2], s[1]))
+    taken = [sorted((s[0], s[1]) for s in base if s[2] == k) for k in range(len(KINDS))]
+    found = list(base)
+    # What an earlier tape shows stays, whatever a later one makes of its characters.
+    for n in range(len(tapes)):
+        added = []
+        for start, end, kind in find_spans(tapes[n].text):
+            for tape in reversed(tapes[:n + 1]):
+                start, end = tape.back(start, end)
+            i = bisect_right(taken[kind], (start, end))
+            if all(end <= a or start >= b for a, b in taken[kind][max(0, i - 1):i + 1]):
+                added.append((start, end, kind))
+        for start, end, kind in added:
+            taken[kind].append((start, end))
+        for spans in taken:
+            spans.sort()
+        found += added
+    return base, sorted(set(found), key=lambda s: (s[0], s[2], s[1]))
 
 
 def spell(spans: list[Span]) -> str:

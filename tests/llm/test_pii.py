@@ -123,3 +123,45 @@ def test_long_runs_take_linear_time():
 def test_mask():
     text = "a@b.co or 10.0.0.1"
     assert pii.mask(text, pii.detect(text)[1]) == "<email> or <ip>"
+
+
+def wide(text):
+    return "".join(chr(ord(c) + 0xFEE0) if c.isdigit() else c for c in text)
+
+
+def test_what_one_tape_shows_another_does_not_lose():
+    for card in ("4111111111111111", "4111 1111 1111 1111"):
+        for tail in (" one day", " two", " and one two three", " at noon", ""):
+            text = f"pay {wide(card)}{tail}"
+            assert pii.spell(pii.detect(text)[1]) == f"card:4:{4 + len(card)}", text
+
+
+def test_bare_at_and_dot_need_a_domain():
+    assert pii.detect("we met at noon dot we left") == ([], [])
+    assert pii.detect("look at this dot then go")[1] == []
+    for text, end in (("mail john at example dot com now", 24 + 0), ("john at mail dot example dot org", None), ("john at example (dot) it", None)):
+        spans = pii.detect(text)[1]
+        assert [s[2] for s in spans] == [0], text
+        if end is not None:
+            assert text[spans[0][0]:spans[0][1]] == "john at example dot com"
+
+
+def test_spaced_dots_behind_a_bracketed_at():
+    for text in ("john [ at ] example . com", "john (at) mail . example .com", "john [@] example. com"):
+        assert pii.spell(pii.detect(text)[1]) == f"email:0:{len(text)}", text
+    assert pii.detect("john [at] home . Then we left")[1] == []
+
+
+_SENTENCES = st.lists(st.sampled_from([
+    "one day", "we met at noon", "dot", "plus one", "two (at) three", "a . b", "x at y dot z", "seven", "call me at nine", "@ home", "[dot]"]),
+    max_size=3).map(" ".join)
+
+
+@given(st.sampled_from(["4111111111111111", "5500 0000 0000 0004", "+49 30 1234567", "10.2.3.4", "jo@ex.com"]), st.booleans(), _SENTENCES)
+@settings(max_examples=300, deadline=None)
+def test_a_trailing_sentence_loses_no_span(value, full_width, tail):
+    text = f"value {wide(value) if full_width else value}."
+    before = pii.detect(text)[1]
+    assert before
+    after = pii.detect(f"{text} {tail}.")[1]
+    assert {(s, k) for s, _, k in before} <= {(s, k) for s, _, k in after}

@@ -131,8 +131,9 @@ def learn_profiles(labelled: DataFrame, most: int = PROFILE) -> DataFrame:
                .mapInArrow(_count_batches, "lang string, gram long, n long"))
     summed = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
-    return (summed.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < most)
-            .select("lang", "gram", "rank"))
+    # The number is filtered as it is, so that only each task's first ``most`` are shuffled and sorted.
+    return (summed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+            .select("lang", "gram", (F.col("rank") - 1).alias("rank")))
 
 
 class Profiles:

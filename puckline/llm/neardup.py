@@ -357,20 +357,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     rooted = named.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_digest = rooted.join(least, "root").select("digest", "component_id")
+    of_digest = rooted.join(least, "root").select("digest", "component_id", "root")
     return (signed.select("doc_id", "h1", "h2", "n", "digest").join(of_digest, "digest", "left")
             .withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
             .select("doc_id", F.col("n").alias("n_shingles"), "component_id",
-                    F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "h1", "h2"))
+                    F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "h1", "h2",
+                    F.when(F.col("n") > 0, F.col("root")).alias("root")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: one row of each component.
-
-    Rows that share doc_id and text are one document.
+    """The rows of ``docs`` without near-duplicates: exactly one row of each
+    component, the one with the smallest doc_id (a null id last, equal ids by
+    the hash of the text).  Rows that share doc_id and text are one document;
+    documents without words are linked with nothing and stay.
     """
     found = near_duplicates(docs)
-    kept = found.where("kept").select("doc_id", "h1", "h2")
+    key = ["doc_id", "h1", "h2"]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), *key)).alias("k")
+    linked = found.where(F.col("root").isNotNull()).groupBy("root").agg(first).select("k.doc_id", "k.h1", "k.h2")
+    kept = linked.unionByName(found.where(F.col("root").isNull()).select(*key).distinct())
     hashed = docs.select(F.col("doc_id"), *text_hashes("text"), F.struct("*").alias("row"))
-    return (null_safe_join(hashed, kept.distinct(), ["doc_id", "h1", "h2"], "left_semi")
-            .dropDuplicates(["doc_id", "h1", "h2"]).select("row.*"))
+    return null_safe_join(hashed, kept, key, "left_semi").dropDuplicates(key).select("row.*")

@@ -107,7 +107,8 @@ def restore_records(spark: SparkSession, path: str) -> DataFrame:
     and content, followed by two line ends, and the full payload it stands for."""
     headers, payloads = read_archive(spark, path)
     joined = headers.join(payloads, "digest").withColumn("payload", _checked(F.col("digest"), F.col("payload")))
-    is_response = F.col("header").cast("string").contains("WARC-Type: response")
+    # The type is the second line of every header block; a URL may hold the same words.
+    is_response = F.col("header").cast("string").startswith(f"WARC/1.1{CRLF}WARC-Type: response{CRLF}")
     body = F.when(is_response, F.col("payload")).otherwise(F.lit("").cast("binary"))
     return joined.select("page_id", F.concat("header", body, F.lit(CRLF + CRLF).cast("binary")).alias("record"), "payload")
 

@@ -87,3 +87,8 @@ def test_awkward_documents(spark, awkward, no_documents):
     assert langid.identify(no_documents).collect() == []
     nothing = spark.createDataFrame([(1, "abc", None, None, 1)], DOCUMENTS)
     assert [tuple(r) for r in langid.identify(nothing).collect()] == [(1, False, "und", 0.0)]
+
+
+def test_only_the_first_grams_of_each_task_are_shuffled(spark, documents):
+    plan = langid.learn_profiles(documents)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan

@@ -85,6 +85,23 @@ def test_awkward_documents(spark, awkward, no_documents):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "2", "3", "5", "6", "7", "-8", "None"])
 
 
+def test_one_row_of_each_component_whatever_its_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join(words[:k]) for k in (60, 59, 58)]
+    other = [" ".join(reversed(words[:k])) for k in (60, 59)]
+    cases = [
+        [(None, near[0]), (None, near[1]), (None, near[2]), (None, other[0]), (None, other[1])],
+        [(5, near[0]), (5, near[1]), (5, other[0]), (5, other[1]), (5, near[1])],
+        [(None, near[0]), (7, near[1]), (7, near[2]), (9, other[0]), (None, other[1])],
+    ]
+    for rows in cases:
+        df = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], DOCUMENTS)
+        out = [tuple(r)[:2] for r in neardup.keep_one(df).collect()]
+        assert len(out) == 2 and set(out) <= set(rows)
+        assert {t.split()[0] for _, t in out} == {"w0", other[0].split()[0]} or len({t in near for _, t in out}) == 2
+    assert sorted(r.doc_id for r in neardup.keep_one(df).collect()) == [7, 9]
+
+
 def test_threshold_is_exact():
     a = np.arange(100, dtype=np.uint64)
     assert neardup.is_link(a, a[:75]) and not neardup.is_link(a, a[:74])

@@ -10,6 +10,8 @@ tables and checks every payload against both digests.
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,8 +50,9 @@ def _responders(keyed: DataFrame) -> DataFrame:
             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
 
 
-def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
-    """Archive every row of ``pages`` (page_id, url, html) under ``path``.
+def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str | None = None) -> None:
+    """Archive every row of ``pages`` (page_id, url, html) under ``path``;
+    ``date`` is every record's WARC-Date (by default the time of the call).
 
     The payload is the html in UTF-8; a null html is an empty payload.  Of
     records with equal payloads of at least ``min_bytes`` bytes, the one with
@@ -73,6 +76,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(F.col("is_response"), "response").otherwise("revisit")),
         F.concat(F.lit("WARC-Record-ID: "), _record_id(F.col("page_key"))),
+        F.lit(f"WARC-Date: {date or _dt.datetime.now(_dt.timezone.utc).strftime('%Y-%m-%dT%H:%M:%SZ')}"),
         F.concat(F.lit("WARC-Target-URI: "), F.col("url")),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("sha1")),
         F.when(~F.col("is_response"), F.concat(F.lit("WARC-Refers-To: "), _record_id(F.col("first_key")))),

@@ -79,10 +79,11 @@ def test_urls_that_look_like_headers(spark):
     url = "http://x/?WARC-Type: response"
     rows = [(1, url, "same"), (2, f"{url}\r\nWARC-Type: response\r\n", "same"), (3, "WARC/1.1 WARC-Type: revisit", "other")]
     path = shared_dir(spark, "warc-test")
-    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path, date="2024-05-06T07:08:09Z")
     for r in warc.restore_records(spark, path).collect():
         header, _, body = bytes(r.record).partition(b"\r\n\r\n")
         length = int(re.search(rb"\r\nContent-Length: ([0-9]+)", header)[1])
+        assert header.count(b"\r\nWARC-Date: 2024-05-06T07:08:09Z\r\n") == 1
         assert body == (b"" if r.page_id == 1 else bytes(r.payload)) + b"\r\n\r\n" and length == len(body) - 4
     assert {(r.page_id, r.record_type, r.refers_to) for r in warc.read_records(spark, path).collect()} == {
         (1, "revisit", 2), (2, "response", None), (3, "response", None)}

@@ -106,25 +106,115 @@ def test_awkward_quality(spark, awkward, no_documents):
     assert quality.score_quality(no_documents, labels).collect() == []
 
 
-def test_views_teach_each_other():
-    rng = np.random.default_rng(0)
-    truth = rng.integers(0, 2, 2_000).astype(float)
-    text = np.column_stack([truth + rng.normal(scale=0.7, size=2_000), rng.normal(size=2_000)])
-    meta = np.column_stack([truth + rng.normal(scale=0.7, size=2_000), rng.normal(size=2_000)])
-    few, pool, rest = slice(0, 60), slice(60, 1_000), slice(1_000, 2_000)
-    spare = np.arange(60) % 3 == 0
-    both = quality.CoTrained([text[few], meta[few]], truth[few], [text[pool], meta[pool]], spare)
-    p = both.score([text[rest], meta[rest]])
-    assert ((p >= 0.5) == truth[rest]).mean() > 0.8
-    alone = quality.CoTrained([text[few], meta[few]], np.ones(60), [text[pool], meta[pool]], spare)
-    assert (alone.score([text[rest], meta[rest]]) == 1).all()
+def quality_corpus(spark, n=900, labelled=5):
+    """Every fifth row is labelled; the sources c and d occur in rows without a label only."""
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(n):
+        good, given = i % 2, i % labelled == 0
+        words = [rng.choice("aa bb cc dd".split()) if rng.random() < 0.5 else rng.choice(["fine", "calm"] if good else ["junk", "spam"])
+                 for _ in range(rng.randrange(2, 9))]
+        source = ("ab" if given else "cd")[good if rng.random() < 0.9 else 1 - good]
+        rows.append((i, " ".join(words), rng.choice(["en", None]), source, rng.choice([None, 3, 900])))
+        if given:
+            labels.append((i, good))
+    return spark.createDataFrame(rows, DOCUMENTS), spark.createDataFrame(labels, "doc_id long, quality int"), rows, dict(labels)
+
+
+def held(i):
+    return zlib.crc32(str(i).encode()) % 5 == 0
+
+
+def brute_force_quality(rows, labels, rounds, sure):
+    """The same rounds in plain Python: dictionaries of counts over whole lists of rows."""
+    words = {r[0]: sorted({zlib.crc32(w.encode()) % quality.WORDS for w in r[1].lower().split()}) for r in rows}
+    style = {r[0]: [float(np.float32(x)) for x in quality.style_features(r[1])] for r in rows}
+    meta = {r[0]: quality.meta_buckets(r[3], r[2], r[4]) for r in rows}
+    known = [i for i in words if i in labels and not held(i)]
+    spare = [i for i in known if zlib.crc32(f"spare:{i}".encode()) % 4 == 0]
+    train = [i for i in known if i not in spare]
+    pool = [i for i in words if i not in known and not held(i)]
+    edges = [np.quantile(np.array([style[i][k] for i in train], np.float32), np.arange(1, 16) / 16) for k in range(16)]
+
+    def keys(i):
+        text = [("w", w) for w in words[i]] + [("s", k, sum(x >= e for e in edges[k])) for k, x in enumerate(style[i])]
+        return text, [("m", m) for m in meta[i]]
+
+    def fit(for_text, for_meta):
+        seen = {}
+        for view, taught in enumerate((for_text, for_meta)):
+            for i, y in taught:
+                seen["rows", view, y] = seen.get(("rows", view, y), 0) + 1
+                for k in keys(i)[view]:
+                    seen[k, y] = seen.get((k, y), 0) + 1
+
+        def ratio(k, view):
+            good, bad = ((seen.get((k, y), 0) + 0.5) / (seen.get(("rows", view, y), 0) + 1) for y in (1, 0))
+            return np.log(good / bad)
+
+        def evidence(i):
+            text, m = keys(i)
+            by_word = [ratio(k, 0) for k in text if k[0] == "w"]
+            return [sum(by_word) / max(1, len(by_word)), *[ratio(k, 0) for k in text if k[0] == "s"], *[ratio(k, 1) for k in m]]
+
+        x, y = np.array([evidence(i) for i in spare]), np.array([float(labels[i]) for i in spare])
+        by_text, by_meta = quality.Logistic(x[:, :17], y), quality.Logistic(x[:, 17:], y)
+        both = quality.Logistic(np.column_stack([by_text.logit(x[:, :17]), by_meta.logit(x[:, 17:])]), y)
+
+        def score(ids):
+            z = np.array([evidence(i) for i in ids])
+            logits = np.column_stack([by_text.logit(z[:, :17]), by_meta.logit(z[:, 17:])])
+            return [1 / (1 + np.exp(-v)) for v in (both.logit(logits), logits[:, 0], logits[:, 1])]
+
+        p = score(spare)[0]
+        return score, -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    own = [(i, labels[i]) for i in train]
+    best, least = score, loss = fit(own, own)
+    for _ in range(rounds):
+        _, text, m = score(pool)
+        sure_of = [[(i, int(p > 0.5)) for i, p in zip(pool, ps, strict=True) if p >= sure or p <= 1 - sure] for ps in (m, text)]
+        score, loss = fit(own + sure_of[0], own + sure_of[1])
+        if loss < least:
+            best, least = score, loss
+    return dict(zip(words, zip(*best(list(words)), strict=True), strict=True)), len(sure_of[0]), len(sure_of[1])
+
+
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_rounds_against_brute_force(spark, rounds):
+    docs, labels, rows, truth = quality_corpus(spark)
+    want, by_meta, by_text = brute_force_quality(rows, truth, rounds, 0.8)
+    assert by_meta > 100 and by_text > 100  # both views teach
+    got = quality.score_quality(docs.repartition(5), labels, rounds=rounds, sure=0.8).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert np.allclose((r.score, r.text_score, r.meta_score), want[r.doc_id], atol=1e-9)
+        assert r.held_out == held(r.doc_id) and r.predicted == int(r.score >= 0.5)
+
+
+def test_text_teaches_metadata_of_sources_without_labels(spark):
+    docs, labels, rows, _ = quality_corpus(spark, 1_500)
+    alone, taught = ({r.doc_id: r for r in quality.score_quality(docs, labels, rounds=n, sure=0.8).collect()} for n in (0, 4))
+    rest = [r for r in rows if r[3] in "cd" and held(r[0])]
+    for scores, least, most in ((alone, 0.0, 0.7), (taught, 0.8, 1.0)):
+        assert least <= auc([(-scores[i].meta_score, i % 2 == 0) for i, *_ in rest]) <= most
+
+
+def test_every_sure_document_is_counted(spark):
+    docs, labels, _, _ = quality_corpus(spark, 300)
+    many = docs.crossJoin(spark.range(100).select()).selectExpr("doc_id", "false AS held_out", "text", "lang", "source", "n_chars")
+    features = many.mapInArrow(quality._features, quality.FEATURES)
+    edges = np.tile(np.arange(1, quality.BINS) / quality.BINS, (quality.N_STYLE, 1))
+    counts = quality._counts(features, lambda b: (np.ones(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)), edges)
+    assert counts[1, quality.TEXT_ROWS] == counts[0, quality.META_ROWS] == 30_000
+    assert counts[0, quality.META0:quality.N_KEYS].sum() == 4 * 30_000 and counts[1, quality.STYLE0:quality.META0].sum() == 16 * 30_000
 
 
 @pytest.mark.parametrize("text", ["", " ", "a", "É" * 50, "x | y | z\n" * 1000, "\ud83d"])
 def test_features_are_finite(text):
-    if text:
-        assert np.isfinite(quality.text_features(text)).all()
-    assert np.isfinite(quality.meta_features(text, None, None, None)).all()
+    assert np.isfinite(quality.style_features(text)).all()
+    assert (np.diff(quality.word_buckets(text)) > 0).all()
+    assert len(quality.meta_buckets(None, None, None)) == len(quality.meta_buckets(text, "x", -5)) == quality.N_META
 
 
 def test_sample_is_bounded_and_stable(spark):

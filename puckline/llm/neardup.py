@@ -37,6 +37,8 @@ SAMPLES, BITS = 512, 2048
 MOST_BITS = round(BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * SAMPLES * (1 - 0.62))))
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 2_000
+#: Members that meet one copy of their leader's set.
+CELL = 2_000
 
 _UPPER = bytes(range(65, 91))
 _FOLD = bytes(b + 32 if b in _UPPER else b for b in range(256))
@@ -148,11 +150,18 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, set_a, set_b) -> the pairs that are links."""
+    """(a, sid, shingles), a leader's own row before its members' -> the pairs that are links."""
+    whole = np.empty(0, np.uint64)
     for batch in batches:
-        ok = [is_link(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64))
-              for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True)]
-        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        ok = np.zeros(batch.num_rows, dtype=bool)
+        for i, (a, sid, x) in enumerate(zip(batch.column("a").to_pylist(), batch.column("sid").to_pylist(),
+                                            batch.column("shingles"), strict=True)):
+            shingles = np.frombuffer(x.as_py(), np.uint64)
+            if sid == a:
+                whole = shingles
+            else:
+                ok[i] = is_link(whole, shingles)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("sid")], names=["a", "b"]).filter(pa.array(ok))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -279,10 +288,16 @@ def components(st: Stages, edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    left = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("set_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
+def _beside_leaders(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Full sets of (leader a, member b) pairs, in cells of some CELL members of
+    one leader: a cell holds its leader's set once, before those of the members."""
+    cells = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("cells"))
+    members = pairs.join(cells, "a").select(
+        "a", F.pmod(F.xxhash64("b"), F.col("cells")).alias("cell"), F.lit(True).alias("member"), F.col("b").alias("sid"))
+    leaders = cells.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"),
+                           F.lit(False).alias("member"), F.col("a").alias("sid"))
+    return (members.unionByName(leaders).join(sets, "sid")
+            .repartition("a", "cell").sortWithinPartitions("a", "cell", "member"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -328,10 +343,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                         F.lit(0), lambda acc, x: acc + x)
     side = {s: sketches.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
             for s in ("a", "b")}
-    near = (led.join(side["a"], "a").join(side["b"], "b")
-            .where((100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (apart <= MOST_BITS))
-            .select("a", "b"))
-    links = st.put(_with_sets(near, sets).mapInArrow(_confirm, "a long, b long"))
+    near = st.put(led.join(side["a"], "a").join(side["b"], "b")
+                  .where((100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (apart <= MOST_BITS))
+                  .select("a", "b"))
+    links = st.put(_beside_leaders(near, sets).mapInArrow(_confirm, "a long, b long"))
     roots = components(st, links)
 
     # Buckets that still hold several components: all their pairs but the leader's.
@@ -352,8 +367,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     columns = "key long, low long, high long, sid long, n long, block long, comp long, sketch array<long>"
     open_ = st.put(by_task(rest).mapInArrow(_still_open, columns))
     more = by_task(open_.join(sets, "sid")).mapInArrow(_link_members, "a long, b long")
-    links = st.put(roots.select(F.col("sid").alias("a"), F.col("root").alias("b")).unionByName(more))
-    roots = components(st, links)
+    all_links = st.put(roots.select(F.col("sid").alias("a"), F.col("root").alias("b")).unionByName(more))
+    st.drop(distinct, members, sets, near, links, placed, open_)
+    roots = components(st, all_links)
+    st.drop(all_links)
 
     rooted = named.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))

@@ -57,6 +57,7 @@ def edited(rng, words, n):
 @pytest.mark.parametrize("block", [2_000, 8])
 def test_chains_and_large_groups_match_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "CELL", block)
     rng = random.Random(3)
     rows = []
     for group in range(4):

@@ -53,3 +53,12 @@ def test_requests_are_never_broadcast(spark):
 
 def test_games_are_never_broadcast_to_player_rows(spark):
     assert "BroadcastHashJoin" not in _plan(spark, px.facts(spark, "/root/testdata/sf0.001"))
+
+
+def test_newest_logs_offer_few_games_and_rank_alike(spark):
+    facts = _season(spark, 1000)
+    few, whole = vw.newest_logs(facts, 25), vw.view_logs(facts)
+    assert few.count() * 3 < whole.count()
+    cols = [*vw.LOG, "game_id", "log_rank"]
+    got, want = (vw.ranked_logs(x, 25).select(*cols) for x in (few, whole))
+    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0

@@ -62,3 +62,11 @@ def test_newest_logs_offer_few_games_and_rank_alike(spark):
     cols = [*vw.LOG, "game_id", "log_rank"]
     got, want = (vw.ranked_logs(x, 25).select(*cols) for x in (few, whole))
     assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+
+
+def test_player_log_carries_the_value_of_every_stat(spark):
+    from puckline.operators.facts import PROP_STATS
+    from puckline.registry import QUERIES
+    log = QUERIES["player_log_filtered"](spark, "/root/testdata/sf0.001")
+    assert set(PROP_STATS) <= set(log.columns)
+    assert log.filter(F.col("saves") > 0).count() > 0

@@ -1,7 +1,9 @@
-"""Operator 6, toxicity: nearest labelled examples by exact TF-IDF cosine.
+"""Operator 6, toxicity: nearest labelled examples by exact cosine of relevance-weighted TF-IDF.
 
 A bounded sample of labelled documents is the set of examples; the vocabulary
-is every word of theirs.  Document frequencies come from all documents.  The
+is every word of theirs.  Document frequencies come from all documents.  A word's
+weight also grows with its relevance (tf.rf: how much commoner it is among toxic
+examples than among clean ones); no word weighs less for it, none is left out.  The
 examples lie in blocks; an inverted index keeps, for each word, its postings
 and its largest weight in every block that holds it.  A document visits the
 blocks with the largest sums of its words' largest weights first, then those
@@ -87,6 +89,12 @@ def _weights(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarr
     return w / norm if norm > 0 else w
 
 
+def _relevance(toxic: np.ndarray, clean: np.ndarray, size: tuple[float, float]) -> np.ndarray:
+    """log2(2 + how many times commoner among toxic examples), of words that so many toxic and clean
+    examples of ``size`` (clean, toxic) hold; 1 more clean example is assumed, so rare words gain little."""
+    return np.log2(2.0 + (toxic / max(1.0, size[1])) / ((clean + 1.0) / (size[0] + 1.0)))
+
+
 def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The numbers of all half-open ranges, one range after the other."""
     size = end - begin
@@ -103,9 +111,17 @@ def _ranking(votes: np.ndarray, labels: np.ndarray) -> float:
 class Examples:
     """Block-max inverted index of labelled unit vectors."""
 
-    def __init__(self, rows: list[tuple[int, int, np.ndarray, np.ndarray]], idf: np.ndarray, share: float, k: int | tuple[int, ...] = K):
-        """rows: (doc_id, label, terms, counts); ``share``: the part of toxic ones among all labelled rows."""
+    def __init__(self, rows: list[tuple[int, int, np.ndarray, np.ndarray]], idf: np.ndarray, share: float, k: int | tuple[int, ...] = K,
+                 relevance: bool = False):
+        """rows: (doc_id, label, terms, counts); ``share``: the part of toxic ones among all labelled rows;
+        ``relevance``: whether the words' relevance weighs too."""
         choices = (k,) if isinstance(k, int) else k
+        size = {c: sum(r[1] == c for r in rows) for c in (0, 1)}
+        # How many examples of each label hold a word, if that weighs.
+        self.holders = [np.bincount(np.concatenate([np.empty(0, dtype=np.int64), *(r[2] for r in rows if r[1] == c)]), minlength=len(idf))
+                        .astype(float) for c in (0, 1)] if relevance and all(size.values()) else None
+        self.sizes = (size[0], size[1])
+        idf = idf if self.holders is None else idf * _relevance(self.holders[1], self.holders[0], self.sizes)
         self.idf, self.k, self.share = idf, max(choices), share
         vectors = [(i, label, t, _weights(t, c, idf)) for i, label, t, c in rows]
         empty = [v for v in vectors if not v[3].any()]
@@ -122,7 +138,6 @@ class Examples:
         full = sorted(full, key=lambda v: (cluster(v), int(v[2][v[3].argmax()]), -v[3].max(), v[0]))
         self.ids = np.array([v[0] for v in full], dtype=np.int64)
         self.labels = np.array([v[1] for v in full], dtype=np.float64)
-        size = {c: sum(v[1] == c for v in vectors) for c in (0, 1)}
         # A class that the sample holds more of than the labelled rows do votes the less.
         self.class_weight = np.array([(1 - share) / max(1, size[0]), share / max(1, size[1])])
         self.blocks = -(-len(full) // BLOCK)
@@ -199,6 +214,14 @@ class Examples:
                 kth = cosine[-1]
         return place, cosine
 
+    def _left_out(self, label: int, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """An example's weights such that its products with others are those of words whose relevance does not count it."""
+        if self.holders is None:
+            return weight
+        toxic, clean = self.holders[1][terms], self.holders[0][terms]
+        without = _relevance(toxic - label, clean - (1 - label), (self.sizes[0] - (1 - label), self.sizes[1] - label))
+        return weight * (without / _relevance(toxic, clean, self.sizes)) ** 2
+
     def _vote(self, place: np.ndarray, cosine: np.ndarray) -> float:
         if not len(place):
             return self.without
@@ -212,7 +235,7 @@ class Examples:
             return
         near = []
         for i in range(0, n, TOGETHER):
-            some = [(v[2], v[3]) for v in full[i:i + TOGETHER]]
+            some = [(v[2], self._left_out(v[1], v[2], v[3])) for v in full[i:i + TOGETHER]]
             near += [self.nearest(*x, leave_out=i + j, common=c) for j, (x, c) in enumerate(zip(some, self.common_part(some), strict=True))]
         by_k = {k: np.array([self._vote(place[:k], cosine[:k]) for place, cosine in near]) for k in choices}
         self.k = max(choices, key=lambda k: (_ranking(by_k[k], self.labels), -k))
@@ -308,5 +331,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exa
     rows = [(r.doc_id, r.label, np.array(r.terms, dtype=np.int64), np.array(r.counts, dtype=np.float64))
             for r in vectorised.collect()]
     st.drop(chosen, taught, shown)
-    return vectors.mapInArrow(_scorer(Examples(sorted(rows, key=lambda r: r[0]), idf, share)),
+    return vectors.mapInArrow(_scorer(Examples(sorted(rows, key=lambda r: r[0]), idf, share, relevance=True)),
                               "doc_id long, held_out boolean, score double, predicted int, evidence string")

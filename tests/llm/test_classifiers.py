@@ -42,6 +42,28 @@ def test_held_out_toxicity(spark):
     assert all(e.split(":")[2] == "1" for e in toxic.evidence.split(","))
 
 
+def test_toxic_words_outweigh_the_topic(spark):
+    rng = random.Random(11)
+    def word(prefix, n):
+        return prefix + "".join("abcdefghij"[int(x)] for x in str(n))
+
+    insults, rows, labels = [word("insult", i) for i in range(12)], [], []
+    for i in range(900):
+        topic, toxic = rng.randrange(20), i % 9 == 0
+        words = [word("t", topic * 400 + rng.randrange(400)) for _ in range(60)] + [word("c", rng.randrange(50)) for _ in range(25)]
+        words += rng.sample(insults, 2) if toxic else []
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), "en", "s", 1))
+        labels.append((i, 1, int(toxic)))
+    frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(spark.createDataFrame(rows, DOCUMENTS), frame).collect()}
+    held = [(got[i].score, t) for i, _, t in labels if got[i].held_out]
+    assert auc(held) > 0.95
+    clean = sorted(s for s, t in held if not t)
+    bound = clean[int(len(clean) * 0.9)]
+    assert sum(s > bound for s, t in held if t) >= 0.9 * sum(t for _, t in held)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 1), st.lists(st.integers(0, 9), min_size=1, max_size=6)), min_size=1, max_size=300),
        st.lists(st.integers(0, 9), min_size=1, max_size=6))

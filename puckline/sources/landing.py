@@ -147,7 +147,6 @@ def flatten_boxscore(landed: DataFrame) -> DataFrame:
     sides; goalie-only columns are null for skaters, goalies get position G
     and ``ot_loss`` from decision ``O``."""
     d = landed.select("game_id", F.from_json("doc", BOXSCORE_DOC).alias("d"))
-    d = d.filter(F.col("d.playerByGameStats").isNotNull())
     away = F.coalesce(F.col("d.awayTeam.abbrev"), F.lit(""))
     home = F.coalesce(F.col("d.homeTeam.abbrev"), F.lit(""))
     rows = d.select("game_id", F.inline(F.concat(_box_rows("awayTeam", away, home, "away"),

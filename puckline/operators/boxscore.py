@@ -39,15 +39,19 @@ def join_coverage(box: DataFrame, stats: DataFrame) -> DataFrame:
         F.count(F.lit(1)).cast("bigint").alias("rows"))
 
 
-def combine_boxscores(box: DataFrame, stats: DataFrame | None, schedule_rest: DataFrame) -> DataFrame:
+def combine_boxscores(box: DataFrame, stats: DataFrame | None, schedule_rest: DataFrame,
+                      keep: Sequence[str] = ()) -> DataFrame:
     """The 38-column comprehensive player-game table.
 
     Missing stats become 0 (0.0 for the faceoff ratio), the date and the
     player's own team rest days come from the schedule, ``toi`` becomes
-    minutes.  Both joins are left joins keyed by game; the schedule side is one
-    row per game and is broadcast by AQE when small.  ``stats=None`` (no
-    play-by-play yet) gives all-zero stats.
+    minutes.  Both joins are left joins; the schedule, one row per game, comes
+    first: boxscore rows that lie by game already (as after their dedupe) are
+    not shuffled for it.  ``stats=None`` (no play-by-play yet) gives all-zero
+    stats.  ``keep`` names further columns of ``box`` to carry along.
     """
+    sched = schedule_rest.select("game_id", "date", "home_days_rest", "away_days_rest")
+    box = box.join(sched, "game_id", "left")
     if stats is None:
         j = box.drop("game_winning_goal").withColumns(
             {c: F.lit(None).cast("int") for c in PBP_INT_STATS}
@@ -57,14 +61,12 @@ def combine_boxscores(box: DataFrame, stats: DataFrame | None, schedule_rest: Da
     fills = {c: F.coalesce(F.col(c), F.lit(0)).cast("int") for c in PBP_INT_STATS}
     fills["faceoff_pct"] = F.coalesce(F.col("faceoff_pct"), F.lit(0.0)).cast("double")
     j = j.withColumns(fills)
-    sched = schedule_rest.select("game_id", "date", "home_days_rest", "away_days_rest")
-    j = j.join(sched, "game_id", "left")
     j = j.withColumns({
         "days_rest": F.when(F.col("location") == "home", F.col("home_days_rest"))
                       .otherwise(F.col("away_days_rest")),
         "toi_minutes": toi_minutes("toi"),
     })
-    return j.select(*COMPREHENSIVE_COLUMNS)
+    return j.select(*COMPREHENSIVE_COLUMNS, *keep)
 
 
 def integrity_checks(combined: DataFrame) -> DataFrame:

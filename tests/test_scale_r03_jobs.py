@@ -1,7 +1,10 @@
 """Steps that must not be done twice: parses of landed documents, the combined table, the upsert's incoming rows."""
 
+import puckline.registry as registry
 from puckline.sources import landing as ld
 
+SF = "/root/testdata/sf0.001"
+
 
 def _optimized(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
@@ -14,3 +17,17 @@ def test_a_boxscore_document_is_parsed_once(spark):
     rows = ld.flatten_boxscore(landed)
     assert _optimized(rows).count("from_json(") == 1
     assert [(r.game_id, r.player_id, r.team, r.opponent) for r in rows.collect()] == [(4, 7, "B", "A")]
+
+
+def test_the_season_that_lands_again_is_read_from_the_table(spark, monkeypatch):
+    seen = []
+    replace = registry.st.archive_and_replace
+
+    def keep(new_rows, *where):
+        seen.append(_optimized(new_rows))
+        return replace(new_rows, *where)
+
+    monkeypatch.setattr(registry.st, "archive_and_replace", keep)
+    got = registry.QUERIES["refresh_archive"](spark, SF)
+    assert got.count() > 0 and got.select("season").distinct().count() == 1
+    assert len(seen) == 1 and "l_orderkey" not in seen[0]

@@ -31,3 +31,11 @@ def test_the_season_that_lands_again_is_read_from_the_table(spark, monkeypatch):
     got = registry.QUERIES["refresh_archive"](spark, SF)
     assert got.count() > 0 and got.select("season").distinct().count() == 1
     assert len(seen) == 1 and "l_orderkey" not in seen[0]
+
+
+def test_the_refresh_dedupes_the_rows_of_its_games_only(spark):
+    lines = _optimized(registry.QUERIES["refresh_upsert"](spark, SF)).splitlines()
+    depth = {i: len(line) - len(line.lstrip(" :+-")) for i, line in enumerate(lines)}
+    dedupes = [i for i, line in enumerate(lines) if "Window [row_number()" in line and "src_line" in line]
+    below = [any("LeftSemi" in lines[j] for j in range(i + 1, len(lines)) if all(depth[k] > depth[i] for k in range(i + 1, j + 1))) for i in dedupes]
+    assert below.count(False) == 1 and below.count(True) >= 1  # the stored table, and the rows that land

@@ -70,3 +70,30 @@ def test_player_log_carries_the_value_of_every_stat(spark):
     log = QUERIES["player_log_filtered"](spark, "/root/testdata/sf0.001")
     assert set(PROP_STATS) <= set(log.columns)
     assert log.filter(F.col("saves") > 0).count() > 0
+
+
+def test_a_game_is_written_to_its_logs_by_one_generator(spark):
+    plan = _plan(spark, vw.view_logs(_season(spark)))
+    assert plan.count("Generate ") == 2 and "lambda" not in plan  # dated games, last games
+
+
+def test_logs_of_games_without_season_opponent_location_or_rest(spark):
+    rows = [dict(game_id=i, date=day(i), player_id=1, team="A", opponent="B", location="home", position="C", days_rest=i) for i in range(6)]
+    rows += [dict(rows[0], game_id=6, date=day(6), season=None, opponent=None, location=None, days_rest=None),
+             dict(rows[0], game_id=7, date=day(7), location="neutral", days_rest=-1, player_id=None)]
+    facts = facts_df(spark, rows)
+    logs = vw.view_logs(facts)
+    assert logs.columns == [*facts.columns, *vw.SCOPE, "location_filter", "rest_filter"]
+    got = sorted((r.game_id, r.log_kind, r.log_value or "", r.location_filter, r.rest_filter) for r in logs.collect())
+    want = []
+    for r in facts.collect():
+        newer = sum(1 for o in rows if o["player_id"] == r.player_id and o["game_id"] > r.game_id)
+        scopes = [("season", str(r.season or "")), ("h2h", r.opponent or ""), ("all", "")] + [(f"L{n}", "") for n in vw.LAST_GAMES if newer < n]
+        rest = {0: ["0"], 1: ["1"], 2: ["2"], None: [], -1: []}.get(r.days_rest, ["3+"])
+        want += [(r.game_id, *s, loc, x) for s in scopes for loc in ["any"] + ["home"] * (r.location == "home") for x in ["any", *rest]]
+    assert got == sorted(want)
+
+
+def test_facts_are_deduplicated_without_the_text_of_their_minutes(spark):
+    facts = px.facts(spark, "/root/testdata/sf0.001").select("game_id", "player_id", "shots")
+    assert "x:30" not in _plan(spark, facts)

@@ -82,13 +82,19 @@ def complete_games(pbp: DataFrame, box: DataFrame) -> DataFrame:
     return pbp.select("game_id").distinct().join(box.select("game_id").distinct(), "game_id")
 
 
+def _game_ids(rows: DataFrame) -> DataFrame:
+    """The distinct games of raw rows, laid out anew: rows that lie by game already would otherwise
+    be sorted and reduced in the tasks that join the ids, which then hold every source's rows at once."""
+    return rows.select("game_id").distinct().hint("rebalance", F.col("game_id"))
+
+
 def missing_games(schedule: DataFrame, pbp: DataFrame, box: DataFrame,
                   as_of: _dt.date | str) -> DataFrame:
     """Played games (dated before ``as_of``) still lacking play-by-play or
     boxscore rows, with which of the two is present."""
     played = schedule.filter(F.col("date") < F.lit(str(as_of))).select("game_id", "date")
-    p = pbp.select("game_id").distinct().withColumn("has_pbp", F.lit(True))
-    b = box.select("game_id").distinct().withColumn("has_box", F.lit(True))
+    p = _game_ids(pbp).withColumn("has_pbp", F.lit(True))
+    b = _game_ids(box).withColumn("has_box", F.lit(True))
     j = played.join(p, "game_id", "left").join(b, "game_id", "left")
     j = j.withColumns({"has_pbp": F.coalesce("has_pbp", F.lit(False)),
                        "has_box": F.coalesce("has_box", F.lit(False))})

@@ -97,3 +97,26 @@ def test_logs_of_games_without_season_opponent_location_or_rest(spark):
 def test_facts_are_deduplicated_without_the_text_of_their_minutes(spark):
     facts = px.facts(spark, "/root/testdata/sf0.001").select("game_id", "player_id", "shots")
     assert "x:30" not in _plan(spark, facts)
+
+
+def test_events_are_never_broadcast(spark):
+    assert "BroadcastHashJoin" not in _plan(spark, px.pbp(spark, "/root/testdata/sf0.001").select("game_id").distinct())
+
+
+def test_missing_games_join_ids_apart_from_the_rows_they_come_from(spark):
+    from puckline.operators import boxscore as bx
+    from puckline.operators import quality as qa
+    sf = "/root/testdata/sf0.001"
+    box = bx.dedupe_boxscores(px.box(spark, sf), ["src_line", "src_part", "src_qty", "src_price"])
+    plan = _plan(spark, qa.missing_games(px.schedule(spark, sf), px.pbp(spark, sf), box, "2001-12-31"))
+    assert plan.count("REBALANCE_PARTITIONS_BY_COL") == 2  # a stage each for events and for boxscore rows
+
+
+def test_missing_games_of_repeated_and_null_ids(spark):
+    from puckline.operators import quality as qa
+    schedule = spark.createDataFrame([(1, "2001-01-01"), (2, "2001-01-02"), (2, "2001-01-02"), (3, "2001-01-03"), (None, "2001-01-04"), (4, None),
+                                      (5, "2002-01-01")], "game_id bigint, date string")
+    pbp = spark.createDataFrame([(1,), (1,), (3,), (None,)], "game_id bigint")
+    box = spark.createDataFrame([(1,), (2,), (2,), (None,)], "game_id bigint")
+    got = sorted((tuple(r) for r in qa.missing_games(schedule, pbp, box, "2001-12-31").collect()), key=str)
+    assert got == sorted([(2, "2001-01-02", False, True)] * 2 + [(3, "2001-01-03", True, False), (None, "2001-01-04", False, False)], key=str)

@@ -5,8 +5,10 @@ is every word of theirs.  Document frequencies come from all documents.  A word'
 weight also grows with its relevance (tf.rf: how much commoner it is among toxic
 examples than among clean ones); no word weighs less for it, none is left out.  The
 examples lie in blocks; an inverted index keeps, for each word, its postings
-and its largest weight in every block that holds it.  A document visits the
-blocks with the largest sums of its words' largest weights first, then those
+and its largest weight in every block that holds it.  Documents are searched
+some at a time.  Words of many examples are products with rows of weights, words of
+few examples are added outright, the others bound the blocks.  A document visits the
+blocks with the largest bounds first, then those
 that can still hold a nearer example than its k-th.  The k nearest vote, each
 with its cosine as weight; votes are calibrated on the examples themselves,
 each left out of its own search.
@@ -21,11 +23,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +40,18 @@ BLOCK = 128
 #: How many neighbours may vote: the number that ranks the examples best, each left out of its own search.
 K = (15, 30, 60, 100, 150)
 #: A word that this part of the examples holds has its weights side by side instead of as postings.
-DENSE = 8
-#: Documents whose products with those rows are taken at once.
-TOGETHER = 64
+DENSE = 16
+#: A word that at most this many examples hold, few for a block, saves less by bounds than they cost.
+FEW = BLOCK // 2
+#: Documents that are searched together, and how many distinct words they may have between them.
+TOGETHER, WORDS_TOGETHER = 64, 30_000
 #: Words held by most examples; those whose heaviest of them is the same lie together.
 FREQUENT = 64
 _WORD = re.compile(r"[^\W\d_]+")
+#: Bytes of lower-cased UTF-8: a letter of ASCII or a part of another character stays, others separate.
+_LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Bytes of text that are cut into words at once.
+BYTES_TOGETHER = 4_000_000
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,21 +70,59 @@ def every_term(examples: DataFrame) -> list[str]:
     return sorted(r["word"] for r in examples.select("text").mapInArrow(_words, "word string").distinct().collect())
 
 
+def _count_words(texts: list[str | None], vocabulary: pa.Array, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the vocabulary's terms in it, ascending, and how often: all terms, all counts, terms per text."""
+    coded = [text.lower().encode() if text else b"" for text in texts]
+    joined = np.frombuffer(b" " + b" ".join(coded).translate(_LETTERS) + b" ", dtype=np.uint8)
+    held = joined != 32
+    edges = np.flatnonzero(held[1:] != held[:-1]) + 1
+    begin, end = edges[::2], edges[1::2]
+    data, offsets = joined[held], np.concatenate([[0], np.cumsum(end - begin)])
+    words = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+    term = pc.fill_null(pc.index_in(words, value_set=vocabulary), -1).to_numpy().astype(np.int64)
+    starts = 1 + np.cumsum([0, *(len(c) + 1 for c in coded[:-1])])
+    of = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(begin, starts), append=len(begin)))
+    # What is no word of the vocabulary and has other than ASCII letters may be several words.
+    other = np.flatnonzero((term < 0) & (np.maximum.reduceat(data, offsets[:-1]) >= 128)) if len(term) else term
+    parts: dict[bytes, list[int]] = {}
+    more = [(of[0:0], term[0:0])]
+    for i, word in zip(of[other], words.take(pa.array(other)).to_pylist(), strict=True):
+        if word not in parts:
+            parts[word] = [number[w] for w in _WORD.findall(word.decode()) if w in number]
+        if parts[word]:
+            more.append((np.full(len(parts[word]), i), np.array(parts[word])))
+    known = term >= 0
+    of = np.concatenate([of[known], *(m[0] for m in more)])
+    size = max(1, len(number))
+    keys, times = np.unique(of * size + np.concatenate([term[known], *(m[1] for m in more)]), return_counts=True)
+    return keys % size, times, np.bincount(keys // size, minlength=len(texts))
+
+
+def _together(sizes: list[int], rows: int, most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of at most ``rows`` rows, and of at most ``most`` in size unless one row has more."""
+    first, total = 0, 0
+    for i, size in enumerate(sizes):
+        if i > first and (i - first == rows or total + size > most):
+            yield first, i
+            first, total = i, 0
+        total += size
+    if len(sizes) > first:
+        yield first, len(sizes)
+
+
 def _vectoriser(terms: list[str]):
     """(..., text) -> (..., terms array<int>, counts array<int>) over the vocabulary."""
-    number = {w: i for i, w in enumerate(terms)}
-
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {w: i for i, w in enumerate(terms)}
+        vocabulary = pa.array([w.encode() for w in terms], pa.binary())
         for batch in batches:
-            found, times, ends = [], [], [0]
-            for text in batch.column("text").to_pylist():
-                held = Counter(_WORD.findall(text.lower())) if text else {}
-                known = sorted([(number[w], n) for w, n in held.items() if w in number])
-                found += [i for i, _ in known]
-                times += [n for _, n in known]
-                ends.append(len(found))
+            texts = batch.column("text").to_pylist()
+            parts = [_count_words(texts[i:j], vocabulary, number)
+                     for i, j in _together([len(t or "") for t in texts], len(texts), BYTES_TOGETHER)]
+            found, times, sizes = (np.concatenate([np.empty(0, np.int64), *p]) for p in (zip(*parts, strict=True) if parts else ((), (), ())))
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
             keep = [c for c in batch.schema.names if c != "text"]
-            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32())) for x in (found, times)]
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (found, times)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *lists], names=[*keep, "terms", "counts"])
 
     return vectorise
@@ -154,14 +200,18 @@ class Examples:
         at = self.dense_row[term] >= 0
         self.dense[self.dense_row[term[at]], self.docs[at]] = self.weight[at]
         term, self.docs, self.weight = term[~at], self.docs[~at], self.weight[~at]
+        # All postings of a word of few examples.
+        at = np.searchsorted(term, np.arange(len(idf) + 1))
+        self.few_begin, self.few_end = at[:-1], np.where(held <= FEW, at[1:], at[:-1])
         # A run is what one block has of another word's postings.
         block = self.docs // BLOCK
         new = np.ones(len(term), dtype=bool)
         new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
-        self.begin = np.flatnonzero(new)
-        self.end = np.append(self.begin[1:], len(term))[:len(self.begin)]
-        self.block = block[self.begin]
-        self.largest = np.maximum.reduceat(self.weight, self.begin) if len(term) else np.empty(0)
+        begin = np.flatnonzero(new)
+        end = np.append(begin[1:], len(term))[:len(begin)]
+        largest = np.maximum.reduceat(self.weight, begin) if len(term) else np.empty(0)
+        at = held[term[begin]] > FEW
+        self.begin, self.end, self.block, self.largest = begin[at], end[at], block[begin[at]], largest[at]
         self.runs = np.searchsorted(term[self.begin], np.arange(len(idf) + 1))
         weights = [self.class_weight[v[1]] for v in empty]
         toxic = sum(w for v, w in zip(empty, weights, strict=True) if v[1])
@@ -170,48 +220,64 @@ class Examples:
         self.steps_x = self.steps_y = None
         self._calibrate(full, choices)
 
-    def common_part(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """What the words of many examples add to the cosines, for several (terms, weights) at once."""
-        weight = np.zeros((len(vectors), len(self.dense)))
-        for i, (terms, w) in enumerate(vectors):
-            row = self.dense_row[terms]
-            weight[i, row[row >= 0]] = w[row >= 0]
-        return weight @ self.dense
-
-    def nearest(self, terms: np.ndarray, weight: np.ndarray, leave_out: int = -1,
-                common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Up to k examples of positive cosine, nearest first, ties by place; and their cosines.
-
-        A block's bound is the most that its words of many examples give to one
-        of its places, and the sum of the other words' largest weights in it."""
-        place, cosine, kth = np.empty(0, dtype=np.int64), np.empty(0), 0.0
-        score = (self.common_part([(terms, weight)])[0] if common is None else common).copy()
+    def nearest(self, terms: np.ndarray, weight: np.ndarray, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Up to k examples of positive cosine, nearest first, ties by place; and their cosines."""
+        place, cosine = self.nearest_all(terms, weight, np.array([len(terms)]), np.array([leave_out]))
+        return place[0][place[0] >= 0], cosine[0][place[0] >= 0]
+
+    def _add(self, score: np.ndarray, of: np.ndarray, weight: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """Add postings, given as ranges with their document and its weight, to the documents' scores."""
+        at, size = _ranges(begin, end), end - begin
+        if len(at):
+            score += np.bincount(np.repeat(of * score.shape[1], size) + self.docs[at], np.repeat(weight, size) * self.weight[at],
+                                 minlength=score.size).reshape(score.shape)
+
+    def nearest_all(self, terms: np.ndarray, weight: np.ndarray, sizes: np.ndarray,
+                    leave_out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The same for several documents, whose terms and weights follow one another: a row of k places
+        and cosines for each, -1 and 0 after the last.
+
+        A block's bound is the most that a document's words of many and of few examples
+        give to one of its places, and the sum of the other words' largest weights in it."""
+        n, k = len(sizes), self.k
+        of = np.repeat(np.arange(n), sizes)
+        row = self.dense_row[terms]
+        common = np.zeros((n, len(self.dense)))
+        common[of[row >= 0], row[row >= 0]] = weight[row >= 0]
+        score = common @ self.dense
+        self._add(score, of, weight, self.few_begin[terms], self.few_end[terms])
         first, last = self.runs[terms], self.runs[terms + 1]
-        runs, w = _ranges(first, last), np.repeat(weight, last - first)
-        block = self.block[runs]
-        bound = score.reshape(self.blocks, BLOCK).max(axis=1, initial=0.0)
-        bound += np.bincount(block, w * self.largest[runs], minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        head = -(-2 * self.k // BLOCK)
-        for some in (order[:head], order[head:]):
-            some = some[(bound[some] > 0) & (bound[some] >= kth * (1 - 1e-12))]
-            visit = np.zeros(self.blocks, dtype=bool)
-            visit[some] = True
-            picked = visit[block]
-            begin, end = self.begin[runs[picked]], self.end[runs[picked]]
-            at = _ranges(begin, end)
-            score += np.bincount(self.docs[at], np.repeat(w[picked], end - begin) * self.weight[at], minlength=len(score))
-            known = np.where(np.repeat(visit, BLOCK), score, 0.0)
-            fit = np.flatnonzero((known > 0) & (known >= kth))
-            if leave_out >= 0:
-                fit = fit[fit != leave_out]
-            if len(fit) > self.k:
-                fit = fit[score[fit] >= np.partition(score[fit], len(fit) - self.k)[len(fit) - self.k]]
-            place, cosine = np.concatenate([place, fit]), np.concatenate([cosine, score[fit]])
-            top = np.lexsort((place, -cosine))[:self.k]
-            place, cosine = place[top], cosine[top]
-            if len(top) == self.k:
-                kth = cosine[-1]
+        runs, of, w = _ranges(first, last), np.repeat(of, last - first), np.repeat(weight, last - first)
+        block, begin, end = self.block[runs], self.begin[runs], self.end[runs]
+        bound = score.reshape(n, self.blocks, BLOCK).max(axis=2, initial=0.0)
+        bound += np.bincount(of * self.blocks + block, w * self.largest[runs], minlength=bound.size).reshape(bound.shape)
+
+        head = np.argsort(-bound, axis=1, kind="stable")[:, :-(-2 * k // BLOCK)]
+        visited = np.zeros(bound.shape, dtype=bool)
+        np.put_along_axis(visited, head, True, axis=1)
+        now = visited[of, block]
+        self._add(score, of[now], w[now], begin[now], end[now])
+        if leave_out is not None:
+            score[np.flatnonzero(leave_out >= 0), leave_out[leave_out >= 0]] = 0.0
+        kth = np.zeros(n)
+        seen = np.take_along_axis(score.reshape(n, self.blocks, BLOCK), head[:, :, None], axis=1).reshape(n, -1)
+        if seen.shape[1] >= k:
+            kth = np.partition(seen, seen.shape[1] - k, axis=1)[:, seen.shape[1] - k]
+        now = (~visited & (bound > 0) & (bound >= kth[:, None] * (1 - 1e-12)))[of, block]
+        self._add(score, of[now], w[now], begin[now], end[now])
+        if leave_out is not None:
+            score[np.flatnonzero(leave_out >= 0), leave_out[leave_out >= 0]] = 0.0
+
+        # What is left of a block that was not visited is below the k-th.
+        place, cosine = np.full((n, k), -1, dtype=np.int64), np.zeros((n, k))
+        for i in range(n):
+            fit = np.flatnonzero(score[i] >= kth[i]) if kth[i] > 0 else np.flatnonzero(score[i] > 0)
+            value = score[i, fit]
+            if len(fit) > k:
+                enough = value >= np.partition(value, len(fit) - k)[len(fit) - k]
+                fit, value = fit[enough], value[enough]
+            top = np.argsort(-value, kind="stable")[:k]
+            place[i, :len(top)], cosine[i, :len(top)] = fit[top], value[top]
         return place, cosine
 
     def _left_out(self, label: int, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -222,11 +288,12 @@ class Examples:
         without = _relevance(toxic - label, clean - (1 - label), (self.sizes[0] - (1 - label), self.sizes[1] - label))
         return weight * (without / _relevance(toxic, clean, self.sizes)) ** 2
 
-    def _vote(self, place: np.ndarray, cosine: np.ndarray) -> float:
-        if not len(place):
-            return self.without
-        w = self.class_weight[self.labels[place].astype(int)] * cosine
-        return float((w * self.labels[place]).sum() / w.sum())
+    def _votes(self, place: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+        """Of each row of neighbours: the toxic ones' part of the votes."""
+        label = self.labels[place]
+        w = self.class_weight[label.astype(int)] * cosine
+        total = w.sum(axis=1)
+        return np.where(place[:, 0] >= 0, (w * label).sum(axis=1) / np.where(total > 0, total, 1.0), self.without)
 
     def _calibrate(self, full: list[tuple], choices: tuple[int, ...]) -> None:
         """The number of voters, and an isotonic fit of labels on votes, each example voting without itself."""
@@ -234,10 +301,12 @@ class Examples:
         if not n or not self.labels.any() or self.labels.all():
             return
         near = []
-        for i in range(0, n, TOGETHER):
-            some = [(v[2], self._left_out(v[1], v[2], v[3])) for v in full[i:i + TOGETHER]]
-            near += [self.nearest(*x, leave_out=i + j, common=c) for j, (x, c) in enumerate(zip(some, self.common_part(some), strict=True))]
-        by_k = {k: np.array([self._vote(place[:k], cosine[:k]) for place, cosine in near]) for k in choices}
+        for i, j in _together([len(v[2]) for v in full], TOGETHER, WORDS_TOGETHER):
+            some = full[i:j]
+            near.append(self.nearest_all(np.concatenate([v[2] for v in some]), np.concatenate([self._left_out(*v[1:]) for v in some]),
+                                         np.array([len(v[2]) for v in some]), np.arange(i, j)))
+        place, cosine = (np.concatenate(x) for x in zip(*near, strict=True))
+        by_k = {k: self._votes(place[:, :k], cosine[:, :k]) for k in choices}
         self.k = max(choices, key=lambda k: (_ranking(by_k[k], self.labels), -k))
         votes = by_k[self.k]
         weight = self.class_weight[self.labels.astype(int)]
@@ -256,18 +325,20 @@ class Examples:
     def score_all(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, str]]:
         """Of each (terms, counts): calibrated probability, and the three nearest examples as doc_id:cosine:label."""
         out = []
-        for i in range(0, len(docs), TOGETHER):
-            some = [(terms, _weights(terms, counts, self.idf)) for terms, counts in docs[i:i + TOGETHER]]
-            for (terms, weight), common in zip(some, self.common_part(some), strict=True):
-                if not weight.any() or not len(self.ids):
-                    out.append((self.without, ""))
-                    continue
-                place, cosine = self.nearest(terms, weight, common=common)
-                vote = self._vote(place, cosine)
-                if len(place) and self.steps_x is not None:
-                    vote = float(np.interp(vote, self.steps_x, self.steps_y))
-                evidence = ",".join(f"{self.ids[p]}:{c:.4f}:{int(self.labels[p])}" for p, c in zip(place[:3], cosine[:3], strict=True))
-                out.append((min(1.0, max(0.0, vote)), evidence))
+        for i, j in _together([len(terms) for terms, _ in docs], TOGETHER, WORDS_TOGETHER):
+            weights = [_weights(terms, counts, self.idf) for terms, counts in docs[i:j]]
+            sizes = np.array([len(w) for w in weights])
+            if not len(self.ids):
+                out += [(self.without, "")] * (j - i)
+                continue
+            place, cosine = self.nearest_all(np.concatenate([terms for terms, _ in docs[i:j]]), np.concatenate(weights), sizes)
+            votes = self._votes(place, cosine)
+            if self.steps_x is not None:
+                votes = np.where(place[:, 0] >= 0, np.interp(votes, self.steps_x, self.steps_y), votes)
+            near = place[:, :3]
+            for vote, *found in zip(np.clip(votes, 0.0, 1.0).tolist(), near.tolist(), self.ids[near].tolist(), cosine[:, :3].tolist(),
+                                    self.labels[near].astype(int).tolist(), strict=True):
+                out.append((vote, ",".join([f"{d}:{c:.4f}:{y}" for p, d, c, y in zip(*found, strict=True) if p >= 0])))
         return out
 
 
@@ -276,8 +347,10 @@ def _scorer(examples: Examples):
         known: dict[bytes, tuple[float, str]] = {}
         for batch in batches:
             keys, new = [], {}
-            for terms, counts in zip(batch.column("terms"), batch.column("counts"), strict=True):
-                terms, counts = terms.values.to_numpy(), counts.values.to_numpy()
+            (all_terms, ends), (all_counts, _) = (
+                (batch.column(c).flatten().to_numpy(), np.cumsum(batch.column(c).value_lengths().to_numpy()).tolist()) for c in ("terms", "counts"))
+            for begin, end in zip([0, *ends[:-1]], ends, strict=True):
+                terms, counts = all_terms[begin:end], all_counts[begin:end]
                 keys.append(hashlib.blake2b(terms.tobytes() + counts.tobytes(), digest_size=16).digest())
                 if keys[-1] not in known:
                     new[keys[-1]] = (terms.astype(np.int64), counts.astype(np.float64))

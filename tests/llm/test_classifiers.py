@@ -1,7 +1,10 @@
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -87,6 +90,88 @@ def test_block_max_search_is_exact(examples, query):
     assert np.allclose(cosine, want)
 
 
+@pytest.mark.parametrize("few,dense", [(0, 1), (3, 1), (3, 4), (64, 16)])
+def test_documents_searched_together_against_brute_force(monkeypatch, few, dense):
+    monkeypatch.setattr(toxicity, "FEW", few)
+    monkeypatch.setattr(toxicity, "DENSE", dense)
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
+    rng = np.random.default_rng(6)
+    n, idf = 80, np.linspace(0.0, 3.0, 80)
+
+    def text(most):
+        t = np.unique((n * rng.random(rng.integers(0, most)) ** 2).astype(np.int64))
+        return t, rng.integers(1, 4, len(t)).astype(float)
+
+    rows = [(i, int(i % 5 == 0), *text(12)) for i in range(300)]
+    rows += [(300 + i, *r[1:]) for i, r in enumerate(rows[:40])]  # copies tie
+    index = toxicity.Examples(rows, idf, 0.3, k=7)
+    full = np.zeros((len(index.ids), n))
+    for at, i in enumerate(index.ids):
+        full[at, rows[i][2]] = toxicity._weights(*rows[i][2:], idf)
+    queries = [text(30) for _ in range(90)]
+    weights = [toxicity._weights(t, c, idf) for t, c in queries]
+    left = rng.integers(-1, len(index.ids), len(queries))
+    place, cosine = index.nearest_all(np.concatenate([t for t, _ in queries]), np.concatenate(weights),
+                                      np.array([len(w) for w in weights]), left)
+    for (t, _), w, out, p, c in zip(queries, weights, left, place, cosine, strict=True):
+        want = full[:, t] @ w
+        if out >= 0:
+            want[out] = 0.0
+        best = np.sort(want[want > 1e-12])[::-1][:7]
+        found = p >= 0
+        assert found.sum() == len(best) and np.allclose(c[found], best) and np.allclose(want[p[found]], best)
+        assert (c[~found] == 0).all() and len(set(p[found])) == found.sum()
+        same = np.abs(np.diff(c[found])) == 0
+        assert (np.diff(p[found])[same] > 0).all()
+
+
+def test_documents_share_their_passes_over_the_index(monkeypatch):
+    rng = np.random.default_rng(7)
+    docs = [(np.unique(rng.integers(0, 200, 20)), None) for _ in range(256)]
+    docs = [(t, np.ones(len(t))) for t, _ in docs]
+    index = toxicity.Examples([(i, i % 2, *d) for i, d in enumerate(docs)], np.ones(200), 0.5, k=5)
+    passes, ranges = [], toxicity._ranges
+    monkeypatch.setattr(toxicity, "_ranges", lambda *a: passes.append(1) or ranges(*a))
+    scores = index.score_all(docs)
+    assert 0 < len(passes) < len(docs) / 8  # three a document before
+    assert [round(x[0], 12) for x in scores] == [round(index.score(*d)[0], 12) for d in docs]
+
+
+WORDS = st.text(st.sampled_from("abzABZ019_ \n.'-\u00c4\u00df\u00e9\u0130\u03a3\u03c3\u03c2\u212a\u00b2\u2014\u4e2d\U0001f600\u0301\x00"), max_size=40)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | WORDS, max_size=8), st.lists(WORDS, max_size=3), st.integers(1, 60))
+def test_counted_words_are_those_of_the_pattern(texts, examples, together):
+    pattern = re.compile(r"[^\W\d_]+")
+    terms = sorted({w for t in examples + [t or "" for t in texts[::2]] for w in pattern.findall(t.lower())})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    before, toxicity.BYTES_TOGETHER = toxicity.BYTES_TOGETHER, together
+    try:
+        (got,) = toxicity._vectoriser(terms)(iter([batch]))
+    finally:
+        toxicity.BYTES_TOGETHER = before
+    for text, found, times in zip(texts, got.column("terms").to_pylist(), got.column("counts").to_pylist(), strict=True):
+        held = Counter(pattern.findall((text or "").lower()))
+        assert [(terms[i], n) for i, n in zip(found, times, strict=True)] == sorted((w, n) for w, n in held.items() if w in set(terms))
+
+
+def test_texts_in_ascii_need_no_pattern(monkeypatch):
+    class Counting:
+        seen = 0
+
+        def findall(self, text):
+            self.seen += 1
+            return re.findall(r"[^\W\d_]+", text)
+
+    monkeypatch.setattr(toxicity, "_WORD", Counting())
+    texts = ["The cat, the dog_2cat"] * 50 + ["sch\u00f6n\u2014sch\u00f6n und neu"] * 50
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    (got,) = toxicity._vectoriser(["cat", "neu", "sch\u00f6n", "the"])(iter([batch]))
+    assert got.column("counts").to_pylist() == [[2, 2]] * 50 + [[1, 2]] * 50
+    assert toxicity._WORD.seen == 1  # once a text before
+
+
 def test_a_near_copy_finds_its_example_by_any_words(spark):
     rng = random.Random(3)
     texts = [["".join(rng.choices("abcdefghij", k=6)) for _ in range(20)] for _ in range(40)]
